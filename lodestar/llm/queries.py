@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, kd_sharding, mixing, quality_rules
+from . import bpe, chat_format, kd_sharding, mixing, quality_rules, url_filter
 from .common import table
 
 
+#: (host, path, verdict)
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = kd_sharding.kd_shards(table(spark, sf_dir, "documents"))
     return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -45,6 +53,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
+    return coded.select(
+        "doc_id",
+        (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"),
+        F.sha2("tokens", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def _escaped(column: str, t: chat_format.Template, role: bool = False) -> str:
     out = f"replace({column}, '&', '&amp;')"
     for i, c in enumerate(t.controls):
