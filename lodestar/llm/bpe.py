@@ -53,6 +53,8 @@ class Transducer:
         self.token = {as_bytes(k): v for k, v in ids.items() if all(c in alphabet for c in k)}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.merge = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.halves = {new: (rank, *pair) for pair, (rank, new) in self.merge.items()}
+        self.made: dict[int, bool] = {}
         self.text = [b""] * (max([*ids.values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
         for k, v in self.token.items():
             self.text[v] = k
@@ -93,10 +95,38 @@ class Transducer:
         if got is None:
             if len(self.stable) >= CACHE:
                 self.stable.clear()
-            got = self.reduce((self.text[left] if left >= 0 else b"") + self.text[right]) == ([left, right] if left >= 0 else [right])
+            got = self.whole(right) and (left < 0 or self.whole(left) and self.apart(left, right))
             self.stable[key] = got
         return got
 
+    def whole(self, token: int) -> bool:
+        """Whether BPE makes this one token of its bytes."""
+        got = self.made.get(token)
+        if got is None:
+            got = self.made[token] = self.reduce(self.text[token]) == [token]
+        return got
+
+    def apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the boundary of two whole tokens.
+
+        Taking their merges back, latest first, shows the two tokens that meet at the boundary at each time; they join
+        if their merge comes before the one that ends this time (at equal ranks the left one goes first).
+        """
+        merge, halves, never = self.merge, self.halves, len(self.merge)
+        until, left_goes = never, False
+        while True:
+            crossing = merge.get((left, right))
+            if crossing is not None and (crossing[0] < until or crossing[0] == until and not left_goes):
+                return False
+            a, b = halves.get(left), halves.get(right)
+            if a is None and b is None:
+                return True
+            left_goes = b is None or a is not None and a[0] > b[0]
+            if left_goes:
+                until, left = a[0], a[2]
+            else:
+                until, right = b[0], b[1]
+
     def stream(self, data: bytes) -> Iterator[int]:
         """The tokens of one pre-token, each as soon as no later byte can change it."""
         last = {0: (-1, 0)}  # position: last token of the prefix that ends there, its begin
