@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, kd_sharding, minhash, mixing, quality_cnn, quality_rules, url_filter
+from . import bpe, chat_format, embedding_dedup, kd_sharding, minhash, mixing, quality_cnn, quality_rules, suffix_dedup, url_filter
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    cut = suffix_dedup.repeats(docs).select("tid", "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    rows = docs.select("doc_id", suffix_dedup.text_key("text").alias("tid"))
+    return rows.join(cut, "tid").drop("tid")
+
+
 #: (host, path, verdict)
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
