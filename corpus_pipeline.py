@@ -1,11 +1,15 @@
-"""A pipeline over documents: each stage applies one corpus operator to all that the stage before has kept."""
+"""A pipeline over documents: each stage applies one corpus operator to all that the stage before has kept.
+
+All stages but the last return the columns of documents. Documents keep their ids; the mix may repeat or leave out rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing, quality_rules
+from lodestar.llm import bpe, minhash, mixing, quality_rules, suffix_dedup
 from lodestar.llm.common import materialize
+from lodestar.llm.queries import vocabulary_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,20 +17,42 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.filter_quality(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, the one with the least id."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes and more that stand elsewhere too are cut out; every document stays, if need be empty."""
+    return suffix_dedup.remove_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the mix takes them."""
+    """Documents stand as often as the mix of sources takes them."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("quality rules", keep_quality), ("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, tokens (little-endian unsigned 32-bit ids) and the text decoded from them."""
+    return bpe.encode_decode(docs, vocabulary_path())
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("MinHash near-dedup", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
 
-#: The compression bands are beyond SQL.
+#: Compression ratios, near-duplicate classes and tokens are beyond SQL; the tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{i}")
