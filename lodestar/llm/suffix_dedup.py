@@ -388,7 +388,7 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 160, group_cap: int = 4
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The input rows with the text that is left, in whole characters; chars_col, if there is one, counts it anew."""
-    kept = repeats(docs, length, whole_chars=True, text_col=text_col).select(F.col("tid").alias("__tid"), F.decode("kept", F.lit("UTF-8")).alias("__kept"), (F.size("spans") > 0).alias("__cut"))
+    kept = repeats(docs, length, whole_chars=True, text_col=text_col).select(F.col("tid").alias("__tid"), F.decode("kept", "UTF-8").alias("__kept"), (F.size("spans") > 0).alias("__cut"))
     rows = docs.withColumn("__tid", text_key(text_col)).withColumn("__null", F.col(text_col).isNull()).drop(text_col)
     new = {text_col: F.when(~F.col("__null"), F.col("__kept"))}
     if chars_col in docs.columns:
