@@ -1,4 +1,4 @@
-"""All queries by name."""
+"""All queries of the records engine by name, each with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
@@ -15,3 +15,20 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame under its name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = Query(f, sql)
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import documents, facts, profiles  # noqa: E402, F401  they fill QUERIES
