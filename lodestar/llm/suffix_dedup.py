@@ -7,13 +7,14 @@ Which bytes meet in a shard. In each window of `length` bytes the k-gram of leas
 equal windows have the same anchor at the same offset, so windows can only be equal if their anchors are. Anchors that
 occur once are dropped after one pre-aggregated count. Around each other anchor lies a context: all windows that hold it.
 Equal contexts of an anchor stand for one another; anchors whose contexts are all equal are settled by that alone. Of
-the rest one context of each kind is gathered by anchor into shards of bounded bytes.
+the rest, one context of each kind is cut into slices of neighbouring windows, and slices that have the bytes common to all their
+windows with another slice go into shards of bounded bytes, by anchor and these bytes.
 
 In a shard, suffixes are sorted by Larsson-Sadakane refinement: groups of equal rank are sorted again by the rank h bytes on,
 h doubling and groups of one left alone, to the contexts' ends. Kasai's common prefixes (all contexts in
 step, eight bytes at a time) give the runs of equal windows. Shards of a lot are merged by binary search: the windows of
-one are sought in the suffix array of the other. Anchors with more than `group_cap` kinds of context would not fit a
-task's lot; their windows are compared by hash, counted with partial aggregation, so that no key gathers rows in a task.
+one are sought in the suffix array of the other. Groups with more than `group_cap` kinds of slice would not fit a task's lot;
+they are cut into smaller slices, in the end into single windows, which partial aggregation counts.
 
 Equal texts are one text with a number of copies: with two or more copies, each window is repeated. Null text is empty;
 texts shorter than `length` keep all bytes; repeated rows are copies of one another (even with one id); an empty table
@@ -35,7 +36,7 @@ from . import bytetext as B
 from .common import materialize, scratch_dir
 
 SLICE = 1 << 19
-SHARD = 1 << 19
+SHARD = 1 << 20
 U = np.uint64
 
 
@@ -107,7 +108,7 @@ def merge_intervals(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(document, lo, hi, anchor hash, context hash, count) for each kind of context in each document, then spans of the
+    """(document, lo, hi, anchor hash, context hash, count, bytes before the anchor) for each kind of context in each document, then spans of the
     further occurrences of a kind in one document with count 0: these are repeated whatever other documents hold."""
     hasher = Hasher(data)
     at = anchor_positions(data, off, hasher, length, k)
@@ -123,7 +124,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.
     count = np.diff(np.append(first, len(doc)))
     d, a, z = merge_intervals(doc[~new], lo[~new], hi[~new])
     none = np.zeros(len(d), U)
-    return (*(np.concatenate(x) for x in ((doc[first], d), (lo[first], a), (hi[first], z), (h[first], none), (c[first], none))), np.concatenate([count, np.zeros(len(d), np.int64)]))
+    left = (at[order] - off[doc] - lo)[first]
+    return (*(np.concatenate(x) for x in ((doc[first], d), (lo[first], a), (hi[first], z), (h[first], none), (c[first], none))), np.concatenate([count, np.zeros(len(d), np.int64)]), np.concatenate([left, np.zeros(len(d), np.int64)]))
 
 
 class Shard:
@@ -159,27 +161,29 @@ class Shard:
 
     def refine(self, n: int, longest: int) -> np.ndarray:
         """All suffixes in order; each round sorts the groups that are still equal by the rank h bytes on."""
-        full = np.argsort(self.word, kind="stable")
+        full = np.argsort(self.word)
         ranked = self.word[full]
         new = np.append(True, ranked[1:] != ranked[:-1])[:n]
         rank = np.empty(n, np.int64)
         rank[full] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         at, h = np.arange(n), 8  # places in the array that the open groups hold
         while h < longest:
-            open_ = ~(new & np.append(new[1:], True))
-            at = at[open_]
+            at = at[~(new & np.append(new[1:], True))]
             if not len(at):
+                new = np.ones(0, bool)
                 break
             order = full[at]
             key = rank[order] << 32
             past = self.left[order] <= h
             key |= np.where(past, 0xFFFFFFFF, rank[np.minimum(order + h, n - 1)])
-            by = np.argsort(key, kind="stable")
+            by = np.argsort(key)
             order, key = order[by], key[by]
             full[at] = order
             new = np.append(True, key[1:] != key[:-1])
             rank[order] = np.maximum.accumulate(np.where(new, at, 0))
             h *= 2
+        tied = at[~(new & np.append(new[1:], True))]  # equal to their ends
+        full[tied] = full[tied][np.argsort(rank[full[tied]] << 32 | full[tied])]
         return full
 
     def kasai(self, order: np.ndarray) -> np.ndarray:
@@ -266,6 +270,102 @@ def _write_bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     return spark.table(name)
 
 
+ITEM = "h long, c long, place long, lo long, left long, at long, first long, last long, bytes binary"
+
+
+def classes(length: int, step: int):
+    """mapInArrow over ITEM rows: each item's windows by classes of `step` offsets of the anchor.
+
+    A class has a core, the bytes that all of its windows hold, and a slice, the bytes of its windows together. g names anchor,
+    offsets and core; k the slice; s, e are the slice's place in the context, f and l its offsets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = B.column_bytes(batch.column(8))
+            h, c, left, at, first, last = (np.asarray(batch.column(i)) for i in (0, 1, 4, 5, 6, 7))
+            for a, b in B.slices(off, SLICE):
+                base = off[a:b] - off[a]
+                size = np.diff(off[a : b + 1])
+                hasher = Hasher(np.ascontiguousarray(data[off[a] : off[b]]))
+                out: list[tuple[np.ndarray, ...]] = []
+                for f in range(int(first[a:b].min()), int(last[a:b].max()) + 1, step):
+                    # Offsets f to l; windows begin at left - offset, if the context has them whole.
+                    l = np.minimum(f + step - 1, last[a:b])
+                    lo, hi = np.maximum(left[a:b] - l, 0), np.minimum(left[a:b] - f, size - length)
+                    row = np.flatnonzero((lo <= hi) & (f >= first[a:b]) & (f <= last[a:b]))
+                    lo, hi, l = lo[row], hi[row], l[row]
+                    core = hasher.spans(base[row] + left[a:b][row] - f, base[row] + left[a:b][row] - l + length)
+                    g = B.mix(B.mix(h[a:b][row].view(U) + U(f * 4096 + step)) + core)
+                    k = B.mix(hasher.spans(base[row] + lo, base[row] + hi + length) + (left[a:b][row] - f - lo).astype(U) * U(0x9FB21C651E98DF25))
+                    out.append((row + a, g.view(np.int64), k.view(np.int64), lo, hi + length, np.full(len(row), f), l))
+                row, g, k, lo, hi, f, l = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[row], c[row], g, k, at[row] + lo, at[row] + hi, f, l)], ["h", "c", "g", "k", "s", "e", "f", "l"])
+
+    return run
+
+
+def settle(items: DataFrame, length: int, cap: int, steps: list[int]) -> DataFrame:
+    """(h, c, s, e): repeated bytes of each context, from ITEM rows of anchors with several kinds of context.
+
+    Windows are dealt by class. Equal slices of a class settle each other; slices of one core but unlike are compared in shards,
+    at most `cap` kinds of slice in a class. Larger classes are dealt again by the next, smaller step; with step 1 a class
+    is one window, and equal slices are all there is.
+    """
+    dealt = materialize(items.mapInArrow(classes(length, steps[0]), "h long, c long, g long, k long, s long, e long, f long, l long"), "classes")
+    kinds = dealt.groupBy("g", "k").agg(F.count("*").alias("n"), F.min(F.struct("h", "c", "s", "e", "f", "l")).alias("one"))
+    kinds = materialize(kinds, "slices")
+    several = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    whole = dealt.join(kinds.where("n > 1").select("g", "k"), ["g", "k"]).select("h", "c", "s", "e")
+    if steps[0] == 1:
+        return whole
+    several = materialize(kinds.join(several, "g").select("g", "k", "kinds", "one.*"), "unlike")
+    piece = F.expr("substring(bytes, cast(s - at + 1 as int), cast(e - s as int))")
+    sized = several.where(F.col("kinds") <= cap).join(items, ["h", "c"]).where("f >= first AND l <= last")
+    lots = sized.select("g", "k", "place", (F.col("lo") + F.col("s") - F.col("at")).alias("lo"), piece.alias("bytes")).repartition("g").sortWithinPartitions("g")
+    found = materialize(lots.mapInArrow(sort_lots(length), "g long, k long, x long, y long"), "sorted")
+    out = whole.unionByName(dealt.join(found, ["g", "k"]).select("h", "c", (F.col("s") + F.col("x")).alias("s"), (F.col("s") + F.col("y")).alias("e")))
+    large = several.where(F.col("kinds") > cap)
+    if large.limit(1).count():
+        members = dealt.join(large.select("g").distinct(), "g").select("h", "c", "s", "e", "f", "l")
+        again = members.join(items, ["h", "c"]).where("f >= first AND l <= last")
+        again = again.select("h", "c", "place", (F.col("lo") + F.col("s") - F.col("at")).alias("lo"), (F.col("left") - F.col("s") + F.col("at")).alias("left"), F.col("s").alias("at"), F.col("f").alias("first"), F.col("l").alias("last"), piece.alias("bytes"))
+        out = out.unionByName(settle(materialize(again, "large"), length, cap, steps[1:]))
+    return out
+
+
+def sort_lots(length: int):
+    """mapInArrow over (g, k, place, lo, bytes) rows sorted by g: repeated bytes (g, k, x, y), by lots of whole groups."""
+
+    def lot(rows: pa.Table) -> pa.RecordBatch:
+        batch = rows.combine_chunks().to_batches()[0]
+        data, off = B.column_bytes(batch.column(4))
+        origin = np.asarray(batch.column(2)).view(U) * U(0x9E3779B97F4A7C15) + np.asarray(batch.column(3)).astype(U)
+        at, x, y = lot_spans(np.ascontiguousarray(data), off, origin, length)
+        pick = pa.array(at)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["g", "k", "x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            while held.num_rows:
+                # A lot ends with a group, once it has a shard's bytes.
+                sizes = np.cumsum(np.asarray(pa.compute.binary_length(held.column(4)).combine_chunks(), dtype=np.int64))
+                g = held.column(0).to_numpy()
+                ends = np.flatnonzero(g[1:] != g[:-1]) + 1
+                ends = ends[sizes[ends - 1] >= SHARD]
+                if not len(ends):
+                    break
+                yield lot(held.slice(0, ends[0]))
+                held = held.slice(ends[0])
+        if held is not None and held.num_rows:
+            yield lot(held)
+
+    return run
+
+
 def text_key(column: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))))
 
@@ -282,73 +382,24 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 160, group_cap: int = 4
         for batch in batches:
             data, off = B.column_bytes(batch.column(1))
             for a, b in B.slices(off, SLICE):
-                doc, lo, hi, h, c, n = anchors(np.ascontiguousarray(data[off[a] : off[b]]), off[a : b + 1] - off[a], length, k)
+                doc, lo, hi, h, c, n, left = anchors(np.ascontiguousarray(data[off[a] : off[b]]), off[a : b + 1] - off[a], length, k)
                 tid = batch.column(0).take(pa.array(doc + a))
-                yield pa.RecordBatch.from_arrays([tid, pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n, pa.int64())], ["tid", "lo", "hi", "h", "c", "n"])
+                yield pa.RecordBatch.from_arrays([tid, pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n, pa.int64()), pa.array(left, pa.int64())], ["tid", "lo", "hi", "h", "c", "n", "left"])
 
-    found = materialize(texts.select("tid", "text").mapInArrow(find, "tid binary, lo long, hi long, h long, c long, n long"), "anchors")
+    found = materialize(texts.select("tid", "text").mapInArrow(find, "tid binary, lo long, hi long, h long, c long, n long, left long"), "anchors")
     again = found.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     met = materialize(found.where("n > 0").join(again, "h", "left_semi"), "met")
-    kinds = met.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "lo", "hi")).alias("one"))
+    kinds = met.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "lo", "hi", "left")).alias("one"))
     kinds = materialize(kinds, "kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     kinds = materialize(kinds.join(groups, "h", "left"), "grouped")
 
     cut = F.expr("substring(encode(text, 'UTF-8'), cast(one.lo + 1 as int), cast(one.hi - one.lo as int))")
-    origin = F.expr("xxhash64(one.tid)")
     contexts = kinds.where("kinds IS NOT NULL").withColumn("tid", F.col("one.tid")).join(texts.select("tid", "text"), "tid")
-    contexts = materialize(contexts.select("h", "c", "kinds", origin.alias("place"), F.col("one.lo").alias("lo"), cut.alias("bytes")), "contexts")
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lot(rows: pa.Table) -> pa.RecordBatch:
-            rows = rows.combine_chunks()
-            batch = rows.to_batches()[0]
-            data, off = B.column_bytes(batch.column(4))
-            place = np.asarray(batch.column(2)).view(U) * U(0x9E3779B97F4A7C15) + np.asarray(batch.column(3)).astype(U)
-            at, s, e = lot_spans(np.ascontiguousarray(data), off, place, length)
-            pick = pa.array(at)
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["h", "c", "s", "e"])
-
-        held: pa.Table | None = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            while held.num_rows:
-                # A lot ends with a group, once it has a shard's bytes.
-                sizes = np.cumsum(np.asarray(pa.compute.binary_length(held.column(4)).combine_chunks(), dtype=np.int64))
-                h = held.column(0).to_numpy()
-                ends = np.flatnonzero(h[1:] != h[:-1]) + 1
-                ends = ends[sizes[ends - 1] >= SHARD]
-                if not len(ends):
-                    break
-                yield lot(held.slice(0, ends[0]))
-                held = held.slice(ends[0])
-        if held is not None and held.num_rows:
-            yield lot(held)
-
-    dealt = contexts.where(F.col("kinds") <= group_cap).select("h", "c", "place", "lo", "bytes").repartition("h").sortWithinPartitions("h")
-    inner = dealt.mapInArrow(sort, "h long, c long, s long, e long")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = B.column_bytes(batch.column(4))
-            for a, b in B.slices(off, 1 << 16):
-                at = off[a : b + 1] - off[a]
-                hasher = Hasher(np.ascontiguousarray(data[off[a] : off[b]]))
-                size = np.maximum(np.diff(at) - length + 1, 0)
-                row = np.repeat(np.arange(b - a), size)
-                s = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                key = hasher.spans(at[row] + s, at[row] + s + length).view(np.int64)
-                pick = pa.array(row + a)
-                where = (np.asarray(batch.column(2)).view(U) * U(0x9E3779B97F4A7C15) + np.asarray(batch.column(3)).astype(U))[row + a] + s.astype(U)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(s, pa.int64()), pa.array(key), pa.array(where.view(np.int64))], ["h", "c", "s", "key", "origin"])
-
-    spread = contexts.where(F.col("kinds") > group_cap).select("h", "c", "place", "lo", "bytes").mapInArrow(windows, "h long, c long, s long, key long, origin long")
-    common = spread.groupBy("h", "key").agg(F.min("origin").alias("x"), F.max("origin").alias("y")).where("x <> y").select("h", "key")
-    outer = spread.join(common, ["h", "key"], "left_semi").select("h", "c", "s", (F.col("s") + length).alias("e"))
-
+    contexts = contexts.select("h", "c", F.expr("xxhash64(one.tid)").alias("place"), F.col("one.lo").alias("lo"), F.col("one.left").alias("left"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("first"), F.lit(length - k).cast("long").alias("last"), cut.alias("bytes"))
+    inner = settle(materialize(contexts, "contexts"), length, group_cap, [(length - k) // 4 + 1, 8, 1])
     whole = kinds.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
-    hits = materialize(inner.unionByName(outer).unionByName(whole), "hits")
+    hits = materialize(inner.unionByName(whole), "hits")
     spans = met.join(hits, ["h", "c"]).select("tid", (F.col("lo") + F.col("s")).alias("lo"), F.coalesce(F.col("lo") + F.col("e"), F.col("hi")).alias("hi"))
     spans = spans.unionByName(found.where("n = 0").select("tid", "lo", "hi"))
     spans = spans.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
