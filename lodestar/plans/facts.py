@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, topics
 from ..operators import integrity, ranking, resolution, rollups
 from .registry import query, table
 
-YEAR = F.year("o_orderdate")
+def order_year() -> Column:
+    return F.year("o_orderdate")
 
 
 def sold(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +28,7 @@ board AS (
 SELECT o_custkey, periods, income, round(CASE WHEN lead(income) OVER w > 0 THEN income / lead(income) OVER w END, 1) AS x_over_next,
   coalesce(round(income / lead(income) OVER w, 1) >= 1.1, false) AS flagged FROM board WINDOW w AS (ORDER BY income DESC, o_custkey)""")
 def latest_per_key_outliers(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").withColumn("y", YEAR)
+    orders = table(spark, sf, "orders").withColumn("y", order_year())
     latest = ranking.latest_per_key(orders, ["o_custkey", "y"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
     board = latest.groupBy("o_custkey").agg(F.count("*").alias("periods"), ranking.exact_sum("o_totalprice").alias("income"))
     order = [F.desc("income"), F.asc("o_custkey")]
@@ -40,7 +41,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey
 WHERE year(o_orderdate) = 1998 AND l_returnflag = 'N' GROUP BY 1, 2, 3 ORDER BY total DESC, s_suppkey LIMIT 25""")
 def recipient_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     # Aggregated by the key before names are joined: the joins see one row for each supplier.
-    facts = sold(spark, sf).where((YEAR == 1998) & (F.col("l_returnflag") == "N"))
+    facts = sold(spark, sf).where((order_year() == 1998) & (F.col("l_returnflag") == "N"))
     board = ranking.leaderboard(facts, ["l_suppkey"], "l_extendedprice", "o_custkey")
     top = ranking.top(board, [F.desc("total"), F.asc("l_suppkey")], 25)
     named = top.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -49,7 +50,7 @@ def recipient_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT o_custkey, year(o_orderdate) AS year, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders GROUP BY 1, 2""")
 def entity_by_year(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_custkey", YEAR.alias("year")).agg(F.count("*").alias("n"), ranking.exact_sum("o_totalprice").alias("total"))
+    return table(spark, sf, "orders").groupBy("o_custkey", order_year().alias("year")).agg(F.count("*").alias("n"), ranking.exact_sum("o_totalprice").alias("total"))
 
 
 @query("""
@@ -81,7 +82,7 @@ def footprint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT year(o_orderdate) AS year, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM {_FOOT} GROUP BY 1")
 def footprint_by_year(spark: SparkSession, sf: str) -> DataFrame:
-    return footprint(spark, sf).groupBy(YEAR.alias("year")).agg(F.count("*").alias("n"), ranking.exact_sum("l_extendedprice").alias("total"))
+    return footprint(spark, sf).groupBy(order_year().alias("year")).agg(F.count("*").alias("n"), ranking.exact_sum("l_extendedprice").alias("total"))
 
 
 @query(f"SELECT l_suppkey, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM {_FOOT} GROUP BY 1 ORDER BY total DESC, l_suppkey LIMIT 15")
