@@ -10,9 +10,9 @@ only as far as the slots of a document can still change: about slots x (ln slots
 Bands of the signature make candidates; every link is verified by exact multiset Jaccard similarity of whole texts.
 
 Documents of equal multisets are one node from the start. In each band bucket the members are compared with the bucket's
-least node, so a group of n near copies costs n comparisons and not n x n; buckets that still hold several components
-after that are searched for the links between those components, so that none is lost between them. Counts are
-pre-aggregated, and large groups are verified in salted parts, each with a copy of the leader.
+least node, so a group of n near copies costs n comparisons and not n x n. Buckets that still hold several components
+after that are searched for the links between them, in tiles of bounded size: no pair is a row, and no link between
+components is lost. Counts are pre-aggregated, and large groups are verified in salted parts, each with the leader.
 
 A document of fewer words than a shingle has one shingle of all its words; a document without words (null, empty or
 blank) links with nothing, as does a row without an id. Ids name documents: rows that share one are one node.
@@ -162,7 +162,82 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, th
     return met.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, part: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def across(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int, threshold: float, tile: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between the components of each bucket; members: key, id, n (members of the bucket), root, visits.
+
+    Visitors, all but the members of the bucket's largest component, meet all members in tiles of about tile residents and
+    2 x tile visitors. An inverted index over a tile's residents gives a visitor's exact intersections with all of them;
+    a tile returns a spanning forest of the components that it links.
+    """
+    text = F.col(text_col).cast("string")
+    wanted = members.select("id").distinct().join(nodes.select("id", "text_key"), "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    texts = texts.join(wanted, ["id", "text_key"], "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    sized = members.withColumns({"parts": F.ceil(F.col("n") / tile).cast("int"), "guests": F.ceil(F.col("n") / (2 * tile)).cast("int")})
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    residents = sized.select("key", "id", "root", F.lit(False).alias("visitor"), mine("parts", 1).alias("part"), spread("guests").alias("guest"))
+    visitors = sized.where("visits").select("key", "id", "root", F.lit(True).alias("visitor"), mine("guests", 2).alias("guest"), spread("parts").alias("part"))
+    met = residents.unionByName(visitors).join(texts, "id").select("key", "part", "guest", "visitor", "id", "root", "text")
+    met = met.repartition("key", "part", "guest").sortWithinPartitions("key", "part", "guest", "visitor", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, index, up = None, None, {}
+        held: list[tuple] = []  # residents until the first visitor: id, root, shingles, weights
+        for batch in batches:
+            key, part, guest, visitor, ids, roots = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            data, off = B.column_bytes(batch.column(6))
+            found: list[tuple[int, int]] = []
+            for a, b in B.slices(off, SLICE):
+                doc, shingle, weight = bags(np.ascontiguousarray(data[off[a] : off[b]]), off[a : b + 1] - off[a], width)
+                at = np.searchsorted(doc, np.arange(b - a + 1))
+                for i in range(a, b):
+                    if now != (key[i], part[i], guest[i]):
+                        now, index, up, held = (key[i], part[i], guest[i]), None, {}, []
+                    s, w = shingle[at[i - a] : at[i - a + 1]], weight[at[i - a] : at[i - a + 1]]
+                    if not visitor[i]:
+                        held.append((ids[i], roots[i], s, w))
+                    elif held:
+                        index = index or TileIndex(held)
+                        found += index.links(ids[i], roots[i], s, w, threshold, up)
+            x, y = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+class TileIndex:
+    """Postings of some documents' shingles."""
+
+    def __init__(self, held: list[tuple]):
+        self.ids, self.roots = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+        self.totals = np.array([h[3].sum() for h in held])
+        shingle, weight = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+        owner = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+        order = np.argsort(shingle, kind="stable")
+        self.shingle, self.weight, self.owner = shingle[order], weight[order], owner[order]
+
+    def links(self, id_: int, root: int, shingle: np.ndarray, weight: np.ndarray, threshold: float, up: dict[int, int]) -> list[tuple[int, int]]:
+        """Links of one document to residents of other components that up, a forest over roots, doesn't join yet."""
+        lo, hi = np.searchsorted(self.shingle, shingle), np.searchsorted(self.shingle, shingle, "right")
+        n = hi - lo
+        at = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+        shared = np.bincount(self.owner[at], np.minimum(self.weight[at], np.repeat(weight, n)), len(self.ids))
+        near = np.flatnonzero((shared >= threshold * (self.totals + weight.sum() - shared)) & (self.roots != root))
+        out = []
+        for k in near.tolist():
+            x, y = int(root), int(self.roots[k])
+            while x in up:
+                x = up[x]
+            while y in up:
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((int(id_), int(self.ids[k])))
+        return out
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, part: int = 500, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key, class_id (the least id of its class) of every row; classes are components of verified links."""
     sketched = materialize(sketches(docs, width, bands, rows, id_col, text_col), "sketches")
     named = sketched.where("id IS NOT NULL AND weight > 0")
@@ -178,16 +253,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     tried = materialize(stars.select(F.col("leader").alias("a"), F.col("id").alias("b")), "stars")
     links = materialize(verified(docs, nodes, tried, width, threshold, part, id_col, text_col), "links")
     roots = connected(links)
-    # Buckets with several components left: pairs across components that have not been compared.
-    rooted = placed.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = materialize(rooted.join(mixed, "key").select("key", "id", "weight", "root"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    near = F.expr(f"x.id < y.id AND x.root <> y.root AND least(x.weight, y.weight) >= {threshold} * greatest(x.weight, y.weight)")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    across = materialize(across.join(tried, ["a", "b"], "left_anti"), "across")
-    more = verified(docs, nodes, across, width, threshold, part, id_col, text_col)
-    roots = connected(links.unionByName(materialize(more, "links")))
+    # Buckets that still hold several components: all pairs across components are compared, in tiles.
+    rooted = placed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("most")).where("roots > 1")
+    open_ = materialize(rooted.join(mixed, "key").select("key", "id", "n", "root", (F.col("root") != F.col("most")).alias("visits")), "open")
+    more = materialize(across(docs, nodes, open_, width, threshold, tile, id_col, text_col), "across")
+    roots = connected(links.unionByName(more))
     known = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp1", "fp2", F.coalesce("root", "id").alias("class_id"))
     out = sketched.select("id", "text_key", F.when(F.expr("id IS NOT NULL AND weight > 0"), F.col("fp1")).alias("fp1"), "fp2")
     return out.join(known, ["fp1", "fp2"], "left").select(F.col("id").alias(id_col), "text_key", F.coalesce("class_id", "id").alias("class_id"))
