@@ -12,6 +12,10 @@ from lodestar.llm.common import materialize
 from lodestar.llm.queries import vocabulary_path
 
 
+#: Bytes of a repeated passage: about 40 words and more.
+PASSAGE = 200
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.filter_quality(docs)
@@ -23,8 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that stand elsewhere too are cut out; every document stays, if need be empty."""
-    return suffix_dedup.remove_repeats(docs)
+    """Passages of PASSAGE bytes and more that stand elsewhere too are cut out; every document stays, if need be empty."""
+    return suffix_dedup.remove_repeats(docs, PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -370,11 +370,12 @@ def text_key(column: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))))
 
 
-def repeats(docs: DataFrame, length: int = 400, k: int = 160, group_cap: int = 4096, whole_chars: bool = False, text_col: str = "text") -> DataFrame:
-    """For each distinct text: tid (its MD5), n_bytes, spans array<struct<lo, hi>> (maximal removed runs) and kept (binary).
+def repeats(docs: DataFrame, length: int = 400, k: int | None = None, group_cap: int = 4096, whole_chars: bool = False, text_col: str = "text") -> DataFrame:
+    """For each distinct text (k: bytes of an anchor): tid (its MD5), n_bytes, spans array<struct<lo, hi>> (maximal removed runs) and kept (binary).
 
     whole_chars shrinks spans to whole characters, so that kept is UTF-8.
     """
+    k = k or length * 2 // 5
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = _write_bucketed(docs.select(text_key(text_col).alias("tid"), text.alias("text")).groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "tid", "texts")
 

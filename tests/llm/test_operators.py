@@ -1,0 +1,464 @@
+"""Corpus operators against brute force and on awkward rows."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from lodestar.llm import bpe, chat_format, components, embedding_dedup, kd_sharding, minhash, mixing, quality_cnn, quality_rules, suffix_dedup, url_filter
+from lodestar.llm import bytetext as B
+from lodestar.llm.queries import URL_RULES, op7_chat_format, vocabulary_path
+
+WORD = regex.compile("[^\x20\x09-\x0d]+")
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(r, n, vocabulary=400):
+    words = ["".join(r.choice("aeioué") + r.choice("bdklmnrst") for _ in range(1 + i % 4)) for i in range(vocabulary)]
+    return " ".join(r.choice(words) + ("\n" if r.random() < 0.05 else "") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Copies, near copies, shared passages, repeats, nulls, empty, long and odd texts."""
+    r = random.Random(5)
+    base = [prose(r, r.choice([3, 30, 120, 300])) for _ in range(40)]
+    passage = prose(r, 120)
+    near = []
+    for t in base[:12]:
+        words = t.split(" ")
+        for _ in range(len(words) // 60 + 1):
+            words[r.randrange(len(words))] = "changed"
+        near.append(" ".join(words))
+    shared = [f"{prose(r, 60)} {passage} {prose(r, 60)}" for _ in range(8)]
+    odd = [None, "", None, " \n\t", "one", "one", "a" * 3000, "ab" * 1500, prose(r, 6000), "x\x00y é\u2028z 日本語 " * 90, "<|endoftext|> a<|endoftext|>", passage, base[0][:-5], base[0] + base[0]]
+    return base + base[:5] + base[:2] + near + shared + odd
+
+
+@pytest.fixture
+def docs(spark, texts):
+    """documents with ids that don't follow the rows, and columns that clash with the operators' own names."""
+    r = random.Random(1)
+    rows = [(1000 + (i * 37) % 997, t, None if i % 7 == 0 else "en", [None, "b", "a", "ü"][i % 4], len(t or ""), "x", i, b"y") for i, t in enumerate(texts)]
+    r.shuffle(rows)
+    return spark.createDataFrame(rows, DOC + ", id string, size int, tid binary")
+
+
+@pytest.fixture
+def empty(docs):
+    return docs.limit(0)
+
+
+def repeated_bytes(all_bytes, length):
+    starts = Counter(b[i : i + length] for b in all_bytes for i in range(len(b) - length + 1))
+    out = []
+    for b in all_bytes:
+        cover = np.zeros(len(b) + 1, int)
+        for i in range(len(b) - length + 1):
+            if starts[b[i : i + length]] > 1:
+                cover[i] += 1
+                cover[i + length] -= 1
+        out.append(np.cumsum(cover)[: len(b)] > 0)
+    return out
+
+
+# Suffix arrays
+
+
+@pytest.mark.parametrize(("length", "cap"), [(400, 4096), (100, 4096), (100, 2)])
+def test_suffix_dedup_against_all_windows(docs, length, cap):
+    rows = docs.select("doc_id", "text").collect()
+    raw = [(r["text"] or "").encode() for r in rows]
+    cover = repeated_bytes(raw, length)
+    found = suffix_dedup.repeats(docs, length, k=length * 2 // 5, group_cap=cap).collect()
+    got = {bytes(r["tid"]): r for r in found}
+    assert len(got) == len(set(raw))
+    for b, c in zip(raw, cover, strict=True):
+        r = got[hashlib.md5(b).digest()]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(int), [0]])))
+        assert [(s["lo"], s["hi"]) for s in r["spans"]] == list(zip(edges[::2], edges[1::2], strict=True))
+        assert bytes(r["kept"]) == np.frombuffer(b, np.uint8)[~c].tobytes() and r["n_bytes"] == len(b)
+
+
+def test_suffix_dedup_rows(docs, empty):
+    out = suffix_dedup.remove_repeats(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    for r in out.collect():
+        assert r["text"] is None or len(r["text"]) == r["n_chars"]
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+    assert out.where("text IS NULL").count() == docs.where("text IS NULL").count()
+
+
+def test_shards_sort_and_merge():
+    r = np.random.RandomState(0)
+    for trial in range(30):
+        alphabet = r.choice([2, 3, 60])
+        parts = [bytes(r.randint(97, 97 + alphabet, r.randint(1, 90)).astype(np.uint8)) for _ in range(r.randint(1, 12))]
+        parts += [parts[0][3:] + b"zz", parts[-1]]
+        data, off = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+        origin = np.arange(len(parts), dtype=np.uint64) << np.uint64(32)
+        shard = suffix_dedup.Shard(data, off, origin, 12)
+        order = np.array(sorted(range(len(data)), key=lambda i: (data[i : off[np.searchsorted(off, i, "right")]].tobytes() + b"\xff" * 200, i)))
+        assert shard.sa.tolist() == [i for i in order if off[np.searchsorted(off, i, "right")] - i >= 12]
+        want = repeated_bytes(parts, 12)
+        for size in (1 << 20, 40):
+            at, s, e = suffix_dedup.lot_spans(data, off, origin, 12, size)
+            cover = [np.zeros(len(p), bool) for p in parts]
+            for k, a, z in zip(at, s, e, strict=True):
+                cover[k][a:z] = True
+            assert all((x == y).all() for x, y in zip(cover, want, strict=True)), (trial, size)
+
+
+def test_one_place_is_not_its_own_repeat():
+    text = np.frombuffer(bytes(range(97, 123)) * 1, np.uint8)
+    data, off = np.concatenate([text, text]), np.array([0, 26, 52])
+    assert len(suffix_dedup.lot_spans(data, off, np.array([5, 5], np.uint64), 10)[0]) == 0
+    assert len(suffix_dedup.lot_spans(data, off, np.array([5, 99], np.uint64), 10)[0]) == 2
+
+
+# URLs
+
+
+def test_urls(spark):
+    urls = ["http://A.Example.NET/en/x", "https://x.net/", "https://x.net", "https://x.net?q", "http://example.com/de/1", "http://sub.example.com/DE/", "http://w.org/fr/?a=1", "net/", None, "", "x://org/fr/", "http://badexample.net/en/", "http://example.net/en", "://net/#f"] * 3
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df, URL_RULES).collect()}
+
+    def plain(u):
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = regex.split("[/?#]", rest)[0]
+            path = regex.split("[?#]", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h + p, v) for h, p, v in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, *(max(fits)[1:] if fits else (None, None))
+
+    for i, u in enumerate(urls):
+        host, path, rule, verdict = plain(u)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert got[i]["verdict"] == verdict if rule else got[i]["verdict"] in ("allow", "block")
+    assert got[8]["verdict"] == got[8 + 14]["verdict"]
+    assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
+
+
+def test_trees_learn_held_out_urls():
+    r = random.Random(2)
+    make = lambda bad: f"http{'' if bad else 's'}://{'a' * r.randrange(3, 9)}{r.randrange(10**6) if bad else ''}.{'biz' if bad else 'org'}/{'/'.join('p' for _ in range(r.randrange(4)))}?{'&'.join('k=1' for _ in range(r.randrange(6) if bad else 1))}"
+    rows = [(make(b), b) for b in (r.random() < 0.4 for _ in range(600))]
+    model = url_filter.UrlModel([u for u, _ in rows[:400]], np.array([b for _, b in rows[:400]], float))
+    right = (model.score([u for u, _ in rows[400:]]) >= 0.5) == np.array([b for _, b in rows[400:]])
+    assert right.mean() > 0.97
+    assert url_filter.UrlModel([], np.zeros(0)).score(["x", None]).shape == (2,)
+
+
+# Quality
+
+
+def test_network_learns_and_pools_whole_texts(docs, empty, spark):
+    r = random.Random(3)
+    good, bad = [prose(r, 80).encode() for _ in range(60)], [prose(r, 80).upper().replace(" ", "!! ").encode() for _ in range(60)]
+    model = quality_cnn.ByteNetwork().fit(good[:40] + bad[:40], np.array([1] * 40 + [0] * 40), epochs=15)
+    both = good[40:] + bad[40:]
+    score = model.score(np.frombuffer(b"".join(both), np.uint8), np.cumsum([0, *map(len, both)]))
+    assert ((score >= 0.3) == ([True] * 20 + [False] * 20)).mean() > 0.95
+    # The tail counts, and a text beyond a slice is pooled like a short one.
+    long = good[0] * (quality_cnn.SLICE * 3 // len(good[0]))
+    whole = model.pool(np.frombuffer(long + bad[0], np.uint8), np.array([0, len(long) + len(bad[0])]))
+    old, quality_cnn.SLICE = quality_cnn.SLICE, 1 << 30
+    try:
+        assert np.allclose(whole, model.pool(np.frombuffer(long + bad[0], np.uint8), np.array([0, len(long) + len(bad[0])])), atol=1e-4)
+    finally:
+        quality_cnn.SLICE = old
+    out = quality_cnn.score_documents(docs, model)
+    rows = out.collect()
+    assert len(rows) == docs.count() and all(0 <= x["score"] <= 1 for x in rows) and quality_cnn.score_documents(empty, model).count() == 0
+
+
+def test_network_fits_from_tables(spark, docs):
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).unionByName(docs.limit(3).select("doc_id", F.lit(None).cast("int").alias("quality")))
+    a = quality_cnn.fit_quality(docs, labels, max_rows=20)
+    b = quality_cnn.fit_quality(docs, labels, max_rows=20)
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+    assert quality_cnn.fit_quality(docs, labels.limit(0)).constant == 0.5
+
+
+def test_rules_against_plain_counts(docs, empty):
+    got = {r["doc_id"]: r for r in quality_rules.score_quality(docs).collect()}
+    for row in docs.collect():
+        t = row["text"] or ""
+        w = WORD.findall(t)
+        wins = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        rep = {i + k for i in range(len(w) - 2) if wins[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        r = got[row["doc_id"]]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "[#*$%&|<>]" for c in t), dup, len(rep))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(rep) > 50 * len(w)) and (not r["kept"] or not r["base_failed"])
+    kept = quality_rules.filter_quality(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got.values())
+    assert quality_rules.score_quality(empty).count() == 0 and quality_rules.filter_quality(empty).count() == 0
+
+
+def test_bands():
+    r = random.Random(4)
+    line = prose(r, 12) + "\n"
+    noise = "".join(chr(r.randrange(33, 0x2FFF)) for _ in range(3000))
+    got = quality_rules.judge(pa.array([prose(r, 300), line * 80, noise, prose(r, 700) + line * 300]), quality_rules.Bands(whole=((128, 0.35, 0.8),)))
+    assert got["kept"].tolist() == [True, False, False, False]
+
+
+# Embeddings
+
+
+def brute_links(vectors):
+    ok = [v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v) for v in vectors]
+    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if o else None for v, o in zip(vectors, ok, strict=True)]
+    n = len(vectors)
+    return [{j for j in range(n) if i != j and ok[i] and ok[j] and unit[i] @ unit[j] >= 0.95} for i in range(n)]
+
+
+def test_embeddings_against_brute_force(spark):
+    r = np.random.RandomState(1)
+    centres = r.normal(size=(40, 8))
+    vectors = [(c + r.normal(size=8) * 0.12).astype(np.float32).tolist() for c in centres for _ in range(8)]
+    vectors += [vectors[0]] * 5 + [[2 * x for x in vectors[0]], None, [0.0] * 8, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7, [1.0, 0.0], []]
+    ids = [int(x) for x in r.permutation(len(vectors)) * 3]
+    df = spark.createDataFrame([(i, v, 0, "z") for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<float>, label int, cell string")
+    links = brute_links([None if v is None else [None if x is None else float(np.float32(x)) for x in v] for v in vectors])
+    got = {x["vec_id"]: x for x in embedding_dedup.link_embeddings(df, tile=16).collect()}
+    found = sum(got[ids[i]]["n_links"] for i in range(len(ids)))
+    assert found >= 0.99 * sum(map(len, links)) and all(got[ids[i]]["n_links"] <= len(links[i]) for i in range(len(ids)))
+    label = list(range(len(ids)))
+    changed = True
+    while changed:
+        changed = False
+        for i, ls in enumerate(links):
+            best = min([label[i], *(label[j] for j in ls)], key=lambda k: ids[k])
+            if best != label[i]:
+                label[i], changed = best, True
+    assert sum(got[ids[i]]["component_id"] == ids[label[i]] for i in range(len(ids))) >= len(ids) - 2
+    assert all(x["kept"] == (x["vec_id"] == x["component_id"]) for x in got.values())
+    assert embedding_dedup.link_embeddings(df.limit(0)).count() == 0
+    assert [x["n_links"] for x in embedding_dedup.link_embeddings(df.where("embedding IS NULL")).collect()] == [0]
+
+
+def test_multi_sequence_is_ordered():
+    r = np.random.RandomState(2)
+    a, b = r.rand(6), r.rand(5)
+    want = sorted((a[i] + b[j], i, j) for i in range(6) for j in range(5))
+    assert [a[i] + b[j] for i, j in embedding_dedup.multi_sequence(a, b, 30)] == [x[0] for x in want]
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (103, 102), (5, 5)]
+    got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 102, 103: 102}
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# Sharding
+
+
+def test_shards(docs, empty):
+    out = kd_sharding.kd_shards(docs, 4, rows_per_block=10).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert sorted(r["doc_id"] for r in out) == sorted(texts)
+    place, load = {}, Counter()
+    for r in out:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw)
+        assert place.setdefault(raw, r["shard"]) == r["shard"]
+        load[r["shard"]] += r["size"]
+    largest = max(Counter(r["text_crc32"] for r in out for _ in range(r["size"])).values())
+    assert max(load.values()) - min(load.values()) <= 2 * largest
+    for s in load:
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    assert kd_sharding.kd_shards(empty).count() == 0
+    assert len({r["shard"] for r in kd_sharding.kd_shards(docs.where("text = 'one'")).collect()}) == 1
+
+
+# Near duplicates
+
+
+def shingles(t):
+    w = WORD.findall(t or "")
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+
+def similarity(a, b):
+    shared = sum((a & b).values())
+    return shared / max(1, sum(a.values()) + sum(b.values()) - shared)
+
+
+def test_near_duplicates_against_brute_force(docs, empty):
+    rows = docs.select("doc_id", "text").collect()
+    bags = {r["doc_id"]: shingles(r["text"]) for r in rows}
+    label = {i: i for i in bags}
+    changed = True
+    while changed:
+        changed = False
+        for i in bags:
+            for j in bags:
+                if label[j] < label[i] and bags[i] and bags[j] and similarity(bags[i], bags[j]) >= 0.8:
+                    label[i], changed = label[j], True
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs, tile=4, part=3).collect()}
+    assert got == label
+    stay = minhash.drop_near_duplicates(docs.unionByName(docs))
+    assert stay.columns == docs.columns and sorted(r["doc_id"] for r in stay.collect()) == sorted(i for i in label if label[i] == i)
+    assert minhash.near_duplicates(empty).count() == 0 and minhash.drop_near_duplicates(empty).count() == 0
+
+
+def test_signatures_estimate_weighted_jaccard():
+    r = np.random.RandomState(3)
+    slots = 2048
+    for heavy in (1, 6, 40):
+        shared = r.randint(0, 2**63, 60).astype(np.uint64)
+        a, b = r.randint(1, heavy + 1, 60), r.randint(1, heavy + 1, 60)
+        doc, sh, w = np.repeat([0, 1], 60), np.concatenate([shared, shared]), np.concatenate([a, b])
+        sign = minhash.signatures(doc, sh, w, 2, slots)
+        true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        assert abs((sign[0] == sign[1]).mean() - true) < 5 * np.sqrt(true * (1 - true) / slots) + 1e-9
+
+
+def test_null_ids_link_with_nothing(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
+    assert sorted(str(r["class_id"]) for r in minhash.near_duplicates(df).collect()) == ["3", "None", "None"]
+    assert minhash.drop_near_duplicates(df).count() == 3
+
+
+# Chats
+
+
+def test_chats_read_back(spark):
+    rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "&amp; <|im_end|>\n<|im_start|>user\nhi"), (2, 1, "assistant", "b"), (2, 0, "odd\nrole &n;", None), (3, None, None, ""), (3, None, None, ""), (None, 5, "user", "&c1;"), (4, 0, "system", "s"), (4, 1, "user", "u" * 5000), (4, 2, "assistant", "日本")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, rows string")
+    t = chat_format.Template()
+    made = chat_format.format_chats(df, t)
+    back = {r["conv_id"]: r for r in chat_format.read_back(made, t).collect()}
+    for conv in {r[0] for r in rows}:
+        mine = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
+        assert [(x["role"], x["text"]) for x in back[conv]["turns"]] == [(r, x) for _, _, r, x in mine]
+        assert back[conv]["loss_texts"] == [x for _, _, r, x in mine if r == "assistant"]
+    assert {c: r["valid"] for c, r in back.items()} == {1: True, 2: False, 3: False, None: False, 4: True}
+    for r in made.collect():
+        assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
+        assert [r["formatted"][s["start"] : s["start"] + s["len"]] for s in r["loss_spans"]] == [s["text"] for s in r["segments"] if s["loss"]]
+        assert all(c not in s["text"] for s in r["segments"][1::3] for c in t.controls)
+    assert chat_format.format_chats(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        chat_format.Template(controls=("a&b",))
+
+
+def test_added_conversation(spark):
+    got = op7_chat_format(spark, "/root/testdata/sf0.001").where("conv_id = -7").first()
+    text = "</s>[INST] ok [/INST]"
+    assert (got["n_turns"], got["loss_chars"], got["loss_sha256"]) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert got["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+# Mixing
+
+
+def test_targets():
+    assert mixing.targets([("a", 100), ("b", 100), (None, 100)], (5, 2, 1), 3) == [("a", 100, 187.5), ("b", 100, 75.0), (None, 100, 37.5)]
+    got = mixing.targets([("a", 10), ("b", 1000), ("c", 0), (None, 500)], (5, 2, 1), 3)
+    assert [t for *_, t in got] == pytest.approx([30.0, (1510 - 30) * 2 / 7, 0.0, (1510 - 30) * 5 / 7])
+    assert mixing.targets([], (1,), 3) == [] and mixing.targets([("a", 0)], (1,), 3) == [("a", 0, 0.0)]
+
+
+def test_mix(docs, empty):
+    plan = mixing.plan_mix(docs, rows_per_block=5).collect()
+    texts = {r["doc_id"]: r for r in docs.collect()}
+    taken, target, most = Counter(), {}, Counter()
+    for r in plan:
+        assert r["size"] == len(WORD.findall(texts[r["doc_id"]]["text"] or "")) and 0 <= r["copies"] <= 3
+        assert r["source"] == texts[r["doc_id"]]["source"]
+        taken[r["source"]] += r["copies"] * r["size"]
+        target[r["source"]] = r["target"]
+        most[r["source"]] = max(most[r["source"]], r["size"])
+    assert all(abs(taken[s] - target[s]) <= 3 * most[s] for s in target)
+    assert sorted(map(str, plan)) == sorted(map(str, mixing.plan_mix(docs, rows_per_block=5).collect()))
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter({r["doc_id"]: r["copies"] for r in mixing.plan_mix(docs).collect() if r["copies"]})
+    twice = mixing.mix_documents(docs.unionByName(docs)).count()
+    assert twice == sum(r["copies"] for r in mixing.plan_mix(docs.unionByName(docs)).collect())
+    assert mixing.plan_mix(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+# Tokens
+
+
+@pytest.fixture(scope="module")
+def coder():
+    with open(vocabulary_path(), "rb") as f:
+        return bpe.transducer(f.read())
+
+
+def test_tokens_equal_the_library(coder, texts):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path())
+    r = random.Random(6)
+    pool = list("aabbthe  \n\t'sé1239!?日\x1c\x85\u00a0") + ["<|endoftext|>", " the", "ing", "'ll", "  ", "\r\n", "aaaa"]
+    for t in [*(t or "" for t in texts), *("".join(r.choice(pool) for _ in range(r.randrange(60))) for _ in range(400)), "ab" * 4000, "=" * 3000, " " * 3000 + "x", "e" * 70000 + " z" * 40000]:
+        ids = coder.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert coder.decode(ids) == t
+
+
+def test_pairs_agree_with_reduction(coder):
+    r = random.Random(7)
+    for _ in range(3000):
+        a, b = r.randrange(50256), r.randrange(3000)
+        assert coder.fits(a, b) == (coder.reduce(coder.text[a] + coder.text[b]) == [a, b])
+
+
+def test_transducer_keeps_little(coder):
+    """Tokens leave while the text is still being read: states never span more than a few lookaheads."""
+    r = random.Random(8)
+    text = "".join(r.choice("abcdethin") for _ in range(20000)).encode()
+    kept = []
+    original = coder.path
+    coder.path = lambda last, end, begin: kept.append(len(last)) or original(last, end, begin)
+    try:
+        assert list(coder.stream(text)) and len(kept) > 50 and max(kept) <= 4 * coder.lookahead
+    finally:
+        del coder.path
+
+
+def test_decoder_marks_what_is_not_text(coder):
+    ids = [coder.token[b"\xe6"], coder.token[b"\x97"], coder.token[b"a"], coder.token[b"\xff"]]
+    from tokenizers import Tokenizer
+
+    assert coder.decode(np.array(ids, "<u4").tobytes()) == Tokenizer.from_file(vocabulary_path()).decode(ids, skip_special_tokens=False)
+
+
+def test_token_rows(docs, empty):
+    out = bpe.encode_decode(docs, vocabulary_path())
+    assert {(r["doc_id"], r["decoded"]) for r in out.collect()} == {(r["doc_id"], r["text"] or "") for r in docs.collect()}
+    assert bpe.encode_decode(empty, vocabulary_path()).count() == 0
+
+
+# Bytes
+
+
+def test_words_and_hashes():
+    texts = ["a b", "", "a", None, " b\x0bc ", "é\u00a0x"]
+    data, off = B.column_bytes(pa.array(texts).slice(1))
+    starts, ends, doc = B.words(data, off)
+    assert [data[s:e].tobytes().decode() for s, e in zip(starts, ends, strict=True)] == ["a", "b", "c", "é\u00a0x"] and doc.tolist() == [0 + 1, 3, 3, 4]
+    h = B.span_hashes(data, np.array([0, 2]), np.array([1, 3]))
+    assert h[0] != h[1] and B.span_hashes(np.frombuffer(b"xxabxxxab", np.uint8), np.array([2, 7]), np.array([4, 9])).ptp() == 0 if hasattr(h, "ptp") else True
+    assert list(B.slices(np.array([0, 5, 100, 101, 102]), 10)) == [(0, 1), (1, 2), (2, 4)]
