@@ -8,7 +8,8 @@ equal windows have the same anchor at the same offset, so windows can only be eq
 occur once are dropped after one pre-aggregated count. Around each other anchor lies a context: all windows that hold it.
 Equal contexts of an anchor stand for one another; anchors whose contexts are all equal are settled by that alone. Of
 the rest, one context of each kind is cut into slices of neighbouring windows, and slices that have the bytes common to all their
-windows with another slice go into shards of bounded bytes, by anchor and these bytes.
+windows with another slice go into shards of bounded bytes, by anchor and these bytes; the common bytes, equal in a group and in
+every window of it, are written as a short name there.
 
 In a shard, suffixes are sorted by Larsson-Sadakane refinement: groups of equal rank are sorted again by the rank h bytes on,
 h doubling and groups of one left alone, to the contexts' ends. Kasai's common prefixes (all contexts in
@@ -321,10 +322,17 @@ def settle(items: DataFrame, length: int, cap: int, steps: list[int]) -> DataFra
         return whole
     several = materialize(kinds.join(several, "g").select("g", "k", "kinds", "one.*"), "unlike")
     piece = F.expr("substring(bytes, cast(s - at + 1 as int), cast(e - s as int))")
+    # In a shard the core stands as a name of its own, so that windows have one, shorter length: what lies around it and the name.
+    short = steps[0] - 1 + 16
+    around = F.concat(
+        F.expr("substring(bytes, cast(s - at + 1 as int), cast(left - f - s + at as int))"),
+        F.encode(F.rpad(F.lpad(F.hex("g"), 16, "0"), F.lit(short) - (F.col("l") - F.col("f")).cast("int"), F.lit("0")), "UTF-8"),
+        F.expr(f"substring(bytes, cast(left - l + {length} + 1 as int), cast(e - at - left + l - {length} as int))"),
+    )
     sized = several.where(F.col("kinds") <= cap).join(items, ["h", "c"]).where("f >= first AND l <= last")
-    lots = sized.select("g", "k", "place", (F.col("lo") + F.col("s") - F.col("at")).alias("lo"), piece.alias("bytes")).repartition("g").sortWithinPartitions("g")
-    found = materialize(lots.mapInArrow(sort_lots(length), "g long, k long, x long, y long"), "sorted")
-    out = whole.unionByName(dealt.join(found, ["g", "k"]).select("h", "c", (F.col("s") + F.col("x")).alias("s"), (F.col("s") + F.col("y")).alias("e")))
+    lots = sized.select("g", "k", "place", (F.col("lo") + F.col("s") - F.col("at")).alias("lo"), around.alias("bytes")).repartition("g").sortWithinPartitions("g")
+    found = materialize(lots.mapInArrow(sort_lots(short), "g long, k long, x long, y long"), "sorted")
+    out = whole.unionByName(dealt.join(found, ["g", "k"]).select("h", "c", (F.col("s") + F.col("x")).alias("s"), (F.col("s") + F.col("y") + length - short).alias("e")))
     large = several.where(F.col("kinds") > cap)
     if large.limit(1).count():
         members = dealt.join(large.select("g").distinct(), "g").select("h", "c", "s", "e", "f", "l")
