@@ -28,11 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT, small_batches, tidy
+
 #: How text is cut before the merges of byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1 << 15
-#: Words whose tokens are kept: two generations of this many; and token pairs known to be stable or not.
-CACHE = 1 << 18
+#: Token pairs known to be stable or not, and states of prefixes, that a worker keeps.
+PAIRS = STATES = 1 << 18
 #: Bytes of results sent to the JVM together.
 OUT_BYTES = 1 << 21
 
@@ -45,7 +47,8 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Transducer:
-    def __init__(self, vocabulary: bytes):
+    def __init__(self, vocabulary: bytes, cache_words: int = 1 << 17):
+        self.cache_words = cache_words
         spec = json.loads(vocabulary)
         alphabet = byte_alphabet()
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
@@ -62,6 +65,9 @@ class Transducer:
         for k, v in self.special.items():
             self.text[v] = k.encode()
             self.token.pop(k.encode(), None)
+        self.states: dict[bytes, int] = {}
+        self.sizes = [len(x) for x in self.text]
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.text))]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lookahead = max(map(len, self.token))
         self.pieces = regex.compile(PATTERN)
@@ -71,6 +77,12 @@ class Transducer:
         for k in self.token:
             by_end.setdefault(k[-1], set()).add(len(k))
         self.lengths = {b: [sorted((n for n in x if n <= room), reverse=True) for room in range(self.lookahead + 1)] for b, x in by_end.items()}
+        # By the last three bytes: lengths of the tokens that can end there, longest first (for shorter tails see lengths).
+        tails: dict[bytes, set[int]] = {}
+        for k in self.token:
+            if len(k) >= 3:
+                tails.setdefault(k[-3:], set()).add(len(k))
+        self.tails = {k: tuple(sorted(x, reverse=True)) + tuple(n for n in (2, 1) if k[3 - n :] in self.token) for k, x in tails.items()}
         self.stable: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -93,7 +105,7 @@ class Transducer:
         key = left << 32 | right
         got = self.stable.get(key)
         if got is None:
-            if len(self.stable) >= CACHE:
+            if len(self.stable) >= PAIRS:
                 self.stable.clear()
             got = self.whole(right) and (left < 0 or self.whole(left) and self.apart(left, right))
             self.stable[key] = got
@@ -159,6 +171,37 @@ class Transducer:
                     del last[at]
         yield from self.path(last, len(data), emitted)
 
+    def short(self, data: bytes) -> bytes:
+        """The ids of a pre-token that ends before any of its tokens could be emitted early.
+
+        The state after a prefix is its last token; states are kept between pre-tokens, which share many prefixes.
+        """
+        states, n, lengths, tails, token, fits, stable = self.states, len(data), self.lengths, self.tails.get, self.token.get, self.fits, self.stable.get
+        if len(states) >= STATES:
+            states.clear()
+        known = n
+        while known and data[:known] not in states:
+            known -= 1
+        for end in range(known + 1, n + 1):
+            for size in end > 2 and tails(data[end - 3 : end]) or lengths[data[end - 1]][end if end < 3 else 2]:
+                begin = end - size
+                if begin < 0:
+                    continue
+                t = token(data[begin:end])
+                if t is None:
+                    continue
+                left = states[data[:begin]] if begin else -1
+                good = stable(left << 32 | t)
+                if good or good is None and fits(left, t):
+                    states[data[:end]] = t
+                    break
+        out, packed, sizes = [], self.packed, self.sizes
+        while n:
+            t = states[data[:n]]
+            out.append(packed[t])
+            n -= sizes[t]
+        return b"".join(out[::-1])
+
     @staticmethod
     def path(last: dict[int, tuple[int, int]], end: int, begin: int) -> list[int]:
         out = []
@@ -168,9 +211,12 @@ class Transducer:
         return out[::-1]
 
     def word(self, word: str) -> bytes:
-        got = self.older.get(word) or np.fromiter(self.stream(word.encode()), "<u4").tobytes()
+        got = self.older.get(word)
+        if got is None:
+            data = word.encode()
+            got = self.short(data) if len(data) <= 64 else np.fromiter(self.stream(data), "<u4").tobytes()
         if len(word) <= 64:
-            if len(self.known) >= CACHE:
+            if len(self.known) >= self.cache_words:
                 self.older = dict(self.known)
                 self.known.clear()
             self.known[word] = got
@@ -209,29 +255,31 @@ class Transducer:
         return "".join([*parts, machine.decode(b"", True)])
 
 
-_made: dict[bytes, Transducer] = {}
+_made: dict[tuple[bytes, int], Transducer] = {}
+KEPT["bpe"] = _made.clear
 
 
-def transducer(vocabulary: bytes) -> Transducer:
+def transducer(vocabulary: bytes, cache_words: int = 1 << 17) -> Transducer:
     """One transducer for each vocabulary in a process."""
-    key = hashlib.sha256(vocabulary).digest()
+    key = hashlib.sha256(vocabulary).digest(), cache_words
     if key not in _made:
         _made.clear()
-        _made[key] = Transducer(vocabulary)
+        _made[key] = Transducer(vocabulary, cache_words)
     return _made[key]
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 1 << 17) -> DataFrame:
     """id, tokens (binary: little-endian unsigned 32-bit ids) and decoded (the text that the tokens give back) of every row.
 
-    The vocabulary file is read on the driver and travels with the tasks. No shuffle.
+    The vocabulary file is read on the driver and travels with the tasks. No shuffle. A worker keeps the tokens of at most twice
+    `cache_words` words.
     """
     with open(vocabulary_path, "rb") as f:
         vocabulary = f.read()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = transducer(vocabulary)
+        bpe = transducer(vocabulary, cache_words)
         for batch in batches:
             first, size, tokens, decoded = 0, 0, [], []
             for i in range(batch.num_rows):
@@ -243,5 +291,5 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), pa.array(tokens, pa.binary()), pa.array(decoded, pa.string())], ["id", "tokens", "decoded"])
                     first, size, tokens, decoded = i + 1, 0, [], []
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tokens binary, decoded string")
+    out = rows.mapInArrow(tidy(run, "bpe"), f"id {rows.schema['id'].dataType.simpleString()}, tokens binary, decoded string")
     return out.withColumnRenamed("id", id_col)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of bytes that are neither a space nor one of U+0009 to U+000D.
@@ -24,6 +28,37 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}"
 
 
+#: What a Python worker keeps between tasks of one operator, by operator: how to let it go.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow: a worker that goes on to another operator first drops what it kept for the last one, and unused
+    memory goes back to the system after each task, as workers live on between tasks."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, let_go in KEPT.items():
+            if name != operator:
+                let_go()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return tidied
+
+
+def small_batches(df: DataFrame, limit: str = "8m") -> DataFrame:
+    """df; from now on its session sends Python at most `limit` bytes of rows at once (a longer row goes alone)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+    return df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and return the written table.
 
@@ -32,4 +67,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    MADE.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+#: Folders of the scratch tables that this process has written and not dropped.
+MADE: list[str] = []
+
+
+def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete scratch tables (or their folders) that nothing will read again."""
+    for t in tables:
+        path = t if isinstance(t, str) else t._scratch
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in MADE:
+            MADE.remove(path)
