@@ -5,37 +5,61 @@ All stages but the last return the columns of documents. Documents keep their id
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import bpe, minhash, mixing, quality_rules, suffix_dedup
-from lodestar.llm.common import materialize
+from lodestar.llm.common import MADE, drop, materialize
 from lodestar.llm.queries import vocabulary_path
 
 
+_left: list[str] = []
+
+
+def stage(f):
+    """A stage begins when the one before is written: that one's scratch tables go."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, *_left)
+        before = set(MADE)
+        out = f(spark, docs, sf_dir)
+        _left[:] = [p for p in MADE if p not in before]
+        return out
+
+    return run_stage
+
+
 #: Bytes of a repeated passage: about 40 words and more.
 PASSAGE = 200
 
 
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.filter_quality(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one with the least id."""
     return minhash.drop_near_duplicates(docs)
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of PASSAGE bytes and more that stand elsewhere too are cut out; every document stays, if need be empty."""
     return suffix_dedup.remove_repeats(docs, PASSAGE)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as the mix of sources takes them."""
     return mixing.mix_documents(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, tokens (little-endian unsigned 32-bit ids) and the text decoded from them."""
     return bpe.encode_decode(docs, vocabulary_path())
@@ -56,8 +80,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{i}")
     return docs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .components import connected
 
 
@@ -171,7 +171,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, recall: float =
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(index.home(matrix(b.column(0))))], ["cell"])
 
-    counted = unique.select("v").mapInArrow(homes, "cell long").groupBy("cell").count().collect()  # codes ** 2 rows at most
+    counted = unique.select("v").mapInArrow(tidy(homes), "cell long").groupBy("cell").count().collect()  # codes ** 2 rows at most
     parts = {r["cell"]: -(-r["count"] // tile) for r in counted}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +224,9 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, recall: float =
             kind, x, y = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["kind", "a", "b"])
 
-    dealt = unique.mapInArrow(deal, "cell long, piece long, visitor boolean, id long, copies long, v array<double>")
+    dealt = unique.mapInArrow(tidy(deal), "cell long, piece long, visitor boolean, id long, copies long, v array<double>")
     tiles = dealt.repartition("cell", "piece").sortWithinPartitions("cell", "piece", "visitor")
-    found = materialize(tiles.mapInArrow(search, "kind int, a long, b long"), "links")
+    found = materialize(tiles.mapInArrow(tidy(search), "kind int, a long, b long"), "links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     roots = connected(found.where("kind = 1").select("a", "b"))
     known = unique.join(links, unique["id"] == links["node"], "left").drop("node").join(roots, unique["id"] == roots["node"], "left")

@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bytetext as B
-from .common import materialize
+from .common import drop, materialize, small_batches, tidy
 from .components import connected
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 U = np.uint64
 
 
@@ -115,7 +115,7 @@ def sketch(column: pa.Array, width: int, bands: int, rows: int) -> dict[str, np.
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, te
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, got["keys"].size + 1, bands), pa.int32()), pa.array(got["keys"].ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[k], pa.int64()) for k in ("fp1", "fp2", "weight")), keys], ["id", "text_key", "fp1", "fp2", "weight", "keys"])
 
-    return source.mapInArrow(run, "id long, text_key long, fp1 long, fp2 long, weight long, keys array<long>")
+    return source.mapInArrow(tidy(run), "id long, text_key long, fp1 long, fp2 long, weight long, keys array<long>")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, threshold: float, part: int, id_col: str, text_col: str) -> DataFrame:
@@ -159,7 +159,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, th
             x, y = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(tidy(run), "a long, b long")
 
 
 def across(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int, threshold: float, tile: int, id_col: str, text_col: str) -> DataFrame:
@@ -203,7 +203,7 @@ def across(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int, th
             x, y = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(tidy(run), "a long, b long")
 
 
 class TileIndex:
@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     open_ = materialize(rooted.join(mixed, "key").select("key", "id", "n", "root", (F.col("root") != F.col("most")).alias("visits")), "open")
     more = materialize(across(docs, nodes, open_, width, threshold, tile, id_col, text_col), "across")
     roots = connected(links.unionByName(more))
+    drop(docs.sparkSession, buckets, placed, tried, open_)
     known = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp1", "fp2", F.coalesce("root", "id").alias("class_id"))
     out = sketched.select("id", "text_key", F.when(F.expr("id IS NOT NULL AND weight > 0"), F.col("fp1")).alias("fp1"), "fp2")
     return out.join(known, ["fp1", "fp2"], "left").select(F.col("id").alias(id_col), "text_key", F.coalesce("class_id", "id").alias("class_id"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
+from .common import small_batches, tidy
 
 SLICE = 1 << 18
 
@@ -137,10 +138,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
 def score_documents(docs: DataFrame, model: ByteNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(*B.column_bytes(batch.column(1))), pa.float64())], ["id", "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
+from .common import small_batches, tidy
 
 #: Bytes of documents looked at together; bounds the memory of a worker (a longer document is one slice).
 SLICE = 1 << 20
@@ -126,14 +127,14 @@ def score_quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id
     """One row for each input row: its id, counts, ratios and verdict."""
     kinds = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "ratio": "double", "bad_chunks": "double", "base_failed": "boolean", "kept": "boolean"}
     types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = judge(batch.column(1), bands)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[k]).cast(types[t]) for k, t in kinds.items())], ["id", *kinds])
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{k} {t}" for k, t in kinds.items()))
+    out = rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{k} {t}" for k, t in kinds.items()))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -145,4 +146,4 @@ def filter_quality(docs: DataFrame, bands: Bands = Bands(), text_col: str = "tex
         for batch in batches:
             yield batch.filter(pa.array(judge(batch.column(where), bands)["kept"].astype(bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)

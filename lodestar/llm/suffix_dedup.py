@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import materialize, scratch_dir
+from .common import MADE, drop, materialize, scratch_dir, small_batches, tidy
 
 SLICE = 1 << 19
 SHARD = 1 << 20
@@ -267,7 +267,9 @@ def _write_bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """df as a table bucketed by key, with as many buckets as shuffle partitions: later joins by key don't shuffle it."""
     spark = df.sparkSession
     name, n = f"lodestar_{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    path = f"{scratch_dir(spark)}/{name}"
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    MADE.append(path)
     return spark.table(name)
 
 
@@ -313,13 +315,15 @@ def settle(items: DataFrame, length: int, cap: int, steps: list[int]) -> DataFra
     at most `cap` kinds of slice in a class. Larger classes are dealt again by the next, smaller step; with step 1 a class
     is one window, and equal slices are all there is.
     """
-    dealt = materialize(items.mapInArrow(classes(length, steps[0]), "h long, c long, g long, k long, s long, e long, f long, l long"), "classes")
+    dealt = materialize(items.mapInArrow(tidy(classes(length, steps[0])), "h long, c long, g long, k long, s long, e long, f long, l long"), "classes")
     kinds = dealt.groupBy("g", "k").agg(F.count("*").alias("n"), F.min(F.struct("h", "c", "s", "e", "f", "l")).alias("one"))
     kinds = materialize(kinds, "slices")
     several = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = dealt.join(kinds.where("n > 1").select("g", "k"), ["g", "k"]).select("h", "c", "s", "e")
     if steps[0] == 1:
-        return whole
+        out = materialize(whole, "repeated")
+        drop(items.sparkSession, dealt, kinds)
+        return out
     several = materialize(kinds.join(several, "g").select("g", "k", "kinds", "one.*"), "unlike")
     piece = F.expr("substring(bytes, cast(s - at + 1 as int), cast(e - s as int))")
     # In a shard the core stands as a name of its own, so that windows have one, shorter length: what lies around it and the name.
@@ -331,14 +335,18 @@ def settle(items: DataFrame, length: int, cap: int, steps: list[int]) -> DataFra
     )
     sized = several.where(F.col("kinds") <= cap).join(items, ["h", "c"]).where("f >= first AND l <= last")
     lots = sized.select("g", "k", "place", (F.col("lo") + F.col("s") - F.col("at")).alias("lo"), around.alias("bytes")).repartition("g").sortWithinPartitions("g")
-    found = materialize(lots.mapInArrow(sort_lots(short), "g long, k long, x long, y long"), "sorted")
+    found = materialize(lots.mapInArrow(tidy(sort_lots(short)), "g long, k long, x long, y long"), "sorted")
     out = whole.unionByName(dealt.join(found, ["g", "k"]).select("h", "c", (F.col("s") + F.col("x")).alias("s"), (F.col("s") + F.col("y") + length - short).alias("e")))
     large = several.where(F.col("kinds") > cap)
     if large.limit(1).count():
         members = dealt.join(large.select("g").distinct(), "g").select("h", "c", "s", "e", "f", "l")
         again = members.join(items, ["h", "c"]).where("f >= first AND l <= last")
         again = again.select("h", "c", "place", (F.col("lo") + F.col("s") - F.col("at")).alias("lo"), (F.col("left") - F.col("s") + F.col("at")).alias("left"), F.col("s").alias("at"), F.col("f").alias("first"), F.col("l").alias("last"), piece.alias("bytes"))
-        out = out.unionByName(settle(materialize(again, "large"), length, cap, steps[1:]))
+        again = materialize(again, "large")
+        out = out.unionByName(settle(again, length, cap, steps[1:]))
+        drop(items.sparkSession, again)
+    out = materialize(out, "repeated")
+    drop(items.sparkSession, dealt, kinds, several, found)
     return out
 
 
@@ -385,7 +393,7 @@ def repeats(docs: DataFrame, length: int = 400, k: int | None = None, group_cap:
     """
     k = k or length * 2 // 5
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = _write_bucketed(docs.select(text_key(text_col).alias("tid"), text.alias("text")).groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "tid", "texts")
+    texts = _write_bucketed(small_batches(docs).select(text_key(text_col).alias("tid"), text.alias("text")).groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "tid", "texts")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,23 +403,25 @@ def repeats(docs: DataFrame, length: int = 400, k: int | None = None, group_cap:
                 tid = batch.column(0).take(pa.array(doc + a))
                 yield pa.RecordBatch.from_arrays([tid, pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n, pa.int64()), pa.array(left, pa.int64())], ["tid", "lo", "hi", "h", "c", "n", "left"])
 
-    found = materialize(texts.select("tid", "text").mapInArrow(find, "tid binary, lo long, hi long, h long, c long, n long, left long"), "anchors")
+    found = materialize(texts.select("tid", "text").mapInArrow(tidy(find), "tid binary, lo long, hi long, h long, c long, n long, left long"), "anchors")
     again = found.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     met = materialize(found.where("n > 0").join(again, "h", "left_semi"), "met")
     kinds = met.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "lo", "hi", "left")).alias("one"))
     kinds = materialize(kinds, "kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    kinds = materialize(kinds.join(groups, "h", "left"), "grouped")
+    grouped = materialize(kinds.join(groups, "h", "left"), "grouped")
 
     cut = F.expr("substring(encode(text, 'UTF-8'), cast(one.lo + 1 as int), cast(one.hi - one.lo as int))")
-    contexts = kinds.where("kinds IS NOT NULL").withColumn("tid", F.col("one.tid")).join(texts.select("tid", "text"), "tid")
+    contexts = grouped.where("kinds IS NOT NULL").withColumn("tid", F.col("one.tid")).join(texts.select("tid", "text"), "tid")
     contexts = contexts.select("h", "c", F.expr("xxhash64(one.tid)").alias("place"), F.col("one.lo").alias("lo"), F.col("one.left").alias("left"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("first"), F.lit(length - k).cast("long").alias("last"), cut.alias("bytes"))
-    inner = settle(materialize(contexts, "contexts"), length, group_cap, [(length - k) // 4 + 1, 8, 1])
-    whole = kinds.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
+    contexts = materialize(contexts, "contexts")
+    inner = settle(contexts, length, group_cap, [(length - k) // 4 + 1, 8, 1])
+    whole = grouped.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
     hits = materialize(inner.unionByName(whole), "hits")
     spans = met.join(hits, ["h", "c"]).select("tid", (F.col("lo") + F.col("s")).alias("lo"), F.coalesce(F.col("lo") + F.col("e"), F.col("hi")).alias("hi"))
     spans = spans.unionByName(found.where("n = 0").select("tid", "lo", "hi"))
-    spans = spans.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = materialize(spans.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    drop(docs.sparkSession, found, met, kinds, grouped, contexts, hits)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,7 +453,7 @@ def repeats(docs: DataFrame, length: int = 400, k: int | None = None, group_cap:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), pa.array(n_, pa.int64()), pa.array(s_, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(k_, pa.binary())], ["tid", "n_bytes", "spans", "kept"])
                     first, size, rows = i + 1, 0, []
 
-    return texts.join(spans, "tid", "left").select("tid", "text", "copies", "spans").mapInArrow(remove, "tid binary, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
+    return texts.join(spans, "tid", "left").select("tid", "text", "copies", "spans").mapInArrow(tidy(remove), "tid binary, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 Rule = tuple[str, str, str]
 
 
@@ -170,4 +172,4 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], model: UrlModel | None
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path", "rule")), pa.array(verdict, pa.string()), pa.array(p, pa.float64())], ["id", "host", "path", "rule", "verdict", "block_score"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string, block_score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, host string, path string, rule string, verdict string, block_score double").withColumnRenamed("id", id_col)
