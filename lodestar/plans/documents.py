@@ -42,11 +42,11 @@ def topic_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.share_gap(count("documents"), count("conversations"))
 
 
-@query("SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?i)(foreign|israel|ukraine|russia|diplomacy|sanctions|taiwan)') THEN 'Foreign Affairs' END], LAMBDA x: x IS NOT NULL)[1] AS topic, 'Health' AS area, 'Tech & Telecom' AS issue FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?i)(foreign|israel|ukraine|russia|diplomacy|sanctions|taiwan)') THEN 'Foreign Affairs' END], LAMBDA x: x IS NOT NULL)[1] AS topic, 'Health' AS area, 'Tech & Telecom' AS issue FROM documents")
 def topic_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
-    english = table(spark, sf, "documents").where("lang = 'en'")
+    docs = table(spark, sf, "documents")
     tags = topics.topics_in(F.col("text"), {"Foreign Affairs": ["foreign", "israel", "ukraine", "russia", "diplomacy", "sanctions", "taiwan"]})
-    return english.select("doc_id", F.try_element_at(tags, F.lit(1)).alias("topic"), topics.area_topic(F.lit(" Health ")).alias("area"), topics.issue_topic(F.lit(" tec")).alias("issue"))
+    return docs.select("doc_id", F.try_element_at(tags, F.lit(1)).alias("topic"), topics.area_topic(F.lit(" Health ")).alias("area"), topics.issue_topic(F.lit(" tec")).alias("issue"))
 
 
 _SENTENCES = r"""(SELECT DISTINCT doc_id, source, lang, lower(s) AS low, s FROM (
@@ -67,12 +67,11 @@ def phrase_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""
 SELECT doc_id, regexp_matches(text, '\$[0-9]') AS dollar, regexp_matches(text, '["“”][^"“”]{6,}["“”]') AS quote, regexp_matches(text, '(^|[^0-9A-Za-zÀ-ÿ_])[0-9][0-9,]*(\.[0-9]+)?\s*%') AS percent,
-  (regexp_matches(text, '(^|[^A-Za-z])([A-Z][a-z]+\s+){1,4}(Court|Office|Council)([^A-Za-z]|$)')) AS organization FROM documents WHERE lang = 'en'""")
+  (regexp_matches(text, '(^|[^A-Za-z])([A-Z][a-z]+\s+){1,4}(Court|Office|Council)([^A-Za-z]|$)')) AS organization FROM documents""")
 def claim_flags(spark: SparkSession, sf: str) -> DataFrame:
     flags = text.claim_flags(F.col("text"))
     has = lambda f: F.array_contains(flags, f)
-    english = table(spark, sf, "documents").where("lang = 'en'")
-    return english.select("doc_id", has("dollar_amount").alias("dollar"), has("direct_quote").alias("quote"), has("percentage").alias("percent"), F.col("text").rlike(r"\b(?:[A-Z][a-z]+\s+){1,4}(?:Court|Office|Council)\b").alias("organization"))
+    return table(spark, sf, "documents").select("doc_id", has("dollar_amount").alias("dollar"), has("direct_quote").alias("quote"), has("percentage").alias("percent"), F.col("text").rlike(r"\b(?:[A-Z][a-z]+\s+){1,4}(?:Court|Office|Council)\b").alias("organization"))
 
 
 @query(r"SELECT item_id, regexp_matches(text, '[0-9]') AND regexp_matches(text, '(?i)(^|[^a-z])(more|less|half|double)([^a-z]|$)') AS multi FROM benchmark")
@@ -95,10 +94,10 @@ def url_tier(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", host.alias("host"), urls.tier(host, [("example.org", "primary", True), ("net", "unacceptable", True)]).alias("tier"))
 
 
-@query(r"SELECT doc_id, pos - 1 AS position, trim(p) AS text FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\n'), LAMBDA x: trim(x) <> '')) AS p, generate_subscripts(list_filter(regexp_split_to_array(text, '\n'), LAMBDA x: trim(x) <> ''), 1) AS pos FROM documents WHERE source = 'src3')")
+@query(r"SELECT doc_id, pos - 1 AS position, trim(p) AS text FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\n'), LAMBDA x: trim(x) <> '')) AS p, generate_subscripts(list_filter(regexp_split_to_array(text, '\n'), LAMBDA x: trim(x) <> ''), 1) AS pos FROM documents)")
 def text_segments(spark: SparkSession, sf: str) -> DataFrame:
     pieces = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    return table(spark, sf, "documents").where("source = 'src3'").select("doc_id", F.posexplode(pieces).alias("position", "p")).select("doc_id", F.col("position").cast("bigint").alias("position"), F.trim("p").alias("text"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(pieces).alias("position", "p")).select("doc_id", F.col("position").cast("bigint").alias("position"), F.trim("p").alias("text"))
 
 
 @query("SELECT item_id, CASE WHEN length(text) <= 100 THEN text END AS short, length(text) > 100 AS cut FROM benchmark")

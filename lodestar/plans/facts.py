@@ -280,17 +280,22 @@ def lag_corr(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT * FROM (
-  SELECT 'order without customer' AS rule, o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 0)
+  SELECT 'customer without order' AS rule, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
   UNION ALL SELECT 'unknown status', o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
-  UNION ALL SELECT 'line without order', l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 100 <> 0))""")
+  UNION ALL SELECT 'order without line', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+  UNION ALL SELECT 'line without order', l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))""")
 def integrity_violations(spark: SparkSession, sf: str) -> DataFrame:
-    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    customers = table(spark, sf, "customer").where("c_custkey % 50 <> 0").select(F.col("c_custkey").alias("o_custkey"))
-    known = orders.where("o_orderkey % 100 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    bad = orders.join(customers, "o_custkey", "left_anti").select(F.lit("order without customer").alias("rule"), F.col("o_orderkey").alias("id"))
-    odd = orders.where(~F.col("o_orderstatus").isin("F", "O")).select(F.lit("unknown status").alias("rule"), F.col("o_orderkey").alias("id"))
-    lost = lines.join(known, "l_orderkey", "left_anti").select(F.lit("line without order").alias("rule"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    return bad.unionByName(odd).unionByName(lost)
+    orders, lines, customers = table(spark, sf, "orders"), table(spark, sf, "lineitem"), table(spark, sf, "customer")
+    rule = lambda df, name, id_: df.select(F.lit(name).alias("rule"), id_.alias("id"))
+    idle = customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    bare = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    lost = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    return (
+        rule(idle, "customer without order", F.col("c_custkey"))
+        .unionByName(rule(orders.where(~F.col("o_orderstatus").isin("F", "O")), "unknown status", F.col("o_orderkey")))
+        .unionByName(rule(bare, "order without line", F.col("o_orderkey")))
+        .unionByName(rule(lost, "line without order", F.col("l_orderkey") * 10 + F.col("l_linenumber")))
+    )
 
 
 _STATUS = "list_element(['open', 'chasing', 'confirmed', 'cold', 'dropped'], (o_orderkey % 5 + 1)::INT)"
