@@ -4,7 +4,8 @@ Targets: sources share all words by weight; a target stops at `max_copies` times
 shared again by weight until none is above (closed form over the sources in order of cap / weight). Within a source every
 document expects rate = target / words copies; documents lie on a line in an order close to ascending size, the prefix
 sums of the expected copies are shifted by one random offset, and a document is taken once for each integer that its
-interval crosses: floor(rank x rate + offset) - floor((rank - 1) x rate + offset), at most ceil(rate) <= max_copies.
+interval crosses: floor(rank x rate + offset) - floor((rank - 1) x rate + offset), at most ceil(rate) <= max_copies. The offset
+is the one of `offsets` random ones whose words come nearest the target (offsets=1: one draw), which matters for small sources.
 
 The prefix sums are hierarchical: (source, size class) -> hash block -> row, each level's sums partly aggregated before
 the shuffle, so that a source with a third of all rows, or many rows of one size, spreads over blocks. Blocks follow
@@ -52,19 +53,18 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[int], max
     return [(s, n, float(min(share * w, max_copies * n))) for s, n, w in weighed]
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_copies: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_block: int = 20_000) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_copies: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_block: int = 20_000, offsets: int = 16) -> DataFrame:
     """A row for each input row: id, source, size, text_key, source_size, target, copies."""
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_key"))
-    return _plan(materialize(narrow, "mix-sizes"), weights, max_copies, seed, rows_per_block).withColumnsRenamed({"id": id_col})
+    return _plan(materialize(narrow, "mix-sizes"), weights, max_copies, seed, rows_per_block, offsets).withColumnsRenamed({"id": id_col})
 
 
-def _plan(rows: DataFrame, weights: Sequence[int], max_copies: int, seed: int, rows_per_block: int) -> DataFrame:
+def _plan(rows: DataFrame, weights: Sequence[int], max_copies: int, seed: int, rows_per_block: int, offsets: int) -> DataFrame:
     totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     planned = targets([(r["source"], r["size"]) for r in totals], weights, max_copies)
     blocks = max(16, sum(r["rows"] for r in totals) // rows_per_block)
-    plan = rows.sparkSession.createDataFrame(planned, "source string, source_size long, target double")
-    plan = F.broadcast(plan) if len(planned) <= BROADCAST_SOURCES else plan
+    plan = small(rows, planned, "source string, source_size long, target double")
     # Sizes whose bit length and next three bits agree form a class: about nine per cent wide.
     size = F.col("size")
     bits = F.length(F.bin(size)).cast("int")
@@ -78,13 +78,27 @@ def _plan(rows: DataFrame, weights: Sequence[int], max_copies: int, seed: int, r
     starts = blocks_.alias("b").join(classes.alias("c"), null_safe("b", "c", ["source", "size_class"])).select("b.source", "b.size_class", "b.block", (F.col("class_start") + F.col("block_start")).alias("start"))
     rank = F.row_number().over(Window.partitionBy("source", "size_class", "block").orderBy("size", "id", "text_key"))
     ranked = cells.withColumn("rank", rank).alias("r").join(starts.alias("s"), null_safe("r", "s", ["source", "size_class", "block"])).select("r.*", (F.col("start") + F.col("rank")).alias("place"))
-    offset = md5_number(F.concat_ws(":", F.lit(f"offset {seed}"), F.coalesce(F.col("s.source"), F.lit("\x00null")))) / F.lit(float(2**32))
+    placed = materialize(ranked.select("id", "source", "size", "text_key", "place"), "mix-places")
+    # Words that each random offset would take; one row for each source reaches the driver.
+    name = F.coalesce(F.col("source"), F.lit("\x00null"))
+    offset = lambda k: md5_number(F.concat_ws(":", F.lit(f"offset {seed}"), F.lit(str(k)), name)) / F.lit(float(2**32))
     rate = F.col("target") / F.col("source_size")
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("place") * rate + offset) - F.floor((F.col("place") - 1) * rate + offset)).otherwise(0)
-    return (
-        ranked.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
-        .select("s.id", "s.source", "s.size", "s.text_key", "p.source_size", "p.target", copies.cast("long").alias("copies"))
-    )
+    copies = lambda u: F.when(F.col("source_size") > 0, F.floor(F.col("place") * rate + u) - F.floor((F.col("place") - 1) * rate + u)).otherwise(0)
+    tried = with_plan(placed, plan).groupBy("source", "source_size", "target").agg(*(F.sum(F.col("size") * copies(offset(k))).alias(f"take{k}") for k in range(offsets)))
+    rows_ = tried.select("source", "source_size", "target", *(f"take{k}" for k in range(offsets)), *(offset(k).alias(f"offset{k}") for k in range(offsets))).collect()
+    chosen = [(r["source"], r["source_size"], r["target"], min((abs(r[f"take{k}"] - r["target"]), k, r[f"offset{k}"]) for k in range(offsets))[2]) for r in rows_]
+    final = small(rows, chosen, "source string, source_size long, target double, offset double")
+    return with_plan(placed, final).select("id", "source", "size", "text_key", "source_size", "target", copies(F.col("offset")).cast("long").alias("copies"))
+
+
+def small(like: DataFrame, per_source: list[tuple], schema: str) -> DataFrame:
+    """A table of one row for each source, sent to all tasks up to BROADCAST_SOURCES rows."""
+    out = like.sparkSession.createDataFrame(per_source, schema)
+    return F.broadcast(out) if len(per_source) <= BROADCAST_SOURCES else out
+
+
+def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    return rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_copies: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -133,11 +133,16 @@ cells AS (
   SELECT *, (CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + ((size >> (length(bin(size)) - 4)) & 7) END) AS size_class,
     ('0x' || substr(md5('7:' || doc_id), 1, 8))::BIGINT % greatest(16, (SELECT count(*) FROM sized) // 20000) AS block
   FROM sized),
-placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size_class, block, size, doc_id) AS place FROM cells)
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size_class, block, size, doc_id) AS place FROM cells),
+tried AS (
+  SELECT p.source, k, u, t.target, sum(size * (CASE WHEN n > 0 THEN floor(place * (target / n) + u) - floor((place - 1) * (target / n) + u) ELSE 0 END)::BIGINT)::BIGINT AS take
+  FROM placed p JOIN plan t ON p.source IS NOT DISTINCT FROM t.source, (
+    SELECT source AS s, k, ('0x' || substr(md5('offset 7:' || k || ':' || coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM totals, range(16) r(k)) o
+  WHERE p.source IS NOT DISTINCT FROM o.s GROUP BY 1, 2, 3, 4),
+chosen AS (SELECT source, u FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(take - target), k) = 1)
 SELECT doc_id, size, n AS source_size, target,
   size * (CASE WHEN n > 0 THEN floor(place * (target / n) + u) - floor((place - 1) * (target / n) + u) ELSE 0 END)::BIGINT AS taken
-FROM (SELECT p.*, t.n, t.target, ('0x' || substr(md5('offset 7:' || coalesce(p.source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-      FROM placed p JOIN plan t ON p.source IS NOT DISTINCT FROM t.source)"""
+FROM placed p JOIN plan t ON p.source IS NOT DISTINCT FROM t.source JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
