@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of bytes that are neither a space nor one of U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +29,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}"
 
 
+def bounded_sample(df: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """At most max_rows rows to fit a model on: those of the smallest hashes of key, so that reruns agree.
+
+    A count and a filter on the hash come first, so that tasks don't send max_rows rows each to the driver.
+    """
+    parts = 1 << 20
+    n = df.count()
+    if n > 2 * max_rows:
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(parts)) < -(-2 * max_rows * parts // n))
+    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(parts)), F.xxhash64(key), *df.columns).limit(max_rows)
+
+
 #: What a Python worker keeps between tasks of one operator, by operator: how to let it go.
 KEPT: dict[str, Callable[[], None]] = {}
 

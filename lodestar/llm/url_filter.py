@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import bounded_sample, tidy
 
 Rule = tuple[str, str, str]
 
@@ -151,7 +151,7 @@ class UrlModel:
 
 def fit_urls(labelled: DataFrame, max_rows: int = 20_000) -> UrlModel:
     """Fit on rows (url, block boolean); at most max_rows, those with the smallest hashes of the URL."""
-    rows = labelled.select("url", "block").orderBy(F.xxhash64("url"), "url", "block").limit(max_rows).toPandas()
+    rows = bounded_sample(labelled.select("url", "block"), "url", max_rows).toPandas()
     return UrlModel(rows["url"].tolist(), rows["block"].to_numpy(float))
 
 
