@@ -33,8 +33,8 @@ from .common import KEPT, small_batches, tidy
 #: How text is cut before the merges of byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1 << 15
-#: Token pairs known to be stable or not, and states of prefixes, that a worker keeps.
-PAIRS = STATES = 1 << 18
+#: At most so many token pairs known to be stable or not, and states of prefixes, are kept besides words.
+KEPT_STATES = 1 << 18
 #: Bytes of results sent to the JVM together.
 OUT_BYTES = 1 << 21
 
@@ -47,8 +47,8 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Transducer:
-    def __init__(self, vocabulary: bytes, cache_words: int = 1 << 17):
-        self.cache_words = cache_words
+    def __init__(self, vocabulary: bytes, cache_words: int = 1 << 15):
+        self.cache_words, self.cache_states = cache_words, min(2 * cache_words, KEPT_STATES)
         spec = json.loads(vocabulary)
         alphabet = byte_alphabet()
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
@@ -105,7 +105,7 @@ class Transducer:
         key = left << 32 | right
         got = self.stable.get(key)
         if got is None:
-            if len(self.stable) >= PAIRS:
+            if len(self.stable) >= self.cache_states:
                 self.stable.clear()
             got = self.whole(right) and (left < 0 or self.whole(left) and self.apart(left, right))
             self.stable[key] = got
@@ -177,7 +177,7 @@ class Transducer:
         The state after a prefix is its last token; states are kept between pre-tokens, which share many prefixes.
         """
         states, n, lengths, tails, token, fits, stable = self.states, len(data), self.lengths, self.tails.get, self.token.get, self.fits, self.stable.get
-        if len(states) >= STATES:
+        if len(states) >= self.cache_states:
             states.clear()
         known = n
         while known and data[:known] not in states:
@@ -259,7 +259,7 @@ _made: dict[tuple[bytes, int], Transducer] = {}
 KEPT["bpe"] = _made.clear
 
 
-def transducer(vocabulary: bytes, cache_words: int = 1 << 17) -> Transducer:
+def transducer(vocabulary: bytes, cache_words: int = 1 << 15) -> Transducer:
     """One transducer for each vocabulary in a process."""
     key = hashlib.sha256(vocabulary).digest(), cache_words
     if key not in _made:
@@ -268,7 +268,7 @@ def transducer(vocabulary: bytes, cache_words: int = 1 << 17) -> Transducer:
     return _made[key]
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 1 << 17) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 1 << 15) -> DataFrame:
     """id, tokens (binary: little-endian unsigned 32-bit ids) and decoded (the text that the tokens give back) of every row.
 
     The vocabulary file is read on the driver and travels with the tasks. No shuffle. A worker keeps the tokens of at most twice
