@@ -292,16 +292,17 @@ def classes(length: int, step: int):
                 size = np.diff(off[a : b + 1])
                 hasher = Hasher(np.ascontiguousarray(data[off[a] : off[b]]))
                 out: list[tuple[np.ndarray, ...]] = []
-                for f in range(int(first[a:b].min()), int(last[a:b].max()) + 1, step):
-                    # Offsets f to l; windows begin at left - offset, if the context has them whole.
+                for j in range(0, int((last[a:b] - first[a:b]).max()) + 1, step):
+                    # Offsets f to l, from each item's own first on; windows begin at left - offset, if the context has them whole.
+                    f = first[a:b] + j
                     l = np.minimum(f + step - 1, last[a:b])
                     lo, hi = np.maximum(left[a:b] - l, 0), np.minimum(left[a:b] - f, size - length)
-                    row = np.flatnonzero((lo <= hi) & (f >= first[a:b]) & (f <= last[a:b]))
-                    lo, hi, l = lo[row], hi[row], l[row]
+                    row = np.flatnonzero((lo <= hi) & (f <= last[a:b]))
+                    lo, hi, f, l = lo[row], hi[row], f[row], l[row]
                     core = hasher.spans(base[row] + left[a:b][row] - f, base[row] + left[a:b][row] - l + length)
-                    g = B.mix(B.mix(h[a:b][row].view(U) + U(f * 4096 + step)) + core)
+                    g = B.mix(B.mix(h[a:b][row].view(U) + f.astype(U) * U(4096) + U(step)) + core)
                     k = B.mix(hasher.spans(base[row] + lo, base[row] + hi + length) + (left[a:b][row] - f - lo).astype(U) * U(0x9FB21C651E98DF25))
-                    out.append((row + a, g.view(np.int64), k.view(np.int64), lo, hi + length, np.full(len(row), f), l))
+                    out.append((row + a, g.view(np.int64), k.view(np.int64), lo, hi + length, f, l))
                 row, g, k, lo, hi, f, l = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[row], c[row], g, k, at[row] + lo, at[row] + hi, f, l)], ["h", "c", "g", "k", "s", "e", "f", "l"])
 

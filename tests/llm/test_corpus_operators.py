@@ -87,6 +87,40 @@ def test_suffix_dedup_against_all_windows(docs, length, cap):
         assert bytes(r["kept"]) == np.frombuffer(b, np.uint8)[~c].tobytes() and r["n_bytes"] == len(b)
 
 
+@pytest.mark.parametrize("length", [400, 200])
+def test_large_classes_lose_no_window(spark, length):
+    r = random.Random(length)
+    cut = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    raw = []
+    for _ in range(30):
+        passage = cut(2 * length)
+        for _ in range(6):
+            a = r.randrange(length // 2)
+            raw.append((cut(50) + passage[a : a + length + r.randrange(length // 2)] + cut(50)).encode())
+    rows = spark.createDataFrame([(t.decode(),) for t in raw], "text string")
+    got = {bytes(x["tid"]): x["spans"] for x in suffix_dedup.repeats(rows, length, group_cap=2).collect()}
+    for b, c in zip(raw, repeated_bytes(raw, length), strict=True):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(int), [0]])))
+        assert [(x["lo"], x["hi"]) for x in got[hashlib.md5(b).digest()]] == list(zip(edges[::2], edges[1::2], strict=True))
+
+
+@pytest.mark.parametrize(("length", "steps"), [(400, (61, 8, 1)), (200, (31, 8, 1))])
+def test_classes_hold_every_offset_once_in_any_slice(monkeypatch, length, steps):
+    k, r = length * 2 // 5, np.random.RandomState(3)
+    context = r.randint(97, 123, 2 * length - k).astype(np.uint8).tobytes()
+    for step, before in zip(steps[1:], steps[:-1], strict=True):
+        items = [(f, min(f + before - 1, length - k)) for f in range(0, length - k + 1, before)] * 2
+        items = items[1:] + items[:1]
+        columns = [[7] * len(items), range(len(items)), [0] * len(items), [0] * len(items), [length - k] * len(items), [0] * len(items), [f for f, _ in items], [l for _, l in items]]
+        batch = pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.int64()) for c in columns), pa.array([context] * len(items))], ["h", "c", "place", "lo", "left", "at", "first", "last", "bytes"])
+        for limit in (1 << 19, 3 * len(context), 1):
+            monkeypatch.setattr(suffix_dedup, "SLICE", limit)
+            rows = [x for out in suffix_dedup.classes(length, step)([batch]) for x in out.to_pylist()]
+            for i, (f, l) in enumerate(items):
+                assert sorted(o for x in rows if x["c"] == i for o in range(x["f"], x["l"] + 1)) == list(range(f, l + 1))
+            assert len({(x["g"], x["k"]) for x in rows}) * 2 == len(rows)  # both copies of an item meet
+
+
 def test_suffix_dedup_rows(docs, empty):
     out = suffix_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
