@@ -34,11 +34,23 @@ class Bands:
     shorter documents than the first row are not judged, as a frame's fixed cost rules their ratio.
     chunk: the same for each full chunk of chunk_bytes; a document fails by chunks if more than max_bad of its full
     chunks leave the band.
+    two_byte: (least bytes, largest ratio) where most characters take two bytes (Cyrillic, Greek, Arabic, Hebrew), whose
+    lead bytes cost little; the lesser limit holds. chunk_two_byte is the same for chunks.
+
+    The largest ratios lie between prose (manual pages in English, German, French, Japanese, Korean, Chinese, and Russian,
+    Ukrainian, Serbian for two bytes) and random text (printable, base64, CJK; Cyrillic and Arabic letters for two bytes) as
+    measured at each row's ends. Random text of few letters (hexadecimal, base32 in short documents, one case of one
+    alphabet, two-byte letters below 1024 bytes) compresses as prose does and is beyond these rules.
     """
 
-    whole: tuple[tuple[int, float, float], ...] = ((128, 0.35, 1.10), (512, 0.28, 1.00), (2048, 0.22, 0.90), (8192, 0.16, 0.85))
+    whole: tuple[tuple[int, float, float], ...] = (
+        (128, 0.35, 0.95), (192, 0.35, 0.90), (256, 0.35, 0.85), (384, 0.35, 0.81), (512, 0.28, 0.775), (768, 0.28, 0.75),
+        (1024, 0.28, 0.72), (2048, 0.22, 0.68), (4096, 0.22, 0.65), (8192, 0.16, 0.60),
+    )
+    two_byte: tuple[tuple[int, float], ...] = ((1024, 0.58), (1536, 0.55), (2048, 0.53), (4096, 0.47), (8192, 0.43))
     chunk_bytes: int = 2048
-    chunk: tuple[float, float] = (0.20, 0.90)
+    chunk: tuple[float, float] = (0.20, 0.68)
+    chunk_two_byte: float = 0.53
     max_bad: float = 0.5
     level: int = 3
 
@@ -89,6 +101,7 @@ def band_verdict(data: np.ndarray, off: np.ndarray, bands: Bands) -> tuple[np.nd
     packer = zstandard.ZstdCompressor(level=bands.level)
     ratio, bad, ok = np.ones(n), np.zeros(n), np.ones(n, bool)
     raw = memoryview(data)
+    two = 2 * B.counts((data >= 0xC0) & (data < 0xE0), off) > B.counts((data & 0xC0) != 0x80, off)
     for i in range(n):
         a, b = int(off[i]), int(off[i + 1])
         size = b - a
@@ -99,12 +112,14 @@ def band_verdict(data: np.ndarray, off: np.ndarray, bands: Bands) -> tuple[np.nd
         full = size // bands.chunk_bytes
         if full > 1:
             low, high = bands.chunk
+            high = min(high, bands.chunk_two_byte) if two[i] else high
             out = 0
             for k in range(full):
                 r = len(packer.compress(raw[a + k * bands.chunk_bytes : a + (k + 1) * bands.chunk_bytes])) / bands.chunk_bytes
                 out += not low <= r <= high
             bad[i] = out / full
-        ok[i] = band[1] <= ratio[i] <= band[2] and bad[i] <= bands.max_bad
+        most = min([band[2], *(x[1] for x in bands.two_byte if two[i] and size >= x[0])])
+        ok[i] = band[1] <= ratio[i] <= most and bad[i] <= bands.max_bad
     return ratio, bad, ok
 
 

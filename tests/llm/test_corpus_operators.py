@@ -252,6 +252,29 @@ def test_bands():
     assert got["kept"].tolist() == [True, False, False, False]
 
 
+def test_default_bands_reject_noise_of_every_length():
+    r = random.Random(9)
+
+    def noise(alphabet, n):
+        out = ""
+        while len(out.encode()) < n:
+            out += "".join(r.choice(alphabet) for _ in range(r.randint(4, 10))) + " "
+        text = out.encode()[:n].decode("utf-8", "ignore")
+        return text + " " * (n - len(text.encode()))
+
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    printable, cjk, cyrillic = ("".join(map(chr, range(*x))) for x in ((33, 127), (0x4E00, 0x9FA6), (0x410, 0x450)))
+    lengths = [128, 191, 192, 255, 256, 383, 384, 511, 512, 767, 768, 1023, 1024, 2047, 2048, 4095, 4096, 8191, 8192, 100_000]
+    made = [(noise(a, n), n) for a in (base64, printable, cjk) for n in lengths] + [(noise(cyrillic, n), n) for n in (1024, 1535, 1536, 2047, 2048, 4095, 4096, 8191, 8192, 100_000)]
+    data, off = B.column_bytes(pa.array([t for t, _ in made]))
+    _, _, accepted = quality_rules.band_verdict(data, off, quality_rules.Bands())
+    assert [(t[:20], n) for (t, n), ok in zip(made, accepted, strict=True) if ok] == []
+    kept = quality_rules.judge(pa.array([t for t, n in made if n > 600]), quality_rules.Bands())
+    assert not kept["kept"].any()
+    prosaic = [prose(r, n) for n in (60, 150, 300, 700, 2000) for _ in range(5)]
+    assert quality_rules.judge(pa.array(prosaic), quality_rules.Bands())["kept"].all()
+
+
 # Embeddings
 
 
