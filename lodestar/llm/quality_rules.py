@@ -32,8 +32,8 @@ class Bands:
 
     whole: (least bytes, least ratio, largest ratio) by ascending length; a document takes the last row it reaches and
     shorter documents than the first row are not judged, as a frame's fixed cost rules their ratio.
-    chunk: the same for each full chunk of chunk_bytes; a document fails by chunks if more than max_bad of its full
-    chunks leave the band.
+    chunk: the same for each full chunk of chunk_bytes, and where bytes are left after them, for one more chunk that ends at
+    the document's end; a document fails by chunks if more than max_bad of its chunks leave the band.
     two_byte: (least bytes, largest ratio) where most characters take two bytes (Cyrillic, Greek, Arabic, Hebrew), whose
     lead bytes cost little; the lesser limit holds. chunk_two_byte is the same for chunks.
 
@@ -96,7 +96,7 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def band_verdict(data: np.ndarray, off: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ratio of the whole, share of full chunks outside their band, accepted) of each document."""
+    """(ratio of the whole, share of chunks outside their band, accepted) of each document."""
     n = len(off) - 1
     packer = zstandard.ZstdCompressor(level=bands.level)
     ratio, bad, ok = np.ones(n), np.zeros(n), np.ones(n, bool)
@@ -109,15 +109,17 @@ def band_verdict(data: np.ndarray, off: np.ndarray, bands: Bands) -> tuple[np.nd
         if band is None:
             continue
         ratio[i] = len(packer.compress(raw[a:b])) / size
-        full = size // bands.chunk_bytes
-        if full > 1:
+        starts = list(range(a, b - bands.chunk_bytes + 1, bands.chunk_bytes))
+        if starts:
+            if size % bands.chunk_bytes:
+                starts.append(b - bands.chunk_bytes)  # the tail
             low, high = bands.chunk
             high = min(high, bands.chunk_two_byte) if two[i] else high
             out = 0
-            for k in range(full):
-                r = len(packer.compress(raw[a + k * bands.chunk_bytes : a + (k + 1) * bands.chunk_bytes])) / bands.chunk_bytes
+            for k in starts:
+                r = len(packer.compress(raw[k : k + bands.chunk_bytes])) / bands.chunk_bytes
                 out += not low <= r <= high
-            bad[i] = out / full
+            bad[i] = out / len(starts)
         most = min([band[2], *(x[1] for x in bands.two_byte if two[i] and size >= x[0])])
         ok[i] = band[1] <= ratio[i] <= most and bad[i] <= bands.max_bad
     return ratio, bad, ok

@@ -275,6 +275,17 @@ def test_default_bands_reject_noise_of_every_length():
     assert quality_rules.judge(pa.array(prosaic), quality_rules.Bands())["kept"].all()
 
 
+def test_chunks_from_one_on_and_tail():
+    r = random.Random(6)
+    flat, noise = "ab " * 3000, "".join(chr(r.randrange(33, 127)) for _ in range(3000))
+    text = prose(r, 3000).encode().decode("ascii", "ignore")
+    made = [flat[:2048], flat[:2047], text[:2048], text[:2048] + noise[:2047], text[:4096] + noise[:100], text[:2048] + flat[:2047], text[:5000]]
+    data, off = B.column_bytes(pa.array(made))
+    _, bad, ok = quality_rules.band_verdict(data, off, quality_rules.Bands(whole=((128, 0.0, 2.0),), max_bad=0.4))
+    assert bad.tolist() == [1, 0, 0, 0.5, 0, 0.5, 0]
+    assert ok.tolist() == [False, True, True, False, True, False, True]
+
+
 # Embeddings
 
 
