@@ -12,6 +12,7 @@ equal verdicts. Other columns are not read.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -50,11 +51,11 @@ NAMES = ("length", "host_length", "labels", "path_length", "depth", "digit_ratio
 
 
 def keys_of(url: str) -> tuple[str, str, str]:
-    """Last host label, last two labels, first path segment."""
+    """Last host label, last two labels, first path segment (whole, without a query)."""
     rest = url.partition("://")[2]
     host, _, tail = rest.partition("/")
     labels = host.lower().rsplit(".", 2)
-    return labels[-1], ".".join(labels[-2:]), tail.partition("/")[0][:16]
+    return labels[-1], ".".join(labels[-2:]), re.split("[/?#]", tail, maxsplit=1)[0]
 
 
 def features(urls: Sequence[str | None], stats: Sequence[dict[str, float]], prior: float) -> np.ndarray:

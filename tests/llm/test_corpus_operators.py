@@ -183,6 +183,12 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_segments_count_whole():
+    keys = [url_filter.keys_of(f"https://www.example.com/a-common-beginning-{x}/page")[2] for x in ("one", "two")]
+    assert keys == ["a-common-beginning-one", "a-common-beginning-two"]
+    assert url_filter.keys_of("http://example.com/index?a=/b#c")[2] == "index" and url_filter.keys_of("http://example.com")[2] == ""
+
+
 def test_trees_learn_held_out_urls():
     r = random.Random(2)
     make = lambda bad: f"http{'' if bad else 's'}://{'a' * r.randrange(3, 9)}{r.randrange(10**6) if bad else ''}.{'biz' if bad else 'org'}/{'/'.join('p' for _ in range(r.randrange(4)))}?{'&'.join('k=1' for _ in range(r.randrange(6) if bad else 1))}"
