@@ -1,4 +1,4 @@
-"""Case files as tables: state machine, integrity rules, roll-up and digest."""
+"""Case files as tables: state machine, integrity rules, roll-up and the active threads of the digest."""
 
 from __future__ import annotations
 
