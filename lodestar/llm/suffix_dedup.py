@@ -6,20 +6,20 @@ strings are judged on the input. Texts are UTF-8 bytes; matches never cross docu
 Which bytes meet in a shard. In each window of `length` bytes the k-gram of least hash is an anchor (the leftmost, if tied);
 equal windows have the same anchor at the same offset, so windows can only be equal if their anchors are. Anchors that
 occur once are dropped after one pre-aggregated count. Around each other anchor lies a context: all windows that hold it.
-Equal contexts of an anchor stand for one another; anchors whose contexts are all equal are settled by that alone. Of
-the rest, one context of each kind is cut into slices of neighbouring windows, and slices that have the bytes common to all their
-windows with another slice go into shards of bounded bytes, by anchor and these bytes; the common bytes, equal in a group and in
-every window of it, are written as a short name there.
+Equal contexts of an anchor (by the xxh3 hash of their bytes) stand for one another. One context of each kind is cut into slices of
+neighbouring windows, and slices that have the bytes common to all their windows with another slice go into shards, by anchor
+and these bytes. Anchors only route: what is repeated is decided by the bytes.
 
-In a shard, suffixes are sorted by Larsson-Sadakane refinement: groups of equal rank are sorted again by the rank h bytes on,
-h doubling and groups of one left alone, to the contexts' ends. Kasai's common prefixes (all contexts in
-step, eight bytes at a time) give the runs of equal windows. Shards of a lot are merged by binary search: the windows of
-one are sought in the suffix array of the other. Groups with more than `group_cap` kinds of slice would not fit a task's lot;
-they are cut into smaller slices, in the end into single windows, which partial aggregation counts.
+In a shard, windows are sorted by Larsson-Sadakane refinement of their bytes: groups of equal rank are sorted again by the rank h
+bytes on, h doubling and groups of one left alone, up to `length` bytes; each round ranks only the positions that later rounds
+ask for. Kasai's common prefixes (all slices in step, eight bytes at a time) give the runs of equal windows. Shards are merged
+by binary search: the runs of one are sought in the suffix array of the other. A class with more than `group_cap` kinds of slice
+is dealt again by smaller slices; if it is still too large then, it is dealt over several shards in several tasks, whose
+sorted runs are cut at common bounds (a range partitioning) and merged there.
 
 Equal texts are one text with a number of copies: with two or more copies, each window is repeated. Null text is empty;
 texts shorter than `length` keep all bytes; repeated rows are copies of one another (even with one id); an empty table
-gives an empty result. Other columns pass through in `remove_repeats`.
+gives an empty result. Long texts are read in overlapping pieces of SLICE bytes. Other columns pass through in `remove_repeats`.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from .common import MADE, drop, materialize, scratch_dir, small_batches, tidy
 
 SLICE = 1 << 19
 SHARD = 1 << 20
+#: At most so many anchors are named to all tasks as frequent.
+HOT_ANCHORS = 4096
 U = np.uint64
 
 
@@ -108,15 +111,34 @@ def merge_intervals(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[
     return owner[first], lo[first], reach[last] - owner[first].astype(np.int64) * room
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """xxh3 of the bytes of each data[start:end]."""
+    raw, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), U, len(starts))
+
+
 def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     """(document, lo, hi, anchor hash, context hash, count, bytes before the anchor) for each kind of context in each document, then spans of the
-    further occurrences of a kind in one document with count 0: these are repeated whatever other documents hold."""
-    hasher = Hasher(data)
-    at = anchor_positions(data, off, hasher, length, k)
+    further occurrences of a kind in one document with count 0: these are repeated whatever other documents hold.
+
+    A document of more than SLICE bytes is read in pieces; an anchor that two pieces choose counts in the first.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []  # position, hash of the anchor
+    for a, b in B.slices(off, SLICE):
+        begin, end = int(off[a]), int(off[b])
+        before = np.zeros(0, np.int64)
+        for s in range(begin, end, SLICE) if b - a == 1 else (begin,):
+            z = min(end, s + SLICE + length - 1) if b - a == 1 else end
+            hasher = Hasher(np.ascontiguousarray(data[s:z]))
+            inner = np.array([0, z - s]) if b - a == 1 else off[a : b + 1] - begin
+            at = anchor_positions(data[s:z], inner, hasher, length, k)
+            fresh = at[~np.isin(at + s, before)]
+            before = at + s
+            found.append((fresh + s, hasher.spans(fresh, fresh + k)))
+    at, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, U))
     doc = np.searchsorted(off, at, "right") - 1
     lo, hi = np.maximum(off[doc], at - (length - k)), np.minimum(off[doc + 1], at + length)
-    h = hasher.spans(at, at + k)
-    c = B.mix(hasher.spans(lo, hi) + (at - lo).astype(U) * U(0x9FB21C651E98DF25))
+    c = B.mix(byte_hashes(data, lo, hi) + (at - lo).astype(U) * U(0x9FB21C651E98DF25))
     order = np.lexsort((at, c, h, doc))
     doc, lo, hi, h, c = doc[order], lo[order] - off[doc[order]], hi[order] - off[doc[order]], h[order], c[order]
     new = np.ones(len(doc), bool)
@@ -130,28 +152,24 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.
 
 
 class Shard:
-    """Suffix array of some contexts (of bytes below 0xFF), and its runs of windows of `length` equal bytes.
+    """Suffix array of the windows of `length` bytes in some slices of text, and its runs of equal windows.
 
-    A context's end sorts after every byte; suffixes that are equal to their ends stand in the order of their contexts.
+    Windows whose bytes are equal stand in the order of their slices.
     """
 
     def __init__(self, data: np.ndarray, off: np.ndarray, origin: np.ndarray, length: int):
-        """origin: a number for each context's first byte; windows at one place of one text have one origin."""
+        """origin: a number for each slice's first byte; windows at one place of one text have one origin."""
         self.length, self.off = length, off
         n, size = len(data), np.diff(off)
-        self.left = np.repeat(off[1:], size) - np.arange(n)  # bytes from each position to its context's end
+        self.left = np.repeat(off[1:], size) - np.arange(n)  # bytes from each position to its slice's end
         padded = np.full(n + 8, 0xFF, np.uint8)
         padded[:n] = data
         self.word = np.zeros(n, U)  # eight bytes, big-endian, from each position on
         for k in range(8):
             self.word = (self.word << U(8)) | padded[k : k + n]
-        near = np.flatnonzero(self.left < 8)
-        self.word[near] |= (U(1) << (U(8) * (U(8) - self.left[near].astype(U)))) - U(1)
-        order = self.refine(n, int(size.max()) if len(size) else 0)
-        lcp = self.kasai(order)
-        window = self.left[order] >= length
-        self.sa, lcp = order[window], lcp[window]
-        self.context = np.repeat(np.arange(len(size)), size)[self.sa]
+        self.sa = self.refine(n)
+        lcp = self.kasai()
+        self.context = np.searchsorted(off, self.sa, "right") - 1
         self.origin = origin[self.context] + (self.sa - off[:-1][self.context]).astype(U)
         new = lcp < length
         new[:1] = True
@@ -160,55 +178,71 @@ class Shard:
         self.high = np.maximum.reduceat(self.origin, self.run) if len(self.run) else self.origin
         self.repeated = self.low != self.high
 
-    def refine(self, n: int, longest: int) -> np.ndarray:
-        """All suffixes in order; each round sorts the groups that are still equal by the rank h bytes on."""
-        full = np.argsort(self.word)
-        ranked = self.word[full]
-        new = np.append(True, ranked[1:] != ranked[:-1])[:n]
-        rank = np.empty(n, np.int64)
-        rank[full] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        at, h = np.arange(n), 8  # places in the array that the open groups hold
-        while h < longest:
-            at = at[~(new & np.append(new[1:], True))]
-            if not len(at):
-                new = np.ones(0, bool)
-                break
-            order = full[at]
-            key = rank[order] << 32
-            past = self.left[order] <= h
-            key |= np.where(past, 0xFFFFFFFF, rank[np.minimum(order + h, n - 1)])
-            by = np.argsort(key)
-            order, key = order[by], key[by]
-            full[at] = order
-            new = np.append(True, key[1:] != key[:-1])
-            rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+    def refine(self, n: int) -> np.ndarray:
+        """All windows in order; each round sorts the groups that are still equal by the rank h bytes on.
+
+        A window's first 2h bytes are its first h and the h after them (in the last round, which may overlap, the last h), so a round
+        needs ranks only where the windows and the later rounds look.
+        """
+        steps, h = [], 8
+        while h < self.length:
+            steps.append(min(h, self.length - h))
             h *= 2
-        tied = at[~(new & np.append(new[1:], True))]  # equal to their ends
-        full[tied] = full[tied][np.argsort(rank[full[tied]] << 32 | full[tied])]
-        return full
-
-    def kasai(self, order: np.ndarray) -> np.ndarray:
-        """Common prefix of each suffix and the one before it in the array; all contexts go in step, eight bytes at a time."""
-        word, n = self.word, len(order)
-        lcp, place = np.zeros(n, np.int64), np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        base, size = self.off[:-1], np.diff(self.off)
-        h = np.zeros(len(base), np.int64)
-        for j in range(int(size.max()) if len(size) else 0):
-            lanes = np.flatnonzero(size > j)
+        wanted = [self.left >= self.length]
+        for step in reversed(steps):
+            shifted = np.zeros(n, bool)
+            shifted[step:] = wanted[-1][: n - step]
+            wanted.append(wanted[-1] | shifted)
+        full = np.flatnonzero(wanted.pop())
+        full = full[np.argsort(self.word[full])]
+        key = self.word[full]
+        rank = np.zeros(n, np.int64)
+        for step in [*steps, None]:
+            # Members of a group stand together and share the place of the first as their rank; unwanted positions leave.
+            new = np.append(True, key[1:] != key[:-1])[: len(full)]
+            rank[full] = np.maximum.accumulate(np.where(new, np.arange(len(full)), 0))
+            if step is None:
+                break
+            full = full[wanted.pop()[full]]
+            key = rank[full] << 32
+            open_ = np.append(key[1:] == key[:-1], False)[: len(full)]
+            open_[1:] |= open_[:-1]
+            at = np.flatnonzero(open_)
+            key[at] |= rank[full[at] + step]
+            by = np.argsort(key[at])
+            full[at], key[at] = full[at][by], key[at][by]
+        start = np.flatnonzero(new)
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(full))))
+        return full[np.argsort(group << 32 | full)]
+
+    def kasai(self) -> np.ndarray:
+        """Common prefix, up to `length`, of each window and the one before it in the array; all slices go in step, eight bytes at a time.
+
+        If window i shares h bytes with the one before it, p, then i + 1 shares h - 1 with the one before it, as long as p + 1
+        is a window that stands before i + 1; else its prefix is counted anew.
+        """
+        word, n, length = self.word, len(self.sa), self.length
+        lcp, place = np.zeros(n, np.int64), np.full(len(word) + 1, -1)
+        place[self.sa] = np.arange(n)
+        base, windows = self.off[:-1], np.diff(self.off) - length + 1
+        h, prior = np.zeros(len(base), np.int64), np.full(len(base), len(word))
+        for j in range(int(windows.max()) if len(windows) else 0):
+            lanes = np.flatnonzero(windows > j)
             i = base[lanes] + j
             at = place[i]
-            before = order[at - 1]
-            room = np.where(at > 0, np.minimum(self.left[i], self.left[before]), 0)
-            got = np.minimum(np.maximum(h[lanes] - 1, 0), room)
-            live = np.flatnonzero(got < room)
+            follows = place[prior[lanes]]
+            before = self.sa[at - 1]
+            got = np.where((follows >= 0) & (follows < at), np.maximum(h[lanes] - 1, 0), 0)
+            live = np.flatnonzero(at > 0)
+            got[at == 0] = 0
             while len(live):
                 x = word[i[live] + got[live]] ^ word[before[live] + got[live]]
                 same = x == 0
                 got[live] += np.where(same, 8, (x < U(1) << U(56)).astype(np.int64) + (x < U(1) << U(48)) + (x < U(1) << U(40)) + (x < U(1) << U(32)) + (x < U(1) << U(24)) + (x < U(1) << U(16)) + (x < U(1) << U(8)))
-                live = live[same & (got[live] < room[live])]
-            got = np.minimum(got, room)
+                live = live[same & (got[live] < length)]
+            got = np.minimum(got, length)
             h[lanes] = got
+            prior[lanes] = np.where(at > 0, before + 1, len(word))
             lcp[at] = got
         return lcp
 
@@ -250,8 +284,8 @@ class Shard:
         return merge_intervals(self.context[hit], start, start + self.length)
 
 
-def lot_spans(data: np.ndarray, off: np.ndarray, origin: np.ndarray, length: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, start, end) of repeated bytes in contexts that are compared with one another."""
+def sorted_shards(data: np.ndarray, off: np.ndarray, origin: np.ndarray, length: int, shard: int = SHARD) -> list[tuple[int, Shard]]:
+    """(first slice, shard) of slices that are compared with one another, merged."""
     made: list[tuple[int, Shard]] = []
     for a, b in B.slices(off, shard):
         now = Shard(data[off[a] : off[b]], off[a : b + 1] - off[a], origin[a:b], length)
@@ -259,7 +293,12 @@ def lot_spans(data: np.ndarray, off: np.ndarray, origin: np.ndarray, length: int
             s.merge(now)
         made.append((a, now))
     # A run found late in a merge counts for the shards merged before: pairs are marked both ways, so all are whole now.
-    found = [(c + a, s, e) for a, sh in made for c, s, e in [sh.spans()]]
+    return made
+
+
+def lot_spans(data: np.ndarray, off: np.ndarray, origin: np.ndarray, length: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slice, start, end) of repeated bytes in slices that are compared with one another."""
+    found = [(c + a, s, e) for a, sh in sorted_shards(data, off, origin, length, shard) for c, s, e in [sh.spans()]]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
@@ -290,7 +329,7 @@ def classes(length: int, step: int):
             for a, b in B.slices(off, SLICE):
                 base = off[a:b] - off[a]
                 size = np.diff(off[a : b + 1])
-                hasher = Hasher(np.ascontiguousarray(data[off[a] : off[b]]))
+                piece = data[off[a] : off[b]]
                 out: list[tuple[np.ndarray, ...]] = []
                 for j in range(0, int((last[a:b] - first[a:b]).max()) + 1, step):
                     # Offsets f to l, from each item's own first on; windows begin at left - offset, if the context has them whole.
@@ -299,9 +338,9 @@ def classes(length: int, step: int):
                     lo, hi = np.maximum(left[a:b] - l, 0), np.minimum(left[a:b] - f, size - length)
                     row = np.flatnonzero((lo <= hi) & (f <= last[a:b]))
                     lo, hi, f, l = lo[row], hi[row], f[row], l[row]
-                    core = hasher.spans(base[row] + left[a:b][row] - f, base[row] + left[a:b][row] - l + length)
+                    core = byte_hashes(piece, base[row] + left[a:b][row] - f, base[row] + left[a:b][row] - l + length)
                     g = B.mix(B.mix(h[a:b][row].view(U) + f.astype(U) * U(4096) + U(step)) + core)
-                    k = B.mix(hasher.spans(base[row] + lo, base[row] + hi + length) + (left[a:b][row] - f - lo).astype(U) * U(0x9FB21C651E98DF25))
+                    k = B.mix(byte_hashes(piece, base[row] + lo, base[row] + hi + length) + (left[a:b][row] - f - lo).astype(U) * U(0x9FB21C651E98DF25))
                     out.append((row + a, g.view(np.int64), k.view(np.int64), lo, hi + length, f, l))
                 row, g, k, lo, hi, f, l = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[row], c[row], g, k, at[row] + lo, at[row] + hi, f, l)], ["h", "c", "g", "k", "s", "e", "f", "l"])
@@ -313,54 +352,97 @@ def settle(items: DataFrame, length: int, cap: int, steps: list[int]) -> DataFra
     """(h, c, s, e): repeated bytes of each context, from ITEM rows of anchors with several kinds of context.
 
     Windows are dealt by class. Equal slices of a class settle each other; slices of one core but unlike are compared in shards,
-    at most `cap` kinds of slice in a class. Larger classes are dealt again by the next, smaller step; with step 1 a class
-    is one window, and equal slices are all there is.
+    at most `cap` kinds of slice of a class in each. Larger classes are dealt again by the next, smaller step, and at the last
+    step over several shards, whose runs are merged.
     """
+    spark = items.sparkSession
     dealt = materialize(items.mapInArrow(tidy(classes(length, steps[0])), "h long, c long, g long, k long, s long, e long, f long, l long"), "classes")
     kinds = dealt.groupBy("g", "k").agg(F.count("*").alias("n"), F.min(F.struct("h", "c", "s", "e", "f", "l")).alias("one"))
     kinds = materialize(kinds, "slices")
     several = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = dealt.join(kinds.where("n > 1").select("g", "k"), ["g", "k"]).select("h", "c", "s", "e")
-    if steps[0] == 1:
-        out = materialize(whole, "repeated")
-        drop(items.sparkSession, dealt, kinds)
-        return out
     several = materialize(kinds.join(several, "g").select("g", "k", "kinds", "one.*"), "unlike")
-    piece = F.expr("substring(bytes, cast(s - at + 1 as int), cast(e - s as int))")
-    # In a shard the core stands as a name of its own, so that windows have one, shorter length: what lies around it and the name.
-    short = steps[0] - 1 + 16
-    around = F.concat(
-        F.expr("substring(bytes, cast(s - at + 1 as int), cast(left - f - s + at as int))"),
-        F.encode(F.rpad(F.lpad(F.hex("g"), 16, "0"), F.lit(short) - (F.col("l") - F.col("f")).cast("int"), F.lit("0")), "UTF-8"),
-        F.expr(f"substring(bytes, cast(left - l + {length} + 1 as int), cast(e - at - left + l - {length} as int))"),
-    )
-    sized = several.where(F.col("kinds") <= cap).join(items, ["h", "c"]).where("f >= first AND l <= last")
-    lots = sized.select("g", "k", "place", (F.col("lo") + F.col("s") - F.col("at")).alias("lo"), around.alias("bytes")).repartition("g").sortWithinPartitions("g")
-    found = materialize(lots.mapInArrow(tidy(sort_lots(short)), "g long, k long, x long, y long"), "sorted")
-    out = whole.unionByName(dealt.join(found, ["g", "k"]).select("h", "c", (F.col("s") + F.col("x")).alias("s"), (F.col("s") + F.col("y") + length - short).alias("e")))
+    piece = F.expr("substring(bytes, cast(s - at + 1 as int), cast(e - s as int))").alias("bytes")
+    final = len(steps) == 1
+    # Where the core begins in the slice, and how many bytes of a window lie around it.
+    core = [(F.col("left") - F.col("f") - F.col("s") + F.col("at")).cast("int").alias("core"), (F.col("l") - F.col("f")).cast("int").alias("around")]
+    part = F.when(F.col("kinds") > cap, F.pmod(F.xxhash64("k"), F.ceil(F.col("kinds") / cap)).cast("int"))
+    now = several if final else several.where(F.col("kinds") <= cap)
+    sized = now.withColumn("part", part).join(items, ["h", "c"]).where("f >= first AND l <= last")
+    lots = sized.select("g", "part", "k", "place", (F.col("lo") + F.col("s") - F.col("at")).alias("lo"), *core, piece).repartition("g", "part").sortWithinPartitions("g", "part")
+    found = materialize(lots.mapInArrow(tidy(sort_lots(length)), FOUND), "sorted")
+    hit = found.where("run IS NULL").select("g", "k", "x", "y")
+    if final:
+        # Runs of classes that are dealt over several shards meet at common bounds; what is repeated goes back to the windows.
+        met = found.where("k IS NULL").select("g", "run", "low", "high").repartitionByRange("g", "run").sortWithinPartitions("g", "run")
+        shared = met.mapInArrow(tidy(merge_runs), "g long, run long")
+        again = found.where("k IS NOT NULL AND run IS NOT NULL").join(shared, ["g", "run"])
+        hit = hit.unionByName(again.select("g", "k", "x", "y"))
+    out = whole.unionByName(dealt.join(hit, ["g", "k"]).select("h", "c", (F.col("s") + F.col("x")).alias("s"), (F.col("s") + F.col("y")).alias("e")))
     large = several.where(F.col("kinds") > cap)
-    if large.limit(1).count():
+    if not final and large.limit(1).count():
         members = dealt.join(large.select("g").distinct(), "g").select("h", "c", "s", "e", "f", "l")
         again = members.join(items, ["h", "c"]).where("f >= first AND l <= last")
-        again = again.select("h", "c", "place", (F.col("lo") + F.col("s") - F.col("at")).alias("lo"), (F.col("left") - F.col("s") + F.col("at")).alias("left"), F.col("s").alias("at"), F.col("f").alias("first"), F.col("l").alias("last"), piece.alias("bytes"))
+        again = again.select("h", "c", "place", (F.col("lo") + F.col("s") - F.col("at")).alias("lo"), (F.col("left") - F.col("s") + F.col("at")).alias("left"), F.col("s").alias("at"), F.col("f").alias("first"), F.col("l").alias("last"), piece)
         again = materialize(again, "large")
         out = out.unionByName(settle(again, length, cap, steps[1:]))
-        drop(items.sparkSession, again)
+        drop(spark, again)
     out = materialize(out, "repeated")
-    drop(items.sparkSession, dealt, kinds, several, found)
+    drop(spark, dealt, kinds, several, found)
     return out
 
 
+#: Rows of sort_lots: repeated bytes x to y of slice k of class g (run null); and of classes dealt over several shards, runs (k null)
+#: with their least and largest origin, and the windows of runs that one shard alone doesn't show to be repeated.
+FOUND = "g long, k long, x long, y long, run long, low decimal(20,0), high decimal(20,0)"
+MOST_AROUND = 7
+
+
+def run_names(shard: Shard, core: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """A number for each window that names it in its class: how many bytes lie before the core, and the bytes around the core.
+
+    These are at most MOST_AROUND bytes, so the number is exact.
+    """
+    at = shard.sa - shard.off[:-1][shard.context]
+    before, size = core[shard.context] - at, around[shard.context]
+    name, bytes_ = before.astype(U), (shard.word >> U(56)).astype(U)
+    for j in range(MOST_AROUND):
+        place = np.where(j < before, j, shard.length - size + j)
+        name = (name << U(8)) | np.where(j < size, bytes_[shard.sa + np.where(j < size, place, 0)], U(0))
+    return name
+
+
 def sort_lots(length: int):
-    """mapInArrow over (g, k, place, lo, bytes) rows sorted by g: repeated bytes (g, k, x, y), by lots of whole groups."""
+    """mapInArrow over (g, part, k, place, lo, core, around, bytes) rows sorted by g and part: FOUND rows, by lots of whole parts of groups."""
 
-    def lot(rows: pa.Table) -> pa.RecordBatch:
+    def lot(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         batch = rows.combine_chunks().to_batches()[0]
-        data, off = B.column_bytes(batch.column(4))
-        origin = np.asarray(batch.column(2)).view(U) * U(0x9E3779B97F4A7C15) + np.asarray(batch.column(3)).astype(U)
-        at, x, y = lot_spans(np.ascontiguousarray(data), off, origin, length)
-        pick = pa.array(at)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["g", "k", "x", "y"])
+        data, off = B.column_bytes(batch.column(7))
+        origin = np.asarray(batch.column(3)).view(U) * U(0x9E3779B97F4A7C15) + np.asarray(batch.column(4)).astype(U)
+        g, k, core, around = (np.asarray(batch.column(i)) for i in (0, 2, 5, 6))
+        split = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        for a, shard in sorted_shards(np.ascontiguousarray(data), off, origin, length):
+            at, x, y = shard.spans()
+            yield found(g[at + a], k[at + a], x, y)
+            if not len(shard.run) or not split[a : a + len(shard.off) - 1].any():
+                continue
+            name = run_names(shard, core[a:], around[a:]).view(np.int64)
+            # A run goes out once for each class that its windows belong to (a window can hold several anchors).
+            w = np.flatnonzero(split[shard.context + a])
+            order = np.lexsort((g[shard.context[w] + a], shard.of[w]))
+            w = w[order]
+            of, owner = shard.of[w], g[shard.context[w] + a]
+            once = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (owner[1:] != owner[:-1])))
+            yield found(owner[once], None, None, None, name[w[once]], shard.low[of[once]], shard.high[of[once]])
+            w = np.flatnonzero(split[shard.context + a] & ~shard.repeated[shard.of])
+            x = shard.sa[w] - shard.off[:-1][shard.context[w]]
+            yield found(g[shard.context[w] + a], k[shard.context[w] + a], x, x + length, name[w])
+
+    def found(g, k, x, y, run=None, low=None, high=None) -> pa.RecordBatch:
+        n = len(g)
+        column = lambda v: pa.nulls(n, pa.int64()) if v is None else pa.array(v, pa.int64())
+        number = lambda v: (pa.nulls(n, pa.uint64()) if v is None else pa.array(v, pa.uint64())).cast(pa.decimal128(20, 0))
+        return pa.RecordBatch.from_arrays([column(g), column(k), column(x), column(y), column(run), number(low), number(high)], ["g", "k", "x", "y", "run", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -368,21 +450,40 @@ def sort_lots(length: int):
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
             while held.num_rows:
-                # A lot ends with a group, once it has a shard's bytes.
-                sizes = np.cumsum(np.asarray(pa.compute.binary_length(held.column(4)).combine_chunks(), dtype=np.int64))
-                g = held.column(0).to_numpy()
-                ends = np.flatnonzero(g[1:] != g[:-1]) + 1
+                # A lot ends with a group, or a part of one, once it has a shard's bytes.
+                sizes = np.cumsum(np.asarray(pa.compute.binary_length(held.column(7)).combine_chunks(), dtype=np.int64))
+                g, part = held.column(0).to_numpy(), held.column(1).fill_null(-1).to_numpy()
+                ends = np.flatnonzero((g[1:] != g[:-1]) | (part[1:] != part[:-1])) + 1
                 ends = ends[sizes[ends - 1] >= SHARD]
                 if not len(ends):
                     break
-                yield lot(held.slice(0, ends[0]))
+                yield from lot(held.slice(0, ends[0]))
                 held = held.slice(ends[0])
         if held is not None and held.num_rows:
-            yield lot(held)
+            yield from lot(held)
 
     return run
 
 
+def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (g, run, low, high) rows sorted by g and run: the runs with more than one origin in all shards together."""
+    last: tuple | None = None  # g, run, low, high, whether it is out
+    for batch in batches:
+        out = []
+        for g, run, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if last is not None and (g, run) == last[:2]:
+                low, high = min(low, last[2]), max(high, last[3])
+                done = last[4]
+            else:
+                done = False
+            if low != high and not done:
+                out.append((g, run))
+                done = True
+            last = (g, run, low, high, done)
+        x, y = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["g", "run"])
+
+
 def text_key(column: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))))
 
@@ -405,8 +506,14 @@ def repeats(docs: DataFrame, length: int = 400, k: int | None = None, group_cap:
                 yield pa.RecordBatch.from_arrays([tid, pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n, pa.int64()), pa.array(left, pa.int64())], ["tid", "lo", "hi", "h", "c", "n", "left"])
 
     found = materialize(texts.select("tid", "text").mapInArrow(tidy(find), "tid binary, lo long, hi long, h long, c long, n long, left long"), "anchors")
-    again = found.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    met = materialize(found.where("n > 0").join(again, "h", "left_semi"), "met")
+    # Anchors with more rows than a HOT_ANCHORS-th of all are dealt over several tasks; there are HOT_ANCHORS of them at most.
+    again = materialize(found.where("n > 0").groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1").select("h", "rows"), "again")
+    share = F.ceil(F.col("rows") / F.lit(max(1, found.count() // HOT_ANCHORS))).cast("int")
+    hot = F.broadcast(again.withColumn("parts", share).where("parts > 1").select("h", "parts"))
+    place = F.coalesce(F.pmod(F.xxhash64("tid", "lo"), F.col("parts")), F.lit(0)).cast("int")
+    dealt = found.where("n > 0").join(hot, "h", "left").withColumn("part", place).drop("parts")
+    wanted = again.select("h", F.explode(F.sequence(F.lit(0), share - 1)).alias("part"))
+    met = materialize(dealt.join(wanted, ["h", "part"], "left_semi").drop("part"), "met")
     kinds = met.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "lo", "hi", "left")).alias("one"))
     kinds = materialize(kinds, "kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -416,13 +523,14 @@ def repeats(docs: DataFrame, length: int = 400, k: int | None = None, group_cap:
     contexts = grouped.where("kinds IS NOT NULL").withColumn("tid", F.col("one.tid")).join(texts.select("tid", "text"), "tid")
     contexts = contexts.select("h", "c", F.expr("xxhash64(one.tid)").alias("place"), F.col("one.lo").alias("lo"), F.col("one.left").alias("left"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("first"), F.lit(length - k).cast("long").alias("last"), cut.alias("bytes"))
     contexts = materialize(contexts, "contexts")
-    inner = settle(contexts, length, group_cap, [(length - k) // 4 + 1, 8, 1])
+    wide = (length - k) // 4 + 1
+    inner = settle(contexts, length, group_cap, [wide, MOST_AROUND + 1] if wide > MOST_AROUND + 1 else [wide])
     whole = grouped.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
     hits = materialize(inner.unionByName(whole), "hits")
     spans = met.join(hits, ["h", "c"]).select("tid", (F.col("lo") + F.col("s")).alias("lo"), F.coalesce(F.col("lo") + F.col("e"), F.col("hi")).alias("hi"))
     spans = spans.unionByName(found.where("n = 0").select("tid", "lo", "hi"))
     spans = materialize(spans.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    drop(docs.sparkSession, found, met, kinds, grouped, contexts, hits)
+    drop(docs.sparkSession, found, again, met, kinds, grouped, contexts, hits)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

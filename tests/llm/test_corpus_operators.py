@@ -104,6 +104,32 @@ def test_large_classes_lose_no_window(spark, length):
         assert [(x["lo"], x["hi"]) for x in got[hashlib.md5(b).digest()]] == list(zip(edges[::2], edges[1::2], strict=True))
 
 
+@pytest.mark.parametrize("extra", [-3, 0, 3])
+def test_runs_of_a_common_passage_meet_across_shards(spark, extra):
+    """A passage of about one window in many unlike texts, and two windows more that only some of them share."""
+    length, r = 100, random.Random(extra)
+    cut = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = cut(length + extra)
+    raw = [(cut(70) + r.choice(["xy", "uv", "q"]) + passage + r.choice(["ab", "cd", "ef"]) + cut(70)).encode() for _ in range(60)]
+    rows = spark.createDataFrame([(t.decode(),) for t in raw], "text string")
+    got = {bytes(x["tid"]): x["spans"] for x in suffix_dedup.repeats(rows, length, group_cap=4).collect()}
+    for b, c in zip(raw, repeated_bytes(raw, length), strict=True):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(int), [0]])))
+        assert [(x["lo"], x["hi"]) for x in got[hashlib.md5(b).digest()]] == list(zip(edges[::2], edges[1::2], strict=True))
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    r = np.random.RandomState(8)
+    piece = r.randint(97, 123, 3000).astype(np.uint8)
+    data = np.concatenate([r.randint(97, 123, 5000), piece, r.randint(97, 123, 777), piece, np.full(2000, 97)]).astype(np.uint8)
+    off = np.array([0, 40, len(data) - 90, len(data)])
+    whole = [x.tolist() for x in suffix_dedup.anchors(data, off, 100, 40)]
+    for limit in (1000, 613, 101):
+        monkeypatch.setattr(suffix_dedup, "SLICE", limit)
+        got = [x.tolist() for x in suffix_dedup.anchors(data, off, 100, 40)]
+        assert sorted(zip(*got, strict=True)) == sorted(zip(*whole, strict=True))
+
+
 @pytest.mark.parametrize(("length", "steps"), [(400, (61, 8, 1)), (200, (31, 8, 1))])
 def test_classes_hold_every_offset_once_in_any_slice(monkeypatch, length, steps):
     k, r = length * 2 // 5, np.random.RandomState(3)
@@ -139,8 +165,8 @@ def test_shards_sort_and_merge():
         data, off = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
         origin = np.arange(len(parts), dtype=np.uint64) << np.uint64(32)
         shard = suffix_dedup.Shard(data, off, origin, 12)
-        order = np.array(sorted(range(len(data)), key=lambda i: (data[i : off[np.searchsorted(off, i, "right")]].tobytes() + b"\xff" * 200, i)))
-        assert shard.sa.tolist() == [i for i in order if off[np.searchsorted(off, i, "right")] - i >= 12]
+        windows = [i for i in range(len(data)) if off[np.searchsorted(off, i, "right")] - i >= 12]
+        assert shard.sa.tolist() == sorted(windows, key=lambda i: (data[i : i + 12].tobytes(), i))
         want = repeated_bytes(parts, 12)
         for size in (1 << 20, 40):
             at, s, e = suffix_dedup.lot_spans(data, off, origin, 12, size)
