@@ -163,7 +163,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, recall: float =
     good = good & (F.size("v") == sizes["n"])
     unique = materialize(rows.where(good).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vectors")
     n = unique.count()
-    sample = bounded_sample(unique.select("v"), "v", sample_rows).toArrow().column("v").combine_chunks()
+    sample = bounded_sample(unique.select("v"), ["v"], sample_rows, n).toArrow().column("v").combine_chunks()
     codes = int(min(max_codes, max(1, 2 ** round(np.log2(max(1.0, np.sqrt(n / 200)))))))
     index = MultiIndex(matrix(sample), codes, threshold, recall)
 

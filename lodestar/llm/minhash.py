@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bytetext as B
-from .common import drop, materialize, small_batches, tidy
+from .common import drop, materialize, quoted, small_batches, tidy, unused
 from .components import connected
 
 SLICE = 1 << 19
@@ -267,10 +267,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input rows without those whose class has a smaller id; of rows that agree in id and text one stays."""
+    id_, text, number = unused(docs, "id", "text", "number")
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("class_id")))
-    kept = kept.select(F.col(id_col).alias("__id"), F.col("text_key").alias("__text")).distinct()
-    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.xxhash64(F.col(text_col).cast("string"))})
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("__id", "__text")]
-    number = F.row_number().over(Window.partitionBy("r.__id", "r.__text").orderBy(F.lit(0)))
-    stay = rows.alias("r").join(kept.alias("k"), same, "left_semi").withColumn("__number", number)
-    return stay.where("__number = 1 OR __id IS NULL").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = kept.select(F.col(id_col).alias(id_), F.col("text_key").alias(text)).distinct()
+    rows = docs.withColumns({id_: F.col(quoted(id_col)).cast("long"), text: F.xxhash64(F.col(quoted(text_col)).cast("string"))})
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in (id_, text)]
+    order = F.row_number().over(Window.partitionBy(f"r.{id_}", f"r.{text}").orderBy(F.lit(0)))
+    stay = rows.alias("r").join(kept.alias("k"), same, "left_semi").withColumn(number, order)
+    return stay.where((F.col(number) == 1) | F.col(id_).isNull()).select(*(F.col(quoted(c)) for c in docs.columns))

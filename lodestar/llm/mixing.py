@@ -4,12 +4,13 @@ Targets: sources share all words by weight; a target stops at `max_copies` times
 shared again by weight until none is above (closed form over the sources in order of cap / weight). Within a source every
 document expects rate = target / words copies; documents lie on a line in an order close to ascending size, the prefix
 sums of the expected copies are shifted by one random offset, and a document is taken once for each integer that its
-interval crosses: floor(rank x rate + offset) - floor((rank - 1) x rate + offset), at most ceil(rate) <= max_copies. The offset
-is the one of `offsets` random ones whose words come nearest the target (offsets=1: one draw), which matters for small sources.
+interval crosses: floor(rank x rate + offset) - floor((rank - 1) x rate + offset), at most ceil(rate) <= max_copies. Each
+document is taken in proportion to its rate, so a source's words can miss the target by about its largest document.
 
 The prefix sums are hierarchical: (source, size class) -> hash block -> row, each level's sums partly aggregated before
 the shuffle, so that a source with a third of all rows, or many rows of one size, spreads over blocks. Blocks follow
-the row count. Only per-source totals reach the driver (one row for each source).
+the row count. Sources may be as many as hosts: their order and sums are computed over range partitions, and only a
+row for each partition, or one for all, reaches one task or the driver.
 
 Null text has size 0; null is a source of its own, last; rows that repeat are taken one by one; an empty table gives an
 empty result. A source without words has target 0. Reruns agree: offsets and blocks are hashes of seed, source and id.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize
+from .common import WORD, materialize, quoted, unused
 
 
 #: The plan, one row for each source, is broadcast up to this many sources and joined by a shuffle beyond.
@@ -39,32 +40,51 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[int], max_copies: int) -> list[tuple[str | None, int, float]]:
-    """(source, size, target); sources by code point, null last, weights repeating in that order."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    weighed = [(s, n, weights[i % len(weights)]) for i, (s, n) in enumerate(order)]
-    left, weight = sum(n for _, n, _ in weighed), sum(w for *_, w in weighed)
-    share = 0.0
-    for _, n, w in sorted(weighed, key=lambda x: x[1] / x[2]):
-        share = left / weight
-        if share * w <= max_copies * n:
-            break
-        left, weight = left - max_copies * n, weight - w
-    return [(s, n, float(min(share * w, max_copies * n))) for s, n, w in weighed]
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, for each name in sums, the sum of its column over all rows before in the order (0 for the first).
 
-
-def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_copies: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_block: int = 20_000, offsets: int = 16) -> DataFrame:
+    Rows are cut into ranges; the ranges' totals, one row for each partition, go through one task.
+    """
+    value = {f"value_{k}": v for k, v in sums.items()}
+    cut = materialize(rows.repartitionByRange(*order).withColumns({"range": F.spark_partition_id(), **value}), "ranges")
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("range").agg(*(F.sum(f"value_{k}").alias(f"total_{k}") for k in sums))
+    totals = totals.select("range", *(F.coalesce(F.sum(f"total_{k}").over(ahead), F.lit(0)).alias(f"start_{k}") for k in sums))
+    before = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(totals, "range")
+    return out.select(*(F.col(c) for c in rows.columns), *((F.col(f"start_{k}") + F.coalesce(F.sum(f"value_{k}").over(before), F.lit(0))).alias(k) for k in sums))
+
+
+def targets(totals: DataFrame, weights: Sequence[int], max_copies: int) -> DataFrame:
+    """source, source_size, target of every row (source, size); sources by code point, null last, weights repeating in that order."""
+    ranked = running(totals, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    weight = F.element_at(F.lit(list(weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = ranked.select("source", "size", weight.cast("long").alias("w"))
+    by_cap = F.col("size").cast("double") / F.col("w")
+    filled = materialize(running(weighed.withColumn("by_cap", by_cap), [F.col("by_cap"), F.col("source").asc_nulls_last()], {"capped": F.col("size") * max_copies, "used": F.col("w")}), "levels")
+    all_ = filled.agg(F.sum("size").alias("size"), F.sum("w").alias("w")).first()
+    share = (F.lit(all_["size"] or 0) - F.col("capped")).cast("double") / (F.lit(all_["w"] or 1) - F.col("used")).cast("double")
+    # The first source, in order of cap / weight, whose share is within its cap sets the level.
+    fits = filled.withColumn("share", share).where(F.col("share") * F.col("w") <= F.col("size") * max_copies)
+    level = fits.agg(F.min_by("share", F.struct("by_cap", F.col("source").isNull(), "source")).alias("share")).first()["share"] or 0.0
+    target = F.least(F.lit(level) * F.col("w"), (F.col("size") * max_copies).cast("double"))
+    return filled.select("source", F.col("size").alias("source_size"), target.alias("target"))
+
+
+def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_copies: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_block: int = 20_000) -> DataFrame:
     """A row for each input row: id, source, size, text_key, source_size, target, copies."""
-    text = F.col(text_col).cast("string")
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_key"))
-    return _plan(materialize(narrow, "mix-sizes"), weights, max_copies, seed, rows_per_block, offsets).withColumnsRenamed({"id": id_col})
+    text = F.col(quoted(text_col)).cast("string")
+    narrow = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_key"))
+    return _plan(materialize(narrow, "mix-sizes"), weights, max_copies, seed, rows_per_block).withColumnsRenamed({"id": id_col})
 
 
-def _plan(rows: DataFrame, weights: Sequence[int], max_copies: int, seed: int, rows_per_block: int, offsets: int) -> DataFrame:
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
-    planned = targets([(r["source"], r["size"]) for r in totals], weights, max_copies)
-    blocks = max(16, sum(r["rows"] for r in totals) // rows_per_block)
-    plan = small(rows, planned, "source string, source_size long, target double")
+def _plan(rows: DataFrame, weights: Sequence[int], max_copies: int, seed: int, rows_per_block: int) -> DataFrame:
+    name = F.coalesce(F.col("source"), F.lit("\x00null"))
+    offset = md5_number(F.concat_ws(":", F.lit(f"offset {seed}"), name)) / F.lit(float(2**32))
+    plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, max_copies).withColumn("offset", offset), "mix-plan")
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    blocks = max(16, rows.count() // rows_per_block)
     # Sizes whose bit length and next three bits agree form a class: about nine per cent wide.
     size = F.col("size")
     bits = F.length(F.bin(size)).cast("int")
@@ -78,27 +98,10 @@ def _plan(rows: DataFrame, weights: Sequence[int], max_copies: int, seed: int, r
     starts = blocks_.alias("b").join(classes.alias("c"), null_safe("b", "c", ["source", "size_class"])).select("b.source", "b.size_class", "b.block", (F.col("class_start") + F.col("block_start")).alias("start"))
     rank = F.row_number().over(Window.partitionBy("source", "size_class", "block").orderBy("size", "id", "text_key"))
     ranked = cells.withColumn("rank", rank).alias("r").join(starts.alias("s"), null_safe("r", "s", ["source", "size_class", "block"])).select("r.*", (F.col("start") + F.col("rank")).alias("place"))
-    placed = materialize(ranked.select("id", "source", "size", "text_key", "place"), "mix-places")
-    # Words that each random offset would take; one row for each source reaches the driver.
-    name = F.coalesce(F.col("source"), F.lit("\x00null"))
-    offset = lambda k: md5_number(F.concat_ws(":", F.lit(f"offset {seed}"), F.lit(str(k)), name)) / F.lit(float(2**32))
     rate = F.col("target") / F.col("source_size")
-    copies = lambda u: F.when(F.col("source_size") > 0, F.floor(F.col("place") * rate + u) - F.floor((F.col("place") - 1) * rate + u)).otherwise(0)
-    tried = with_plan(placed, plan).groupBy("source", "source_size", "target").agg(*(F.sum(F.col("size") * copies(offset(k))).alias(f"take{k}") for k in range(offsets)))
-    rows_ = tried.select("source", "source_size", "target", *(f"take{k}" for k in range(offsets)), *(offset(k).alias(f"offset{k}") for k in range(offsets))).collect()
-    chosen = [(r["source"], r["source_size"], r["target"], min((abs(r[f"take{k}"] - r["target"]), k, r[f"offset{k}"]) for k in range(offsets))[2]) for r in rows_]
-    final = small(rows, chosen, "source string, source_size long, target double, offset double")
-    return with_plan(placed, final).select("id", "source", "size", "text_key", "source_size", "target", copies(F.col("offset")).cast("long").alias("copies"))
-
-
-def small(like: DataFrame, per_source: list[tuple], schema: str) -> DataFrame:
-    """A table of one row for each source, sent to all tasks up to BROADCAST_SOURCES rows."""
-    out = like.sparkSession.createDataFrame(per_source, schema)
-    return F.broadcast(out) if len(per_source) <= BROADCAST_SOURCES else out
-
-
-def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    return rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
+    copies = F.when(F.col("source_size") > 0, F.floor(F.col("place") * rate + F.col("offset")) - F.floor((F.col("place") - 1) * rate + F.col("offset"))).otherwise(0)
+    planned = ranked.alias("r").join(plan.alias("p"), null_safe("r", "p", ["source"]))
+    return planned.select("r.id", "r.source", "r.size", "r.text_key", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_copies: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -106,11 +109,12 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_copie
 
     Rows are joined to their plan by id, source and text hash, and rows that agree in all three by their number.
     """
-    keys = ["__id", "__source", "__text"]
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    id_, source, text, number, copies, copy = unused(docs, "id", "source", "text", "number", "copies", "copy")
+    keys = [id_, source, text]
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
     plan = plan_mix(docs, weights, max_copies, seed, id_col, text_col, source_col).where("copies > 0")
-    plan = plan.select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__text"), "copies").withColumn("__number", number)
-    rows = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col).cast("string"), "__text": F.xxhash64(F.col(text_col).cast("string"))}).withColumn("__number", number)
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in [*keys, "__number"]]
+    plan = plan.select(F.col(quoted(id_col)).alias(id_), F.col("source").alias(source), F.col("text_key").alias(text), F.col("copies").cast("int").alias(copies)).withColumn(number, order)
+    rows = docs.withColumns({id_: F.col(quoted(id_col)), source: F.col(quoted(source_col)).cast("string"), text: F.xxhash64(F.col(quoted(text_col)).cast("string"))}).withColumn(number, order)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in [*keys, number]]
     taken = rows.alias("r").join(plan.alias("p"), same)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("p.copies").cast("int")))).select(*(F.col(f"r.`{c}`") for c in docs.columns))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"r.{quoted(c)}") for c in docs.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import bounded_sample, small_batches, tidy
+from .common import bounded_sample, quoted, small_batches, tidy
 
 SLICE = 1 << 18
 
@@ -127,14 +127,14 @@ class ByteNetwork:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 4000, max_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> ByteNetwork:
     """A network from at most max_rows labelled documents of at most max_bytes."""
-    wanted = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.avg(label_col).alias("__y"))
-    wanted = bounded_sample(wanted, "__id", max_rows)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
+    wanted = labels.where(F.col(quoted(label_col)).isNotNull()).groupBy(F.col(quoted(id_col)).alias("labelled")).agg(F.avg(quoted(label_col)).alias("y"))
+    wanted = bounded_sample(wanted, ["labelled"], max_rows)
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary").alias("text")
     # wanted has max_rows rows at most, so it may be sent to every executor.
-    rows = docs.join(F.broadcast(wanted), F.col(id_col) == F.col("__id")).select("__id", text, "__y").where(F.octet_length("text") <= max_bytes)
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), text).join(F.broadcast(wanted), F.col("id") == F.col("labelled")).select("id", "text", "y").where(F.octet_length("text") <= max_bytes)
     # Repeated ids could bring more rows: the bound holds for rows too.
-    found = rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("text")).limit(max_rows).toPandas()
-    return ByteNetwork().fit([bytes(t) for t in found["text"]], found["__y"].to_numpy())
+    found = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(max_rows).toPandas()
+    return ByteNetwork().fit([bytes(t) for t in found["text"]], found["y"].to_numpy())
 
 
 def score_documents(docs: DataFrame, model: ByteNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

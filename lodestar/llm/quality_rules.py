@@ -1,6 +1,8 @@
 """Quality rules: counts of words, lines and symbols, and bands of zstandard compression ratios.
 
-Every text is read once, as a whole, where it lies: no shuffle. Null text counts as empty; empty text has no words and
+Bands have fixed outer limits, and least ratios by length that `fit_bands` takes from the documents themselves: prose of one
+length compresses alike, and lists, menus and text full of symbols compress better. Every text is read as a whole, where it
+lies; fitting reads all texts once before and shuffles a few bytes of each. Null text counts as empty; empty text has no words and
 so fails the base rule. Rows that repeat are judged one by one, alike. Other columns of the input pass through
 unchanged in `filter_quality` and are not read in `score_quality`.
 """
@@ -8,16 +10,17 @@ unchanged in `filter_quality` and are not read in `score_quality`.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import small_batches, tidy
+from .common import quoted, small_batches, tidy
 
 #: Bytes of documents looked at together; bounds the memory of a worker (a longer document is one slice).
 SLICE = 1 << 20
@@ -53,6 +56,11 @@ class Bands:
     chunk_two_byte: float = 0.53
     max_bad: float = 0.5
     level: int = 3
+    #: (length class, least ratio) from the corpus, see fit_bands; the larger of it and the fixed limit holds.
+    fitted: tuple[tuple[int, float], ...] = ()
+
+    def outer(self, size: int) -> tuple[int, float, float] | None:
+        return next((x for x in reversed(self.whole) if size >= x[0]), None)
 
 
 def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -95,17 +103,75 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def two_byte(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether most characters of each document take two bytes."""
+    return 2 * B.counts((data >= 0xC0) & (data < 0xE0), off) > B.counts((data & 0xC0) != 0x80, off)
+
+
+def length_class(size: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Quarter octaves of the length, apart by script: even for one-byte scripts, odd for two-byte ones."""
+    return np.floor(4 * np.log2(np.maximum(size, 1))).astype(np.int64) * 2 + two
+
+
+#: Ratios are counted in steps of 1 / RATIO_BINS.
+RATIO_BINS = 2048
+
+
+def limits(histogram: dict[int, tuple[np.ndarray, np.ndarray]], bands: Bands, spread: float, least: float, prior: float) -> tuple[tuple[int, float], ...]:
+    """(class, least ratio) from (ratios, counts) by class: median - max(spread x deviation, least), drawn towards the fixed limit
+    as if `prior` documents stood for it. The deviation is 1.4826 x the median distance from the median."""
+    median = lambda x, n: float(x[np.searchsorted(np.cumsum(n), n.sum() / 2)])
+    out = []
+    for c, (ratio, n) in sorted(histogram.items()):
+        order = np.argsort(ratio)
+        middle = median(ratio[order], n[order])
+        far = np.abs(ratio - middle)
+        order = np.argsort(far)
+        low = middle - max(spread * 1.4826 * median(far[order], n[order]), least)
+        fixed = bands.outer(int(2 ** ((c // 2 + 1) / 4)) - 1)
+        out.append((int(c), float((n.sum() * low + prior * (fixed[1] if fixed else 0.0)) / (n.sum() + prior))))
+    return tuple(out)
+
+
+def fit_bands(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text", spread: float = 4.5, least: float = 0.045, prior: float = 50.0) -> Bands:
+    """bands with least ratios by length class, from all documents that the fixed bands judge; equal texts count once.
+
+    What reaches the driver is a histogram: length classes x RATIO_BINS rows at most, however many documents there are.
+    """
+    rows = small_batches(docs).select(F.col(quoted(text_col)).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=bands.level)
+        for batch in batches:
+            data, off = B.column_bytes(batch.column(0))
+            raw, size = memoryview(data), np.diff(off)
+            judged = np.flatnonzero(size >= bands.whole[0][0])
+            ratio = [len(packer.compress(raw[off[i] : off[i + 1]])) / size[i] for i in judged]
+            bins = np.minimum(np.round(np.array(ratio, float) * RATIO_BINS), RATIO_BINS - 1).astype(np.int64)
+            classes = length_class(size, two_byte(data, off))[judged]
+            text = [xxhash.xxh3_64_intdigest(raw[off[i] : off[i + 1]]) for i in judged]
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(bins, pa.int64()), pa.array(np.array(text, np.uint64).view(np.int64))], ["class", "bin", "text"])
+
+    once = rows.mapInArrow(tidy(run), "class long, bin long, text long").distinct()
+    found = once.groupBy("class", "bin").count().collect()
+    histogram: dict[int, list[tuple[float, int]]] = {}
+    for r in found:
+        histogram.setdefault(r["class"], []).append((r["bin"] / RATIO_BINS, r["count"]))
+    return replace(bands, fitted=limits({c: tuple(map(np.array, zip(*x, strict=True))) for c, x in histogram.items()}, bands, spread, least, prior))
+
+
 def band_verdict(data: np.ndarray, off: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ratio of the whole, share of chunks outside their band, accepted) of each document."""
     n = len(off) - 1
     packer = zstandard.ZstdCompressor(level=bands.level)
     ratio, bad, ok = np.ones(n), np.zeros(n), np.ones(n, bool)
-    raw = memoryview(data)
-    two = 2 * B.counts((data >= 0xC0) & (data < 0xE0), off) > B.counts((data & 0xC0) != 0x80, off)
+    raw, fitted = memoryview(data), dict(bands.fitted)
+    two = two_byte(data, off)
+    classes = length_class(np.diff(off), two).tolist()
     for i in range(n):
         a, b = int(off[i]), int(off[i + 1])
         size = b - a
-        band = next((x for x in reversed(bands.whole) if size >= x[0]), None)
+        band = bands.outer(size)
         if band is None:
             continue
         ratio[i] = len(packer.compress(raw[a:b])) / size
@@ -121,7 +187,7 @@ def band_verdict(data: np.ndarray, off: np.ndarray, bands: Bands) -> tuple[np.nd
                 out += not low <= r <= high
             bad[i] = out / len(starts)
         most = min([band[2], *(x[1] for x in bands.two_byte if two[i] and size >= x[0])])
-        ok[i] = band[1] <= ratio[i] <= most and bad[i] <= bands.max_bad
+        ok[i] = max(band[1], fitted.get(classes[i], 0.0)) <= ratio[i] <= most and bad[i] <= bands.max_bad
     return ratio, bad, ok
 
 
@@ -140,11 +206,12 @@ def judge(column: pa.Array, bands: Bands) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in names}
 
 
-def score_quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: its id, counts, ratios and verdict."""
+def score_quality(docs: DataFrame, bands: Bands | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each input row: its id, counts, ratios and verdict; bands are fitted to docs if none are given."""
+    bands = bands or fit_bands(docs, text_col=text_col)
     kinds = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "ratio": "double", "bad_chunks": "double", "base_failed": "boolean", "kept": "boolean"}
     types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +222,9 @@ def score_quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id
     return out.withColumnRenamed("id", id_col)
 
 
-def filter_quality(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") -> DataFrame:
-    """The input rows that the rules keep, all columns as they were."""
+def filter_quality(docs: DataFrame, bands: Bands | None = None, text_col: str = "text") -> DataFrame:
+    """The input rows that the rules keep, all columns as they were; bands are fitted to docs if none are given."""
+    bands = bands or fit_bands(docs, text_col=text_col)
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,16 @@ from .common import table
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
-    cut = suffix_dedup.repeats(docs).select("tid", "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    cut = suffix_dedup.repeats(docs).select(
+        "tid",
+        "n_bytes",
+        length.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("n_kept"),
+        # What is left, as text: where a cut goes through a character, its bytes become U+FFFD.
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+    )
     rows = docs.select("doc_id", suffix_dedup.text_key("text").alias("tid"))
     return rows.join(cut, "tid").drop("tid")
 
@@ -30,7 +39,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    model = quality_cnn.fit_quality(docs.select("doc_id", "text"), labels.where(~held_out))
+    model = quality_cnn.fit_quality(docs, labels.where(~held_out))
     scored = quality_cnn.score_documents(docs, model)
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
@@ -134,15 +143,11 @@ cells AS (
     ('0x' || substr(md5('7:' || doc_id), 1, 8))::BIGINT % greatest(16, (SELECT count(*) FROM sized) // 20000) AS block
   FROM sized),
 placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size_class, block, size, doc_id) AS place FROM cells),
-tried AS (
-  SELECT p.source, k, u, t.target, sum(size * (CASE WHEN n > 0 THEN floor(place * (target / n) + u) - floor((place - 1) * (target / n) + u) ELSE 0 END)::BIGINT)::BIGINT AS take
-  FROM placed p JOIN plan t ON p.source IS NOT DISTINCT FROM t.source, (
-    SELECT source AS s, k, ('0x' || substr(md5('offset 7:' || k || ':' || coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM totals, range(16) r(k)) o
-  WHERE p.source IS NOT DISTINCT FROM o.s GROUP BY 1, 2, 3, 4),
-chosen AS (SELECT source, u FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(take - target), k) = 1)
+started AS (
+  SELECT *, ('0x' || substr(md5('offset 7:' || coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM plan)
 SELECT doc_id, size, n AS source_size, target,
   size * (CASE WHEN n > 0 THEN floor(place * (target / n) + u) - floor((place - 1) * (target / n) + u) ELSE 0 END)::BIGINT AS taken
-FROM placed p JOIN plan t ON p.source IS NOT DISTINCT FROM t.source JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source"""
+FROM placed p JOIN started t ON p.source IS NOT DISTINCT FROM t.source"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,7 +24,6 @@ gives an empty result. Long texts are read in overlapping pieces of SLICE bytes.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import MADE, drop, materialize, scratch_dir, small_batches, tidy
+from .common import drop, materialize, quoted, small_batches, tidy, unused
 
 SLICE = 1 << 19
 SHARD = 1 << 20
@@ -302,16 +301,6 @@ def lot_spans(data: np.ndarray, off: np.ndarray, origin: np.ndarray, length: int
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def _write_bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
-    """df as a table bucketed by key, with as many buckets as shuffle partitions: later joins by key don't shuffle it."""
-    spark = df.sparkSession
-    name, n = f"lodestar_{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{scratch_dir(spark)}/{name}"
-    df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
-    MADE.append(path)
-    return spark.table(name)
-
-
 ITEM = "h long, c long, place long, lo long, left long, at long, first long, last long, bytes binary"
 
 
@@ -485,7 +474,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_key(column: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))))
+    return F.unhex(F.md5(F.coalesce(F.col(quoted(column)).cast("string"), F.lit(""))))
 
 
 def repeats(docs: DataFrame, length: int = 400, k: int | None = None, group_cap: int = 4096, whole_chars: bool = False, text_col: str = "text") -> DataFrame:
@@ -494,8 +483,9 @@ def repeats(docs: DataFrame, length: int = 400, k: int | None = None, group_cap:
     whole_chars shrinks spans to whole characters, so that kept is UTF-8.
     """
     k = k or length * 2 // 5
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = _write_bucketed(small_batches(docs).select(text_key(text_col).alias("tid"), text.alias("text")).groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "tid", "texts")
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    named = small_batches(docs).select(text_key(text_col).alias("tid"), text.alias("text"))
+    texts = materialize(named.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts", "tid")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -567,9 +557,11 @@ def repeats(docs: DataFrame, length: int = 400, k: int | None = None, group_cap:
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The input rows with the text that is left, in whole characters; chars_col, if there is one, counts it anew."""
-    kept = repeats(docs, length, whole_chars=True, text_col=text_col).select(F.col("tid").alias("__tid"), F.decode("kept", "UTF-8").alias("__kept"), (F.size("spans") > 0).alias("__cut"))
-    rows = docs.withColumn("__tid", text_key(text_col)).withColumn("__null", F.col(text_col).isNull()).drop(text_col)
-    new = {text_col: F.when(~F.col("__null"), F.col("__kept"))}
+    tid, null, left, cut = unused(docs, "tid", "null", "left", "cut")
+    kept = repeats(docs, length, whole_chars=True, text_col=text_col).select(F.col("tid").alias(tid), F.decode("kept", "UTF-8").alias(left), (F.size("spans") > 0).alias(cut))
+    rows = docs.withColumn(tid, text_key(text_col)).withColumn(null, F.col(quoted(text_col)).isNull()).drop(text_col)
+    new = {text_col: F.when(~F.col(null), F.col(left))}
     if chars_col in docs.columns:
-        new[chars_col] = F.when(F.col("__cut"), F.length("__kept")).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
-    return rows.join(kept, "__tid").withColumns(new).select(*(F.col(f"`{c}`") for c in docs.columns))
+        new[chars_col] = F.when(F.col(cut), F.length(left)).otherwise(F.col(quoted(chars_col))).cast(docs.schema[chars_col].dataType)
+    columns = [new[c].alias(c) if c in new else F.col(quoted(c)) for c in docs.columns]
+    return rows.join(kept, tid).select(*columns)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+import zstandard
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, chat_format, components, embedding_dedup, kd_sharding, minhash, mixing, quality_cnn, quality_rules, suffix_dedup, url_filter
@@ -209,10 +210,49 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
 
 
-def test_segments_count_whole():
-    keys = [url_filter.keys_of(f"https://www.example.com/a-common-beginning-{x}/page")[2] for x in ("one", "two")]
-    assert keys == ["a-common-beginning-one", "a-common-beginning-two"]
-    assert url_filter.keys_of("http://example.com/index?a=/b#c")[2] == "index" and url_filter.keys_of("http://example.com")[2] == ""
+def test_keys_and_features_against_plain_code():
+    urls = [f"https://www.example.com/a-common-beginning-{x}/page" for x in ("one", "two")]
+    urls += ["http://Example.COM/index?a=/b#c", "http://example.com", "", "no scheme/at.all?x=1&y=2", "a://b.c/D%20é/ñ?k=ü&m", "x://?q=1", "https://h/p//q/#f/?=", "s://a.b.c.d", "1://a\n.b/c\nd", "://", "https://日本.jp/道?値=1"]
+    last, two, segment = (k.to_pylist() for k in url_filter.url_keys(pa.array(urls)))
+    assert segment[:2] == ["a-common-beginning-one", "a-common-beginning-two"] and segment[2] == "index" and segment[3] == ""
+    x = url_filter.features(pa.array(urls), [np.full(len(urls), v) for v in (0.1, 0.2, 0.3)])
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = regex.split("[/?#]", rest)[0]
+        labels = host.lower().split(".")
+        assert (last[i], two[i]) == (labels[-1], ".".join(labels[-2:]))
+        path = regex.split("[?#]", rest[len(host) :])[0]
+        assert segment[i] == (path[1:].split("/")[0] if path[:1] == "/" else "")
+        raw = u.encode()
+        n, query = max(len(raw), 1), rest[len(host) + len(path) :]
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(raw).values())
+        want = [len(raw), len(host.encode()), host.count("."), len(path.encode()), path.count("/"), sum(c in b"0123456789" for c in raw) / n, entropy, query.count("=") + query.count("&"), u.count("-"), sum(65 <= c < 91 for c in raw) / n, u.count("%"), u.startswith("https://"), 0.1, 0.2, 0.3]
+        assert np.allclose(x[i], want, atol=1e-5), u
+    assert url_filter.features(pa.array([], pa.string()), [np.zeros(0)] * 3).shape == (0, 15)
+
+
+def test_few_urls_of_very_many_rows_give_both_verdicts(spark):
+    """Rows are sampled by id and URL, so that a URL with a third of all rows is neither in nor out as a whole."""
+    urls = ["https://a.net/x", "https://b.example.net/en/y", "http://c.example.com/de/1", "https://d.org/fr/2"]
+    pages = spark.range(120_000).select(F.col("id").alias("page_id"), F.element_at(F.lit(urls), (F.col("id") % 4 + 1).cast("int")).alias("url"))
+    labelled = pages.select(F.col("page_id").alias("id"), "url", (F.col("page_id") % 4).isin(0, 2).alias("block"))
+    model = url_filter.fit_urls(labelled, 2000)
+    assert model.trees.trees and abs(model.prior - 0.5) < 1e-6
+    assert (model.score(urls) >= 0.5).tolist() == [True, False, True, False]
+    rare = labelled.withColumn("block", F.col("id") == 7)
+    model = url_filter.fit_urls(rare, 2000)
+    assert model.trees.trees and abs(model.prior - 1 / 120_000) < 1e-8
+    got = url_filter.filter_urls(pages, URL_RULES)
+    assert {r["verdict"] for r in got.select("verdict").distinct().collect()} == {"allow", "block"}
+
+
+def test_suffix_rates_come_from_other_folds():
+    """Labels by chance, each URL with a host and segment of its own: rates that leaked the label would be learnt by heart."""
+    r = random.Random(1)
+    urls = [f"http://h{i % 700}.t{i % 350}/s{i % 900}" for i in range(1400)]
+    y = np.array([r.random() < 0.5 for _ in urls], float)
+    model = url_filter.UrlModel(urls[:700], y[:700])
+    assert ((model.score(urls[:700]) >= 0.5) == y[:700]).mean() < 0.85
 
 
 def test_trees_learn_held_out_urls():
@@ -307,6 +347,41 @@ def test_default_bands_reject_noise_of_every_length():
     assert quality_rules.judge(pa.array(prosaic), quality_rules.Bands())["kept"].all()
 
 
+def test_fitted_bands_against_plain_code(spark):
+    r = random.Random(31)
+    texts = [prose(r, r.randint(60, 1200)) for _ in range(300)]
+    marks = ["###", "$$$", "%%%", "&&&"]
+    junk = [" ".join(w + r.choice(marks) for w in prose(r, n).split()) for n in (400, 500, 600, 700)]
+    rows = [*texts, *texts[:100], texts[7] * 1, None, "", "short", *junk]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(rows)], "doc_id long, text string, __id int")
+    bands = quality_rules.fit_bands(docs)
+    by: dict[int, list[float]] = {}
+    packer = zstandard.ZstdCompressor(level=3)
+    for t in {(t or "").encode() for t in rows}:
+        if len(t) >= 128:
+            by.setdefault(math.floor(4 * math.log2(len(t))) * 2, []).append(round(len(packer.compress(t)) / len(t) * 2048) / 2048)
+    assert set(dict(bands.fitted)) == set(by)
+    for c, low in bands.fitted:
+        x = sorted(by[c])
+        middle = x[math.ceil(len(x) / 2) - 1]
+        far = sorted(abs(v - middle) for v in x)
+        fixed = bands.outer(int(2 ** ((c // 2 + 1) / 4)) - 1)[1]
+        cut = middle - max(4.5 * 1.4826 * far[math.ceil(len(x) / 2) - 1], 0.045)
+        assert low == pytest.approx((len(x) * cut + 50 * fixed) / (len(x) + 50))
+    # The verdict follows from ratio, chunks and limits.
+    for row in quality_rules.score_quality(docs, bands).collect():
+        t = (rows[row["doc_id"]] or "").encode()
+        if len(t) < 128:
+            continue
+        ratio = len(packer.compress(t)) / len(t)
+        starts = list(range(0, len(t) - 2047, 2048)) + ([len(t) - 2048] if len(t) > 2048 and len(t) % 2048 else [])
+        bad = [not 0.2 <= len(packer.compress(t[k : k + 2048])) / 2048 <= 0.68 for k in starts]
+        outer = bands.outer(len(t))
+        low = max(outer[1], dict(bands.fitted)[math.floor(4 * math.log2(len(t))) * 2])
+        ok = low <= ratio <= outer[2] and (sum(bad) / len(bad) if bad else 0) <= 0.5
+        assert row["ratio"] == pytest.approx(ratio) and row["kept"] == (ok and not row["base_failed"])
+
+
 def test_chunks_from_one_on_and_tail():
     r = random.Random(6)
     flat, noise = "ab " * 3000, "".join(chr(r.randrange(33, 127)) for _ in range(3000))
@@ -470,11 +545,29 @@ def test_added_conversation(spark):
 # Mixing
 
 
-def test_targets():
-    assert mixing.targets([("a", 100), ("b", 100), (None, 100)], (5, 2, 1), 3) == [("a", 100, 187.5), ("b", 100, 75.0), (None, 100, 37.5)]
-    got = mixing.targets([("a", 10), ("b", 1000), ("c", 0), (None, 500)], (5, 2, 1), 3)
+def test_targets(spark):
+    def plan(sizes, weights, most):
+        rows = mixing.targets(spark.createDataFrame(sizes, "source string, size long"), weights, most).collect()
+        return sorted(((r["source"], r["source_size"], r["target"]) for r in rows), key=lambda x: (x[0] is None, x[0]))
+
+    assert plan([("a", 100), ("b", 100), (None, 100)], (5, 2, 1), 3) == [("a", 100, 187.5), ("b", 100, 75.0), (None, 100, 37.5)]
+    got = plan([("a", 10), ("b", 1000), ("c", 0), (None, 500)], (5, 2, 1), 3)
     assert [t for *_, t in got] == pytest.approx([30.0, (1510 - 30) * 2 / 7, 0.0, (1510 - 30) * 5 / 7])
-    assert mixing.targets([], (1,), 3) == [] and mixing.targets([("a", 0)], (1,), 3) == [("a", 0, 0.0)]
+    assert plan([], (1,), 3) == [] and plan([("a", 0)], (1,), 3) == [("a", 0, 0.0)]
+    # Many sources, against filling up step by step.
+    r = random.Random(12)
+    sizes = [(f"s{i:03}", r.choice([0, 1, 5, 50, 400, 3000])) for i in range(200)]
+    weight = {s: (5, 2, 1)[i % 3] for i, (s, _) in enumerate(sizes)}
+    capped: dict[str, float] = {}
+    while True:
+        level = (sum(n for _, n in sizes) - sum(capped.values())) / sum(w for s, w in weight.items() if s not in capped)
+        over = {s: 3.0 * n for s, n in sizes if s not in capped and level * weight[s] > 3 * n}
+        if not over:
+            break
+        capped |= over
+    want = [(s, n, capped.get(s, level * weight[s])) for s, n in sizes]
+    got = plan(sizes, (5, 2, 1), 3)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
 def test_mix(docs, empty):
