@@ -6,6 +6,7 @@ All stages but the last return the columns of documents. Documents keep their id
 from __future__ import annotations
 
 import functools
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,14 @@ from lodestar.llm.common import MADE, drop, materialize
 from lodestar.llm.queries import vocabulary_path
 
 
-_left: list[str] = []
+class _Left(threading.local):
+    """Scratch tables of the stage before, in this thread."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_left = _Left()
 
 
 def stage(f):
@@ -22,10 +30,10 @@ def stage(f):
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop(spark, *_left)
-        before = set(MADE)
+        drop(spark, *_left.paths)
+        before = set(MADE.tables)
         out = f(spark, docs, sf_dir)
-        _left[:] = [p for p in MADE if p not in before]
+        _left.paths = [p for p in MADE.tables if p not in before]
         return out
 
     return run_stage
