@@ -3,14 +3,17 @@
 Encoding. A pre-token's BPE sequence is the only one in which each neighbouring pair of tokens is stable, that is, BPE
 leaves the pair's joined bytes as that pair. So each prefix has one last token, found from the prefixes that end at most
 one token's length before: the transducer reads byte by byte and keeps these states for the last `lookahead` positions
-only, where `lookahead` is computed from the merge list as the length of its longest token. Every later token begins at
-one of the kept positions, so a token that lies on the paths of all of them is stable: it is emitted and forgotten.
-Memory follows the lookahead and not the pre-token's length.
+only, where `lookahead` is computed from the merge list as the length of the longest token that its merges really make. Every
+later token begins at one of the kept positions, so a token that lies on the paths of all of them is stable: it is emitted
+and forgotten. Memory follows the lookahead and not the pre-token's length. All pre-tokens go through this one transducer; it
+remembers transitions from the beginning of a pre-token, as many begin alike, and the tokens of frequent short pre-tokens, both
+in tables of fixed size.
 
 Decoding. Tokens give bytes; an incremental UTF-8 machine carries an unfinished character to the next block and puts
 U+FFFD for what isn't UTF-8.
 
 Special tokens of the vocabulary file are found in the text first, as the tokenizers library does by default.
+A vocabulary file with settings that this encoder doesn't have is refused with a ValueError.
 Null text counts as empty and gives no tokens. Rows that repeat are encoded one by one. Whole texts are read, in blocks cut
 before single spaces between other characters, where the pattern always ends a pre-token.
 """
@@ -28,13 +31,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, small_batches, tidy
+from .common import KEPT, quoted, small_batches, tidy
 
 #: How text is cut before the merges of byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1 << 15
-#: At most so many token pairs known to be stable or not, and states of prefixes, are kept besides words.
+#: At most so many token pairs known to be stable or not, and transitions from a pre-token's beginning, are remembered.
 KEPT_STATES = 1 << 18
+#: Transitions are remembered for so many bytes from a pre-token's beginning, and tokens of pre-tokens of so many bytes at most.
+REMEMBERED = 64
 #: Bytes of results sent to the JVM together.
 OUT_BYTES = 1 << 21
 
@@ -46,10 +51,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def supported(spec: dict) -> None:
+    """Raise for settings of a vocabulary file under which the library would encode otherwise than this module."""
+    model, split, back = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    wrong = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [] if model.get("type", "BPE") == "BPE" else ["model type"]
+    wrong += ["normalizer"] if spec.get("normalizer") else []
+    wrong += [] if split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) else ["pre_tokenizer"]
+    wrong += [] if back.get("type") == "ByteLevel" else ["decoder"]
+    wrong += [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if wrong:
+        raise ValueError(f"vocabulary settings not supported: {', '.join(wrong)}")
+
+
 class Transducer:
     def __init__(self, vocabulary: bytes, cache_words: int = 1 << 15):
         self.cache_words, self.cache_states = cache_words, min(2 * cache_words, KEPT_STATES)
         spec = json.loads(vocabulary)
+        supported(spec)
         alphabet = byte_alphabet()
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
         ids = spec["model"]["vocab"]
@@ -69,7 +88,8 @@ class Transducer:
         self.sizes = [len(x) for x in self.text]
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.text))]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.lookahead = max(map(len, self.token))
+        made = sorted({new for _, new in self.merge.values()}, key=lambda t: -len(self.text[t]))
+        self.lookahead = next((len(self.text[t]) for t in made if self.whole(t)), 1)
         self.pieces = regex.compile(PATTERN)
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
         # By last byte and room before it: token lengths, longest first.
@@ -139,87 +159,70 @@ class Transducer:
             else:
                 until, right = b[0], b[1]
 
-    def stream(self, data: bytes) -> Iterator[int]:
-        """The tokens of one pre-token, each as soon as no later byte can change it."""
-        last = {0: (-1, 0)}  # position: last token of the prefix that ends there, its begin
-        emitted, check, reach = 0, 2 * self.lookahead, self.lookahead
-        lengths, token, fits, stable = self.lengths, self.token.get, self.fits, self.stable.get
-        for end in range(1, len(data) + 1):
-            room = end - emitted
-            for n in lengths[data[end - 1]][room if room < reach else reach]:
-                begin = end - n
-                t = token(data[begin:end])
-                if t is None or begin not in last:
-                    continue
-                left = last[begin][0]
-                good = stable(left << 32 | t)
-                if good or good is None and fits(left, t):
-                    last[end] = (t, begin)
-                    break
-            if end == check:
-                check += self.lookahead
-                heads = set(range(end - self.lookahead + 1, end + 1)) & last.keys()
-                while len(heads) > 1:
-                    top = max(heads)
-                    heads.remove(top)
-                    heads.add(last[top][1])
-                root = heads.pop()
-                if root > emitted:
-                    yield from self.path(last, root, emitted)
-                    emitted = root
-                for at in [p for p in last if p < root]:
-                    del last[at]
-        yield from self.path(last, len(data), emitted)
-
-    def short(self, data: bytes) -> bytes:
-        """The ids of a pre-token that ends before any of its tokens could be emitted early.
-
-        The state after a prefix is its last token; states are kept between pre-tokens, which share many prefixes.
-        """
+    def stream(self, data: bytes) -> Iterator[bytes]:
+        """The tokens of one pre-token as packed ids, each as soon as no later byte can change it."""
         states, n, lengths, tails, token, fits, stable = self.states, len(data), self.lengths, self.tails.get, self.token.get, self.fits, self.stable.get
         if len(states) >= self.cache_states:
             states.clear()
-        known = n
+        known = min(n, REMEMBERED)
         while known and data[:known] not in states:
             known -= 1
+        begun = 0  # tokens up to here are out
+        last = [-1, *(states[data[:k]] for k in range(1, known + 1))]  # last token of each prefix that ends at begun or later
+        check = begun + 2 * self.lookahead
         for end in range(known + 1, n + 1):
             for size in end > 2 and tails(data[end - 3 : end]) or lengths[data[end - 1]][end if end < 3 else 2]:
                 begin = end - size
-                if begin < 0:
+                if begin < begun:
                     continue
                 t = token(data[begin:end])
                 if t is None:
                     continue
-                left = states[data[:begin]] if begin else -1
+                left = last[begin - begun]
                 good = stable(left << 32 | t)
                 if good or good is None and fits(left, t):
-                    states[data[:end]] = t
+                    last.append(t)
+                    if end <= REMEMBERED:
+                        states[data[:end]] = t
                     break
+            if end >= check:
+                root = self.agreed(last, begun, end)
+                if root > begun:
+                    yield self.path(last, begun, root)
+                    del last[: root - begun]
+                    begun = root
+                check = end + self.lookahead
+        yield self.path(last, begun, n)
+
+    def agreed(self, last: list[int], begun: int, end: int) -> int:
+        """The last position on the paths of all prefixes at which a later token can begin."""
+        sizes = self.sizes
+        heads = set(range(max(begun, end - self.lookahead + 1), end + 1))
+        while len(heads) > 1:
+            top = max(heads)
+            heads.remove(top)
+            heads.add(top - sizes[last[top - begun]])
+        return heads.pop()
+
+    def path(self, last: list[int], begun: int, end: int) -> bytes:
         out, packed, sizes = [], self.packed, self.sizes
-        while n:
-            t = states[data[:n]]
+        while end > begun:
+            t = last[end - begun]
             out.append(packed[t])
-            n -= sizes[t]
+            end -= sizes[t]
         return b"".join(out[::-1])
 
-    @staticmethod
-    def path(last: dict[int, tuple[int, int]], end: int, begin: int) -> list[int]:
-        out = []
-        while end > begin:
-            t, end = last[end]
-            out.append(t)
-        return out[::-1]
-
     def word(self, word: str) -> bytes:
         got = self.older.get(word)
         if got is None:
             data = word.encode()
-            got = self.short(data) if len(data) <= 64 else np.fromiter(self.stream(data), "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self.known) >= self.cache_words:
-                self.older = dict(self.known)
-                self.known.clear()
-            self.known[word] = got
+            got = b"".join(self.stream(data))
+            if len(data) > REMEMBERED:
+                return got
+        if len(self.known) >= self.cache_words:
+            self.older = dict(self.known)
+            self.known.clear()
+        self.known[word] = got
         return got
 
     def blocks(self, text: str) -> Iterator[str]:
@@ -249,9 +252,8 @@ class Transducer:
 
     def decode(self, ids: bytes) -> str:
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        tokens = np.frombuffer(ids, "<u4").tolist()
-        text = self.text
-        parts = [machine.decode(b"".join([text[t] for t in tokens[a : a + BLOCK]])) for a in range(0, len(tokens), BLOCK)]
+        tokens, text = np.frombuffer(ids, "<u4"), self.text
+        parts = [machine.decode(b"".join([text[t] for t in tokens[a : a + BLOCK].tolist()])) for a in range(0, len(tokens), BLOCK)]
         return "".join([*parts, machine.decode(b"", True)])
 
 
@@ -276,7 +278,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """
     with open(vocabulary_path, "rb") as f:
         vocabulary = f.read()
-    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = transducer(vocabulary, cache_words)

@@ -114,8 +114,8 @@ def sketch(column: pa.Array, width: int, bands: int, rows: int) -> dict[str, np.
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    text = F.col(quoted(text_col)).cast("string")
+    source = small_batches(docs).select(F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +132,9 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, th
     member = pairs.join(sizes, "a").select(F.col("b").alias("node"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     leads = sizes.select(F.col("a").alias("node"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = member.unionByName(leads).join(nodes.select(F.col("id").alias("node"), "text_key"), "node")
-    text = F.col(text_col).cast("string")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    texts = texts.groupBy("node", "text_key").agg(F.first("text").alias("text"))
+    text = F.col(quoted(text_col)).cast("string")
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("node"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    texts = texts.join(wanted.select("node", "text_key").distinct(), ["node", "text_key"], "left_semi").groupBy("node", "text_key").agg(F.first("text").alias("text"))
     met = wanted.join(texts, ["node", "text_key"]).select("leader", "salt", "role", "node", "text")
     met = met.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role", "node")
 
@@ -169,9 +169,9 @@ def across(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int, th
     2 x tile visitors. An inverted index over a tile's residents gives a visitor's exact intersections with all of them;
     a tile returns a spanning forest of the components that it links.
     """
-    text = F.col(text_col).cast("string")
+    text = F.col(quoted(text_col)).cast("string")
     wanted = members.select("id").distinct().join(nodes.select("id", "text_key"), "id")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     texts = texts.join(wanted, ["id", "text_key"], "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     sized = members.withColumns({"parts": F.ceil(F.col("n") / tile).cast("int"), "guests": F.ceil(F.col("n") / (2 * tile)).cast("int")})
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -231,4 +231,6 @@ def filter_quality(docs: DataFrame, bands: Bands | None = None, text_col: str =
         for batch in batches:
             yield batch.filter(pa.array(judge(batch.column(where), bands)["kept"].astype(bool)))
 
-    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
+    # Numbered columns meanwhile: any names go.
+    plain = small_batches(docs).toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*docs.columns)

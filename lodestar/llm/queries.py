@@ -94,7 +94,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path(), cache_words=1 << 19)
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path(), cache_words=1 << 17)
     return coded.select(
         "doc_id",
         (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"),

@@ -38,7 +38,7 @@ from .common import drop, materialize, quoted, small_batches, tidy, unused
 
 SLICE = 1 << 19
 SHARD = 1 << 20
-#: At most so many anchors are named to all tasks as frequent.
+#: An anchor with this share of all rows is frequent.
 HOT_ANCHORS = 4096
 U = np.uint64
 
@@ -496,31 +496,31 @@ def repeats(docs: DataFrame, length: int = 400, k: int | None = None, group_cap:
                 yield pa.RecordBatch.from_arrays([tid, pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n, pa.int64()), pa.array(left, pa.int64())], ["tid", "lo", "hi", "h", "c", "n", "left"])
 
     found = materialize(texts.select("tid", "text").mapInArrow(tidy(find), "tid binary, lo long, hi long, h long, c long, n long, left long"), "anchors")
-    # Anchors with more rows than a HOT_ANCHORS-th of all are dealt over several tasks; there are HOT_ANCHORS of them at most.
     again = materialize(found.where("n > 0").groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1").select("h", "rows"), "again")
-    share = F.ceil(F.col("rows") / F.lit(max(1, found.count() // HOT_ANCHORS))).cast("int")
-    hot = F.broadcast(again.withColumn("parts", share).where("parts > 1").select("h", "parts"))
-    place = F.coalesce(F.pmod(F.xxhash64("tid", "lo"), F.col("parts")), F.lit(0)).cast("int")
-    dealt = found.where("n > 0").join(hot, "h", "left").withColumn("part", place).drop("parts")
-    wanted = again.select("h", F.explode(F.sequence(F.lit(0), share - 1)).alias("part"))
-    met = materialize(dealt.join(wanted, ["h", "part"], "left_semi").drop("part"), "met")
-    kinds = met.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "lo", "hi", "left")).alias("one"))
-    kinds = materialize(kinds, "kinds")
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    grouped = materialize(kinds.join(groups, "h", "left"), "grouped")
+    # Frequent anchors are dealt over several tasks. Their names reach the driver: at most HOT_ANCHORS, as each has that share of all rows.
+    least = found.count() // HOT_ANCHORS + 1
+    hot = {r["h"]: r["rows"] for r in again.where(F.col("rows") >= least).collect()}
+    many = lambda times: F.col("h").isin([h for h, n in hot.items() if n >= times * least])
+    parts = F.when(many(64), 1024).when(many(1), 32).otherwise(1) if hot else F.lit(1)
+    dealt = lambda df, by: df.withColumn("part", F.pmod(F.xxhash64(*by), parts).cast("int"))
+    every = lambda df: df.select("h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    met = materialize(dealt(found.where("n > 0"), ["tid", "lo"]).join(every(again), ["h", "part"], "left_semi").drop("part"), "met")
+    kinds = materialize(met.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "lo", "hi", "left")).alias("one")), "kinds")
+    several = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h"), "several")
+    unlike = dealt(kinds, ["c"]).join(every(several), ["h", "part"], "left_semi")
 
     cut = F.expr("substring(encode(text, 'UTF-8'), cast(one.lo + 1 as int), cast(one.hi - one.lo as int))")
-    contexts = grouped.where("kinds IS NOT NULL").withColumn("tid", F.col("one.tid")).join(texts.select("tid", "text"), "tid")
+    contexts = unlike.withColumn("tid", F.col("one.tid")).join(texts.select("tid", "text"), "tid")
     contexts = contexts.select("h", "c", F.expr("xxhash64(one.tid)").alias("place"), F.col("one.lo").alias("lo"), F.col("one.left").alias("left"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("first"), F.lit(length - k).cast("long").alias("last"), cut.alias("bytes"))
     contexts = materialize(contexts, "contexts")
     wide = (length - k) // 4 + 1
     inner = settle(contexts, length, group_cap, [wide, MOST_AROUND + 1] if wide > MOST_AROUND + 1 else [wide])
-    whole = grouped.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
+    whole = kinds.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
     hits = materialize(inner.unionByName(whole), "hits")
     spans = met.join(hits, ["h", "c"]).select("tid", (F.col("lo") + F.col("s")).alias("lo"), F.coalesce(F.col("lo") + F.col("e"), F.col("hi")).alias("hi"))
     spans = spans.unionByName(found.where("n = 0").select("tid", "lo", "hi"))
     spans = materialize(spans.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    drop(docs.sparkSession, found, again, met, kinds, grouped, contexts, hits)
+    drop(docs.sparkSession, found, again, met, kinds, several, contexts, hits)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,10 @@
 """Corpus operators against brute force and on awkward rows."""
 
 import hashlib
+import heapq
+import json
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -13,7 +16,7 @@ import regex
 import zstandard
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat_format, components, embedding_dedup, kd_sharding, minhash, mixing, quality_cnn, quality_rules, suffix_dedup, url_filter
+from lodestar.llm import bpe, chat_format, common, components, embedding_dedup, kd_sharding, minhash, mixing, quality_cnn, quality_rules, suffix_dedup, url_filter
 from lodestar.llm import bytetext as B
 from lodestar.llm.queries import URL_RULES, op7_chat_format, vocabulary_path
 
@@ -428,11 +431,53 @@ def test_embeddings_against_brute_force(spark):
     assert [x["n_links"] for x in embedding_dedup.link_embeddings(df.where("embedding IS NULL")).collect()] == [0]
 
 
-def test_multi_sequence_is_ordered():
+def test_every_length_has_its_links(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0]), (4, [5.0]), (5, [-1.0]), (6, [1.0, 0.0, 0.0]), (7, [1.0, 0.01, 0.0]), (8, [0.5] * 4), (9, [0.0]), (10, None)]
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8), 9: (0, 9), 10: (0, 10)}
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.9])
+def test_recall_over_a_grid_of_cells(spark, monkeypatch, spread):
+    """Links of cosine 0.95 and a little above, the hardest, in 64 dimensions over a grid of 16 x 16 cells; spread out or in clusters."""
+    r = np.random.RandomState(9)
+    centre = r.normal(size=(30, 64))[r.randint(30, size=2000)] * spread
+    base = centre + r.normal(size=(2000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = r.normal(size=base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = r.uniform(0.94, 0.97, (len(base), 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side]).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    codes = []
+    fit = embedding_dedup.MultiIndex.__init__
+    monkeypatch.setattr(embedding_dedup.MultiIndex, "__init__", lambda self, sample, k, *args: (codes.append(k), fit(self, sample, k, *args))[1])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r_["vec_id"]: r_["n_links"] for r_ in embedding_dedup.link_embeddings(df, per_cell=16).collect()}
+    assert codes == [16] and near.sum() > 1000
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.95 * near.sum()
+
+
+def test_multi_sequence_against_the_traversal():
     r = np.random.RandomState(2)
-    a, b = r.rand(6), r.rand(5)
-    want = sorted((a[i] + b[j], i, j) for i in range(6) for j in range(5))
-    assert [a[i] + b[j] for i, j in embedding_dedup.multi_sequence(a, b, 30)] == [x[0] for x in want]
+    a, b = r.rand(20, 9), r.rand(20, 9)
+    for n in (1, 2, 7, 30, 81):
+        got = embedding_dedup.multi_sequence(a, b, n)
+        for row in range(20):
+            x, y = np.argsort(a[row]), np.argsort(b[row])
+            heap, seen, want = [(a[row, x[0]] + b[row, y[0]], 0, 0)], {(0, 0)}, []
+            while heap and len(want) < n:
+                _, i, j = heapq.heappop(heap)
+                want.append(x[i] * 9 + y[j])
+                for p, q in ((i + 1, j), (i, j + 1)):
+                    if p < 9 and q < 9 and (p, q) not in seen:
+                        seen.add((p, q))
+                        heapq.heappush(heap, (a[row, x[p]] + b[row, y[q]], p, q))
+            assert got[row].tolist() == want
 
 
 def test_components(spark):
@@ -655,3 +700,64 @@ def test_words_and_hashes():
     h = B.span_hashes(data, np.array([0, 2]), np.array([1, 3]))
     assert h[0] != h[1] and B.span_hashes(np.frombuffer(b"xxabxxxab", np.uint8), np.array([2, 7]), np.array([4, 9])).ptp() == 0 if hasattr(h, "ptp") else True
     assert list(B.slices(np.array([0, 5, 100, 101, 102]), 10)) == [(0, 1), (1, 2), (2, 4)]
+
+
+# What they share
+
+
+CLASHES = ["__tid", "__kept", "__cut", "__null", "__left", "__ID", "__text", "__number", "__source", "__copies", "__copy", "tid", "size", "text_key", "copies", "a.b", "spans"]
+
+
+def test_clashing_columns_pass_through(docs):
+    wide = docs.withColumns({c: F.concat(F.lit(c + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHES})
+    own = [c for c in docs.columns if c not in CLASHES]
+    narrow = {"remove": suffix_dedup.remove_repeats, "near": minhash.drop_near_duplicates, "mix": mixing.mix_documents, "rules": quality_rules.filter_quality}
+    for name, operator in narrow.items():
+        got = operator(wide)
+        assert got.columns == wide.columns, name
+        rows = [r.asDict() for r in got.collect()]
+        assert rows and all(r[c] == f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in CLASHES), name
+        plain = Counter(str([r[c] for c in own]) for r in operator(docs).collect())
+        assert Counter(str([r[c] for c in own]) for r in rows) == plain, name
+    labels = wide.select("doc_id", (F.col("doc_id") % 2).alias("quality"), F.lit(1).alias("__id"), F.lit(1).alias("id"))
+    a, b = (quality_cnn.fit_quality(d, x, max_rows=20) for d, x in ((wide, labels), (docs, labels.select("doc_id", "quality"))))
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+
+
+def test_scratch_tables_go(spark, docs):
+    made = common.materialize(docs, "a-table", "doc_id")
+    path, name = made._scratch, common.MADE.tables[made._scratch]
+    assert spark.catalog.tableExists(name) and made.count() == docs.count()
+    common.drop(spark, made)
+    assert not spark.catalog.tableExists(name) and path not in common.MADE.tables
+    kept = common.materialize(docs, "other")
+    common.drop_all(spark)
+    assert not common.MADE.tables and not os.path.exists(kept._scratch)
+
+
+def test_scratch_needs_a_shared_folder_on_clusters(monkeypatch):
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        applicationId, master = "app", "spark://host:7077"
+        getConf = staticmethod(lambda: Conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_dir(Session)
+    Context.getCheckpointDir = staticmethod(lambda: "hdfs://shared/x/")
+    assert common.scratch_dir(Session) == "hdfs://shared/x/lodestar-app"
+
+
+def test_unsupported_vocabularies_are_refused():
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    changes = [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", spec["pre_tokenizer"] | {"add_prefix_space": True}), ("decoder", None), ("model", spec["model"] | {"dropout": 0.1}), ("model", spec["model"] | {"ignore_merges": True}), ("added_tokens", [spec["added_tokens"][0] | {"lstrip": True}])]
+    for key, value in changes:
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.supported(spec | {key: value})
+    bpe.supported(spec)
