@@ -49,22 +49,44 @@ AREA_TOPICS = {
     "Housing and Community Development": "Transportation & Infrastructure",
     "Agriculture and Food": "Agriculture & Food",
 }
-# Issue codes of each topic.
+# Issue code to topic.
 ISSUE_TOPICS = {
-    "Health": ["HCR", "MMM", "MED", "PHA"],
-    "Taxes & Budget": ["TAX", "BUD", "ECN"],
-    "Energy & Environment": ["ENG", "ENV", "CAW", "NAT"],
-    "Defense & Veterans": ["DEF", "HOM", "VET"],
-    "Trade & Tariffs": ["TRD"],
-    "Finance & Banking": ["FIN", "BAN", "INS"],
-    "Immigration": ["IMM"],
-    "Tech & Telecom": ["TEC", "CPT", "SCI", "COM"],
-    "Agriculture & Food": ["AGR", "FOO"],
-    "Labor & Education": ["LBR", "EDU"],
-    "Transportation & Infrastructure": ["TRA", "AVI", "MAR", "HOU"],
-    "Justice & Civil Rights": ["LAW", "CIV"],
-    "Foreign Affairs": ["FOR"],
-    "Government & Elections": ["GOV", "CAM"],
+    "HCR": "Health",
+    "MMM": "Health",
+    "MED": "Health",
+    "PHA": "Health",
+    "TAX": "Taxes & Budget",
+    "BUD": "Taxes & Budget",
+    "ECN": "Taxes & Budget",
+    "ENG": "Energy & Environment",
+    "ENV": "Energy & Environment",
+    "CAW": "Energy & Environment",
+    "NAT": "Energy & Environment",
+    "DEF": "Defense & Veterans",
+    "HOM": "Defense & Veterans",
+    "VET": "Defense & Veterans",
+    "TRD": "Trade & Tariffs",
+    "FIN": "Finance & Banking",
+    "BAN": "Finance & Banking",
+    "INS": "Finance & Banking",
+    "IMM": "Immigration",
+    "TEC": "Tech & Telecom",
+    "CPT": "Tech & Telecom",
+    "SCI": "Tech & Telecom",
+    "COM": "Tech & Telecom",
+    "AGR": "Agriculture & Food",
+    "FOO": "Agriculture & Food",
+    "LBR": "Labor & Education",
+    "EDU": "Labor & Education",
+    "TRA": "Transportation & Infrastructure",
+    "AVI": "Transportation & Infrastructure",
+    "MAR": "Transportation & Infrastructure",
+    "HOU": "Transportation & Infrastructure",
+    "LAW": "Justice & Civil Rights",
+    "CIV": "Justice & Civil Rights",
+    "FOR": "Foreign Affairs",
+    "GOV": "Government & Elections",
+    "CAM": "Government & Elections",
 }
 # Industry labels by parts of upper-case names, first match wins.
 INDUSTRIES = {
@@ -87,16 +109,16 @@ def topics_in(text: Column, topics: dict[str, list[str]] | None = None) -> Colum
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def _lookup(pairs: list[tuple[str, str]], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for p in pairs for x in p)), key)
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for p in table.items() for x in p)), key)
 
 
 def area_topic(area: Column) -> Column:
-    return _lookup(list(AREA_TOPICS.items()), F.trim(area))
+    return _lookup(AREA_TOPICS, F.trim(area))
 
 
 def issue_topic(code: Column) -> Column:
-    return _lookup([(c, t) for t, codes in ISSUE_TOPICS.items() for c in codes], F.upper(F.trim(code)))
+    return _lookup(ISSUE_TOPICS, F.upper(F.trim(code)))
 
 
 def first_label(name: Column, labels: dict[str, list[str]] | None = None, other: str = "Other") -> Column:

@@ -6,13 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Hosts (with their subdomains) of each tier, and suffixes that stand for a government.
-PRIMARY = """sec.gov congress.gov senate.gov house.gov supremecourt.gov uscourts.gov courtlistener.com federalregister.gov gao.gov
-bls.gov census.gov cdc.gov nih.gov europa.eu un.org who.int imf.org worldbank.org oecd.org iaea.org""".split()
+PRIMARY = [
+    "sec.gov", "congress.gov", "senate.gov", "house.gov", "supremecourt.gov", "uscourts.gov", "courtlistener.com", "federalregister.gov", "gao.gov",
+    "bls.gov", "census.gov", "cdc.gov", "nih.gov", "europa.eu", "un.org", "who.int", "imf.org", "worldbank.org", "oecd.org", "iaea.org",
+]
 GOVERNMENT = ["gov", "mil", "gc.ca", "gov.uk"]
-SECONDARY = """reuters.com apnews.com nytimes.com washingtonpost.com wsj.com bloomberg.com ft.com propublica.org npr.org pbs.org bbc.com bbc.co.uk
-cnn.com politico.com axios.com theguardian.com brookings.edu pewresearch.org rand.org urban.org cbpp.org kff.org nature.com science.org
-nejm.org thelancet.com jamanetwork.com bostonglobe.com latimes.com chicagotribune.com""".split()
-UNACCEPTABLE = """wikipedia.org wiktionary.org fandom.com medium.com substack.com prnewswire.com businesswire.com globenewswire.com quora.com""".split()
+SECONDARY = [
+    "reuters.com", "apnews.com", "nytimes.com", "washingtonpost.com", "wsj.com", "bloomberg.com", "ft.com", "propublica.org", "npr.org", "pbs.org", "bbc.com", "bbc.co.uk",
+    "cnn.com", "politico.com", "axios.com", "theguardian.com", "brookings.edu", "pewresearch.org", "rand.org", "urban.org", "cbpp.org", "kff.org", "nature.com", "science.org",
+    "nejm.org", "thelancet.com", "jamanetwork.com", "bostonglobe.com", "latimes.com", "chicagotribune.com",
+]
+UNACCEPTABLE = ["wikipedia.org", "wiktionary.org", "fandom.com", "medium.com", "substack.com", "prnewswire.com", "businesswire.com", "globenewswire.com", "quora.com"]
 UNACCEPTABLE_ALONE = ["news.google.com", "news.yahoo.com", "answers.com", "ehow.com"]
 
 Rules = list[tuple[str, str, bool]]

@@ -1,9 +1,12 @@
-"""Case files as tables: state machine, integrity rules, roll-up and the active threads of the digest."""
+"""Case files as tables: state machine, integrity rules, roll-up, digest, journal and scaffold."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .ranking import numbered
 
 # States, moves between them and what they require.
 STATUSES = ["open", "chasing", "confirmed", "cold", "killed"]
@@ -57,13 +60,80 @@ def lint(threads: DataFrame, entities: DataFrame, findings: DataFrame, corpus: D
     return out
 
 
-def status_rollup(threads: DataFrame) -> DataFrame:
-    """(status, n, ids) of every status, those without threads too; ids sorted."""
+def status_rollup(threads: DataFrame, most: int = 20) -> DataFrame:
+    """(status, n, ids) of every status, those without threads too; ids are the first `most`, sorted."""
     every = threads.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")
-    counted = threads.groupBy("status").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
-    return F.broadcast(every).join(counted, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.expr("cast(array() as array<string>)")).alias("ids"))
+    counted = threads.groupBy("status").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("status").orderBy("id"))
+    first = threads.select("status", "id", place.alias("place")).where(F.col("place") <= most).groupBy("status").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    out = F.broadcast(every).join(counted, "status", "left").join(first, "status", "left")
+    return out.select("status", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.expr("cast(array() as array<string>)")).alias("ids"))
+
+
+def totals(threads: DataFrame, findings: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row of the state file: threads_total, findings_total, entities_total."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(threads, "threads_total").crossJoin(count(findings, "findings_total")).crossJoin(count(entities.select("entity_id").distinct(), "entities_total"))
 
 
 def digest(threads: DataFrame) -> DataFrame:
     """Active threads by priority (what isn't a number comes last), then id."""
     return threads.where(F.col("status").isin(ACTIVE)).withColumn("rank", F.coalesce(F.col("priority").cast("string").try_cast("int"), F.lit(9999))).orderBy("rank", "id")
+
+
+def brief(threads: DataFrame, journal: DataFrame, entities: DataFrame, lines: int = 12) -> dict[str, DataFrame]:
+    """The whole digest: active threads, last journal lines (n, line), cold threads with their reasons, key and flagged entities, scoreboard.
+
+    Line breaks in next actions, reasons and explanations become spaces; explanations end after 110 characters.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "\n", " "))
+    told = lambda c, other: F.coalesce(F.nullif(flat(c), F.lit("")), F.lit(other))
+    last = journal.where(F.trim("line") != "").orderBy(F.desc("n")).limit(lines)
+    status = F.lower(F.coalesce("status", F.lit("")))
+    return {
+        "active": digest(threads).withColumn("next_action", told("next_action", "missing")),
+        "journal": last.orderBy("n"),
+        "cold": threads.where("status = 'cold'").select("id", "title", told("reason", "no reason recorded").alias("reason")).orderBy("id"),
+        "entities": entities.where(status.isin("key", "flag")).select(F.upper("status").alias("status"), F.coalesce("display", "entity_id").alias("display"), F.substring(flat("why"), 1, 110).alias("why")),
+        "scoreboard": threads.agg(F.count_if(F.col("status") == "confirmed").alias("confirmed"), F.count_if(F.col("status").isin(ACTIVE)).alias("active"), F.count_if(F.col("status") == "cold").alias("cold"), F.count("*").alias("total")),
+    }
+
+
+def append_journal(spark: SparkSession, folder: str, session: str, message: str, stamp: str) -> None:
+    """Add an entry to a journal kept as JSON lines; a blank message is an error."""
+    if not message.strip():
+        raise ValueError("empty log message")
+    entry = spark.createDataFrame([(stamp, session, message)], "stamp string, session string, message string")
+    entry.coalesce(1).write.mode("append").json(f"{folder}/journal")
+
+
+def journal_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(n, line): the journal as it reads, entries by time, each with a rule and a head."""
+    entries = spark.read.schema("stamp string, session string, message string").json(f"{folder}/journal")
+    text = F.concat(F.lit("---\n### "), F.col("stamp"), F.lit(" \u00b7 session "), F.col("session"), F.lit("\n"), F.col("message"))
+    lines = entries.select("stamp", "session", F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    return numbered(lines, [], [F.col("stamp"), F.col("session"), F.col("at")], "n").select("n", "line")
+
+
+#: Files of a case and what they hold at first.
+SCAFFOLD = {
+    "brief.md": "# Investigation Brief\n\n## The question\n\n## Scope\n\n## What counts as a finding (the bar)\n",
+    "entities.yaml": "# Entity registry. Each entry: canonical_id, display, type/status, why.\nmembers: []\nfirms: []\nclients: []\n",
+    "findings.yaml": "# Findings ledger. Each finding needs >=1 source_record.\nfindings: []\nlegal_flags: []\n",
+}
+
+
+def init_case(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, state): files of the scaffold that were missing are created, those that are there are kept."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = []
+    for name, seed in SCAFFOLD.items():
+        at = path(f"{folder}/{name}")
+        there = store.exists(at)
+        if not there:
+            out = store.create(at, False)
+            out.write(bytearray(seed.encode()))
+            out.close()
+        done.append((name, "kept" if there else "created"))
+    return spark.createDataFrame(done, "file string, state string")

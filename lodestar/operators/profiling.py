@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import drop_thousands, renderings
+from ..scratch import written
+from .ranking import exact_median
 
 
 def clean(c: str) -> Column:
@@ -18,7 +21,7 @@ def clean(c: str) -> Column:
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    """(column, type, detail, n, n_distinct) of every column from one aggregation over the table.
+    """(column, type, detail, n, n_distinct) of every column: one aggregation over the table, and a narrow distinct for each column.
 
     Type: text, integer (all whole) or numeric. Detail: identifier, ordinal, categorical, continuous or free text by the
     name, the distinct count and its share.
@@ -27,11 +30,12 @@ def column_types(df: DataFrame) -> DataFrame:
     aggs = []
     for i, c in enumerate(names):
         x, text = clean(c), F.trim(F.col(f"`{c}`").cast("string"))
-        aggs += [F.count(F.nullif(text, F.lit(""))).alias(f"n{i}"), F.count(x).alias(f"f{i}"), F.count_if(x % 1 != 0).alias(f"d{i}"), F.count_distinct(F.nullif(text, F.lit(""))).alias(f"u{i}")]
+        aggs += [F.count(F.nullif(text, F.lit(""))).alias(f"n{i}"), F.count(x).alias(f"f{i}"), F.count_if(x % 1 != 0).alias(f"d{i}")]
     row = df.agg(*aggs)
+    distinct = functools.reduce(DataFrame.unionByName, (df.select(F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).alias("v")).where("v IS NOT NULL").distinct().agg(F.lit(c).alias("column"), F.count("*").alias("u")) for c in names))
     kinds = dict(df.dtypes)
-    boxes = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(kinds[c] == "boolean").alias("flag"), *(F.col(f"{k}{i}").alias(k) for k in "nfdu")) for i, c in enumerate(names)))
-    rows = row.select(F.explode(boxes).alias("b")).select("b.*")
+    boxes = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(kinds[c] == "boolean").alias("flag"), *(F.col(f"{k}{i}").alias(k) for k in "nfd")) for i, c in enumerate(names)))
+    rows = row.select(F.explode(boxes).alias("b")).select("b.*").join(distinct, "column")
     numeric = ~F.col("flag") & (F.col("n") > 0) & (F.col("f") == F.col("n"))
     type_ = F.when(~numeric, "text").when(F.col("d") > 0, "numeric").otherwise("integer")
     share = F.try_divide(F.col("u"), F.col("n"))
@@ -52,9 +56,11 @@ def statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(columns):
         x = clean(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.median(x).alias(f"m{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.stddev_samp(x).alias(f"s{i}")]
-    boxes = F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{k}{i}").alias(n) for k, n in zip("namlhs", ("n", "mean", "median", "min", "max", "std"), strict=True))) for i, c in enumerate(columns)))
-    return df.agg(*aggs).select(F.explode(boxes).alias("b")).select("b.*").where("n > 0").withColumn("range", F.col("max") - F.col("min"))
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.stddev_samp(x).alias(f"s{i}")]
+    boxes = F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{k}{i}").alias(n) for k, n in zip("nalhs", ("n", "mean", "min", "max", "std"), strict=True))) for i, c in enumerate(columns)))
+    found = df.agg(*aggs).select(F.explode(boxes).alias("b")).select("b.*").where("n > 0").withColumn("range", F.col("max") - F.col("min"))
+    values = df.select(*(clean(c).alias(c) for c in columns)).unpivot([], [F.col(f"`{c}`") for c in columns], "column", "value")
+    return found.join(exact_median(values, "column", "value"), "column").select("column", "n", "mean", "median", "min", "max", "std", "range")
 
 
 def correlations(df: DataFrame, columns: Sequence[str], least: float = 0.4) -> DataFrame:
@@ -91,11 +97,15 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def missing_figures(stats: DataFrame, report: DataFrame) -> DataFrame:
-    """Statistics (column, name, value) that occur in no line of the report in any rendering of none to three decimals."""
+    """Statistics (column, name, value) that occur in no line of the report in any rendering of none to three decimals.
+
+    The statistics, a few for each column of a table, go to every task; the lines are read once.
+    """
     lines = report.select(drop_thousands(F.col("line")).alias("line"))
-    wanted = stats.select("column", "name", "value", F.explode(renderings(F.col("value"))).alias("shown"))
-    seen = wanted.join(lines, F.contains(F.col("line"), F.col("shown"))).select("column", "name").distinct()
-    return stats.join(seen, ["column", "name"], "left_anti")
+    wanted = written(stats.select("column", "name", "value"), "figures")
+    shown = wanted.select("column", "name", F.explode(renderings(F.col("value"))).alias("shown"))
+    seen = lines.join(F.broadcast(shown), F.contains(F.col("line"), F.col("shown"))).select("column", "name").distinct()
+    return wanted.join(seen, ["column", "name"], "left_anti")
 
 
 def pair_key(a: Column, b: Column) -> Column:

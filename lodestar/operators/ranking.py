@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import written
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row for each key: the first in the order (a later version supersedes earlier ones)."""
@@ -48,7 +50,32 @@ def share_of_total(df: DataFrame, value: str, total: DataFrame, name: str = "sha
     return df.crossJoin(F.broadcast(whole)).withColumn(name, F.round(F.try_divide(F.col(value), F.col("__total")), places)).drop("__total")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "__n") -> DataFrame:
+    """df with each row's number within its keys, from 1 on, in the order.
+
+    One key may hold all rows: rows are cut into ranges of keys and order, ranges are counted, and rows numbered within theirs.
+    """
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = written(df.repartitionByRange(n, *(F.col(k) for k in keys), *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = cut.groupBy("__range", *keys).agg(F.count("*").alias("__count"))
+    ahead = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range and key
+    starts = counts.select("__range", *keys, F.coalesce(F.sum("__count").over(ahead), F.lit(0)).alias("__start"))
+    local = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*order))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("__range", *keys)]
+    return cut.withColumn("__local", local).alias("r").join(starts.alias("s"), same).select(*(F.col(f"r.{c}") for c in df.columns), (F.col("__start") + F.col("__local")).alias(name))
+
+
+def exact_median(df: DataFrame, group: str, value: str, name: str = "median") -> DataFrame:
+    """(group, median) of the values that aren't null: the mean of the one or two middle ones. No task holds a group's values."""
+    rows = df.select(group, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
+    placed = numbered(rows, [group], [F.col("__v")])
+    sizes = placed.groupBy(group).agg(F.max("__n").alias("__size"))
+    middle = (F.col("__n") == F.floor((F.col("__size") + 1) / 2)) | (F.col("__n") == F.floor(F.col("__size") / 2) + 1)
+    both = placed.alias("p").join(sizes.alias("z"), F.col(f"p.{group}").eqNullSafe(F.col(f"z.{group}"))).where(middle)
+    return both.groupBy(F.col(f"p.{group}").alias(group)).agg(F.avg("__v").alias(name))
+
+
 def peer_outliers(df: DataFrame, group: str, value: str) -> DataFrame:
     """Each row's value over the median of its group, exact."""
-    medians = df.groupBy(group).agg(F.median(value).alias("peer_median"))
-    return df.join(medians, group).withColumn("deviation", F.try_divide(F.col(value), F.col("peer_median")))
+    return df.join(exact_median(df, group, value, "peer_median"), group).withColumn("deviation", F.try_divide(F.col(value), F.col("peer_median")))

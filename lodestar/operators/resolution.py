@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -50,8 +50,19 @@ def coverage(resolved: DataFrame) -> DataFrame:
     return resolved.agg(F.sum("n_items").alias("items"), F.sum(F.when(F.col("entity_id").isNotNull(), F.col("n_items")).otherwise(0)).alias("matched"))
 
 
+def role_chamber(roles: Column) -> Column:
+    """The chamber by the first committee, of roles (committee, ...), whose name begins with one."""
+    side = lambda r: F.when(F.startswith(r["committee"], F.lit("Senate")), "Senate").when(F.startswith(r["committee"], F.lit("House")), "House")
+    return F.try_element_at(F.filter(F.transform(roles, side), lambda x: x.isNotNull()), F.lit(1))
+
+
 def merge_roster(members: DataFrame, roster: DataFrame) -> DataFrame:
-    """Members and roster by entity_id: the roster's name wins, missing fields are filled from it, parties become letters."""
+    """Members and roster by entity_id: the roster's name wins, missing fields are filled from it, parties become letters.
+
+    Where the roster has roles, a chamber that is missing there is inferred from them.
+    """
+    if "roles" in roster.columns:
+        roster = roster.withColumn("chamber", F.coalesce("chamber", role_chamber(F.col("roles"))))
     letter = lambda c: F.when(F.upper(c).startswith("DEM"), "D").when(F.upper(c).startswith("REP"), "R").when(F.upper(c).startswith("IND"), "I").otherwise(c)
     m, r = members.alias("m"), roster.alias("r")
     fill = lambda c: F.coalesce(F.col(f"m.{c}"), F.col(f"r.{c}"))
@@ -81,7 +92,27 @@ def resolve_one(entities: DataFrame, who: str) -> DataFrame:
     return stats.select(F.coalesce(*(F.when(F.col(f"n{i}") == 1, F.col(f"id{i}")) for i in range(3))).alias("entity_id")).where("entity_id IS NOT NULL")
 
 
+#: Queries that are sent to all tasks, at most.
+MOST_QUERIES = 10_000
+
+
 def registry_hits(queries: DataFrame, registry: DataFrame) -> DataFrame:
-    """Registry rows whose upper-cased name contains the first word of the query's key; the few queries are the small side."""
+    """Registry rows whose upper-cased name contains the first word of the query's key; at most MOST_QUERIES queries at a time."""
     q = queries.select("query", F.split(names.org_key(F.col("query")), " ")[0].alias("word")).where("word <> ''")
+    if q.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
     return registry.join(F.broadcast(q), F.contains(F.upper(F.col("name")), F.col("word")))
+
+
+def candidate_search(candidates: DataFrame, name: str, state: str | None = None, office: str | None = None) -> DataFrame:
+    """Candidates (name, state, office, ...) whose names hold all words of a name, of one state and office if given; if there are none, those
+    with its last word."""
+    words = [w for w in name.replace(".", "").replace(",", " ").upper().split() if w]
+    near = candidates
+    near = near if state is None else near.where(F.col("state") == state)
+    near = near if office is None else near.where(F.col("office") == office)
+    held = F.split(F.regexp_replace(F.upper("name"), "[.,]", " "), r"\s+")
+    has = lambda some: F.forall(F.array(*map(F.lit, some)), lambda w: F.array_contains(held, w))
+    marked = near.withColumns({"__all": has(words), "__last": has(words[-1:])}).where("__last")
+    best = marked.agg(F.max("__all").alias("__best"))
+    return marked.crossJoin(F.broadcast(best)).where("__all = __best").drop("__all", "__last", "__best")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import exact_sum, latest_per_key
+from .ranking import exact_sum, latest_per_key, numbered
 
 # Spellings of reporting periods.
 PERIODS = {"Q1": "first_quarter", "Q2": "second_quarter", "Q3": "third_quarter", "Q4": "fourth_quarter", "1stQuarter": "first_quarter", "2ndQuarter": "second_quarter", "3rdQuarter": "third_quarter", "4thQuarter": "fourth_quarter"}
@@ -120,13 +120,13 @@ def with_code(parents: DataFrame, children: DataFrame, key: str, condition: Colu
 
 
 def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
-    """A sampling operator: the first `most` rows of each key."""
+    """A sampling operator: the first `most` rows of each key (each task keeps only its own first rows before the shuffle)."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= most).drop("__n")
 
 
 def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: int) -> DataFrame:
     """A sampling operator: each key's rows 1, 1 + step, 1 + 2 step, ..."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(((F.col("__n") - 1) % step) == 0).drop("__n")
+    return numbered(df, keys, [F.col(c) for c in order]).where(((F.col("__n") - 1) % step) == 0).drop("__n")
 
 
 def lag_correlation(series: DataFrame, period: str, a: str, b: str, lag: int) -> DataFrame:
@@ -140,3 +140,42 @@ def tag_ranking(sources: DataFrame, words: Sequence[str], k: int = 8) -> DataFra
     wanted = F.array(*(F.lit(w.lower()) for w in words))
     hits = F.size(F.filter("tags", lambda t: F.exists(wanted, lambda w: F.contains(F.lower(t), w) | F.contains(w, F.lower(t)))))
     return sources.withColumn("score", hits).where("score > 0").orderBy(F.desc("score"), "source").limit(k).select("source", "score")
+
+
+def leadership(roles: Column) -> Column:
+    """CHAIR or RANKING with the committee, for each role (committee, title) that is one."""
+    tag = lambda r: F.when(F.contains(F.lower(r["title"]), F.lit("chair")) & ~F.contains(F.lower(r["title"]), F.lit("vice")), F.concat(F.lit("CHAIR "), r["committee"])).when(F.contains(F.lower(r["title"]), F.lit("ranking")), F.concat(F.lit("RANKING "), r["committee"]))
+    return F.filter(F.transform(roles, tag), lambda x: x.isNotNull())
+
+
+def null_rate(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, n, filled, null_rate): rows of each key, those with a value, and the share of those without."""
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.count(column).alias("filled"), F.round(F.count_if(F.col(column).isNull()) / F.count("*"), 4).alias("null_rate"))
+
+
+def interleave(**series: tuple[DataFrame, Column]) -> DataFrame:
+    """(kind, day, n): rows of several tables by period, one below the other."""
+    out = None
+    for kind, (df, day) in series.items():
+        rows = df.groupBy(F.lit(kind).alias("kind"), day.alias("day")).agg(F.count("*").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def channel_totals(items: DataFrame, kind: str, kind_col: str, cluster: Column, amount: str, funder: str) -> DataFrame:
+    """(cluster, items, total, funders) of the items of one kind: what each cluster of recipients got by this channel."""
+    rows = items.where(F.col(kind_col) == kind).withColumn("cluster", cluster)
+    return rows.groupBy("cluster").agg(F.count("*").alias("items"), exact_sum(amount).alias("total"), F.countDistinct(funder).alias("funders"))
+
+
+def code_totals(parents: DataFrame, children: DataFrame, key: str, condition: Column, by: Sequence[str], amount: str) -> DataFrame:
+    """(dimension, value, n, total) over the parents of which any child meets the condition; each counts once in each dimension."""
+    rows = with_code(parents, children, key, condition)
+    boxes = F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in by))
+    return rows.select(F.explode(boxes).alias("b"), amount).groupBy("b.dimension", "b.value").agg(F.count("*").alias("n"), exact_sum(amount).alias("total"))
+
+
+def extrapolate(sample: DataFrame, sizes: DataFrame, keys: Sequence[str], hit: Column) -> DataFrame:
+    """(keys, sampled, hits, size, estimate): a stratum's hits in the sample scaled by its size (keys, size)."""
+    counted = sample.groupBy(*keys).agg(F.count("*").alias("sampled"), F.count_if(hit).alias("hits"))
+    return counted.join(sizes, list(keys)).withColumn("estimate", F.round(F.try_divide(F.col("hits") * F.col("size"), F.col("sampled")), 2))

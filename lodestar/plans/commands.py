@@ -144,20 +144,54 @@ def say_vs_do(r: Records, who: str, areas: DataFrame) -> dict[str, DataFrame]:
     return {"gaps": gaps, "says_more": five("says_more"), "does_more": five("does_more")}
 
 
-def timeline(r: Records, who: str, year: int = 2025, filer: str | None = "lobbyist", top_: int = 12) -> dict[str, DataFrame]:
+def timeline(r: Records, who: str, year: int | None = 2025, filer: str | None = "lobbyist", top_: int = 12, bills: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Dated items, releases and sponsored bills of one member by month; bills: entity_id, introduced and any columns.
+
+    year is the year of the report for money and of the date for releases. An item without a registrant is labelled by its contributor.
+    """
     one = _member(r, who)
-    money = _of(r.money(None, filer), one, "entity_id").where(F.substring("item_date", 1, 4) == str(year))
-    said = _of(r["releases"], one, "member_id").where(F.substring("date", 1, 4) == str(year))
+    money = _of(r.money(year, filer), one, "entity_id").where(F.coalesce("item_date", F.lit("")) != "")
+    said = _of(r["releases"], one, "member_id").where(F.coalesce("date", F.lit("")) != "")
+    said = said if year is None else said.where(F.substring("date", 1, 4) == str(year))
     month = lambda c: F.substring(c, 1, 7)
+    label = topics.first_label(F.coalesce(F.nullif("registrant_name", F.lit("")), F.col("contributor_name")))
+    acts = {} if bills is None else {"bills": _of(bills.where("introduced IS NOT NULL"), one, "entity_id").orderBy("introduced")}
     return {
         "money_by_month": rollups.period_totals(money, month("item_date"), "amount"),
         "releases_by_month": said.groupBy(month("date").alias("period")).agg(F.count("*").alias("n")),
-        "money_by_industry": money.groupBy(topics.first_label(F.col("registrant_name")).alias("industry")).agg(F.count("*").alias("n"), exact_sum("amount").alias("total")),
+        "money_by_industry": money.groupBy(label.alias("industry")).agg(F.count("*").alias("n"), exact_sum("amount").alias("total")),
         "top_items": top(money.select("item_date", "registrant_name", "payee_name", "amount", "prov"), [F.desc("amount"), F.asc("prov"), F.asc("item_date")], top_),
         "range": money.agg(F.min("item_date").alias("first"), F.max("item_date").alias("last"), F.count("*").alias("items"), exact_sum("amount").alias("total")),
+        **acts,
     }
 
 
+def committee(roster: DataFrame, member_id: str) -> DataFrame:
+    """A member's committee roles and the chairs and ranking seats among them; roster: entity_id, roles array<struct<committee, title>>."""
+    return roster.where(F.col("entity_id") == member_id).withColumn("tags", rollups.leadership(F.col("roles")))
+
+
+def votes(cast: DataFrame, members: DataFrame, member: str) -> DataFrame:
+    """One member's roll-call profile; unity needs all votes of the party, so all are read."""
+    return rollups.roll_call_profile(cast, members).where(F.col("member") == member)
+
+
+def vote_align(cast: DataFrame, bills: DataFrame, member: str, most: int = 80) -> DataFrame:
+    """Policy areas of one member's latest votes on bills; cast: member, roll, date, bill; bills: bill, area."""
+    return rollups.vote_mix(cast.where(F.col("member") == member), bills, most)
+
+
+def legislation(bills: DataFrame, member_id: str, most: int = 20) -> DataFrame:
+    """A member's latest sponsored bills; bills: entity_id, type, number, introduced, title."""
+    mine = bills.where(F.col("entity_id") == member_id).select("type", "number", F.substring("title", 1, 120).alias("title"), "introduced")
+    return top(mine, [F.desc("introduced"), F.asc("type"), F.asc("number")], most)
+
+
+def fec(candidates: DataFrame, name: str, state: str | None = None, office: str | None = None, most: int = 5) -> DataFrame:
+    """Candidates of an offline snapshot that a name may mean."""
+    return top(resolution.candidate_search(candidates, name, state, office), [F.asc("name"), F.asc("candidate_id")], most)
+
+
 def _releases(r: Records, year: int | None, start: str | None, end: str | None) -> DataFrame:
     tests: list[Column] = []
     tests += [F.substring("date", 1, 4) == str(year)] if year else []

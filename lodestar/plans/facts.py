@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names, topics
+from ..functions import names, text, topics
 from ..operators import integrity, ranking, resolution, rollups
+from ..scratch import shared_folder
 from .registry import query, table
 
+
 def order_year() -> Column:
     return F.year("o_orderdate")
 
@@ -118,12 +122,15 @@ def footprint_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH lines AS (SELECT l_orderkey AS k, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS v FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS k, o_totalprice AS left_value, v AS right_value, abs(o_totalprice - v) AS gap FROM orders JOIN lines ON o_orderkey = k WHERE abs(o_totalprice - v) >= 50000""")
+WITH l AS (SELECT o_custkey AS k, year(o_orderdate)::INT AS y, o_totalprice AS v FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+r AS (SELECT o_custkey AS k, year(o_orderdate)::INT AS y, l_extendedprice AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY l_shipdate DESC, l_extendedprice DESC) = 1)
+SELECT k, y, l.v AS left_value, r.v AS right_value, abs(l.v - r.v) AS gap FROM l JOIN r USING (k, y) WHERE abs(l.v - r.v) >= 50000""")
 def cross_source_gap(spark: SparkSession, sf: str) -> DataFrame:
-    left = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderdate").alias("at"))
-    right = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(ranking.exact_sum("l_extendedprice").alias("v"), F.max("l_shipdate").alias("at"))
-    return rollups.cross_source_gap(left, right, ["k"], "v", [F.desc("at")], [F.desc("at")], 50000)
+    """The last order of a customer and year against the last line that wasn't returned: many versions of each key on both sides."""
+    left = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), order_year().alias("y"), F.col("o_totalprice").alias("v"), "o_orderdate", "o_orderkey")
+    kept = sold(spark, sf).where("l_returnflag <> 'R'")
+    right = kept.select(F.col("o_custkey").alias("k"), order_year().alias("y"), F.col("l_extendedprice").alias("v"), "l_shipdate")
+    return rollups.cross_source_gap(left, right, ["k", "y"], "v", [F.desc("o_orderdate"), F.desc("o_orderkey")], [F.desc("l_shipdate"), F.desc("v")], 50000)
 
 
 @query("""SELECT l_suppkey, p_brand, count(*) AS n, arg_min(l_orderkey * 10 + l_linenumber, l_orderkey * 10 + l_linenumber) AS prov
@@ -171,16 +178,47 @@ def _people(spark: SparkSession, sf: str, name: str, key: str, label: str) -> Da
 @query("""
 WITH members AS (SELECT s_suppkey AS id, 'L' || ((s_suppkey // 3) % 97) AS last, 'L' || ((s_suppkey // 3) % 97) || '|F' || (s_suppkey % 7) AS key FROM supplier),
 k AS (SELECT key, count(DISTINCT id) AS n, min(id) AS id FROM members GROUP BY 1), l AS (SELECT last, count(DISTINCT id) AS n, min(id) AS id FROM members GROUP BY 1),
-items AS (SELECT 'F' || (c_custkey % 7) || ' L' || ((c_custkey // 3) % 97) AS name, 'L' || ((c_custkey // 3) % 97) AS last, 'L' || ((c_custkey // 3) % 97) || '|F' || (c_custkey % 7) AS key, c_acctbal FROM customer),
-g AS (SELECT name, key, last, count(*) AS n_items, sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS total_amount FROM items GROUP BY 1, 2, 3)
-SELECT name, g.key, n_items, total_amount, CASE WHEN k.n = 1 THEN k.id WHEN k.n IS NULL AND l.n = 1 THEN l.id END AS entity_id,
-  CASE WHEN k.n = 1 THEN 'exact' WHEN k.n > 1 THEN 'ambiguous_key' WHEN l.n = 1 THEN 'lastname_unique' ELSE 'unmatched' END AS match_method
-FROM g LEFT JOIN k ON g.key = k.key LEFT JOIN l ON g.last = l.last""")
+items AS (SELECT c_custkey % 4 = 1 AS campaign, 'F' || (c_custkey % 7) || ' L' || ((c_custkey // 3) % 97) AS person, 'L' || ((c_custkey // 3) % 97) AS last, 'L' || ((c_custkey // 3) % 97) || '|F' || (c_custkey % 7) AS key, c_acctbal FROM customer),
+g AS (SELECT CASE WHEN campaign THEN 'Re-Elect ' || person || ' for U.S. Senate' ELSE person END AS name, campaign, key, last, count(*) AS n_items, sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS total_amount FROM items GROUP BY 1, 2, 3, 4),
+m AS (SELECT g.*, CASE WHEN k.n = 1 THEN k.id WHEN k.n IS NULL AND l.n = 1 THEN l.id END AS entity_id, CASE WHEN k.n = 1 THEN 'exact' WHEN k.n > 1 THEN 'ambiguous_key' WHEN l.n = 1 THEN 'lastname_unique' ELSE 'unmatched' END AS method
+  FROM g LEFT JOIN k ON g.key = k.key LEFT JOIN l ON g.last = l.last)
+SELECT name, CASE WHEN campaign THEN 'SENATE|REELECT' ELSE key END AS key, n_items, total_amount, entity_id, CASE WHEN NOT campaign THEN method WHEN entity_id IS NOT NULL THEN 'campaign_' || method ELSE 'unmatched' END AS match_method FROM m""")
 def resolve_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fourth name is a campaign committee's, whose own last word is nobody's name."""
     members = _people(spark, sf, "supplier", "s_suppkey", "entity_id")
     index = resolution.alias_index(members, members)
-    items = _people(spark, sf, "customer", "c_custkey", "id").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount")), "id")
-    return resolution.resolve_names(items, index)
+    people = _people(spark, sf, "customer", "c_custkey", "id")
+    shown = people.withColumn("name", F.when(F.col("id") % 4 == 1, F.concat(F.lit("Re-Elect "), "name", F.lit(" for U.S. Senate"))).otherwise(F.col("name")))
+    items = shown.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount")), "id")
+    return resolution.resolve_names(items, index).withColumn("key", F.replace("key", F.lit("RE-ELECT"), F.lit("REELECT")))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'FAY LOB' || c_custkey WHEN 1 THEN 'FAY LOB' || c_custkey WHEN 2 THEN 'FAY LOB' || c_custkey END AS person FROM customer""")
+def campaign_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of committees of each form, and three that aren't of a person."""
+    k = F.col("c_custkey")
+    person = F.concat(F.lit("Fay  Lob"), k)
+    forms = [F.concat(F.lit("The "), person, F.lit(" for U.S. Congress Committee.")), F.concat(F.lit("Friends of "), person), F.concat(F.lit("committee to re-elect "), person), F.concat(F.lit("Friends of the "), person, F.lit(" fund")), F.concat(F.lit("A B C D "), person, F.lit(" for Senate")), person]
+    name = F.element_at(F.array(*forms), (k % 6 + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", names.campaign_candidate(name).alias("person"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN year(o_orderdate)::INT WHEN 1 THEN year(o_orderdate)::INT END AS year,
+  CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE (DATE '1999-01-01' - o_orderdate::DATE)::INT END AS days FROM orders""")
+def text_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Years and spans of days from text: whole dates, times after them, and text that is no date."""
+    k, iso = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    year = F.element_at(F.array(F.substring(iso, 1, 4), F.concat(F.lit(" "), F.substring(iso, 1, 4), F.lit(".0")), F.concat(F.lit("FY"), F.substring(iso, 1, 4)), F.lit("")), (k % 4 + 1).cast("int"))
+    first = F.when(k % 5 == 0, F.substring(iso, 1, 7)).when(k % 5 == 1, F.concat(iso, F.lit("T10:00:00Z"))).otherwise(iso)
+    return table(spark, sf, "orders").select("o_orderkey", names.text_year(year).alias("year"), text.day_span(first, F.lit("1999-01-01")).alias("days"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, ((o_orderkey * 7919) % 100003)::DOUBLE / 97.0 AS v FROM orders)
+SELECT o_orderkey, printf('%.0f', v) || ' ' || printf('%.1f', v) || ' ' || printf('%.2f', v) || ' ' || printf('%.3f', v) AS shown, 'of ' || printf('%.2f', v * 1000) || ' and 1,23' AS bare FROM x""")
+def number_renderings(spark: SparkSession, sf: str) -> DataFrame:
+    v = ((F.col("o_orderkey") * 7919) % 100003).cast("double") / 97.0
+    line = F.concat(F.lit("of "), F.format_number(v * 1000, 2), F.lit(" and 1,23"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(text.renderings(v), " ").alias("shown"), text.drop_thousands(line).alias("bare"))
 
 
 _BRIDGE = """
@@ -212,8 +250,7 @@ SELECT kind, day, n FROM (
   SELECT 'order' AS kind, strftime(o_orderdate, '%m-%d') AS day, count(*) AS n FROM orders GROUP BY 2
   UNION ALL SELECT 'event', strftime(ts, '%m-%d'), count(*) FROM events GROUP BY 2)""")
 def interleaved_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    days = lambda t, c, kind: table(spark, sf, t).groupBy(F.lit(kind).alias("kind"), F.date_format(c, "MM-dd").alias("day")).agg(F.count("*").alias("n"))
-    return days("orders", "o_orderdate", "order").unionByName(days("events", "ts", "event"))
+    return rollups.interleave(order=(table(spark, sf, "orders"), F.date_format("o_orderdate", "MM-dd")), event=(table(spark, sf, "events"), F.date_format("ts", "MM-dd")))
 
 
 @query("""SELECT p_partkey, CASE WHEN contains(upper(p_name), 'GREEN') OR contains(upper(p_name), 'LIME') THEN 'Green' WHEN contains(upper(p_name), 'RED') THEN 'Red' ELSE 'Other' END AS label FROM part""")
@@ -246,8 +283,7 @@ def ratio_to_total(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS filled, round((count(*) - count(*) FILTER (value > 50))::DOUBLE / count(*), 4) AS null_rate FROM events GROUP BY 1")
 def null_rate(spark: SparkSession, sf: str) -> DataFrame:
-    masked = table(spark, sf, "events").select("event_type", F.when(F.col("value") > 50, F.col("value")).alias("v"))
-    return masked.groupBy("event_type").agg(F.count("*").alias("n"), F.count("v").alias("filled"), F.round(F.count_if(F.col("v").isNull()) / F.count("*"), 4).alias("null_rate"))
+    return rollups.null_rate(table(spark, sf, "events").select("event_type", F.when(F.col("value") > 50, F.col("value")).alias("v")), "event_type", "v")
 
 
 @query("""
@@ -278,24 +314,73 @@ def lag_corr(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.lag_correlation(months, "p", "a", "b", 1).withColumn("r", F.round("r", 6))
 
 
-@query("""
-SELECT * FROM (
-  SELECT 'customer without order' AS rule, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-  UNION ALL SELECT 'unknown status', o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
-  UNION ALL SELECT 'order without line', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
-  UNION ALL SELECT 'line without order', l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))""")
+_THREADS = """t AS (
+  SELECT o_orderkey::VARCHAR AS id, ['open', 'chasing', 'confirmed', 'cold', 'killed', 'odd'][o_orderkey % 6 + 1] AS status, CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE 'call' END AS next_action, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'why' END AS reason,
+    o_orderkey % 4 <> 0 AS sourced, 'C' || o_custkey AS entity, 'P' || (o_orderkey % 1000) AS source, o_custkey, (o_orderkey % 1000) AS part FROM orders)"""
+
+
+def case_threads(spark: SparkSession, sf: str) -> DataFrame:
+    """A thread for each order: by its customer, with a part as source."""
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ["open", "chasing", "confirmed", "cold", "killed", "odd"])), (k % 6 + 1).cast("int"))
+    source = F.when(k % 4 != 0, F.array(F.concat(F.lit("P"), k % 1000))).otherwise(F.slice(F.array(F.lit("x")), 1, 0))
+    return table(spark, sf, "orders").select(k.cast("string").alias("id"), status.alias("status"), F.when(k % 5 == 0, " ").otherwise("call").alias("next_action"), F.when(k % 7 == 0, "").otherwise("why").alias("reason"), source.alias("source_records"), F.array(F.concat(F.lit("C"), "o_custkey")).alias("entities"), F.when(k % 9 == 0, "soon").otherwise((k % 8).cast("string")).alias("priority"), F.concat(F.lit("Thread "), k).alias("title"))
+
+
+@query(f"""WITH {_THREADS}
+SELECT id, 'unknown status' AS rule FROM t WHERE status = 'odd' UNION ALL SELECT id, 'empty next action' FROM t WHERE status IN ('open', 'chasing') AND trim(next_action) = ''
+UNION ALL SELECT id, 'missing reason' FROM t WHERE status IN ('cold', 'killed') AND reason = '' UNION ALL SELECT id, 'missing sources' FROM t WHERE status = 'confirmed' AND NOT sourced
+UNION ALL SELECT 'f' || s_suppkey, 'finding without source' FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT id, 'orphan entity' FROM t WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)
+UNION ALL SELECT id, 'orphan source' FROM t WHERE sourced AND part NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) UNION ALL SELECT 'f' || s_suppkey, 'orphan source' FROM supplier WHERE s_suppkey % 3 = 1""")
 def integrity_violations(spark: SparkSession, sf: str) -> DataFrame:
-    orders, lines, customers = table(spark, sf, "orders"), table(spark, sf, "lineitem"), table(spark, sf, "customer")
-    rule = lambda df, name, id_: df.select(F.lit(name).alias("rule"), id_.alias("id"))
-    idle = customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-    bare = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
-    lost = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    """All seven rules over threads, findings, a registry of entities and a corpus of sources."""
+    s = F.col("s_suppkey")
+    findings = table(spark, sf, "supplier").select(F.concat(F.lit("f"), s).alias("id"), F.when(s % 3 == 0, None).when(s % 3 == 1, F.array(F.lit("nowhere"))).otherwise(F.slice(F.array(F.lit("P"), F.lit("")), 1, 0)).alias("source_records"))
+    # The third kind has an empty list in its place: a finding without source too, so it is given one that exists.
+    some = table(spark, sf, "part").where("p_size > 5").agg(F.min("p_partkey").alias("k")).select(F.concat(F.lit("P"), "k").alias("known"))
+    findings = findings.crossJoin(F.broadcast(some)).withColumn("source_records", F.when(F.size("source_records") == 0, F.array("known")).otherwise(F.col("source_records"))).drop("known")
+    entities = table(spark, sf, "customer").where("c_nationkey <> 3").select(F.concat(F.lit("C"), "c_custkey").alias("entity_id"))
+    corpus = table(spark, sf, "part").where("p_size > 5").select(F.concat(F.lit("P"), "p_partkey").alias("prov"))
+    return integrity.lint(case_threads(spark, sf), entities, findings, corpus)
+
+
+@query(f"""WITH {_THREADS}, e AS (SELECT 'C' || c_custkey AS id, c_name AS display, CASE c_nationkey WHEN 1 THEN 'Key' WHEN 2 THEN 'flag' WHEN 3 THEN 'other' END AS status FROM customer)
+SELECT * FROM (SELECT 'active' AS view, id AS key, CASE WHEN trim(next_action) = '' THEN 'missing' ELSE next_action END AS value, CASE WHEN id::BIGINT % 9 = 0 THEN 9999 ELSE (id::BIGINT % 8) END AS n FROM t WHERE status IN ('open', 'chasing'))
+UNION ALL SELECT 'cold', id, CASE WHEN reason = '' THEN 'no reason recorded' ELSE reason END, NULL FROM t WHERE status = 'cold'
+UNION ALL SELECT 'entities', display, upper(status) || ' ' || left('because' || repeat(' so', 50), 110), NULL FROM e WHERE lower(status) IN ('key', 'flag')
+UNION ALL SELECT 'journal', lpad(n::VARCHAR, 3, '0'), ['---', '### t' || lpad(((n - 1) // 4 + 1)::VARCHAR, 2, '0') || ' · session s', 'one', 'two'][(n - 1) % 4 + 1], n FROM range(9, 21) r(n)
+UNION ALL SELECT 'scoreboard', 'confirmed', NULL, count(*) FILTER (status = 'confirmed') FROM t UNION ALL SELECT 'scoreboard', 'active', NULL, count(*) FILTER (status IN ('open', 'chasing')) FROM t
+UNION ALL SELECT 'scoreboard', 'cold', NULL, count(*) FILTER (status = 'cold') FROM t UNION ALL SELECT 'scoreboard', 'total', NULL, count(*) FROM t
+UNION ALL SELECT 'totals', 'threads', NULL, count(*) FROM t UNION ALL SELECT 'totals', 'findings', NULL, count(*) FROM supplier UNION ALL SELECT 'totals', 'entities', NULL, count(*) FROM customer""")
+def case_brief(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of a case: threads, the journal's last lines (of five entries), entities, scoreboard and the state file's totals."""
+    folder = f"{shared_folder(spark)}/case-{uuid.uuid4().hex}"
+    for i in range(1, 6):
+        integrity.append_journal(spark, folder, "s", "one\ntwo", f"t{i:02}")
+    entities = table(spark, sf, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("entity_id"), F.col("c_name").alias("display"), F.expr("CASE c_nationkey WHEN 1 THEN 'Key' WHEN 2 THEN 'flag' WHEN 3 THEN 'other' END").alias("status"), F.concat(F.lit("because"), F.repeat(F.lit(" so"), 50)).alias("why"))
+    threads = case_threads(spark, sf)
+    b = integrity.brief(threads, integrity.journal_lines(spark, folder), entities)
+    count = integrity.totals(threads, table(spark, sf, "supplier"), entities)
+    long_ = lambda df, view, names_: df.unpivot([], names_, "key", "n").select(F.lit(view).alias("view"), "key", F.lit(None).cast("string").alias("value"), F.col("n").cast("bigint").alias("n"))
+    none = F.lit(None).cast("bigint").alias("n")
     return (
-        rule(idle, "customer without order", F.col("c_custkey"))
-        .unionByName(rule(orders.where(~F.col("o_orderstatus").isin("F", "O")), "unknown status", F.col("o_orderkey")))
-        .unionByName(rule(bare, "order without line", F.col("o_orderkey")))
-        .unionByName(rule(lost, "line without order", F.col("l_orderkey") * 10 + F.col("l_linenumber")))
-    )
+        b["active"].select(F.lit("active").alias("view"), F.col("id").alias("key"), F.col("next_action").alias("value"), F.col("rank").cast("bigint").alias("n"))
+        .unionByName(b["cold"].select(F.lit("cold").alias("view"), F.col("id").alias("key"), F.col("reason").alias("value"), none))
+        .unionByName(b["entities"].select(F.lit("entities").alias("view"), F.col("display").alias("key"), F.concat("status", F.lit(" "), "why").alias("value"), none))
+        .unionByName(b["journal"].select(F.lit("journal").alias("view"), F.lpad(F.col("n").cast("string"), 3, "0").alias("key"), F.col("line").alias("value"), F.col("n").cast("bigint").alias("n")))
+        .unionByName(long_(b["scoreboard"], "scoreboard", ["confirmed", "active", "cold", "total"]))
+        .unionByName(long_(count.toDF("threads", "findings", "entities"), "totals", ["threads", "findings", "entities"]))
+    )
+
+
+@query("SELECT * FROM (VALUES ('brief.md', 'created', 'kept'), ('entities.yaml', 'kept', 'kept'), ('findings.yaml', 'created', 'kept')) t(file, first, again)")
+def case_scaffold(spark: SparkSession, sf: str) -> DataFrame:
+    """A case's files, one of which is there already; then once more."""
+    folder = f"{shared_folder(spark)}/case-{uuid.uuid4().hex}"
+    spark.createDataFrame([("members: []",)], "value string").coalesce(1).write.text(f"{folder}/entities.yaml")
+    first, again = integrity.init_case(spark, folder), integrity.init_case(spark, folder)
+    return first.withColumnRenamed("state", "first").join(again.withColumnRenamed("state", "again"), "file")
 
 
 _STATUS = "list_element(['open', 'chasing', 'confirmed', 'cold', 'dropped'], (o_orderkey % 5 + 1)::INT)"

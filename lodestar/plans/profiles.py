@@ -27,9 +27,15 @@ def profile_stats(spark: SparkSession, sf: str) -> DataFrame:
     return profiling.statistics(table(spark, sf, "lineitem"), NUMBERS).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-@query("SELECT 'l_quantity' AS var1, 'l_extendedprice' AS var2, round(corr(l_quantity, l_extendedprice), 4) AS r FROM lineitem HAVING abs(corr(l_quantity, l_extendedprice)) > 0.4")
+_NET = {"l_extendedprice": "l_extendedprice", "l_net": "l_extendedprice * (1 - l_discount)", "l_due": "-l_extendedprice * (1 - l_discount) * (1 + l_tax)", "l_tax": "l_tax", "l_one": "1.0"}
+_STRONG = " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, round(corr({_NET[a]}, {_NET[b]}), 4) AS r FROM lineitem" for a, b in (("l_extendedprice", "l_net"), ("l_extendedprice", "l_due"), ("l_net", "l_due")))
+
+
+@query(_STRONG)
 def profile_corr(spark: SparkSession, sf: str) -> DataFrame:
-    return profiling.correlations(table(spark, sf, "lineitem"), NUMBERS)
+    """Three columns that go together, one that goes with none, and a constant."""
+    rows = table(spark, sf, "lineitem").select(*(F.expr(e).cast("double").alias(c) for c, e in _NET.items()))
+    return profiling.correlations(rows, list(_NET))
 
 
 @query("""
@@ -39,10 +45,35 @@ def profile_hist(spark: SparkSession, sf: str) -> DataFrame:
     return profiling.histogram(table(spark, sf, "events"), "value")
 
 
-@query("""SELECT * FROM (VALUES ('l_discount', 'max', 0.1::DOUBLE)) v("column", name, value) WHERE false""")
+_LONG = " UNION ALL ".join(f"""SELECT '{c}' AS "column", unnest(['n', 'mean', 'median', 'min', 'max', 'std', 'range']) AS name, unnest([count({c})::DOUBLE, avg({c}), median({c}), min({c}), max({c}), stddev_samp({c}), max({c}) - min({c})]) AS value FROM lineitem""" for c in NUMBERS)
+
+
+@query(f"""WITH s AS ({_LONG}), lines AS (SELECT 'The figure is ' || printf('%.2f', value) || ' here.' AS line FROM s WHERE name IN ('mean', 'max') AND "column" <> 'l_tax'),
+r AS (SELECT "column", name, unnest([printf('%.0f', value), printf('%.1f', value), printf('%.2f', value), printf('%.3f', value)]) AS shown FROM s)
+SELECT DISTINCT "column", name FROM s WHERE ("column", name) NOT IN (SELECT ("column", name) FROM r JOIN lines ON contains(line, shown))""")
 def figure_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Statistics of the lines that a report of them lacks: none, as the report is made from them."""
+    """Statistics of the lines that a report with the means and largest values of three columns lacks."""
     stats = profiling.statistics(table(spark, sf, "lineitem"), NUMBERS)
-    long_ = stats.unpivot(["column"], ["min", "max"], "name", "value")
-    report = long_.select(F.concat(F.lit("The figure is "), F.format_number("value", 2), F.lit(" here.")).alias("line"))
-    return profiling.missing_figures(long_, report)
+    long_ = stats.withColumn("n", F.col("n").cast("double")).unpivot(["column"], ["n", "mean", "median", "min", "max", "std", "range"], "name", "value")
+    told = long_.where("name IN ('mean', 'max') AND `column` <> 'l_tax'")
+    report = told.select(F.concat(F.lit("The figure is "), F.format_number("value", 2), F.lit(" here.")).alias("line"))
+    return profiling.missing_figures(long_, report).select("column", "name")
+
+
+_PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
+_MATRIX = " UNION ALL ".join(f"SELECT '{x}' AS var1, '{y}' AS var2, round(corr({a}, {b}), 4) AS r FROM lineitem" for a, b in _PAIRS for x, y in ((a, b), (b, a)))
+
+
+@query(_MATRIX)
+def profile_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return profiling.correlation_matrix(table(spark, sf, "lineitem"), NUMBERS)
+
+
+@query("SELECT var1, var2 FROM (VALUES ('l_quantity', 'l_discount'), ('l_quantity', 'l_tax'), ('l_extendedprice', 'l_discount'), ('l_discount', 'l_tax')) t(var1, var2)")
+def reported_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlations that a report lacks: it has one turned about and with the other sign, one near enough, and one that is wrong."""
+    pairs = profiling.correlations(table(spark, sf, "lineitem"), NUMBERS, -1.0)
+    told = pairs.where("var1 = 'l_quantity' AND var2 = 'l_extendedprice'").select(F.col("var2").alias("var1"), F.col("var1").alias("var2"), (-F.col("r")).alias("r"))
+    told = told.unionByName(pairs.where("var1 = 'l_extendedprice' AND var2 = 'l_tax'").withColumn("r", F.col("r") + F.when(F.col("r") < 0, -0.01).otherwise(0.01)))
+    told = told.unionByName(pairs.where("var1 = 'l_discount' AND var2 = 'l_tax'").withColumn("r", F.lit(0.9)))
+    return profiling.unreported_pairs(pairs, told).select("var1", "var2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,4 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import documents, facts, profiles  # noqa: E402, F401  they fill QUERIES
+def re2(pattern: str) -> str:
+    """A pattern as an SQL literal for an engine whose word boundary knows ASCII letters only: boundaries are spelt out.
+
+    They take a character, so this is for tests whether a pattern occurs and not for what it matches.
+    """
+    ends = re.sub(r"\\b(?=$|[|)])", r"(?:[^\\p{L}\\p{N}_]|$)", pattern)
+    return "'" + ends.replace(r"\b", r"(?:^|[^\p{L}\p{N}_])").replace("'", "''") + "'"
+
+
+from . import documents, facts, investigation, profiles  # noqa: E402, F401  they fill QUERIES

@@ -116,20 +116,27 @@ def ingest(spark: SparkSession, root: str, out: str, years: list[int] = [2025],
 
 
 def provenance(spark: SparkSession, prov: str, root: str = "") -> DataFrame:
-    """(prov, record, error): the raw record behind a provenance id; an error where there is none."""
+    """(prov, record, error): the raw record behind a provenance id; an error where there is none, a missing file or a bad place too."""
     path, _, place = prov.partition("#")
     full = f"{root.rstrip('/')}/{path.removeprefix('data/')}" if root else path
-    lookup = F.lit(None).cast("string")
+    failed = lambda why: spark.createDataFrame([(prov, None, why)], "prov string, record string, error string")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    if not path or not at(full).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at(full)):
+        return failed(f"source file not found: {full}")
     raw = spark.read.text(full, wholetext=True)
-    if place.startswith("L"):
+    if full.endswith(".xml") or not place:
+        lookup = F.col("value")
+    elif place.startswith("L"):
+        if not place[1:].isdigit() or place == "L0":
+            return failed(f"not a line: {place}")
         lookup = F.try_element_at(F.split("value", "\n"), F.lit(int(place[1:])))
-    elif place:
+    else:
         items = F.from_json("value", "array<string>")
         lookup = F.try_element_at(F.filter(items, lambda x: F.get_json_object(x, "$.filing_uuid") == place), F.lit(1))
-    else:
-        lookup = F.col("value")
-    found = raw.select(F.lit(prov).alias("prov"), lookup.alias("record"))
-    return found.withColumn("error", F.when(F.col("record").isNull(), F.lit("no such record")))
+    found = raw.select(F.lit(prov).alias("prov"), F.nullif(lookup, F.lit("")).alias("record"))
+    # One row, though a folder of parts may stand for the file.
+    one = found.agg(F.first("prov").alias("prov"), F.max("record").alias("record"))
+    return one.withColumn("error", F.when(F.col("record").isNull(), F.lit("no such record")))
 
 
 def flatten_snapshot(spark: SparkSession, path: str, member_schema: str) -> DataFrame:

@@ -42,6 +42,7 @@ def test_money(records):
     assert sets(m["pay_by_year"]) == {(2025, 2, 1500.0)} and sets(m["top_payers"], "registrant_name") == {("Pharma Works",)} and m["samples"].count() == 1
     t = C.timeline(records, "A")
     assert sets(t["money_by_month"]) == {("2025-01", 1, 1000.0), ("2025-02", 1, 500.0)} and sets(t["money_by_industry"], "industry") == {("Health/Pharma",)}
+    assert "bills" not in t and C.timeline(records, "A", 2024)["money_by_month"].count() == 0
     assert sets(t["range"], "first", "last") == {("2025-01-05", "2025-02-05")} and t["top_items"].first()["amount"] == 1000.0
 
 

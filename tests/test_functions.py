@@ -70,9 +70,12 @@ def test_claims(rows):
     assert values(rows, text.claim_terms, "First of the first 5, and first $5")[0][:2] == ["$5", "5,"]
 
 
-def test_sentences():
-    assert text.sentences_of("Mr. Lee paid 3.5 dollars. Then he left! \"Why?\" Nobody knew") == ["Mr. Lee paid 3.5 dollars.", "Then he left!", "\"Why?\" Nobody knew"]
-    assert text.sentences_of(None) == [] and text.sentences_of("  ") == []
+def test_sentences(spark):
+    paragraphs = ["Mr. Lee paid 3.5 dollars. Then he left! \"Why?\" Nobody knew", None, "  ", "One.  Two of Acme Inc.\n Three vs. Four? Five", "A. B. C.", "No. Yes. Dr.  Ray. x"]
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(paragraphs)], "i int, p string")
+    got = {r["i"]: r["s"] for r in frame.select("i", text.split_sentences(F.col("p")).alias("s")).collect()}
+    assert got[0] == ["Mr. Lee paid 3.5 dollars.", "Then he left!", "\"Why?\" Nobody knew"] and got[1] == [] and got[2] == []
+    assert got[3] == ["One.", "Two of Acme Inc.\n Three vs. Four?", "Five"] and got[4] == ["A.", "B.", "C."] and got[5] == ["No. Yes.", "Dr.  Ray. x"]
 
 
 def test_quote_and_thousands(rows):

@@ -1,5 +1,9 @@
 """Operators on literal rows."""
 
+import random
+import statistics
+
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import claims, integrity, profiling, ranking, resolution, reuse, rollups
@@ -148,3 +152,52 @@ def test_samples_and_lag(rows):
     assert sets(rollups.cap_per_key(df, ["k"], ["i"], 2), "i") == {(0,), (1,), (2,), (3,)}
     assert sets(rollups.every_nth(df, ["k"], ["i"], 3), "i") == {(0,), (1,), (6,), (7,)}
     assert rollups.lag_correlation(rows("p int, a double, b double", *((i, 1.0, float(i)) for i in range(5))), "p", "a", "b", 1).first()["r"] is None
+
+
+def test_numbers_and_medians_over_ranges(rows, spark):
+    r = random.Random(3)
+    made = [(r.choice(["a", "b", None]), r.choice([1.0, 2.0, 2.5, r.random() * 9, None])) for _ in range(300)]
+    df = rows("g string, v double", *made)
+    placed = ranking.numbered(df, ["g"], [F.col("v")]).collect()
+    for g in ("a", "b", None):
+        mine = sorted((x["__n"], x["v"] is not None, x["v"]) for x in placed if x["g"] == g)
+        assert [n for n, *_ in mine] == list(range(1, len(mine) + 1)) and [v for *_, v in mine] == sorted((v for *_, v in mine), key=lambda v: (v is not None, v or 0))
+    got = {x["g"]: x["median"] for x in ranking.exact_median(df, "g", "v").collect()}
+    assert got == {g: statistics.median(v for h, v in made if h == g and v is not None) for g in ("a", "b", None)}
+    assert ranking.numbered(df.limit(0), ["g"], [F.col("v")]).count() == 0
+
+
+def test_lookup_of_candidates_and_chambers(rows):
+    people = rows("name string, state string, office string", ("JOHNSON, MIKE", "LA", "H"), ("JOHNSON, MIKE B.", "LA", "S"), ("JOHNSON, ANN", "LA", "H"), ("JOHNSONS, MIKE", "LA", "H"))
+    assert sets(resolution.candidate_search(people, "Mike Johnson", "LA", "H"), "name") == {("JOHNSON, MIKE",)}
+    assert sets(resolution.candidate_search(people, "James Johnson", "LA", "H"), "name") == {("JOHNSON, MIKE",), ("JOHNSON, ANN",)}
+    assert resolution.candidate_search(people, "Nobody").count() == 0
+    roles = rows("roles array<struct<committee:string>>", ([("Joint Tax",), ("House Rules",), ("Senate Budget",)],), ([("Joint Tax",)],), (None,))
+    assert [x[0] for x in roles.select(resolution.role_chamber(F.col("roles"))).collect()] == ["House", None, None]
+
+
+def test_channels_codes_and_estimates(rows):
+    items = rows("kind string, to string, amount double, by string", ("he", "A x", 10.0, "p"), ("he", "A y", 5.0, "p"), ("he", "B", 1.0, "q"), ("feca", "A x", 99.0, "q"))
+    assert sets(rollups.channel_totals(items, "he", "kind", F.substring("to", 1, 1), "amount", "by"), "cluster", "items", "total", "funders") == {("A", 2, 15.0, 1), ("B", 1, 1.0, 1)}
+    parents = rows("k int, y int, c string, v double", (1, 2024, "a", 3.0), (2, 2024, "b", 4.0), (3, 2025, "a", 5.0))
+    children = rows("k int, code string", (1, "TAX"), (1, "TAX"), (3, "TAX"), (2, "HCR"))
+    assert sets(rollups.code_totals(parents, children, "k", F.col("code") == "TAX", ["y", "c"], "v")) == {("y", "2024", 1, 3.0), ("y", "2025", 1, 5.0), ("c", "a", 2, 8.0)}
+    sample = rows("q int, hit boolean", (1, True), (1, False), (2, False))
+    assert sets(rollups.extrapolate(sample, rows("q int, size long", (1, 10), (2, 7)), ["q"], F.col("hit"))) == {(1, 2, 1, 10, 5.0), (2, 1, 0, 7, 0.0)}
+
+
+def test_words_of_many_segments_tell_none_apart(rows):
+    segments = rows("segment_id int, text string", *((i, "common word" + (" rare" if i == 3 else "")) for i in range(30)))
+    found = claims.lexical_matches(rows("claim_id int, terms array<string>", (1, ["common rare"]), (2, ["common"])), segments)
+    assert sets(found, "claim_id", "segment_id", "score") == {(1, 3, 1)}
+
+
+def test_journal_and_scaffold(spark, tmp_path):
+    with pytest.raises(ValueError, match="empty"):
+        integrity.append_journal(spark, str(tmp_path), "s", " \n", "t")
+    integrity.append_journal(spark, str(tmp_path), "s", "b", "t2")
+    integrity.append_journal(spark, str(tmp_path), "s", "a\nc", "t1")
+    lines = [x["line"] for x in integrity.journal_lines(spark, str(tmp_path)).orderBy("n").collect()]
+    assert lines == ["---", "### t1 \u00b7 session s", "a", "c", "---", "### t2 \u00b7 session s", "b"]
+    assert sets(integrity.init_case(spark, str(tmp_path / "case")), "state") == {("created",)} and sets(integrity.init_case(spark, str(tmp_path / "case")), "state") == {("kept",)}
+    assert (tmp_path / "case" / "brief.md").read_text().startswith("# Investigation Brief")

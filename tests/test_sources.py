@@ -1,6 +1,7 @@
 """Ingest of invented files, provenance, and streams."""
 
 import json
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -90,6 +91,35 @@ def test_texts(spark, tmp_path):
     assert spark.createDataFrame([("D:20250102030405",), ("x",)], "d string").select(texts.clean_pdf_date("d")).collect()[0][0] == "2025-01-02"
 
 
+def test_provenance_of_what_is_not_there(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("{}\n")
+    for place, error in (("b.jsonl#L1", "source file not found"), ("a.jsonl#Lx", "not a line"), ("a.jsonl#L0", "not a line"), ("a.jsonl#L9", "no such record"), ("a.jsonl#u", "no such record")):
+        got = records.provenance(spark, f"data/{place}", str(tmp_path)).collect()
+        assert len(got) == 1 and got[0]["record"] is None and got[0]["error"].startswith(error)
+    assert records.provenance(spark, "data/a.jsonl#L1", str(tmp_path)).first()["record"] == "{}"
+
+
+def test_docx(spark, tmp_path):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f"<w:p>{''.join(f'<w:r><w:t>{t}</w:t></w:r>' for t in p)}</w:p>" for p in (["One ", "paragraph"], [], ["Two"]))
+    with zipfile.ZipFile(tmp_path / "memo.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+        z.writestr("docProps/core.xml", '<c xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:t="http://purl.org/dc/terms/"><dc:title>The memo</dc:title><t:created>2025-01-02T03:04:05Z</t:created></c>')
+    (tmp_path / "broken.docx").write_text("no zip")
+    assert sets(texts.docx_paragraphs(spark, str(tmp_path)), "title", "created", "position", "text") == {("The memo", "2025-01-02T03:04:05Z", 1, "One paragraph"), ("The memo", "2025-01-02T03:04:05Z", 3, "Two")}
+
+
+def test_batches_rewrite_only_the_buckets_they_touch(spark, rows, tmp_path):
+    schema = "k int, at string, v int"
+    for i, batch in enumerate([[(k, "2025-01-01", 0) for k in range(40)], [(7, "2025-01-02", 1)]]):
+        rows(schema, *batch).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    source = streams.stream_of(spark, str(tmp_path / "in" / "*"), schema, 1)
+    streams.latest_versions(source, ["k"], ["at"], str(tmp_path / "t"), str(tmp_path / "c"), buckets=8).awaitTermination()
+    assert sets(streams.read_latest(spark, str(tmp_path / "t")), "k", "v") == {(k, int(k == 7)) for k in range(40)}
+    folders = {p.name: len([x for x in p.iterdir() if x.is_dir()]) for p in (tmp_path / "t" / "data").iterdir()}
+    assert folders["0"] == 8 and folders["1"] == 1
+
+
 def test_streams(spark, rows, tmp_path):
     schema = "k int, at string, v int"
     for i, batch in enumerate([[(1, "2025-01-01", 1), (2, "2025-01-01", 1)], [(1, "2025-01-03", 2), (1, "2025-01-02", 3), (1, "2025-01-03", 2)]]):
