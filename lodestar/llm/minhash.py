@@ -16,7 +16,8 @@ components is lost. Counts are pre-aggregated, and large groups are verified in
 
 A document of fewer words than a shingle has one shingle of all its words; a document without words (null, empty or
 blank) links with nothing, as does a row without an id. Ids name documents: rows that share one are one node.
-An empty table gives an empty result. Other columns are not read, and pass through in `drop_near_duplicates`.
+An empty table gives an empty result. Other columns are not read, and pass through in `drop_near_duplicates`. A worker's memory
+follows the longest text (about twenty bytes for each of its bytes), as its shingles are sorted together.
 """
 
 from __future__ import annotations
@@ -237,7 +238,7 @@ class TileIndex:
         return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, part: int = 500, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, part: int = 128, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key, class_id (the least id of its class) of every row; classes are components of verified links."""
     sketched = materialize(sketches(docs, width, bands, rows, id_col, text_col), "sketches")
     named = sketched.where("id IS NOT NULL AND weight > 0")

@@ -83,6 +83,30 @@ class ByteNetwork:
         got[first[1:] - 1] = -np.inf
         return np.maximum.reduceat(got, first[:-1], axis=0)
 
+    def gradients(self, texts: Sequence[bytes], y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean logistic loss and its derivative by every parameter; each filter learns from the chunk that is its maximum."""
+        p, kind = self.p, self.p["o"].dtype
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        blocks, first = self.blocks(data, off)
+        got = self.chunks(blocks)
+        at = np.stack([first[i] + got[first[i] : first[i + 1] - 1].argmax(0) for i in range(len(texts))])
+        raw = got[at, np.arange(self.filters)]
+        pooled = np.maximum(raw, 0)
+        hidden, out = self.head(pooled)
+        loss = float(-np.mean(y * np.log(out) + (1 - y) * np.log1p(-out)))
+        d = ((out - y) / len(texts)).astype(kind)
+        dh = np.outer(d, p["o"]) * (hidden > 0)
+        dc = (dh @ p["h"].T) * (raw > 0)
+        x = p["e"][blocks[np.stack([at, at + 1], -1)]]  # document, filter, block, byte, dimension
+        x = x.reshape(len(texts), self.filters, 2, -1)
+        dw = np.einsum("if,ifkx->kxf", dc, x)
+        w = p["w"].reshape(-1, 2, self.filters)
+        dx = np.einsum("if,xkf->ifkx", dc, w).reshape(-1, self.embed)
+        which = blocks[np.stack([at, at + 1], -1)].ravel()
+        de = np.stack([np.bincount(which, dx[:, j], 256) for j in range(self.embed)], 1)
+        return loss, {"e": de, "w": np.concatenate([dw[0], dw[1]], 1), "b": dc.sum(0), "h": pooled.T @ dh, "hb": dh.sum(0), "o": hidden.T @ d, "ob": d.sum(keepdims=True)}
+
     def fit(self, texts: Sequence[bytes], y: np.ndarray, epochs: int | None = None, batch: int = 16, rate: float = 4e-3, decay: float = 1e-4, seed: int = 5) -> ByteNetwork:
         y = np.asarray(y, np.float64)
         if len(y) == 0 or y.min() == y.max():
@@ -97,25 +121,7 @@ class ByteNetwork:
             order = r.permutation(len(texts))
             for a in range(0, len(order), batch):
                 pick = order[a : a + batch]
-                data = np.frombuffer(b"".join(texts[i] for i in pick), np.uint8)
-                off = np.concatenate([[0], np.cumsum([len(texts[i]) for i in pick])])
-                blocks, first = self.blocks(data, off)
-                got = self.chunks(blocks)
-                at = np.stack([first[i] + got[first[i] : first[i + 1] - 1].argmax(0) for i in range(len(pick))])
-                raw = got[at, np.arange(self.filters)]
-                pooled = np.maximum(raw, 0)
-                hidden, out = self.head(pooled)
-                d = ((out - y[pick]) / len(pick)).astype(np.float32)
-                dh = np.outer(d, p["o"]) * (hidden > 0)
-                dc = (dh @ p["h"].T) * (raw > 0)
-                x = p["e"][blocks[np.stack([at, at + 1], -1)]]  # document, filter, block, byte, dimension
-                x = x.reshape(len(pick), self.filters, 2, -1)
-                dw = np.einsum("if,ifkx->kxf", dc, x)
-                w = p["w"].reshape(-1, 2, self.filters)
-                dx = np.einsum("if,xkf->ifkx", dc, w).reshape(-1, self.embed)
-                which = blocks[np.stack([at, at + 1], -1)].ravel()
-                de = np.stack([np.bincount(which, dx[:, j], 256) for j in range(self.embed)], 1)
-                grads = {"e": de, "w": np.concatenate([dw[0], dw[1]], 1), "b": dc.sum(0), "h": pooled.T @ dh, "hb": dh.sum(0), "o": hidden.T @ d, "ob": d.sum(keepdims=True)}
+                _, grads = self.gradients([texts[i] for i in pick], y[pick])
                 step += 1
                 now = rate * min(1, 20 * step / total) * (1 - step / (total + 1))
                 for k, g in grads.items():

@@ -3,7 +3,8 @@
 Bands have fixed outer limits, and least ratios by length that `fit_bands` takes from the documents themselves: prose of one
 length compresses alike, and lists, menus and text full of symbols compress better. Every text is read as a whole, where it
 lies; fitting reads all texts once before and shuffles a few bytes of each. Null text counts as empty; empty text has no words and
-so fails the base rule. Rows that repeat are judged one by one, alike. Other columns of the input pass through
+so fails the base rule. A worker's memory follows the longest text (about twenty bytes for each of its bytes), as its windows of words
+are counted together. Rows that repeat are judged one by one, alike. Other columns of the input pass through
 unchanged in `filter_quality` and are not read in `score_quality`.
 """
 

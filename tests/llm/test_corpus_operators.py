@@ -291,6 +291,56 @@ def test_network_learns_and_pools_whole_texts(docs, empty, spark):
     assert len(rows) == docs.count() and all(0 <= x["score"] <= 1 for x in rows) and quality_cnn.score_documents(empty, model).count() == 0
 
 
+def test_network_against_plain_loops_and_differences():
+    """Forward pass chunk by chunk in plain Python; derivatives against differences of the loss."""
+    net = quality_cnn.ByteNetwork(block=4, embed=3, filters=5, hidden=4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    texts = [b"", b"ab", b"abcd", b"hello big world", bytes(range(60, 100)), b"x" * 33]
+    y = np.array([0.0, 1, 1, 0, 1, 0])
+    p = net.p
+    want = []
+    for t in texts:
+        size = max(-(-len(t) // 4), 2) * 4
+        padded = t + bytes(size - len(t))
+        best = [-math.inf] * 5
+        for start in range(0, size - 4, 4):
+            for f in range(5):
+                total = p["b"][f]
+                for half in range(2):
+                    for i in range(4):
+                        for d in range(3):
+                            total += p["e"][padded[start + 4 * half + i], d] * p["w"][i * 3 + d, half * 5 + f]
+                best[f] = max(best[f], total)
+        pooled = [max(b, 0) for b in best]
+        hidden = [max(sum(pooled[f] * p["h"][f, h] for f in range(5)) + p["hb"][h], 0) for h in range(4)]
+        want.append(1 / (1 + math.exp(-(sum(hidden[h] * p["o"][h] for h in range(4)) + p["ob"][0]))))
+    assert np.allclose(net.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])), want)
+    loss, grads = net.gradients(texts, y)
+    assert loss == pytest.approx(-sum(math.log(w if k else 1 - w) for w, k in zip(want, y, strict=True)) / len(texts))
+    r = np.random.RandomState(4)
+    for name, g in grads.items():
+        flat = p[name].reshape(-1)
+        for i in [*r.randint(flat.size, size=12), int(np.abs(g).argmax())]:
+            old = flat[i]
+            flat[i] = old + 1e-6
+            up = net.gradients(texts, y)[0]
+            flat[i] = old - 1e-6
+            down = net.gradients(texts, y)[0]
+            flat[i] = old
+            assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-6, abs=1e-6), (name, i)
+
+
+def test_hashes_of_long_texts_piece_by_piece(monkeypatch):
+    r = np.random.RandomState(5)
+    data = r.choice(np.frombuffer(b"abc  \n", np.uint8), 5000)
+    data[1000:2500] = 97  # a word longer than a piece
+    off = np.array([0, 0, 3000, 5000])
+    starts, ends, _ = B.words(data, off)
+    whole = B.span_hashes(data, starts, ends)
+    monkeypatch.setattr(B, "PIECE", 300)
+    assert (B.span_hashes(data, starts, ends) == whole).all()
+
+
 def test_network_fits_from_tables(spark, docs):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).unionByName(docs.limit(3).select("doc_id", F.lit(None).cast("int").alias("quality")))
     a = quality_cnn.fit_quality(docs, labels, max_rows=20)
