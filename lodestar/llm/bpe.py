@@ -5,9 +5,8 @@ leaves the pair's joined bytes as that pair. So each prefix has one last token,
 one token's length before: the transducer reads byte by byte and keeps these states for the last `lookahead` positions
 only, where `lookahead` is computed from the merge list as the length of the longest token that its merges really make. Every
 later token begins at one of the kept positions, so a token that lies on the paths of all of them is stable: it is emitted
-and forgotten. Memory follows the lookahead and not the pre-token's length. All pre-tokens go through this one transducer; it
-remembers transitions from the beginning of a pre-token, as many begin alike, and the tokens of frequent short pre-tokens, both
-in tables of fixed size.
+and forgotten. Memory follows the lookahead and not the pre-token's length. All pre-tokens go through this one transducer; the
+tokens of frequent short pre-tokens are remembered in tables of fixed size.
 
 Decoding. Tokens give bytes; an incremental UTF-8 machine carries an unfinished character to the next block and puts
 U+FFFD for what isn't UTF-8.
@@ -25,6 +24,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -36,9 +36,9 @@ from .common import KEPT, quoted, small_batches, tidy
 #: How text is cut before the merges of byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1 << 15
-#: At most so many token pairs known to be stable or not, and transitions from a pre-token's beginning, are remembered.
-KEPT_STATES = 1 << 18
-#: Transitions are remembered for so many bytes from a pre-token's beginning, and tokens of pre-tokens of so many bytes at most.
+#: At most so many token pairs known to be stable or not are remembered.
+KEPT_PAIRS = 1 << 18
+#: Tokens are remembered of pre-tokens of so many bytes at most.
 REMEMBERED = 64
 #: Bytes of results sent to the JVM together.
 OUT_BYTES = 1 << 21
@@ -66,7 +66,7 @@ def supported(spec: dict) -> None:
 
 class Transducer:
     def __init__(self, vocabulary: bytes, cache_words: int = 1 << 15):
-        self.cache_words, self.cache_states = cache_words, min(2 * cache_words, KEPT_STATES)
+        self.cache_words = cache_words
         spec = json.loads(vocabulary)
         supported(spec)
         alphabet = byte_alphabet()
@@ -84,7 +84,6 @@ class Transducer:
         for k, v in self.special.items():
             self.text[v] = k.encode()
             self.token.pop(k.encode(), None)
-        self.states: dict[bytes, int] = {}
         self.sizes = [len(x) for x in self.text]
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.text))]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -92,17 +91,11 @@ class Transducer:
         self.lookahead = next((len(self.text[t]) for t in made if self.whole(t)), 1)
         self.pieces = regex.compile(PATTERN)
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
-        # By last byte and room before it: token lengths, longest first.
-        by_end: dict[int, set[int]] = {}
-        for k in self.token:
-            by_end.setdefault(k[-1], set()).add(len(k))
-        self.lengths = {b: [sorted((n for n in x if n <= room), reverse=True) for room in range(self.lookahead + 1)] for b, x in by_end.items()}
-        # By the last three bytes: lengths of the tokens that can end there, longest first (for shorter tails see lengths).
-        tails: dict[bytes, set[int]] = {}
-        for k in self.token:
-            if len(k) >= 3:
-                tails.setdefault(k[-3:], set()).add(len(k))
-        self.tails = {k: tuple(sorted(x, reverse=True)) + tuple(n for n in (2, 1) if k[3 - n :] in self.token) for k, x in tails.items()}
+        self.ends = ahocorasick.Automaton()
+        for k, v in self.token.items():
+            if len(k) <= self.lookahead:
+                self.ends.add_word(k.decode("latin-1"), (v, len(k)))
+        self.ends.make_automaton()
         self.stable: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -125,7 +118,7 @@ class Transducer:
         key = left << 32 | right
         got = self.stable.get(key)
         if got is None:
-            if len(self.stable) >= self.cache_states:
+            if len(self.stable) >= KEPT_PAIRS:
                 self.stable.clear()
             got = self.whole(right) and (left < 0 or self.whole(left) and self.apart(left, right))
             self.stable[key] = got
@@ -161,38 +154,30 @@ class Transducer:
 
     def stream(self, data: bytes) -> Iterator[bytes]:
         """The tokens of one pre-token as packed ids, each as soon as no later byte can change it."""
-        states, n, lengths, tails, token, fits, stable = self.states, len(data), self.lengths, self.tails.get, self.token.get, self.fits, self.stable.get
-        if len(states) >= self.cache_states:
-            states.clear()
-        known = min(n, REMEMBERED)
-        while known and data[:known] not in states:
-            known -= 1
-        begun = 0  # tokens up to here are out
-        last = [-1, *(states[data[:k]] for k in range(1, known + 1))]  # last token of each prefix that ends at begun or later
-        check = begun + 2 * self.lookahead
-        for end in range(known + 1, n + 1):
-            for size in end > 2 and tails(data[end - 3 : end]) or lengths[data[end - 1]][end if end < 3 else 2]:
-                begin = end - size
-                if begin < begun:
-                    continue
-                t = token(data[begin:end])
-                if t is None:
-                    continue
-                left = last[begin - begun]
-                good = stable(left << 32 | t)
-                if good or good is None and fits(left, t):
-                    last.append(t)
-                    if end <= REMEMBERED:
-                        states[data[:end]] = t
-                    break
-            if end >= check:
-                root = self.agreed(last, begun, end)
-                if root > begun:
-                    yield self.path(last, begun, root)
-                    del last[: root - begun]
-                    begun = root
-                check = end + self.lookahead
-        yield self.path(last, begun, n)
+        stable, fits = self.stable.get, self.fits
+        begun, done = 0, 0  # tokens up to begun are out; the prefix that ends at done has its last token
+        last = [-1]  # last token of each prefix that ends at begun or later
+        check = 2 * self.lookahead
+        # The automaton names the tokens that end at each byte, the longest first.
+        for end, (t, size) in self.ends.iter(data.decode("latin-1")):
+            if end < done:
+                continue
+            begin = end + 1 - size - begun
+            if begin < 0:
+                continue
+            left = last[begin]
+            good = stable(left << 32 | t)
+            if good or good is None and fits(left, t):
+                last.append(t)
+                done = end + 1
+                if done >= check:
+                    root = self.agreed(last, begun, done)
+                    if root > begun:
+                        yield self.path(last, begun, root)
+                        del last[: root - begun]
+                        begun = root
+                    check = done + self.lookahead
+        yield self.path(last, begun, done)
 
     def agreed(self, last: list[int], begun: int, end: int) -> int:
         """The last position on the paths of all prefixes at which a later token can begin."""
