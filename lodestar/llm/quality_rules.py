@@ -134,7 +134,7 @@ def limits(histogram: dict[int, tuple[np.ndarray, np.ndarray]], bands: Bands, sp
     return tuple(out)
 
 
-def fit_bands(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text", spread: float = 4.5, least: float = 0.045, prior: float = 50.0) -> Bands:
+def fit_bands(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text", spread: float = 4.5, least: float = 0.03, prior: float = 10.0) -> Bands:
     """bands with least ratios by length class, from all documents that the fixed bands judge; equal texts count once.
 
     What reaches the driver is a histogram: length classes x RATIO_BINS rows at most, however many documents there are.

@@ -36,9 +36,9 @@ def quality(rows):
     least = {}
     for g, ratios in by.items():
         middle = median(ratios)
-        low = middle - max(4.5 * 1.4826 * median([abs(x - middle) for x in ratios]), 0.045)
+        low = middle - max(4.5 * 1.4826 * median([abs(x - middle) for x in ratios]), 0.03)
         fixed = outer(int(2 ** ((g // 2 + 1) / 4)) - 1)[0][1]
-        least[g] = (len(ratios) * low + 50 * fixed) / (len(ratios) + 50)
+        least[g] = (len(ratios) * low + 10 * fixed) / (len(ratios) + 10)
     out = []
     for r in rows:
         text = r["text"] or ""

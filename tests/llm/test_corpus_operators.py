@@ -419,8 +419,8 @@ def test_fitted_bands_against_plain_code(spark):
         middle = x[math.ceil(len(x) / 2) - 1]
         far = sorted(abs(v - middle) for v in x)
         fixed = bands.outer(int(2 ** ((c // 2 + 1) / 4)) - 1)[1]
-        cut = middle - max(4.5 * 1.4826 * far[math.ceil(len(x) / 2) - 1], 0.045)
-        assert low == pytest.approx((len(x) * cut + 50 * fixed) / (len(x) + 50))
+        cut = middle - max(4.5 * 1.4826 * far[math.ceil(len(x) / 2) - 1], 0.03)
+        assert low == pytest.approx((len(x) * cut + 10 * fixed) / (len(x) + 10))
     # The verdict follows from ratio, chunks and limits.
     for row in quality_rules.score_quality(docs, bands).collect():
         t = (rows[row["doc_id"]] or "").encode()
