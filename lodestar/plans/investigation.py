@@ -272,13 +272,13 @@ SELECT 'money_by_month' AS view, left(item_date, 7) AS key, count(*) AS n, {TOTA
 UNION ALL SELECT 'releases_by_month', left(date, 7), count(*), NULL FROM releases WHERE n = 3 AND left(date, 4) = '2025' GROUP BY 2
 UNION ALL SELECT 'money_by_industry', 'Other', count(*), {TOTAL.format('amount')} FROM mine HAVING count(*) > 0
 UNION ALL SELECT 'range', min(item_date) || ' ' || max(item_date), count(*), coalesce({TOTAL.format('amount')}, 0) FROM mine
-UNION ALL SELECT * FROM (SELECT 'top_items', payee_name, 1, amount FROM mine ORDER BY amount DESC LIMIT 12)
+UNION ALL SELECT * FROM (SELECT 'top_items', 'item', 1, amount FROM mine ORDER BY amount DESC LIMIT 12)
 UNION ALL SELECT 'bills', strftime(DATE '2025-01-01' + (p_partkey % 300)::INT, '%Y-%m-%d'), p_partkey, NULL FROM part WHERE p_partkey % 20 = 3""")
 def command_timeline(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("p_partkey")
     bills = table(spark, sf, "part").select(words("B", p % 20).alias("entity_id"), day("2025-01-01", p % 300).alias("introduced"), p.alias("number"))
     found = C.timeline(records(spark, sf), WHO, bills=bills)
-    return views(found, money_by_month=("period", "n", "total"), releases_by_month=("period", "n", None), money_by_industry=("industry", "n", "total"), range=(F.concat_ws(" ", "first", "last"), "items", "total"), top_items=("payee_name", F.lit(1), "amount"), bills=("introduced", "number", None))
+    return views(found, money_by_month=("period", "n", "total"), releases_by_month=("period", "n", None), money_by_industry=("industry", "n", "total"), range=(F.concat_ws(" ", "first", "last"), "items", "total"), top_items=(F.lit("item"), F.lit(1), "amount"), bills=("introduced", "number", None))
 
 
 _LONG = r"""s AS (SELECT DISTINCT url, n, date, lower(s) AS low, s FROM (SELECT url, n, date, trim(regexp_replace(unnest(regexp_split_to_array(text, '[\n.]')), '\s+', ' ', 'g')) AS s FROM releases) WHERE length(s) >= 80)"""
