@@ -130,3 +130,19 @@ def first_label(name: Column, labels: dict[str, list[str]] | None = None, other:
             test = test | F.contains(upper, F.lit(p))
         out = F.when(test, F.lit(label)).otherwise(out)
     return out
+
+
+# Fields that the ready-made plan is for, and words of a question that point to it.
+PLAN_FIELDS = ["lobbying", "influence", "campaign-finance"]
+PLAN_HINTS = [
+    "lobby", "lobbying", "lobbyist", "influence", "campaign finance", "lda", "ld-203", "fara", "registrant", "revolving door", "pac", "contribution", "committee", "congress",
+]
+
+
+def plan_for(field: Column, question: Column) -> Column:
+    """(plan, guessed): the plan of a stated field, which is its own name unless a ready-made one covers it; without a field, the question's words decide."""
+    stated = F.trim(F.coalesce(field, F.lit("")))
+    hinted = F.coalesce(question, F.lit("")).rlike(rf"(?iU)\b(?:{'|'.join(PLAN_HINTS)})\b")
+    covered, guessed = F.lower(stated).isin(PLAN_FIELDS), (stated == "") & hinted
+    plan = F.when(covered | guessed, F.lit(PLAN_FIELDS[0])).when(stated == "", F.lit("generic")).otherwise(stated)
+    return F.struct(plan.alias("plan"), guessed.alias("guessed"))

@@ -129,6 +129,12 @@ def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: in
     return numbered(df, keys, [F.col(c) for c in order]).where(((F.col("__n") - 1) % step) == 0).drop("__n")
 
 
+def featured_sample(df: DataFrame, featured: Column, keys: Sequence[str], order: Sequence[str], step: int) -> DataFrame:
+    """A sampling operator: all featured rows, and of the rows of each key every step-th besides."""
+    regular = ((F.col("__n") - 1) % step) == 0
+    return numbered(df, keys, [F.col(c) for c in order]).where(F.coalesce(featured, F.lit(False)) | regular).drop("__n")
+
+
 def lag_correlation(series: DataFrame, period: str, a: str, b: str, lag: int) -> DataFrame:
     """Pearson correlation of a with b `lag` periods before, over a series of one row a period; null if either is constant."""
     moved = series.select(F.col(a).alias("x"), F.lag(b, lag).over(Window.orderBy(period)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")

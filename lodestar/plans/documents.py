@@ -73,17 +73,22 @@ def topic_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(topics.topics_in(said), "|").alias("topics"), topics.area_topic(F.concat(F.lit(" "), one(_AREAS), F.lit(" "))).alias("area"), topics.issue_topic(F.concat(F.lit(" "), F.lower(one(_CODES)))).alias("issue"))
 
 
+def reuse_urls(url: str) -> str:
+    """SQL: up to three URLs of a group, the least of the least ones for each first digit of MD5."""
+    return "array_to_string(list_sort(list_filter([" + ", ".join(f"min({url}) FILTER (md5({url})[1] = '{d}')" for d in "0123456789abcdef") + "], LAMBDA x: x IS NOT NULL))[1:3], ' ')"
+
+
 _SENTENCES = r"""(SELECT DISTINCT doc_id, source, lang, lower(s) AS low, s FROM (
   SELECT doc_id, source, lang, trim(regexp_replace(unnest(regexp_split_to_array(text, '[\n.]')), '\s+', ' ', 'g')) AS s FROM documents) WHERE length(s) >= 80)"""
 
 
-@query(f"""WITH g AS (SELECT low, count(DISTINCT source) AS n_members, string_agg(DISTINCT left(lang, 1), '' ORDER BY left(lang, 1)) AS parties, min('doc' || doc_id) AS sample_url, (max(doc_id % 300) - min(doc_id % 300))::INT AS span_days, first(s ORDER BY 'doc' || doc_id, s) AS sentence
+@query(f"""WITH g AS (SELECT low, count(DISTINCT source) AS n_members, string_agg(DISTINCT left(lang, 1), '' ORDER BY left(lang, 1)) AS parties, min('doc' || doc_id) AS sample_url, {reuse_urls("'doc' || doc_id")} AS sample_urls, (max(doc_id % 300) - min(doc_id % 300))::INT AS span_days, first(s ORDER BY 'doc' || doc_id, s) AS sentence
   FROM {_SENTENCES} GROUP BY low HAVING count(DISTINCT source) >= 3)
-SELECT low, n_members, parties, sample_url, span_days, left(sentence, 200) AS sentence, regexp_matches(sentence, {re2(text.BILL)})::INT + regexp_matches(sentence, {re2(text.MONEY)})::INT + regexp_matches(sentence, {re2(text.PROPER)})::INT AS specificity FROM g""")
+SELECT low, n_members, parties, sample_url, sample_urls, span_days, left(sentence, 200) AS sentence, regexp_matches(sentence, {re2(text.BILL)})::INT + regexp_matches(sentence, {re2(text.MONEY)})::INT + regexp_matches(sentence, {re2(text.PROPER)})::INT AS specificity FROM g""")
 def text_reuse_clusters(spark: SparkSession, sf: str) -> DataFrame:
     day = F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")), "yyyy-MM-dd")
     rows = table(spark, sf, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("url"), F.col("source").alias("author"), F.col("lang").alias("party"), day.alias("date"), "text")
-    return reuse.shared_sentences(rows, 3)
+    return reuse.shared_sentences(rows, 3).withColumn("sample_urls", F.array_join("sample_urls", " "))
 
 
 @query("SELECT source, count(*) AS n FROM documents WHERE contains(lower(text), 'of the') GROUP BY 1")
@@ -223,3 +228,37 @@ _WRITTEN = {"HR ": "hr", "H J Res ": "hjres", "s ": "s", "PN ": None, "hres": "h
 def bill_numbers(spark: SparkSession, sf: str) -> DataFrame:
     bill = F.concat(F.element_at(F.array(*map(F.lit, _WRITTEN)), (F.col("page_id") % len(_WRITTEN) + 1).cast("int")), F.col("page_id") + 1)
     return table(spark, sf, "pages").select("page_id", text.bill_kind(bill).alias("kind"), text.bill_number(bill).alias("n"))
+
+
+_WIDTH = 60
+
+
+@query(f"""WITH d AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[\\s\\p{{Z}}\\x{{85}}\\x0B]+'), LAMBDA w: w <> '') AS w FROM benchmark),
+l AS (SELECT item_id, list_reduce(w, LAMBDA a, x: CASE WHEN length(split_part(a, chr(10), -1)) + 1 + length(x) > {_WIDTH} THEN a || chr(10) || x ELSE a || ' ' || x END) AS t FROM (SELECT item_id, CASE WHEN len(w) = 0 THEN [''] ELSE w END AS w FROM d))
+SELECT item_id, t AS wrapped, len(string_split(t, chr(10))) AS n_lines FROM l""")
+def wrapped_texts(spark: SparkSession, sf: str) -> DataFrame:
+    lines = text.wrap_words(F.col("text"), _WIDTH)
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(lines, "\n").alias("wrapped"), F.size(lines).cast("bigint").alias("n_lines"))
+
+
+_MARKED = """'<b a="' || doc_id || '">' || left(coalesce(text, ''), 100) || ' & ''more''</b>'"""
+
+
+@query(f"SELECT doc_id, replace(replace(replace(replace(replace({_MARKED}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS html FROM documents")
+def escaped_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts between tags, made safe for HTML."""
+    marked = F.concat(F.lit('<b a="'), "doc_id", F.lit('">'), F.substring(F.coalesce("text", F.lit("")), 1, 100), F.lit(" & 'more'</b>"))
+    return table(spark, sf, "documents").select("doc_id", text.escape_html(marked).alias("html"))
+
+
+#: Questions, some with a word that points to the ready-made plan, and fields that are stated with them.
+_QUESTIONS = ["Who pays the LDA registrant?", "How pacific is it?", "What about ld-203s?", "A revolving door, or two", "Is the subcommittee whole?", "Congress?", "campaign  finance", "Rivers"]
+_FIELDS = ["", " Influence ", "rivers", "", "  ", "LOBBYING", "campaign-finance", "", " Health care "]
+_HINTED = f"regexp_matches(q, {re2(rf'(?i)\b(?:{"|".join(topics.PLAN_HINTS)})\b')})"
+
+
+@query(f"""WITH q AS (SELECT p_partkey, {_QUESTIONS}[p_partkey % {len(_QUESTIONS)} + 1] AS q, trim({_FIELDS}[p_partkey % {len(_FIELDS)} + 1]) AS f FROM part)
+SELECT p_partkey, CASE WHEN lower(f) IN ('lobbying', 'influence', 'campaign-finance') OR (f = '' AND {_HINTED}) THEN 'lobbying' WHEN f = '' THEN 'generic' ELSE f END AS plan, f = '' AND {_HINTED} AS guessed FROM q""")
+def plan_choice(spark: SparkSession, sf: str) -> DataFrame:
+    one = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", topics.plan_for(one(_FIELDS), one(_QUESTIONS)).alias("p")).select("p_partkey", "p.*")

@@ -305,6 +305,13 @@ def systematic_sample(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.every_nth(table(spark, sf, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], 25)
 
 
+@query("SELECT event_type, event_id FROM events QUALIFY (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 25 = 0 OR user_id % 100 = 7")
+def featured_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """All events of some users, and every 25th of each type besides."""
+    events = table(spark, sf, "events").select("event_type", "event_id", "user_id")
+    return rollups.featured_sample(events, F.col("user_id") % 100 == 7, ["event_type"], ["event_id"], 25).drop("user_id")
+
+
 @query("""
 WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS p, count(*)::DOUBLE AS a, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS b FROM orders GROUP BY 1),
 l AS (SELECT a AS x, lag(b, 1) OVER (ORDER BY p) AS y FROM m)
@@ -467,3 +474,29 @@ def vote_topic_mix(spark: SparkSession, sf: str) -> DataFrame:
     votes = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("roll"), (F.col("o_custkey") % 40).alias("bill"), F.col("o_orderdate").alias("date"))
     bills = spark.range(30).select(F.col("id").alias("bill"), F.concat(F.lit("area "), F.col("id") % 6).alias("area"))
     return rollups.vote_mix(votes, bills)
+
+
+#: Manifests, and what is wrong with each.
+_MANIFESTS = [
+    ("---\nname: the-first\ndescription: What it does,\n  and when.\n---\nBody", []), (None, ["no file"]), ("name: x\n", ["no block"]), ("---\nname: 'b-2'\ndescription: " + "long " * 210 + "\n---\n", ["long description"]),
+    ("---\nname: No_Good\ndescription:\n---\n", ["bad name", "no description"]), ("---\ntitle: x\ndescription: y\n---\n", ["no name"]), ("---\nname: a--b\ndescription: y\n---\n", ["bad name"]),
+]
+
+
+@query(f"SELECT folder, problem FROM (SELECT p_partkey AS folder, unnest({[problems for _, problems in _MANIFESTS]}[p_partkey % {len(_MANIFESTS)} + 1]) AS problem FROM part)")
+def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
+    texts = F.element_at(F.array(*(F.lit(t) for t, _ in _MANIFESTS)), (F.col("p_partkey") % len(_MANIFESTS) + 1).cast("int"))
+    return integrity.manifest_problems(table(spark, sf, "part").select(F.col("p_partkey").alias("folder"), texts.alias("text")))
+
+
+@query("""WITH e AS (SELECT o_orderkey AS seq, ['thread', 'entity', 'lead'][o_custkey % 3 + 1] AS kind, 'n' || o_custkey AS name, ['hot', '', NULL, 'cold'][o_orderkey % 4 + 1] AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'note ' || o_orderkey ELSE '' END AS note, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
+SELECT kind, name, coalesce(arg_max(status, seq) FILTER (status <> ''), CASE WHEN kind <> 'entity' THEN 'open' END) AS status, coalesce(arg_max(note, seq) FILTER (note <> ''), '') AS note, arg_min(day, seq) AS created FROM e GROUP BY kind, name""")
+def session_tracker(spark: SparkSession, sf: str) -> DataFrame:
+    """Threads, entities and leads as their events leave them; an order is an event of its customer."""
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.col(by) % len(values) + 1).cast("int"))
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("note "), "o_orderkey")).otherwise("")
+    events = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("seq"), pick(["thread", "entity", "lead"], "o_custkey").alias("kind"), F.concat(F.lit("n"), "o_custkey").alias("name"),
+        pick(["hot", "", None, "cold"], "o_orderkey").alias("status"), note.alias("note"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+    )
+    return integrity.tracker_state(events)

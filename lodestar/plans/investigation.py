@@ -9,6 +9,7 @@ from ..functions import text, topics
 from ..operators import resolution, rollups
 from ..sources import records as sources
 from . import commands as C
+from .documents import reuse_urls
 from .raw import day, pick, records, text as words
 from .registry import query, re2, table
 
@@ -285,11 +286,11 @@ _LONG = r"""s AS (SELECT DISTINCT url, n, date, lower(s) AS low, s FROM (SELECT
 
 
 @query(f"""{given(RELEASES, _LONG)},
-g AS (SELECT low, count(DISTINCT n) AS n_members, string_agg(DISTINCT ['D', 'R'][n % 2 + 1], '' ORDER BY ['D', 'R'][n % 2 + 1]) AS parties, (max(date)::DATE - min(date)::DATE)::INT AS span_days, min(url) AS sample_url, first(s ORDER BY url, s) AS sentence FROM s GROUP BY 1 HAVING count(DISTINCT n) >= 3),
+g AS (SELECT low, count(DISTINCT n) AS n_members, string_agg(DISTINCT ['D', 'R'][n % 2 + 1], '' ORDER BY ['D', 'R'][n % 2 + 1]) AS parties, (max(date)::DATE - min(date)::DATE)::INT AS span_days, min(url) AS sample_url, {reuse_urls('url')} AS sample_urls, first(s ORDER BY url, s) AS sentence FROM s GROUP BY 1 HAVING count(DISTINCT n) >= 3),
 h AS (SELECT *, regexp_matches(sentence, {re2(text.BILL)})::INT + regexp_matches(sentence, {re2(text.MONEY)})::INT + regexp_matches(sentence, {re2(text.PROPER)})::INT AS specificity FROM g)
-SELECT n_members, parties, span_days, specificity, left(sentence, 200) AS sentence, sample_url, low FROM h ORDER BY length(parties) > 1 DESC, specificity DESC, n_members DESC, span_days, low LIMIT 30""")
+SELECT n_members, parties, span_days, specificity, left(sentence, 200) AS sentence, sample_url, sample_urls, low FROM h ORDER BY length(parties) > 1 DESC, specificity DESC, n_members DESC, span_days, low LIMIT 30""")
 def command_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return C.clusters(records(spark, sf), min_members=3)
+    return C.clusters(records(spark, sf), min_members=3).withColumn("sample_urls", F.array_join("sample_urls", " "))
 
 
 @query(f"""{given(RELEASES)}, hits AS (SELECT * FROM releases WHERE left(date, 4) = '2025' AND contains(lower(text), 'of the'))
