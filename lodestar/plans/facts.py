@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text, topics
 from ..operators import integrity, ranking, resolution, rollups
 from ..scratch import shared_folder
+from ..sources import cases
 from .registry import query, table
 
 
@@ -500,3 +501,17 @@ def session_tracker(spark: SparkSession, sf: str) -> DataFrame:
         pick(["hot", "", None, "cold"], "o_orderkey").alias("status"), note.alias("note"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
     )
     return integrity.tracker_state(events)
+
+
+@query("""SELECT c_custkey, 'C' || c_custkey AS id, c_nationkey::BIGINT AS nation, c_name || ' # ' || c_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN 'a' || c_custkey ELSE 'a|b, ' || c_custkey END AS aliases,
+  'why ' || c_custkey || ' it is' AS why, CASE WHEN c_custkey % 2 = 0 THEN 'note' END AS note, (c_custkey % 4 + 1)::BIGINT AS n_sources FROM customer""")
+def yaml_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers written as YAML with comments, quotes, lists in both forms and a folded text, read back."""
+    k = F.col("c_custkey")
+    aliases = F.when(k % 3 == 0, "[]").when(k % 3 == 1, F.concat(F.lit("[a"), k, F.lit("]"))).otherwise(F.concat(F.lit("[a,\n   \"b, "), k, F.lit('"]')))
+    note = F.when(k % 2 == 0, "note").otherwise("~")
+    sources = F.array_join(F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.concat(F.lit("\n  - x.json#"), i)), "")
+    lines = F.concat(F.lit("id: C"), k, F.lit("  # its id\nnation: "), "c_nationkey", F.lit("\nname: '"), "c_name", F.lit(" # "), k, F.lit("'\naliases: "), aliases, F.lit("\nwhy: >\n  why "), k, F.lit("\n  it is\nnote: "), note, F.lit("\nsources:"), sources)
+    read = cases.yaml_as_json(table(spark, sf, "customer").select("c_custkey", lines.alias("yaml")), "yaml")
+    got = F.from_json("json", "id string, nation bigint, name string, aliases array<string>, why string, note string, sources array<string>")
+    return read.select("c_custkey", got.alias("r")).select("c_custkey", "r.id", "r.nation", "r.name", F.array_join("r.aliases", "|").alias("aliases"), "r.why", "r.note", F.size("r.sources").cast("bigint").alias("n_sources"))

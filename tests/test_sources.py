@@ -131,3 +131,76 @@ def test_streams(spark, rows, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     assert {(r["start"].day, r["k"], r["n"]) for r in spark.table("counts").collect()} == {(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 1, 2)}
     assert spark.table("first").agg(F.count("*")).first()[0] == 2
+
+
+YAML = """# a case
+id: T-1   # its id
+title: "A # in quotes: kept"
+priority: 2
+share: -.5
+url: https://x.org/#top
+on: TRUE
+none: ~
+entities: [A1, 'B, 2',
+  [c, d], Baldwin's]   # over lines
+why: >
+  folded
+  text
+
+  # no comment
+  end
+raw: |
+  line 1
+    line 2
+
+list:
+- a: 1
+  b: >-
+    x
+    y
+  c:
+    - "p: q"
+    - data/x.json#3
+-
+  - 1
+  - null
+- plain
+after: [ ]
+deep:
+  er:
+    est: 1
+  next: it's
+"""
+
+
+def test_yaml_subset():
+    from lodestar.sources.cases import parse_yaml
+
+    assert parse_yaml(YAML) == {
+        "id": "T-1", "title": "A # in quotes: kept", "priority": 2, "share": -0.5, "url": "https://x.org/#top", "on": True, "none": None,
+        "entities": ["A1", "B, 2", ["c", "d"], "Baldwin's"], "why": "folded text\n\n# no comment end", "raw": "line 1\n  line 2",
+        "list": [{"a": 1, "b": "x y", "c": ["p: q", "data/x.json#3"]}, [1, None], "plain"], "after": [], "deep": {"er": {"est": 1}, "next": "it's"},
+    }
+    assert parse_yaml("") == parse_yaml(None) == parse_yaml("# only\n") == {}
+    assert parse_yaml("a:\nb: 1") == {"a": None, "b": 1} and parse_yaml("- - x") == ["- x"]
+
+
+def test_case_folder(spark, tmp_path):
+    from lodestar.operators import integrity
+    from lodestar.sources import cases
+
+    (tmp_path / "threads").mkdir()
+    (tmp_path / "threads/T-1.md").write_text("---\nid: T-1\nstatus: open\npriority: 1\nentities: [E1, E9]\nsource_records:\n  - P1\n---\n\nBody --- here\n")
+    (tmp_path / "threads/T-2.md").write_text("---\nstatus: cold\nreason: >\n  no\n  more\nentities: E1\n---\n")
+    (tmp_path / "threads/T-3.md").write_text("no head\n")
+    (tmp_path / "entities.yaml").write_text("members:\n  - canonical_id: E1\n    display: One\n    status: key\n  - display: nameless\nnote: x\nfirms: []\n")
+    (tmp_path / "findings.yaml").write_text("findings:\n  - id: F-1\n    source_records: [P1, P2]\nlegal_flags:\n  - id: L-1\n    source_records: []\n")
+    threads, entities, findings = (f(spark, str(tmp_path)) for f in (cases.threads, cases.entities, cases.findings))
+    got = {r["id"]: r for r in threads.collect()}
+    assert set(got) == {"T-1", "T-2", "T-3"} and got["T-1"]["body"] == "Body --- here\n" and got["T-3"]["body"] == "no head\n"
+    assert (got["T-1"]["entities"], got["T-1"]["priority"], got["T-1"]["source_records"]) == (["E1", "E9"], "1", ["P1"])
+    assert (got["T-2"]["reason"], got["T-2"]["entities"], got["T-2"]["source_records"]) == ("no more", ["E1"], [])
+    assert [tuple(r) for r in entities.collect()] == [("members", "E1", "One", "key", None)]
+    assert sorted((r["group"], r["id"], r["source_records"]) for r in findings.collect()) == [("findings", "F-1", ["P1", "P2"]), ("legal_flags", "L-1", [])]
+    problems = {tuple(r) for r in integrity.lint(threads, entities, findings).collect()}
+    assert problems == {("T-1", "empty next action"), ("T-1", "orphan entity"), ("T-3", "unknown status"), ("L-1", "finding without source")}
