@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, kd_sharding, minhash, mixing, quality_cnn, quality_rules, suffix_dedup, url_filter
+from . import bpe, chat_format, embedding_dedup, kd_sharding, minhash, mixing, packing, quality_cnn, quality_rules, suffix_dedup, url_filter, vector_codes, whitening
 from .common import table
 
 
@@ -103,6 +103,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books, _ = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
 def _escaped(column: str, t: chat_format.Template, role: bool = False) -> str:
     out = f"replace({column}, '&', '&amp;')"
     for i, c in enumerate(t.controls):
@@ -150,10 +164,38 @@ SELECT doc_id, size, n AS source_size, target,
 FROM placed p JOIN started t ON p.source IS NOT DISTINCT FROM t.source"""
 
 
+#: Codebooks of two rounds as (part, entry, place, value) rows; a part is a list of four integers. SQL divides towards zero, hence the remainder.
+_ROUND = """
+near{i} AS (
+  SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT x.vec_id, x.part, b.entry, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts x JOIN book{i} b ON x.part = b.part) GROUP BY vec_id, part)"""
+_BOOK = """
+book{j} AS (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN (
+    SELECT part, entry, list(((total - (((total % n) + n) % n)) / n)::BIGINT ORDER BY place) AS v FROM (
+      SELECT part, entry, place, count(*) AS n, sum(value)::BIGINT AS total FROM (
+        SELECT near{i}.part, near{i}.entry, unnest(range(1, len(v) + 1)) AS place, unnest(v) AS value FROM near{i} JOIN parts USING (vec_id, part))
+      GROUP BY part, entry, place) GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry)"""
+
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p AS part, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS v FROM kept, range(16) r(p)),
+book0 AS (SELECT part, entry, v FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 64) USING (vec_id)),
+{_ROUND.format(i=0)},{_BOOK.format(i=0, j=1)},{_ROUND.format(i=1)},{_BOOK.format(i=1, j=2)},{_ROUND.format(i=2)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY vec_id),
+labelled AS (SELECT vec_id, label, code, error FROM coded JOIN kept USING (vec_id))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+FROM labelled"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": OP7_SQL, "op9_mixing": OP9_SQL}
+    return {"op7_chat_format": OP7_SQL, "op9_mixing": OP9_SQL, "op12_vector_codes": OP12_SQL}
