@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _SEED = np.random.RandomState(20240229)
-#: A random 64-bit value for each byte, and the base of the polynomial (odd, so that it has an inverse modulo 2**64).
+#: A random 64-bit value for each byte, and the base of the rolling polynomial that chooses anchors (odd, so that it has an inverse modulo
+#: 2**64). Unlike texts can agree in it: it never stands for equality.
 BYTE_CODE = _SEED.randint(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
@@ -90,29 +92,19 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
-#: Bytes that span_hashes looks at together, unless one span is longer.
-PIECE = 1 << 22
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes, the halves of XXH3-128, of the bytes of each word, in the order of `words`."""
+    raw, at = data.tobytes(), off.tolist()
+    # bytes.split() ends words at the same bytes as SEPARATOR.
+    each = b"".join(xxhash.xxh3_128_digest(w) for a, b in zip(at, at[1:]) for w in raw[a:b].split())
+    both = np.frombuffer(each, ">u8").reshape(-1, 2).astype(np.uint64)
+    return both[:, 1], both[:, 0]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each data[start:end]; equal for equal bytes wherever they stand. Spans ascend and don't overlap."""
-    if len(data) > PIECE and len(starts) > 1:
-        out, i = np.empty(len(starts), np.uint64), 0
-        while i < len(starts):
-            a = starts[i]
-            j = max(int(np.searchsorted(ends, a + PIECE, "right")), i + 1)
-            out[i:j] = _hashes(data[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a)
-            i = j
-        return out
-    return _hashes(data, starts, ends)
-
-
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * powers(n, BASE, "up"), out=total[1:])
-    back = powers(n + 1, INVERSE, "down")
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """XXH3-64 of the bytes of each data[start:end]."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
 
 
 def window_hashes(values: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

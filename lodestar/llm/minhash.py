@@ -9,7 +9,9 @@ only as far as the slots of a document can still change: about slots x (ln slots
 
 Bands of the signature make candidates; every link is verified by exact multiset Jaccard similarity of whole texts.
 
-Documents of equal multisets are one node from the start. In each band bucket the members are compared with the bucket's
+Words are named by XXH3 of their bytes. Documents of equal multisets are one node from the start: those of equal fingerprints, two sums of 64 bits
+over shingles that come from two independent hashes of the words. Two unlike documents agree in both with a probability of about 2**-128, two
+unlike words in a comparison with 2**-64. In each band bucket the members are compared with the bucket's
 least node, so a group of n near copies costs n comparisons and not n x n. Buckets that still hold several components
 after that are searched for the links between them, in tiles of bounded size: no pair is a row, and no link between
 components is lost. Counts are pre-aggregated, and large groups are verified in salted parts, each with the leader.
@@ -38,19 +40,24 @@ SLICE = 1 << 19
 U = np.uint64
 
 
-def bags(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle, weight) of each distinct shingle of each document, by document and then shingle."""
-    starts, ends, doc = B.words(data, off)
-    hashes = B.span_hashes(data, starts, ends)
+def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of each run of width words, from the words' hashes; of fewer words all of them are one shingle."""
     shingle, at = B.window_hashes(hashes, doc, width)
     owner = doc[at]
-    n_words = np.bincount(doc, minlength=len(off) - 1)
+    n_words = np.bincount(doc, minlength=n_docs)
     for i in np.flatnonzero((n_words > 0) & (n_words < width)):
         first = np.searchsorted(doc, i)
         x = np.array([n_words[i]], U)
         for k in range(first, first + n_words[i]):
             x = B.mix(x * U(0x9E3779B97F4A7C15) + hashes[k : k + 1])
         shingle, owner = np.append(shingle, x), np.append(owner, i)
+    return owner, shingle
+
+
+def bags(data: np.ndarray, off: np.ndarray, width: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle, weight) of each distinct shingle of each document, by document and then shingle; hashes of its words, if known."""
+    hashes = B.word_hashes(data, off)[0] if hashes is None else hashes
+    owner, shingle = shingles(hashes, B.words(data, off)[2], len(off) - 1, width)
     order = np.lexsort((shingle, owner))
     shingle, owner = shingle[order], owner[order]
     new = np.ones(len(shingle), bool)
@@ -95,16 +102,20 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
 
 
 def sketch(column: pa.Array, width: int, bands: int, rows: int) -> dict[str, np.ndarray]:
-    """Multiset fingerprint (two numbers), total weight and band keys of each text."""
+    """Multiset fingerprint (two numbers, from two independent hashes of words), total weight and band keys of each text."""
     data, off = B.column_bytes(column)
     out: dict[str, list] = {"fp1": [], "fp2": [], "weight": [], "keys": []}
     for a, b in B.slices(off, SLICE):
-        doc, shingle, weight = bags(np.ascontiguousarray(data[off[a] : off[b]]), off[a : b + 1] - off[a], width)
+        part, at = np.ascontiguousarray(data[off[a] : off[b]]), off[a : b + 1] - off[a]
         n = b - a
-        for name, salt in (("fp1", 0x8CB92BA72F3D8DD7), ("fp2", 0xAEF17502108EF2D9)):
-            each = np.concatenate([np.zeros(1, U), np.cumsum(B.mix(B.mix(shingle ^ U(salt)) + weight.astype(U) * U(salt)), dtype=U)])
-            at = np.searchsorted(doc, np.arange(n + 1))
-            out[name].append((each[at[1:]] - each[at[:-1]]).view(np.int64))
+        first, second = B.word_hashes(part, at)
+        doc, shingle, weight = bags(part, at, width, first)
+        owner, other = shingles(second, B.words(part, at)[2], n, width)
+        order = np.argsort(owner, kind="stable")
+        for name, whose, values in (("fp1", doc, B.mix(B.mix(shingle) + weight.astype(U) * U(0x8CB92BA72F3D8DD7))), ("fp2", owner[order], B.mix(other[order] ^ U(0xAEF17502108EF2D9)))):
+            each = np.concatenate([np.zeros(1, U), np.cumsum(values, dtype=U)])
+            cut = np.searchsorted(whose, np.arange(n + 1))
+            out[name].append((each[cut[1:]] - each[cut[:-1]]).view(np.int64))
         out["weight"].append(np.bincount(doc, weight, n).astype(np.int64))
         sign = signatures(doc, shingle, weight, n, bands * rows).reshape(n, bands, rows)
         key = np.broadcast_to(np.arange(1, bands + 1, dtype=U), (n, bands)).copy()
@@ -269,8 +280,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input rows without those whose class has a smaller id; of rows that agree in id and text one stays."""
     id_, text, number = unused(docs, "id", "text", "number")
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("class_id")))
-    kept = kept.select(F.col(id_col).alias(id_), F.col("text_key").alias(text)).distinct()
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(F.col(quoted(id_col)).isNull() | (F.col(quoted(id_col)) == F.col("class_id")))
+    kept = kept.select(F.col(quoted(id_col)).alias(id_), F.col("text_key").alias(text)).distinct()
     rows = docs.withColumns({id_: F.col(quoted(id_col)).cast("long"), text: F.xxhash64(F.col(quoted(text_col)).cast("string"))})
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in (id_, text)]
     order = F.row_number().over(Window.partitionBy(f"r.{id_}", f"r.{text}").orderBy(F.lit(0)))

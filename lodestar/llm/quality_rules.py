@@ -88,7 +88,7 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     _, once = np.unique(keys, return_index=True)
     out["n_dup_lines"] = np.bincount(line_doc, minlength=n) - np.bincount(line_doc[once], minlength=n)
     # Windows of three words, found again in the same document.
-    hashes, at = B.window_hashes(B.span_hashes(data, starts, ends), doc, 3)
+    hashes, at = B.window_hashes(B.word_hashes(data, off)[0], doc, 3)
     keys = B.mix(hashes + doc[at].astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
