@@ -1,7 +1,7 @@
 """Sharding by a k-d tree over metadata of the text, cut at distributed weighted medians. DataFrame functions only.
 
-Each text has four metadata dimensions: bytes, characters, lines and a content digest. Equal texts have equal
-coordinates, so no cut parts a group of copies. A node that still holds more than one shard is cut along its widest
+Each text has five metadata dimensions: bytes, lines, words, characters a word, and the share of bytes beyond one a
+character. Equal texts have equal coordinates, so no cut parts a group of copies. A node that still holds more than one shard is cut along its widest
 dimension (its extent as a share of the root's) at the weighted quantile that gives each side the bytes of its shards,
 until every leaf holds one shard's bytes. The quantile comes from histograms: each pass sums bytes by at most `bins`
 bins of a node's interval and narrows the interval to the bin in which the quantile falls, so the driver sees at most
@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import WORD, materialize, quoted
 
 TIE = 1 << 31
-DIMS = ("k_bytes", "k_chars", "k_lines", "k_digest")
+DIMS = ("k_bytes", "k_lines", "k_words", "k_word_length", "k_wide")
 
 
 class Node:
@@ -44,17 +44,20 @@ def number_of(leaves: list[tuple[Node, Column | None]], values: list[int]) -> Co
 
 
 def coordinates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     tie = F.pmod(F.xxhash64(text), F.lit(TIE))
+    words = F.regexp_count(text, F.lit(WORD))
     scaled = lambda v: F.least(v.cast("long"), F.lit(TIE - 1)) * F.lit(TIE) + tie
     return docs.select(
-        F.col(id_col).alias("id"),
+        F.col(quoted(id_col)).alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
         scaled(F.octet_length(text)).alias("k_bytes"),
-        scaled(F.length(text)).alias("k_chars"),
         scaled(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("k_lines"),
-        scaled(F.shiftrightunsigned(F.crc32(text.cast("binary")), 1)).alias("k_digest"),
+        scaled(words).alias("k_words"),
+        # Characters a word in thousandths; bytes beyond one a character, in millionths of all bytes.
+        scaled(F.floor(F.length(text).cast("long") * 1000 / F.greatest(words, F.lit(1)))).alias("k_word_length"),
+        scaled(F.floor((F.octet_length(text) - F.length(text)).cast("long") * 1_000_000 / F.greatest(F.octet_length(text), F.lit(1)))).alias("k_wide"),
     )
 
 
