@@ -258,7 +258,7 @@ def transducer(vocabulary: bytes, cache_words: int = 1 << 15) -> Transducer:
 def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 1 << 15) -> DataFrame:
     """id, tokens (binary: little-endian unsigned 32-bit ids) and decoded (the text that the tokens give back) of every row.
 
-    The vocabulary file is read on the driver and travels with the tasks. No shuffle. A worker keeps the tokens of at most twice
+    An empty table gives no rows; other columns are not read. The vocabulary file is read on the driver and travels with the tasks. No shuffle. A worker keeps the tokens of at most twice
     `cache_words` words.
     """
     with open(vocabulary_path, "rb") as f:

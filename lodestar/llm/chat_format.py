@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 
 @dataclass(frozen=True)
 class Template:
@@ -58,10 +60,10 @@ def accepts(roles: Column, t: Template) -> Column:
 
 
 def format_chats(turns: DataFrame, t: Template = Template(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv id, formatted, segments array<struct<text, loss>>, loss_spans array<struct<start, len>> in code points, valid."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    """conv id, formatted, segments array<struct<text, loss>>, loss_spans array<struct<start, len>> in code points, valid. An empty table gives no rows; other columns are not read."""
+    text = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
     grouped = (
-        turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("text")).alias("row"))
+        turns.select(F.col(quoted(conv_col)).alias("conv"), F.struct(F.col(quoted(turn_col)).alias("turn"), text(role_col).alias("role"), text(text_col).alias("text")).alias("row"))
         .groupBy("conv")
         .agg(F.sort_array(F.collect_list("row")).alias("rows"))
     )
@@ -98,4 +100,4 @@ def read_back(formatted: DataFrame, t: Template = Template(), conv_col: str = "c
         unescape(p.substr(F.length(F.substring_index(p, t.after_role, 1)) + F.lit(len(t.after_role) + 1), F.length(p)), t).alias("text"),
     )
     masked = F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr((s["start"] + 1).cast("int"), s["len"].cast("int")), t))
-    return formatted.select(conv_col, F.transform(pieces, turn).alias("turns"), masked.alias("loss_texts"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+    return formatted.select(F.col(quoted(conv_col)), F.transform(pieces, turn).alias("turns"), masked.alias("loss_texts"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")

@@ -144,8 +144,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
 
 def score_documents(docs: DataFrame, model: ByteNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score of every row."""
-    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """id and score of every row, none for an empty table; other columns are not read."""
+    rows = small_batches(docs).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -330,15 +331,49 @@ def test_network_against_plain_loops_and_differences():
             assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-6, abs=1e-6), (name, i)
 
 
-def test_hashes_of_long_texts_piece_by_piece(monkeypatch):
+def thue_morse(n):
+    """n letters, and the same with the letters changed over: polynomials modulo 2**64 can't tell these apart from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_unlike_words_and_lines_stay_apart(spark, n):
+    t, u = thue_morse(n)
+    texts = [" ".join([t] * 6), " ".join([u] * 6), f"{t}\n{u}", f"{t}\n{t}", f"{t} {u} a {u} {t} a {t} {u} b", f"{t} {t} {u} {t} {u} {u}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert found == {i: i for i in range(len(texts))}
+    assert minhash.drop_near_duplicates(docs).count() == len(texts)
+    got = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in quality_rules.score_quality(docs).collect()}
+    for i, text in enumerate(texts):
+        w = WORD.findall(text)
+        wins = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        again = {k + j for k in range(len(w) - 2) if wins[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        assert got[i] == (len(lines) - len(set(lines)), len(again)), i
+
+
+def test_word_hashes_follow_words():
     r = np.random.RandomState(5)
-    data = r.choice(np.frombuffer(b"abc  \n", np.uint8), 5000)
-    data[1000:2500] = 97  # a word longer than a piece
+    data = r.choice(np.frombuffer(b"abc  \n\x0b\x1c", np.uint8), 5000)
     off = np.array([0, 0, 3000, 5000])
     starts, ends, _ = B.words(data, off)
-    whole = B.span_hashes(data, starts, ends)
-    monkeypatch.setattr(B, "PIECE", 300)
-    assert (B.span_hashes(data, starts, ends) == whole).all()
+    first, second = B.word_hashes(data, off)
+    raw = [xxhash.xxh3_128_intdigest(data[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+    assert raw == [int(a) << 64 | int(b) for a, b in zip(second, first, strict=True)]
+
+
+def test_names_with_dots(spark, texts):
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "`a.id` long, `a.text` string, `a.source` string")
+    names = {"id_col": "a.id", "text_col": "a.text"}
+    assert minhash.drop_near_duplicates(docs, **names).columns == docs.columns
+    assert kd_sharding.kd_shards(docs, **names).count() == len(texts)
+    model = quality_cnn.ByteNetwork()
+    assert quality_cnn.score_documents(docs, model, **names).columns == ["a.id", "score"]
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "`c.id` long, `t.n` int, `r.r` string, `x.x` string")
+    out = chat_format.read_back(chat_format.format_chats(turns, conv_col="c.id", turn_col="t.n", role_col="r.r", text_col="x.x"), conv_col="c.id")
+    assert out.columns[0] == "c.id" and out.first()["loss_texts"] == ["b"]
 
 
 def test_network_fits_from_tables(spark, docs):
