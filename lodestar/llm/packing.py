@@ -20,7 +20,11 @@ rows. Other columns are not read. The tokenizer holds the longest run between sp
 
 from __future__ import annotations
 
+import array
 import functools
+import json
+import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,22 +37,106 @@ from pyspark.sql.window import Window
 from .common import KEPT, materialize, quoted, small_batches, tidy
 
 
-@functools.cache
-def tokenizer(path: str):
+@functools.lru_cache(1)
+def tokenizer(vocabulary: bytes):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    found = Tokenizer.from_buffer(vocabulary)
     found.no_truncation()
     found.no_padding()
     return found
 
 
+# The normalizer and the pre-tokens of vocabularies that can be cut at spaces, and the same pre-tokens in lower-case Latin-1 letters and ASCII.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
+PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+#: Ends a pre-token: a byte that UTF-8 never holds stands for the suffix of last symbols.
+END = b"\xff"
+
+
+class Merges:
+    """The merges of a byte-level vocabulary with an end-of-word suffix, made by tiktoken.
+
+    Tiktoken joins the neighbours whose union is the least token, by any pair; the tokenizers library only by the pairs of its merge list. As what
+    stands beside a token has no part in how it came about, the two differ only where a token is in the result that tiktoken makes, from its own bytes
+    alone, by a pair not in the list. These tokens are found beforehand (`unsafe`); a result with one of them doesn't count.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], unsafe: frozenset[int]):
+        import tiktoken
+
+        self.encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.unsafe = unsafe
+
+    def ids(self, pre_token: str) -> bytes | None:
+        found = self.encode(pre_token.encode() + END)
+        return None if self.unsafe and not self.unsafe.isdisjoint(found) else array.array("I", found).tobytes()
+
+
+@functools.lru_cache(1)
+def ranks_of(vocabulary: bytes) -> tuple[dict[bytes, int], frozenset[int]] | None:
+    """(token of each byte string, unsafe tokens) for Merges; None if the vocabulary isn't one for it."""
+    model = json.loads(vocabulary)["model"]
+    suffix = model.get("end_of_word_suffix")
+    if model.get("type") != "BPE" or not suffix or model.get("continuing_subword_prefix") or model.get("ignore_merges") or model.get("dropout"):
+        return None
+    # Byte-level vocabularies write bytes that don't print as characters from 256 on.
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in prints)}
+
+    def raw(token: str) -> bytes:
+        last = token.endswith(suffix)
+        return bytes(byte_of[c] for c in (token.removesuffix(suffix) if last else token)) + (END if last else b"")
+
+    try:
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        pairs = {(raw(a), raw(b)): model["vocab"][a + b] for a, b in merges}
+        made = set(pairs.values())
+        whole = {t for t in model["vocab"] if model["vocab"][t] in made or len(t.removesuffix(suffix)) == 1}
+        ranks = {raw(t): model["vocab"][t] for t in whole}
+    except KeyError:
+        return None
+    single = [bytes([b]) + e for b in range(256) for e in (b"", END) if (b, e) != (255, END)]
+    order = list(pairs.values())
+    if order != sorted(set(order)) or any(s not in ranks for s in single) or max(ranks[s] for s in single) >= order[0]:
+        return None
+    unsafe = set()
+    for token, id_ in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        if token.endswith(END) and len(parts) > 1:
+            parts[-2:] = [parts[-2] + END]
+        while len(parts) > 1:
+            least, i = min((ranks.get(a + b, 1 << 32), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if pairs.get((parts[i], parts[i + 1])) != least:
+                unsafe.add(id_)
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return ranks, frozenset(unsafe)
+
+
 class Runs:
-    """Ids of texts as little-endian unsigned 32-bit integers; remembers those of short runs between spaces."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, most: int = 1 << 17, longest: int = 48, part: int = 1 << 20):
-        self.path, self.most, self.longest, self.part = path, most, longest, part
+    It remembers those of up to twice `most` short runs between spaces and pre-tokens: those met of late stay. An unknown run of Latin-1 letters and
+    ASCII is put together from its pre-tokens (see Merges, if rules has them); what else is unknown goes to the library, in one text. Vocabularies
+    with other rules get whole texts.
+    """
+
+    def __init__(self, vocabulary: bytes, rules: tuple | None = None, most: int = 1 << 18, longest: int = 48, part: int = 1 << 20):
+        self.tokens, self.most, self.longest, self.part = tokenizer(vocabulary), most, longest, part
+        self.merges = Merges(*rules) if rules else None
+        said = json.loads(vocabulary)
+        steps = [n.get("type") for n in (said.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [(c.get("pattern") or {}).get("Regex") for c in (said.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        added = said.get("added_tokens", [])
+        self.special = [t["content"] for t in added]
+        spaced = any(" " in t or "\n" in t for t in self.special) or any(t.get("lstrip") or t.get("rstrip") for t in added)
+        self.cut = steps == NORMALIZERS and cuts[:1] == [PRE_TOKENS] and said.get("post_processor") is None and not spaced
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
 
     def parts(self, text: str) -> Iterator[list[str]]:
         """The runs of a text, for about `part` characters at once."""
@@ -61,33 +149,69 @@ class Runs:
             yield text[at:end].split(" ")
             at = end + 1
 
+    def learn(self, new: Iterable[str]) -> None:
+        """Make runs known that aren't."""
+        known, before = self.known, self.before
+        ask, made = [], []
+        for run in new:
+            ids = before.get(run)
+            if ids is not None:
+                known[run] = ids
+            elif self.merges and PLAIN.fullmatch(run) and not any(t in run for t in self.special):
+                out = []
+                for t in PLAIN_PRE_TOKENS.findall(run.lower()):
+                    ids = known.get(t)
+                    if ids is None:
+                        ids = self.merges.ids(t)
+                        if ids is not None:
+                            known[t] = ids
+                    out.append(ids)
+                if None in out:
+                    ask.append(run)
+                else:
+                    known[run] = b"".join(out)
+            else:
+                ask.append(run)
+        if ask:
+            found = self.tokens.encode(" ".join(ask), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            first = np.cumsum([0, *(len(r) + 1 for r in ask)])
+            at = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids)), first) * 4
+            for run, a, b in zip(ask, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                known[run] = ids[a:b]
+
     def ids(self, text: str) -> bytes:
+        if not self.cut:
+            return np.array(self.tokens.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for runs in self.parts(text):
-            new = list(set(runs).difference(self.known))
-            if new:
-                for run, e in zip(new, tokenizer(self.path).encode_batch(new, add_special_tokens=False), strict=True):
-                    self.known[run] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.known.__getitem__, runs)))
-            for run in new:
-                if len(run) > self.longest:
-                    del self.known[run]
-            if len(self.known) > self.most:
+            known = self.known
+            self.learn(set(runs).difference(known))
+            out.append(b"".join([known[r] for r in runs]))
+            if len(known) > self.most:
+                self.before = {r: i for r, i in known.items() if len(r) <= self.longest}
                 self.known = {"": b""}
         return b"".join(out)
 
 
-_runs: dict[str, Runs] = {}
+#: What a worker keeps between tasks, by the vocabulary.
+_runs: dict[bytes, Runs] = {}
 KEPT["packing"] = _runs.clear
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written row for each piece: id, piece, start, length, tokens (little-endian unsigned 32-bit ids), task, rank."""
+    """A written row for each piece: id, piece, start, length, tokens (little-endian unsigned 32-bit ids), task, rank.
+
+    The vocabulary file is read on the driver and travels with the tasks.
+    """
+    with open(path, "rb") as f:
+        vocabulary = f.read()
+    rules = ranks_of(vocabulary)
     rows = small_batches(docs).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _runs.setdefault(path, Runs(path))
+        runs = _runs.get(vocabulary) or _runs.setdefault(vocabulary, Runs(vocabulary, rules))
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             owner, piece, tokens, rank = [], [], [], []

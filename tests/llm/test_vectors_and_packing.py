@@ -1,6 +1,7 @@
 """Whitening, vector codes and packing against brute force and on awkward rows."""
 
 import hashlib
+import json
 import random
 import zlib
 from fractions import Fraction
@@ -245,6 +246,8 @@ def test_packing_against_the_library(docs, texts, capacity):
 
 
 def test_packed_sequences_hold_the_tokens(docs):
+    from tokenizers import Tokenizer
+
     path = vocabulary_path("word_bpe_49k.json")
     pieces = {(r["id"], r["piece"], r["length"]) for r in packing.token_pieces(docs, path, 512).collect()}
     found = packing.packed_sequences(docs, path, 512).collect()
@@ -255,7 +258,7 @@ def test_packed_sequences_hold_the_tokens(docs):
     text = docs.where(F.col("doc_id") == 20).select("text").first()["text"]
     (place,) = [(r, d) for r in found for d in r["documents"] if d["id"] == 20 and d["piece"] == 0]
     ids = np.frombuffer(bytes(place[0]["tokens"]), "<u4")[place[1]["offset"] :][: place[1]["length"]]
-    assert ids.tolist() == [*packing.tokenizer(path).encode(text, add_special_tokens=False).ids, 1][:512]
+    assert ids.tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1][:512]
 
 
 def test_packing_nothing(docs):
@@ -265,7 +268,53 @@ def test_packing_nothing(docs):
 
 def test_runs_forget(texts):
     path = vocabulary_path("word_bpe_49k.json")
-    small, whole = packing.Runs(path, most=5, longest=3, part=10), packing.Runs(path)
+    with open(path, "rb") as f:
+        vocabulary = f.read()
+    small, whole = packing.Runs(vocabulary, packing.ranks_of(vocabulary), most=5, longest=3, part=10), packing.Runs(vocabulary)
     for t in texts:
         assert small.ids(t or "") == whole.ids(t or "")
-        assert len(small.known) <= 5
+        assert len(small.known) <= 5 + max(len(r) for r in small.parts(t)) if t else True
+
+
+def test_runs_in_ascii_and_other_vocabularies(texts):
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = vocabulary_path(name)
+        with open(path, "rb") as f:
+            vocabulary = f.read()
+        rules = packing.ranks_of(vocabulary)
+        assert (rules is not None) == (name == "word_bpe_49k.json")
+        runs = packing.Runs(vocabulary, rules, most=300)
+        assert runs.cut == (name == "word_bpe_49k.json")
+        plain = Tokenizer.from_file(path)
+        for t in ["".join(r.choice("ab'sStTrReEvVdDmMlL09 \n\t\r\x0b\x1c\x1f\x00.,<|>endoftext\x7fé́ΣÀßÿ×÷") for _ in range(r.randint(0, 60))) for _ in range(1500)] + texts:
+            assert runs.ids(t or "") == np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_merges_agree_with_the_library():
+    """Tokens of the vocabulary one after the other, random letters, and a vocabulary with a token that tiktoken makes by another pair."""
+    from tokenizers import Tokenizer
+
+    path, r = vocabulary_path("word_bpe_49k.json"), random.Random(6)
+    with open(path, "rb") as f:
+        vocabulary = f.read()
+    ranks, unsafe = packing.ranks_of(vocabulary)
+    merges, plain = packing.Merges(ranks, unsafe), Tokenizer.from_file(path)
+    words = [t.decode() for t in ranks if t.isalpha() and t.isascii() and t.islower()]
+    tries = ["".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(4000)] + ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 14))) for _ in range(4000)]
+    known = [merges.ids(t) for t in tries]
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(tries, add_special_tokens=False)]
+    assert sum(k is not None for k in known) > 7000 and all(k in (None, w) for k, w in zip(known, want, strict=True))
+
+
+def test_unsafe_tokens_are_found():
+    """abc comes from ab and c by the list, but a and bc stand there: only tiktoken's rule joins them."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = [chr(b) for b in prints] + [chr(256 + i) for i in range(256 - len(prints))]
+    tokens = [*chars, *(c + "</w>" for c in chars), "bc", "ab", "abc"]
+    model = {"type": "BPE", "end_of_word_suffix": "</w>", "vocab": {t: i for i, t in enumerate(tokens)}, "merges": [["b", "c"], ["a", "b"], ["ab", "c"]]}
+    ranks, unsafe = packing.ranks_of(json.dumps({"model": model}).encode())
+    assert unsafe == {514} and packing.Merges(ranks, unsafe).ids("abcd") is None
+    assert np.frombuffer(packing.Merges(ranks, unsafe).ids("abd"), "<u4").tolist() == [513, ranks[b"d\xff"]]
