@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from .containment import most_shared
 
 
 def claim_table(paragraphs: DataFrame, key: str = "doc") -> DataFrame:
@@ -22,19 +23,11 @@ def claim_table(paragraphs: DataFrame, key: str = "doc") -> DataFrame:
     return each.select(key, "paragraph", "sentence_index", "sentence", start.alias("start"), (start + F.length("sentence")).alias("end"), flags.alias("flags"), text.claim_type(flags).alias("claim_type"), text.claim_terms(F.col("sentence")).alias("terms"), text.multi_claim(F.col("sentence")).alias("multi_claim"), (F.size(flags) > 0).alias("needs_note"))
 
 
-def lexical_matches(claims: DataFrame, segments: DataFrame, k: int = 3, most_share: float = 0.1, least: int = 20) -> DataFrame:
-    """For each claim the k segments that contain most of its terms: words of segments are joined with words of terms.
-
-    A word that more than most_share of the segments hold (and more than `least` of them) tells none apart and isn't counted.
-    """
+def lexical_matches(claims: DataFrame, segments: DataFrame, k: int = 3, common: int = 1000) -> DataFrame:
+    """For each claim the k segments that contain most of the words of its terms: claim_id, segment_id, score, rank. Every word counts."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}%$]+"), lambda w: F.length(w) > 1))
-    c = claims.select("claim_id", F.explode(words(F.array_join("terms", " "))).alias("word"))
-    s = segments.select("segment_id", F.explode(words(F.col("text"))).alias("word"))
-    limit = max(least, int(most_share * segments.count()))
-    rare = s.groupBy("word").agg(F.count("*").alias("__n")).where(F.col("__n") <= limit).select("word")
-    scored = c.join(rare, "word", "left_semi").join(s, "word").groupBy("claim_id", "segment_id").agg(F.count("*").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), "segment_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = most_shared(claims.select(F.col("claim_id").alias("left_id"), words(F.array_join("terms", " ")).alias("words")), segments.select(F.col("segment_id").alias("right_id"), words(F.col("text")).alias("words")), k, common)
+    return found.withColumnsRenamed({"left_id": "claim_id", "right_id": "segment_id"})
 
 
 def render_notes(matches: DataFrame, sources: DataFrame, segments: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import drop_thousands, renderings
 from ..scratch import written
+from .containment import contains_join
 from .ranking import exact_median
 
 
@@ -97,14 +98,11 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def missing_figures(stats: DataFrame, report: DataFrame) -> DataFrame:
-    """Statistics (column, name, value) that occur in no line of the report in any rendering of none to three decimals.
-
-    The statistics, a few for each column of a table, go to every task; the lines are read once.
-    """
-    lines = report.select(drop_thousands(F.col("line")).alias("line"))
+    """Statistics (column, name, value) that occur in no line of the report in any rendering of none to three decimals: lines and renderings meet by their grams."""
+    lines = report.select(drop_thousands(F.col("line")).alias("text"))
     wanted = written(stats.select("column", "name", "value"), "figures")
-    shown = wanted.select("column", "name", F.explode(renderings(F.col("value"))).alias("shown"))
-    seen = lines.join(F.broadcast(shown), F.contains(F.col("line"), F.col("shown"))).select("column", "name").distinct()
+    shown = wanted.select("column", "name", F.explode(renderings(F.col("value"))).alias("needle"))
+    seen = shown.join(contains_join(lines, shown.select("needle")).select("needle").distinct(), "needle").select("column", "name").distinct()
     return wanted.join(seen, ["column", "name"], "left_anti")
 
 

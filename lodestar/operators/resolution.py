@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .containment import contains_join
 
 
 def alias_index(entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -92,16 +93,12 @@ def resolve_one(entities: DataFrame, who: str) -> DataFrame:
     return stats.select(F.coalesce(*(F.when(F.col(f"n{i}") == 1, F.col(f"id{i}")) for i in range(3))).alias("entity_id")).where("entity_id IS NOT NULL")
 
 
-#: Queries that are sent to all tasks, at most.
-MOST_QUERIES = 10_000
-
-
 def registry_hits(queries: DataFrame, registry: DataFrame) -> DataFrame:
-    """Registry rows whose upper-cased name contains the first word of the query's key; at most MOST_QUERIES queries at a time."""
-    q = queries.select("query", F.split(names.org_key(F.col("query")), " ")[0].alias("word")).where("word <> ''")
-    if q.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
-    return registry.join(F.broadcast(q), F.contains(F.upper(F.col("name")), F.col("word")))
+    """Registry rows whose upper-cased name contains the first word of the query's key, with query and word; any number of either."""
+    q = queries.select("query", F.split(names.org_key(F.col("query")), " ")[0].alias("word")).where("word <> ''").distinct()
+    found = contains_join(registry.select(F.upper("name").alias("text")), q.select(F.col("word").alias("needle")))
+    met = q.join(found.withColumnRenamed("needle", "word"), "word")
+    return registry.withColumn("__upper", F.upper("name")).join(met, F.col("__upper") == F.col("text")).drop("__upper", "text")
 
 
 def candidate_search(candidates: DataFrame, name: str, state: str | None = None, office: str | None = None) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, text
+from .containment import ranked
 
 
-def shared_sentences(rows: DataFrame, min_members: int = 5, least: int = 80) -> DataFrame:
+def shared_sentences(rows: DataFrame, min_members: int = 5, least: int = 80, samples: int = 3) -> DataFrame:
     """Sentences that `min_members` authors or more share; rows: url, author, party, date, text.
 
     Sentences are hashed before they are grouped: first distinct (hash, author) pairs are counted with partial sums, then only
@@ -16,10 +17,6 @@ def shared_sentences(rows: DataFrame, min_members: int = 5, least: int = 80) ->
     """
     long_ = rows.where("author IS NOT NULL").select("url", "author", "party", "date", F.explode(F.array_distinct(text.long_lines(F.col("text"), least))).alias("s"))
     each = long_.select("url", "author", "party", "date", F.col("s.low").alias("low"), F.col("s.original").alias("original"), F.xxhash64("s.low").alias("h"))
-    # The least URL for each first digit of MD5: of these sixteen at most, the least three are shown, so no task gathers all URLs.
-    names_ = [f"url_{d}" for d in "0123456789abcdef"]
-    digit = F.substring(F.md5("url"), 1, 1)
-    least_urls = [F.min(F.when(digit == n[-1], F.col("url"))).alias(n) for n in names_]
     groups = each.select("h", "author").distinct().groupBy("h").agg(F.count("*").alias("members")).where(F.col("members") >= min_members).select("h")
     found = each.join(groups, "h").groupBy("h", "low").agg(
         F.countDistinct("author").alias("n_members"),
@@ -28,9 +25,11 @@ def shared_sentences(rows: DataFrame, min_members: int = 5, least: int = 80) ->
         F.max("date").alias("last_date"),
         F.min_by("original", F.struct("url", "original")).alias("sentence"),
         F.min("url").alias("sample_url"),
-        *least_urls,
     )
-    found = found.where(F.col("n_members") >= min_members).withColumn("sample_urls", F.slice(F.array_sort(F.array_compact(F.array(*names_))), 1, 3))
+    # The least `samples` URLs: tasks rank their own before the shuffle, so none gathers all URLs of a sentence.
+    urls = ranked(each.join(groups, "h").select("h", "low", "url").distinct(), ["h", "low"], [F.asc("url")], samples)
+    urls = urls.groupBy("h", "low").agg(F.array_sort(F.collect_list("url")).alias("sample_urls"))
+    found = found.where(F.col("n_members") >= min_members).join(urls, ["h", "low"], "left").withColumn("sample_urls", F.coalesce("sample_urls", F.array().cast("array<string>")))
     return found.select("n_members", "parties", text.day_span(F.col("first_date"), F.col("last_date")).alias("span_days"), text.specificity(F.col("sentence")).alias("specificity"), F.substring("sentence", 1, 200).alias("sentence"), "sample_url", "sample_urls", "low")
 
 

@@ -135,6 +135,15 @@ def featured_sample(df: DataFrame, featured: Column, keys: Sequence[str], order:
     return numbered(df, keys, [F.col(c) for c in order]).where(F.coalesce(featured, F.lit(False)) | regular).drop("__n")
 
 
+def grouped_views(rows: DataFrame, views: dict[str, list[str]], *aggregates: Column) -> DataFrame:
+    """(view, the columns of all views, aggregates): each view's groups, from one aggregation with a grouping set for each; columns of other views are null."""
+    columns = list(dict.fromkeys(c for cs in views.values() for c in cs))
+    bits = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in cs): name for name, cs in views.items()}
+    found = rows.groupingSets([[F.col(c) for c in cs] for cs in views.values()], *(F.col(c) for c in columns)).agg(F.grouping_id().alias("__set"), *aggregates)
+    name = F.coalesce(*(F.when(F.col("__set") == b, F.lit(n)) for b, n in bits.items()))
+    return found.withColumn("view", name).drop("__set")
+
+
 def lag_correlation(series: DataFrame, period: str, a: str, b: str, lag: int) -> DataFrame:
     """Pearson correlation of a with b `lag` periods before, over a series of one row a period; null if either is constant."""
     moved = series.select(F.col(a).alias("x"), F.lag(b, lag).over(Window.orderBy(period)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")

@@ -63,19 +63,19 @@ _AREAS, _CODES = [*topics.AREA_TOPICS, "Native Americans"], [*topics.ISSUE_TOPIC
 _DEFAULT_TAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(said, {re2('(?i)' + '|'.join(p))}) THEN '{t}' END" for t, p in topics.TOPICS.items()) + "], LAMBDA x: x IS NOT NULL)"
 
 
-@query(f"""WITH d AS (SELECT doc_id, left(text, 400) || ' ' || {_PHRASE}[doc_id % {len(PHRASES)} + 1] AS said, [{', '.join(f"'{a}'" for a in _AREAS)}][doc_id % {len(_AREAS)} + 1] AS a, [{', '.join(f"'{c}'" for c in _CODES)}][doc_id % {len(_CODES)} + 1] AS c FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, text || ' ' || {_PHRASE}[doc_id % {len(PHRASES)} + 1] AS said, [{', '.join(f"'{a}'" for a in _AREAS)}][doc_id % {len(_AREAS)} + 1] AS a, [{', '.join(f"'{c}'" for c in _CODES)}][doc_id % {len(_CODES)} + 1] AS c FROM documents)
 SELECT doc_id, array_to_string({_DEFAULT_TAGS}, '|') AS topics, {_lookup_sql(topics.AREA_TOPICS, 'a')} AS area, {_lookup_sql(topics.ISSUE_TOPICS, 'c')} AS issue FROM d""")
 def topic_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
     """All topic patterns over texts, and every policy area and issue code, blanks and case about them."""
     d = F.col("doc_id")
-    said = F.concat(F.substring("text", 1, 400), F.lit(" "), phrase(d))
+    said = F.concat("text", F.lit(" "), phrase(d))
     one = lambda values: F.element_at(F.array(*map(F.lit, values)), (d % len(values) + 1).cast("int"))
     return table(spark, sf, "documents").select("doc_id", F.array_join(topics.topics_in(said), "|").alias("topics"), topics.area_topic(F.concat(F.lit(" "), one(_AREAS), F.lit(" "))).alias("area"), topics.issue_topic(F.concat(F.lit(" "), F.lower(one(_CODES)))).alias("issue"))
 
 
 def reuse_urls(url: str) -> str:
-    """SQL: up to three URLs of a group, the least of the least ones for each first digit of MD5."""
-    return "array_to_string(list_sort(list_filter([" + ", ".join(f"min({url}) FILTER (md5({url})[1] = '{d}')" for d in "0123456789abcdef") + "], LAMBDA x: x IS NOT NULL))[1:3], ' ')"
+    """SQL: the three least URLs of a group."""
+    return f"array_to_string(list_sort(list(DISTINCT {url}))[1:3], ' ')"
 
 
 _SENTENCES = r"""(SELECT DISTINCT doc_id, source, lang, lower(s) AS low, s FROM (
@@ -101,10 +101,10 @@ _TYPE_OF = """CASE WHEN list_contains({0}, 'direct_quote') THEN 'quote' WHEN lis
   WHEN list_contains({0}, 'date') AND list_has_any({0}, ['named_organization', 'named_title']) THEN 'date_event' WHEN list_contains({0}, 'superlative') THEN 'comparison_or_superlative' WHEN len({0}) > 0 THEN 'named_fact' ELSE 'general_assertion' END"""
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_FLAGS_OF("(left(text, 300) || ' ' || " + _PHRASE + "[doc_id % " + str(len(PHRASES)) + " + 1])")} AS f FROM documents) SELECT doc_id, array_to_string(f, '|') AS flags, {_TYPE_OF.format('f')} AS claim_type FROM d""")
+@query(f"""WITH d AS (SELECT doc_id, {_FLAGS_OF("(text || ' ' || " + _PHRASE + "[doc_id % " + str(len(PHRASES)) + " + 1])")} AS f FROM documents) SELECT doc_id, array_to_string(f, '|') AS flags, {_TYPE_OF.format('f')} AS claim_type FROM d""")
 def claim_flags(spark: SparkSession, sf: str) -> DataFrame:
     """All eight flags and the type that follows from them."""
-    flags = text.claim_flags(F.concat(F.substring("text", 1, 300), F.lit(" "), phrase(F.col("doc_id"))))
+    flags = text.claim_flags(F.concat("text", F.lit(" "), phrase(F.col("doc_id"))))
     return table(spark, sf, "documents").select("doc_id", F.array_join(flags, "|").alias("flags"), text.claim_type(flags).alias("claim_type"))
 
 
@@ -172,8 +172,10 @@ def text_segments(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(pieces).alias("position", "text")).withColumn("position", F.col("position").cast("bigint"))
 
 
-@query("""WITH b AS (SELECT doc_id, text AS t, left(text, 480) AS head, strpos(reverse(left(text, 480)), ' .') AS back FROM documents)
-SELECT doc_id, CASE WHEN length(t) <= 480 THEN t WHEN back > 0 AND length(head) - back > 240 THEN left(head, length(head) - back) || ' [...]' ELSE rtrim(head) || ' [...]' END AS quote FROM b""")
+_QUOTED = lambda t: f"CASE WHEN length({t}) <= 480 THEN {t} WHEN strpos(reverse(left({t}, 480)), ' .') > 0 AND 480 - strpos(reverse(left({t}, 480)), ' .') > 240 THEN left({t}, 480 - strpos(reverse(left({t}, 480)), ' .')) || ' [...]' ELSE rtrim(left({t}, 480)) || ' [...]' END"
+
+
+@query(f"SELECT doc_id, {_QUOTED('text')} AS quote FROM documents")
 def quote_trim(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.trim_quote(F.col("text")).alias("quote"))
 
@@ -187,12 +189,12 @@ def snapshot_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NOTE_SOURCES = """src AS (SELECT item_id % 10 AS source_id, ['pdf', 'transcript', 'url', 'text'][item_id % 4 + 1] AS type, 'Title ' || (item_id % 10) AS title, CASE WHEN item_id % 3 = 0 THEN NULL ELSE 'May 5, 2024' END AS date, 'https://x.org/' || (item_id % 10) AS url FROM benchmark WHERE item_id < 8),
-seg AS (SELECT item_id % 10 AS source_id, item_id AS segment_id, item_id AS page, '00:0' || (item_id % 10) AS timecode, left(text, 60) AS segment_text FROM benchmark WHERE item_id % 3 <> 1)"""
+seg AS (SELECT item_id % 10 AS source_id, item_id AS segment_id, item_id AS page, '00:0' || (item_id % 10) AS timecode, text AS segment_text FROM benchmark WHERE item_id % 3 <> 1)"""
 
 
-@query(f"""WITH {_NOTE_SOURCES}, m AS (SELECT item_id AS claim_id, item_id % 10 AS source_id, item_id AS segment_id, CASE WHEN item_id % 2 = 0 THEN left(text, 30) END AS quote FROM benchmark),
+@query(f"""WITH {_NOTE_SOURCES}, m AS (SELECT item_id AS claim_id, item_id % 10 AS source_id, item_id AS segment_id, CASE WHEN item_id % 2 = 0 THEN text END AS quote FROM benchmark),
 j AS (SELECT m.*, s.type, s.title, s.date, s.url, g.page, g.timecode, g.segment_text FROM m LEFT JOIN src s USING (source_id) LEFT JOIN seg g USING (source_id, segment_id)),
-n AS (SELECT claim_id, CASE WHEN type IS NOT NULL AND (segment_text IS NOT NULL OR type = 'url') THEN concat_ws(', ', title, date, CASE type WHEN 'pdf' THEN 'p. ' || page WHEN 'transcript' THEN 'T/C ' || timecode WHEN 'url' THEN url END) || ': “' || coalesce(quote, segment_text, '') || '”' END AS found, quote FROM j)
+n AS (SELECT claim_id, CASE WHEN type IS NOT NULL AND (segment_text IS NOT NULL OR type = 'url') THEN concat_ws(', ', title, date, CASE type WHEN 'pdf' THEN 'p. ' || page WHEN 'transcript' THEN 'T/C ' || timecode WHEN 'url' THEN url END) || ': “' || {_QUOTED("coalesce(quote, segment_text, '')")} || '”' END AS found, left(coalesce(quote, ''), 140) AS quote FROM j)
 SELECT claim_id, coalesce(found, '[source needed] ' || coalesce(quote, '')) AS note, CASE WHEN found IS NULL THEN 'needs_source' ELSE 'matched' END AS status, coalesce(contains(found, 'https://'), false) AS has_url,
   regexp_matches(coalesce(found, '[source needed] ' || coalesce(quote, '')), {re2(text.DATE_LIKE)}) AS has_date, contains(coalesce(found, ''), 'T/C ') AS has_cue FROM n""")
 def source_notes(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,18 +203,17 @@ def source_notes(spark: SparkSession, sf: str) -> DataFrame:
     key = (i % 10).alias("source_id")
     kinds = F.element_at(F.array(*map(F.lit, ["pdf", "transcript", "url", "text"])), (i % 4 + 1).cast("int"))
     of = items.where("item_id < 8").select(key, kinds.alias("type"), F.concat(F.lit("Title "), i % 10).alias("title"), F.when(i % 3 != 0, "May 5, 2024").alias("date"), F.concat(F.lit("https://x.org/"), i % 10).alias("url"))
-    segments = items.where("item_id % 3 <> 1").select(key, i.alias("segment_id"), i.alias("page"), F.concat(F.lit("00:0"), i % 10).alias("timecode"), F.substring("text", 1, 60).alias("text"))
-    matches = items.select(i.alias("claim_id"), key, i.alias("segment_id"), F.when(i % 2 == 0, F.substring("text", 1, 30)).alias("quote"))
+    segments = items.where("item_id % 3 <> 1").select(key, i.alias("segment_id"), i.alias("page"), F.concat(F.lit("00:0"), i % 10).alias("timecode"), "text")
+    matches = items.select(i.alias("claim_id"), key, i.alias("segment_id"), F.when(i % 2 == 0, F.col("text")).alias("quote"))
     return claims.note_cues(claims.render_notes(matches, of, segments))
 
 
 @query(r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}%$]+'), LAMBDA x: length(x) > 1)) AS l FROM benchmark),
-c AS (SELECT item_id AS claim_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(left(text, 80)), '[^\p{L}\p{N}%$]+'), LAMBDA x: length(x) > 1))) AS word FROM benchmark), s AS (SELECT item_id AS segment_id, unnest(l) AS word FROM w),
-r AS (SELECT word FROM s GROUP BY 1 HAVING count(*) <= greatest(20, floor(0.1 * (SELECT count(*) FROM benchmark))))
-SELECT claim_id, segment_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, segment_id)::INT AS rank FROM (SELECT claim_id, segment_id, count(*) AS score FROM c JOIN r USING (word) JOIN s USING (word) GROUP BY 1, 2)) WHERE rank <= 3""")
+c AS (SELECT item_id AS claim_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}%$]+'), LAMBDA x: length(x) > 1))) AS word FROM benchmark), s AS (SELECT item_id AS segment_id, unnest(l) AS word FROM w)
+SELECT claim_id, segment_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, segment_id)::INT AS rank FROM (SELECT claim_id, segment_id, count(*) AS score FROM c JOIN s USING (word) GROUP BY 1, 2)) WHERE rank <= 3""")
 def claim_segments(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark")
-    return claims.lexical_matches(items.select(F.col("item_id").alias("claim_id"), F.array(F.substring("text", 1, 80)).alias("terms")), items.select(F.col("item_id").alias("segment_id"), "text"))
+    return claims.lexical_matches(items.select(F.col("item_id").alias("claim_id"), F.array("text").alias("terms")), items.select(F.col("item_id").alias("segment_id"), "text"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, substr(sha1(text), 1, 16) AS cache_key FROM documents")
@@ -241,24 +242,25 @@ def wrapped_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.array_join(lines, "\n").alias("wrapped"), F.size(lines).cast("bigint").alias("n_lines"))
 
 
-_MARKED = """'<b a="' || doc_id || '">' || left(coalesce(text, ''), 100) || ' & ''more''</b>'"""
+_MARKED = """'<b a="' || doc_id || '">' || coalesce(text, '') || ' & ''more''</b>'"""
 
 
 @query(f"SELECT doc_id, replace(replace(replace(replace(replace({_MARKED}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS html FROM documents")
 def escaped_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts between tags, made safe for HTML."""
-    marked = F.concat(F.lit('<b a="'), "doc_id", F.lit('">'), F.substring(F.coalesce("text", F.lit("")), 1, 100), F.lit(" & 'more'</b>"))
+    marked = F.concat(F.lit('<b a="'), "doc_id", F.lit('">'), F.coalesce("text", F.lit("")), F.lit(" & 'more'</b>"))
     return table(spark, sf, "documents").select("doc_id", text.escape_html(marked).alias("html"))
 
 
-#: Questions, some with a word that points to the ready-made plan, and fields that are stated with them.
-_QUESTIONS = ["Who pays the LDA registrant?", "How pacific is it?", "What about ld-203s?", "A revolving door, or two", "Is the subcommittee whole?", "Congress?", "campaign  finance", "Rivers"]
-_FIELDS = ["", " Influence ", "rivers", "", "  ", "LOBBYING", "campaign-finance", "", " Health care "]
 _HINTED = f"regexp_matches(q, {re2(rf'(?i)\b(?:{"|".join(topics.PLAN_HINTS)})\b')})"
+_FIELD = "CASE doc_id % 4 WHEN 0 THEN ' ' || upper(source) || ' ' WHEN 1 THEN ' LOBBYING' ELSE '' END"
 
 
-@query(f"""WITH q AS (SELECT p_partkey, {_QUESTIONS}[p_partkey % {len(_QUESTIONS)} + 1] AS q, trim({_FIELDS}[p_partkey % {len(_FIELDS)} + 1]) AS f FROM part)
-SELECT p_partkey, CASE WHEN lower(f) IN ('lobbying', 'influence', 'campaign-finance') OR (f = '' AND {_HINTED}) THEN 'lobbying' WHEN f = '' THEN 'generic' ELSE f END AS plan, f = '' AND {_HINTED} AS guessed FROM q""")
+@query(f"""WITH q AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ' Who pays the LDA registrant?' ELSE '' END AS q, trim({_FIELD}) AS f FROM documents)
+SELECT doc_id, CASE WHEN lower(f) IN ('lobbying', 'influence', 'campaign-finance') OR (f = '' AND {_HINTED}) THEN 'lobbying' WHEN f = '' THEN 'generic' ELSE f END AS plan, f = '' AND {_HINTED} AS guessed FROM q""")
 def plan_choice(spark: SparkSession, sf: str) -> DataFrame:
-    one = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
-    return table(spark, sf, "part").select("p_partkey", topics.plan_for(one(_FIELDS), one(_QUESTIONS)).alias("p")).select("p_partkey", "p.*")
+    """The plan for each document's whole text as a question, with and without a stated field."""
+    d = F.col("doc_id")
+    said = F.concat("text", F.when(d % 5 == 0, " Who pays the LDA registrant?").otherwise(""))
+    stated = F.when(d % 4 == 0, F.concat(F.lit(" "), F.upper("source"), F.lit(" "))).when(d % 4 == 1, " LOBBYING").otherwise("")
+    return table(spark, sf, "documents").select(d, topics.plan_for(stated, said).alias("p")).select("doc_id", "p.*")

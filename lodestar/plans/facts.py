@@ -11,7 +11,7 @@ from ..functions import names, text, topics
 from ..operators import integrity, ranking, resolution, rollups
 from ..scratch import shared_folder
 from ..sources import cases
-from .registry import query, table
+from .registry import made_once, query, table
 
 
 def order_year() -> Column:
@@ -80,41 +80,69 @@ _FOOT = "lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey =
 
 
 def footprint(spark: SparkSession, sf: str) -> DataFrame:
-    """All lines of parts whose name contains the word: one filter for seven views."""
+    """All lines of parts whose name contains the word."""
     parts = table(spark, sf, "part").where(names.like_literal(F.col("p_name"), WORD))
     return sold(spark, sf).join(parts, F.col("l_partkey") == F.col("p_partkey"))
 
 
+#: The views of a footprint and what each groups by: one aggregation makes all of them.
+VIEWS = {"by_year": ["year"], "registrants": ["l_suppkey"], "issues": ["p_type"], "agencies": ["p_brand", "o_custkey"], "other_source_by_year": ["ship_year", "l_returnflag"]}
+
+
+def footprint_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """(view, the columns of VIEWS, n, total) of all views: one scan of the lines, one shuffle."""
+    rows = footprint(spark, sf).withColumns({"year": order_year(), "ship_year": F.year("l_shipdate")})
+    return rollups.grouped_views(rows, VIEWS, F.count("*").alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("total"))
+
+
+def footprint_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """One view of footprint_sets; the sets are made once for given tables and kept by what their files are like."""
+    return made_once(spark, sf, ("lineitem", "orders", "part"), "footprint", footprint_sets).where(F.col("view") == name).select(*VIEWS[name], "n", F.col("total").cast("double").alias("total"))
+
+
+@query(f"""SELECT 'by_year' AS view, year(o_orderdate)::VARCHAR AS key, NULL AS second, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM {_FOOT} GROUP BY 2
+UNION ALL SELECT 'registrants', l_suppkey::VARCHAR, NULL, count(*), sum(l_extendedprice::DECIMAL(18,2))::DOUBLE FROM {_FOOT} GROUP BY 2
+UNION ALL SELECT 'issues', p_type, NULL, count(*), sum(l_extendedprice::DECIMAL(18,2))::DOUBLE FROM {_FOOT} GROUP BY 2
+UNION ALL SELECT 'agencies', p_brand, o_custkey::VARCHAR, count(*), sum(l_extendedprice::DECIMAL(18,2))::DOUBLE FROM {_FOOT} GROUP BY 2, 3
+UNION ALL SELECT 'other_source_by_year', year(l_shipdate)::VARCHAR, l_returnflag, count(*), sum(l_extendedprice::DECIMAL(18,2))::DOUBLE FROM {_FOOT} GROUP BY 2, 3""")
+def footprint_views(spark: SparkSession, sf: str) -> DataFrame:
+    """All views of a footprint in one table, from one aggregation."""
+    key = F.coalesce(*(F.when(F.col("view") == v, F.col(c[0]).cast("string")) for v, c in VIEWS.items()))
+    second = F.coalesce(*(F.when(F.col("view") == v, F.col(c[1]).cast("string")) for v, c in VIEWS.items() if len(c) > 1))
+    return footprint_sets(spark, sf).select("view", key.alias("key"), second.alias("second"), "n", F.col("total").cast("double").alias("total"))
+
+
 @query(f"SELECT year(o_orderdate) AS year, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM {_FOOT} GROUP BY 1")
 def footprint_by_year(spark: SparkSession, sf: str) -> DataFrame:
-    return footprint(spark, sf).groupBy(order_year().alias("year")).agg(F.count("*").alias("n"), ranking.exact_sum("l_extendedprice").alias("total"))
+    return footprint_view(spark, sf, "by_year")
 
 
 @query(f"SELECT l_suppkey, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM {_FOOT} GROUP BY 1 ORDER BY total DESC, l_suppkey LIMIT 15")
 def footprint_registrants(spark: SparkSession, sf: str) -> DataFrame:
-    totals = footprint(spark, sf).groupBy("l_suppkey").agg(ranking.exact_sum("l_extendedprice").alias("total"))
-    return ranking.top(totals, [F.desc("total"), F.asc("l_suppkey")], 15)
+    return ranking.top(footprint_view(spark, sf, "registrants").drop("n"), [F.desc("total"), F.asc("l_suppkey")], 15)
 
 
 @query(f"SELECT p_type, count(*) AS n FROM {_FOOT} GROUP BY 1 ORDER BY n DESC, p_type LIMIT 15")
 def footprint_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.top(footprint(spark, sf).groupBy("p_type").agg(F.count("*").alias("n")), [F.desc("n"), F.asc("p_type")], 15)
+    return ranking.top(footprint_view(spark, sf, "issues").drop("total"), [F.desc("n"), F.asc("p_type")], 15)
 
 
 @query(f"SELECT p_brand, count(DISTINCT o_custkey) AS n FROM {_FOOT} GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 10")
 def footprint_agencies(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.top(footprint(spark, sf).groupBy("p_brand").agg(F.countDistinct("o_custkey").alias("n")), [F.desc("n"), F.asc("p_brand")], 10)
+    """The view has a row for each brand and customer: distinct customers are its rows."""
+    counted = footprint_view(spark, sf, "agencies").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return ranking.top(counted, [F.desc("n"), F.asc("p_brand")], 10)
 
 
 @query("SELECT DISTINCT n_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE contains(upper(p_name), 'RED')")
 def footprint_countries(spark: SparkSession, sf: str) -> DataFrame:
-    keys = footprint(spark, sf).select("l_suppkey").distinct()
+    keys = footprint_view(spark, sf, "registrants").select("l_suppkey")
     return keys.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name").distinct()
 
 
 @query(f"SELECT year(l_shipdate) AS year, l_returnflag, count(*) AS n FROM {_FOOT} GROUP BY 1, 2")
 def footprint_other_source_by_year(spark: SparkSession, sf: str) -> DataFrame:
-    return footprint(spark, sf).groupBy(F.year("l_shipdate").alias("year"), "l_returnflag").agg(F.count("*").alias("n"))
+    return footprint_view(spark, sf, "other_source_by_year").select(F.col("ship_year").alias("year"), "l_returnflag", "n")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, p_name FROM {_FOOT} ORDER BY l_orderkey, l_linenumber LIMIT 5")
@@ -382,15 +410,6 @@ def case_brief(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("SELECT * FROM (VALUES ('brief.md', 'created', 'kept'), ('entities.yaml', 'kept', 'kept'), ('findings.yaml', 'created', 'kept')) t(file, first, again)")
-def case_scaffold(spark: SparkSession, sf: str) -> DataFrame:
-    """A case's files, one of which is there already; then once more."""
-    folder = f"{shared_folder(spark)}/case-{uuid.uuid4().hex}"
-    spark.createDataFrame([("members: []",)], "value string").coalesce(1).write.text(f"{folder}/entities.yaml")
-    first, again = integrity.init_case(spark, folder), integrity.init_case(spark, folder)
-    return first.withColumnRenamed("state", "first").join(again.withColumnRenamed("state", "again"), "file")
-
-
 _STATUS = "list_element(['open', 'chasing', 'confirmed', 'cold', 'dropped'], (o_orderkey % 5 + 1)::INT)"
 
 
@@ -477,17 +496,17 @@ def vote_topic_mix(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.vote_mix(votes, bills)
 
 
-#: Manifests, and what is wrong with each.
-_MANIFESTS = [
-    ("---\nname: the-first\ndescription: What it does,\n  and when.\n---\nBody", []), (None, ["no file"]), ("name: x\n", ["no block"]), ("---\nname: 'b-2'\ndescription: " + "long " * 210 + "\n---\n", ["long description"]),
-    ("---\nname: No_Good\ndescription:\n---\n", ["bad name", "no description"]), ("---\ntitle: x\ndescription: y\n---\n", ["no name"]), ("---\nname: a--b\ndescription: y\n---\n", ["bad name"]),
-]
-
-
-@query(f"SELECT folder, problem FROM (SELECT p_partkey AS folder, unnest({[problems for _, problems in _MANIFESTS]}[p_partkey % {len(_MANIFESTS)} + 1]) AS problem FROM part)")
+@query("""WITH d AS (SELECT doc_id AS folder, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN replace(source, 'src', 'Src_') ELSE source || '-' || lang END AS name, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS about FROM documents)
+SELECT folder, unnest(CASE WHEN folder % 11 = 0 THEN ['no file'] WHEN folder % 13 = 0 THEN ['no block'] ELSE list_filter([CASE WHEN name = '' THEN 'no name' WHEN NOT regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*') THEN 'bad name' END,
+  CASE WHEN about = '' THEN 'no description' WHEN length(about) > 1024 THEN 'long description' END], LAMBDA x: x IS NOT NULL) END) AS problem FROM d""")
 def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
-    texts = F.element_at(F.array(*(F.lit(t) for t, _ in _MANIFESTS)), (F.col("p_partkey") % len(_MANIFESTS) + 1).cast("int"))
-    return integrity.manifest_problems(table(spark, sf, "part").select(F.col("p_partkey").alias("folder"), texts.alias("text")))
+    """A manifest for each document: its source and language make the name, its text, line by line, the description."""
+    d = F.col("doc_id")
+    name = F.when(d % 7 == 0, "").when(d % 3 == 0, F.regexp_replace("source", "src", "Src_")).otherwise(F.concat("source", F.lit("-"), "lang"))
+    about = F.regexp_replace(F.regexp_replace("text", r"\s+", " "), r"(\. )", ".\n  ")
+    whole = F.concat(F.lit("---\nname: '"), name, F.lit("'\ndescription: "), about, F.lit("\n---\nBody"))
+    text_ = F.when(d % 11 == 0, None).when(d % 13 == 0, F.concat(F.lit("name: "), name)).otherwise(whole)
+    return integrity.manifest_problems(table(spark, sf, "documents").select(d.alias("folder"), text_.alias("text")))
 
 
 @query("""WITH e AS (SELECT o_orderkey AS seq, ['thread', 'entity', 'lead'][o_custkey % 3 + 1] AS kind, 'n' || o_custkey AS name, ['hot', '', NULL, 'cold'][o_orderkey % 4 + 1] AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'note ' || o_orderkey ELSE '' END AS note, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
@@ -503,15 +522,18 @@ def session_tracker(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.tracker_state(events)
 
 
-@query("""SELECT c_custkey, 'C' || c_custkey AS id, c_nationkey::BIGINT AS nation, c_name || ' # ' || c_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN 'a' || c_custkey ELSE 'a|b, ' || c_custkey END AS aliases,
-  'why ' || c_custkey || ' it is' AS why, CASE WHEN c_custkey % 2 = 0 THEN 'note' END AS note, (c_custkey % 4 + 1)::BIGINT AS n_sources FROM customer""")
-def yaml_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers written as YAML with comments, quotes, lists in both forms and a folded text, read back."""
-    k = F.col("c_custkey")
-    aliases = F.when(k % 3 == 0, "[]").when(k % 3 == 1, F.concat(F.lit("[a"), k, F.lit("]"))).otherwise(F.concat(F.lit("[a,\n   \"b, "), k, F.lit('"]')))
-    note = F.when(k % 2 == 0, "note").otherwise("~")
-    sources = F.array_join(F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.concat(F.lit("\n  - x.json#"), i)), "")
-    lines = F.concat(F.lit("id: C"), k, F.lit("  # its id\nnation: "), "c_nationkey", F.lit("\nname: '"), "c_name", F.lit(" # "), k, F.lit("'\naliases: "), aliases, F.lit("\nwhy: >\n  why "), k, F.lit("\n  it is\nnote: "), note, F.lit("\nsources:"), sources)
-    read = cases.yaml_as_json(table(spark, sf, "customer").select("c_custkey", lines.alias("yaml")), "yaml")
-    got = F.from_json("json", "id string, nation bigint, name string, aliases array<string>, why string, note string, sources array<string>")
-    return read.select("c_custkey", got.alias("r")).select("c_custkey", "r.id", "r.nation", "r.name", F.array_join("r.aliases", "|").alias("aliases"), "r.why", "r.note", F.size("r.sources").cast("bigint").alias("n_sources"))
+_HEADS = """SELECT o_orderkey, 'T-' || o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS priority, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'C' || o_custkey ELSE 'C' || o_custkey || '|N: ' || o_orderstatus END AS entities,
+  'why: ' || o_orderpriority AS reason, CASE WHEN o_orderkey % 5 = 0 THEN 'no head' ELSE 'of --- ' || o_orderdate::DATE END AS body FROM orders"""
+
+
+@query(f"""WITH t AS ({_HEADS}) SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey::VARCHAR ELSE id END AS id, CASE WHEN o_orderkey % 5 > 0 THEN status END AS status, CASE WHEN o_orderkey % 5 > 0 THEN priority END AS priority,
+  CASE WHEN o_orderkey % 5 > 0 THEN entities ELSE '' END AS entities, CASE WHEN o_orderkey % 5 > 0 THEN reason END AS reason, body FROM t""")
+def case_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """A thread file for each order, written with quotes, lists and other lines in its head (or without one), and read back."""
+    k = F.col("o_orderkey")
+    entities = F.when(k % 3 == 0, "[]").when(k % 3 == 1, F.concat(F.lit("C"), "o_custkey")).otherwise(F.concat(F.lit("[C"), "o_custkey", F.lit(", 'N: "), "o_orderstatus", F.lit("']")))
+    priority = F.when(k % 3 == 0, F.col("o_orderpriority")).otherwise("")
+    head = F.concat(F.lit("---\nid: T-"), k, F.lit("\nstatus: x\nstatus: "), "o_orderstatus", F.lit("\n# a remark: none\npriority:  "), priority, F.lit("\nentities: "), entities, F.lit('\nreason: "why: '), "o_orderpriority", F.lit('"\n---\n\nof --- '), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    files = table(spark, sf, "orders").select(k, F.concat(F.lit("/t/"), k, F.lit(".md")).alias("file"), F.when(k % 5 == 0, "no head").otherwise(head).alias("text"))
+    read = cases.thread_rows(files).withColumn("o_orderkey", F.regexp_extract("file", "([0-9]+)", 1).cast("bigint"))
+    return read.select("o_orderkey", "id", "status", "priority", F.array_join("entities", "|").alias("entities"), "reason", "body")

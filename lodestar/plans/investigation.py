@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, topics
 from ..operators import resolution, rollups
+from ..sources import provenance
 from ..sources import records as sources
 from . import commands as C
 from .documents import reuse_urls
@@ -128,6 +129,26 @@ def provenance_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query(f"""{given(FILINGS)}, asked AS (SELECT filing_uuid, income, filing_uuid AS key FROM filings WHERE c_custkey % 10 = 0 UNION ALL SELECT filing_uuid || '?', NULL, NULL FROM filings WHERE c_custkey % 70 = 0)
+SELECT filing_uuid AS asked, key AS found, income, CASE WHEN key IS NULL THEN 'no such record' END AS error FROM asked
+UNION ALL SELECT 'gone/' || filing_uuid, NULL, NULL, 'source file not found' FROM filings WHERE c_custkey % 90 = 0
+UNION ALL SELECT 'https://m.example/' || doc_id, 'https://m.example/' || doc_id, NULL, NULL FROM documents WHERE doc_id % 10 = 0
+UNION ALL SELECT '' || (s_suppkey + 3000), 'd' || s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 10 = 0""".replace("SELECT 'F' || c_custkey AS filing_uuid", "SELECT c_custkey, 'F' || c_custkey AS filing_uuid"))
+def provenance_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth filing, release and XML filing by its id, and ids that lead nowhere, looked up together: byte ranges are read, not files."""
+    r = records(spark, sf)
+    key = F.regexp_extract("filing_uuid", "[0-9]+", 0).cast("long")
+    filings = r["filings"].select(F.col("filing_uuid").alias("asked"), "prov", key.alias("key"))
+    wanted = filings.where("key % 10 = 0").unionByName(filings.where("key % 70 = 0").select(words(F.col("asked"), "?").alias("asked"), words(F.col("prov"), "?").alias("prov"), "key"))
+    wanted = wanted.unionByName(filings.where("key % 90 = 0").select(words("gone/", F.col("asked")).alias("asked"), words("gone/", F.col("asked"), ".json#", F.col("asked")).alias("prov"), "key")).drop("key")
+    number = F.regexp_extract("url", "[0-9]+$", 0).cast("long")
+    wanted = wanted.unionByName(r["releases"].where(number % 10 == 0).select(F.col("url").alias("asked"), "prov"))
+    wanted = wanted.unionByName(r["other_filings"].where("(house_id - 3000) % 10 = 0").select(F.col("house_id").alias("asked"), "prov"))
+    got = provenance.look_up(wanted, r["provenance_index"]).join(wanted, "prov")
+    found = F.coalesce(F.get_json_object("record", "$.filing_uuid"), F.get_json_object("record", "$.url"), F.nullif(F.regexp_extract("record", "<description>([^<]*)<", 1), F.lit("")))
+    return got.select("asked", found.alias("found"), F.get_json_object("record", "$.income").cast("double").alias("income"), F.regexp_replace("error", "(source file not found).*", "$1").alias("error"))
+
+
 # Resolution
 
 
@@ -174,12 +195,12 @@ def member_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("SELECT q AS query, s_name AS name FROM supplier, (VALUES ('Supplier#000000001, Inc.', 'SUPPLIER 000000001'), ('The Nobody Co', 'NOBODY')) t(q, w) WHERE contains(upper(replace(s_name, '#', ' ')), w)")
+@query("SELECT c_custkey, s_name AS name FROM customer, supplier WHERE contains(s_name, c_custkey::VARCHAR)")
 def registry_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Names with # as a space: the first word of a key is sought in them."""
-    names_ = table(spark, sf, "supplier").select("s_name", F.regexp_replace("s_name", "Supplier#", "").alias("name"))
-    asked = spark.createDataFrame([("Supplier#000000001, Inc.", "000000001"), ("The Nobody Co", "The Nobody Co")], "asked string, query string")
-    return resolution.registry_hits(asked, names_).join(asked, "query").select(F.col("asked").alias("query"), F.col("s_name").alias("name"))
+    """All customers as queries, by their number and a suffix that the key drops, against all suppliers' names."""
+    asked = table(spark, sf, "customer").select("c_custkey", F.concat("c_custkey", F.lit(", Inc.")).alias("query"))
+    hits = resolution.registry_hits(asked.select("query"), table(spark, sf, "supplier").select(F.col("s_name").alias("name")))
+    return hits.join(asked, "query").select("c_custkey", "name")
 
 
 @query("""SELECT c_custkey, c_name AS name FROM customer WHERE c_nationkey = 3 AND c_custkey % 2 = 0 AND c_custkey % 9 = 4""")

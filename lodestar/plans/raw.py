@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..scratch import shared_folder
 from ..sources.records import ingest
 from .commands import Records
-from .registry import table
+from .registry import files_like, table
 
-_made: dict[tuple[str, str], Records] = {}
+#: Tables that are made, by application, folder and what the folder's files are like.
+_made: dict[tuple, Records] = {}
 
 
 def pick(values: list[str], at: Column) -> Column:
@@ -96,16 +97,23 @@ def write_raw(spark: SparkSession, sf: str, root: str) -> None:
         for part in store.listStatus(folder.getPath()) if month else []:
             store.mkdirs(path(f"{root}/releases/{month[:4]}"))
             store.rename(part.getPath(), path(f"{root}/releases/{month[:4]}/{month}.jsonl"))
-    # One record a file is what this source is like; there are as many as suppliers.
-    for r in other_records(spark, sf).toLocalIterator():
-        out = store.create(path(f"{root}/other/{r['folder']}/{r['name']}"), True)
-        out.write(bytearray(r["value"].encode()))
-        out.close()
+    # One record a file is what this source is like: each is written by a task, and renamed.
+    other_records(spark, sf).repartition("folder", "name").write.mode("overwrite").option("lineSep", "\n").partitionBy("folder", "name").text(f"{root}/others")
+    for folder in store.listStatus(path(f"{root}/others")):
+        for name in store.listStatus(folder.getPath()) if folder.isDirectory() else []:
+            to = f"{root}/other/{folder.getPath().getName().partition('=')[2]}"
+            store.mkdirs(path(to))
+            for part in store.listStatus(name.getPath()):
+                store.rename(part.getPath(), path(f"{to}/{name.getPath().getName().partition('=')[2]}"))
+
+
+#: Tables that raw records are made of.
+GIVEN = ("customer", "supplier", "part", "documents")
 
 
 def records(spark: SparkSession, sf: str) -> Records:
-    """The ingested tables, made once in an application."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The ingested tables, made once in an application, and anew if a table they are made of has changed."""
+    key = (spark.sparkContext.applicationId, sf, files_like(spark, sf, GIVEN))
     if key not in _made:
         base = f"{shared_folder(spark)}/raw-{len(_made)}"
         write_raw(spark, sf, f"{base}/raw")

@@ -1,186 +1,55 @@
-"""Case folders: thread files with a head in YAML, and registries of entities and findings, as tables.
-
-Texts in YAML become JSON in Python, row by row of a batch; everything after that is Column expressions.
-"""
+"""Case folders: thread files with a flat head, registries of entities and findings as JSON lines. Column expressions only."""
 
 from __future__ import annotations
 
-import json
-import re
-import textwrap
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .records import file_path
-
-_PAIR = re.compile(r"([^:]+):(.*)")
-_ITEM_PAIR = re.compile(r"[^:\[\]\"'][^:\[\]]*:(\s|$)")
-_QUOTED_OR_COMMENT = re.compile(r"\"[^\"]*\"|'[^']*'|(?:^|(?<=\s))#")
-_FLOW_TOKEN = re.compile(r"\s*(\[|\]|,|\"[^\"]*\"|'[^']*'|[^\[\],]+)")
-_FIXED = {"": None, "null": None, "~": None, "true": True, "false": False}
-
-
-def _bare(line: str) -> str:
-    """A line without its comment; a number sign in quotes or within a word is none."""
-    for m in _QUOTED_OR_COMMENT.finditer(line):
-        if m[0] == "#":
-            return line[: m.start()].rstrip()
-    return line.rstrip()
-
-
-def _scalar(word: str) -> object:
-    if len(word) > 1 and word[0] == word[-1] and word[0] in "\"'":
-        return word[1:-1]
-    if word.lower() in _FIXED:
-        return _FIXED[word.lower()]
-    if re.fullmatch(r"-?\d+", word):
-        return int(word)
-    return float(word) if re.fullmatch(r"-?\d*\.\d+", word) else word
-
-
-def _flow(text: str) -> list:
-    open_: list[list] = [[]]
-    for token in _FLOW_TOKEN.findall(text):
-        if token == "[":
-            open_[-1].append([])
-            open_.append(open_[-1][-1])
-        elif token == "]":
-            open_ = open_[:-1] or [[]]
-        elif token != "," and token.strip():
-            open_[-1].append(_scalar(token.strip()))
-    return open_[0][0]
-
-
-class _Reader:
-    """Reads down the lines of a text; `at` is the line that comes next."""
-
-    def __init__(self, text: str):
-        self.lines, self.at = text.split("\n"), 0
-
-    def head(self) -> tuple[int, str]:
-        """Column and content of the next line that has any; column -1 at the end."""
-        while self.at < len(self.lines):
-            line = _bare(self.lines[self.at])
-            if line.strip():
-                return len(line) - len(line.lstrip(" ")), line.strip()
-            self.at += 1
-        return -1, ""
-
-    def node(self, least: int) -> dict | list | None:
-        """The mapping or sequence that begins on the next line, if that stands at column `least` or further right."""
-        column, first = self.head()
-        if column < max(least, 0):
-            return None
-        listed, out = _dashed(first), [] if _dashed(first) else {}
-        while True:
-            now, line = self.head()
-            pair = _PAIR.fullmatch(line)
-            if now != column or _dashed(line) != listed or not (listed or pair):
-                return out
-            if listed:
-                out.append(self.item(column, line[1:].strip()))
-            else:
-                self.at += 1
-                out[pair[1].strip().strip("\"'")] = self.value(column, pair[2].strip())
-
-    def item(self, column: int, rest: str) -> object:
-        if _ITEM_PAIR.match(rest):
-            # The dash gives way to the mapping behind it, whose other keys stand below its first.
-            self.lines[self.at] = " " * (column + 2) + rest
-            return self.node(column + 2)
-        self.at += 1
-        return self.value(column, rest)
-
-    def value(self, column: int, rest: str) -> object:
-        """What follows a key or a dash at `column`: on its line, or on the lines below."""
-        if re.fullmatch(r"[>|][+-]?", rest):
-            return self.block(column, rest[0] == ">")
-        if rest.startswith("["):
-            while rest.count("[") != rest.count("]") and self.at < len(self.lines):
-                rest += " " + _bare(self.lines[self.at]).strip()
-                self.at += 1
-            return _flow(rest)
-        if rest:
-            return _scalar(rest)
-        # A sequence may stand right under its key.
-        below = self.head()
-        return self.node(column if below[0] == column and _dashed(below[1]) and not _dashed(_bare(self.lines[self.at - 1]).strip()) else column + 1)
-
-    def block(self, column: int, folded: bool) -> str:
-        start = self.at
-        while self.at < len(self.lines) and (not self.lines[self.at].strip() or self.lines[self.at].startswith(" " * (column + 1))):
-            self.at += 1
-        text = textwrap.dedent("\n".join(self.lines[start : self.at])).rstrip()
-        return re.sub(r"(?<=[^\n])\n(?=[^\n])", " ", "\n".join(s.strip() for s in text.split("\n"))).strip() if folded else text
-
-
-def _dashed(line: str) -> bool:
-    return line == "-" or line.startswith("- ")
-
-
-def parse_yaml(text: str | None) -> dict | list:
-    """Mappings, sequences, lists in brackets (over lines, nested), block scalars, quotes and comments; no anchors, tags or mappings in braces.
-
-    Reading ends at the first line that is none of these; an empty text is an empty mapping.
-    """
-    return _Reader(text or "").node(0) or {}
-
-
-def yaml_as_json(df: DataFrame, column: str, name: str = "json") -> DataFrame:
-    """df with a column of YAML texts replaced by one of JSON texts."""
-    at, kept = df.columns.index(column), [c for c in df.columns if c != column]
-    schema = df.select(*kept).schema.add(name, "string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([json.dumps(parse_yaml(t), ensure_ascii=False) for t in batch.column(at).to_pylist()], pa.string())
-            others = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*others, texts], [*kept, name])
-
-    return df.mapInArrow(run, schema)
-
-
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(file_path().alias("file"), F.col("value").alias("text"))
-
-
-def _text(key: str) -> Column:
-    return F.get_json_object("json", f"$.{key}")
-
-
-def _list(key: str, of: str = "json") -> Column:
-    """A list of texts; a single one is a list of it, and none is empty."""
-    raw = F.get_json_object(of, f"$.{key}")
-    return F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(raw.isNotNull(), F.array(raw)).otherwise(F.expr("cast(array() as array<string>)"))
+from .splits import file_path
 
+#: The block between dashes that a thread begins with, and what follows it.
+HEAD = r"(?s)\A---[ \t]*\n(.*?)(?:\n|(?<=\n))---[ \t]*(?:\n+(.*))?\z"
 
-def threads(spark: SparkSession, folder: str) -> DataFrame:
-    """Thread files (threads/*.md): file, id (else the file's name), title, status, priority, next_action, reason, entities, linked_findings, source_records, body."""
-    head = r"(?s)\A---(.*?)---\n*(.*)\z"
-    raw = _files(spark, f"{folder}/threads/*.md")
-    split = raw.select("file", F.regexp_extract("text", head, 1).alias("yaml"), F.when(F.col("text").rlike(head), F.regexp_extract("text", head, 2)).otherwise(F.col("text")).alias("body"))
+
+def head_of(text: Column) -> Column:
+    """The lines `key: value` of a text's head as an array of (key, value), blanks and one pair of quotes about a value dropped; other lines are left out."""
+    lines = F.filter(F.split(F.regexp_extract(text, HEAD, 1), "\n"), lambda x: x.rlike(r"^\w[\w-]*:"))
+    bare = lambda v: F.regexp_replace(F.trim(v), r"""^(["'])(.*)\1$""", "$2")
+    return F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), bare(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("value")))
+
+
+def field(head: Column, key: str) -> Column:
+    """The last value of a key that isn't empty."""
+    found = F.filter(head, lambda x: (x["key"] == key) & (x["value"] != ""))
+    return F.try_element_at(found, F.lit(-1))["value"]
+
+
+def listed(value: Column) -> Column:
+    """[a, "b"] as an array; a bare value is a list of it, and none is empty."""
+    inner = F.transform(F.split(F.regexp_extract(value, r"(?s)^\[(.*)\]$", 1), ","), lambda x: F.regexp_replace(F.trim(x), r"""^(["'])(.*)\1$""", "$2"))
+    return F.when(value.startswith("["), F.filter(inner, lambda x: x != "")).when(value != "", F.array(value)).otherwise(F.array().cast("array<string>"))
+
+
+def thread_rows(files: DataFrame) -> DataFrame:
+    """Threads from (file, text): file, id (else the file's name), title, status, priority, next_action, reason, entities, source_records, body."""
+    held = files.withColumn("__head", head_of(F.col("text")))
+    body = F.when(F.col("text").rlike(HEAD), F.regexp_extract("text", HEAD, 2)).otherwise(F.col("text"))
+    plain = [field(F.col("__head"), c).alias(c) for c in ("title", "status", "priority", "next_action", "reason")]
+    lists = [listed(field(F.col("__head"), c)).alias(c) for c in ("entities", "source_records")]
     stem = F.regexp_extract("file", r"([^/]*)\.md$", 1)
-    plain = [_text(c).alias(c) for c in ("title", "status", "priority", "next_action", "reason")]
-    lists = [_list(c).alias(c) for c in ("entities", "linked_findings", "source_records")]
-    return yaml_as_json(split, "yaml").select("file", F.coalesce(_text("id"), stem).alias("id"), *plain, *lists, "body")
+    return held.select("file", F.coalesce(field(F.col("__head"), "id"), stem).alias("id"), *plain, *lists, body.alias("body"))
 
 
-def _groups(df: DataFrame) -> DataFrame:
-    """(group, json) of every mapping in the lists of a registry."""
-    groups = df.select(F.explode(F.from_json("json", "map<string, string>")).alias("group", "items")).where(F.col("items").startswith("["))
-    return groups.select("group", F.explode(F.from_json("items", "array<string>")).alias("json")).where(F.col("json").startswith("{"))
+def threads(spark: SparkSession, folder: str) -> DataFrame:
+    """Threads of <folder>/threads/*.md, see thread_rows."""
+    return thread_rows(spark.read.text(f"{folder}/threads/*.md", wholetext=True).select(file_path().alias("file"), F.col("value").alias("text")))
 
 
 def entities(spark: SparkSession, folder: str) -> DataFrame:
-    """(group, entity_id, display, status, why) of the registry entities.yaml; entries without an id are left out."""
-    found = _groups(yaml_as_json(_files(spark, f"{folder}/entities.yaml"), "text"))
-    return found.select("group", _text("canonical_id").alias("entity_id"), *(_text(c).alias(c) for c in ("display", "status", "why"))).where("entity_id IS NOT NULL")
+    """(entity_id, kind, display, status, why) of <folder>/entities.jsonl; entries without an id are left out."""
+    return spark.read.schema("entity_id string, kind string, display string, status string, why string").json(f"{folder}/entities.jsonl").where("entity_id IS NOT NULL")
 
 
 def findings(spark: SparkSession, folder: str) -> DataFrame:
-    """(group, id, source_records, json) of the ledger findings.yaml."""
-    found = _groups(yaml_as_json(_files(spark, f"{folder}/findings.yaml"), "text"))
-    return found.select("group", _text("id").alias("id"), _list("source_records").alias("source_records"), "json")
+    """(id, kind, summary, source_records) of <folder>/findings.jsonl."""
+    return spark.read.schema("id string, kind string, summary string, source_records array<string>").json(f"{folder}/findings.jsonl")

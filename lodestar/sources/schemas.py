@@ -30,4 +30,5 @@ TABLES = {
     "other_activities": (["house_id", "ali_idx"], None),
     "releases": (["url"], None),
     "members": (["member_id"], None),
+    "provenance_index": (["prov"], "dataset"),
 }

@@ -94,16 +94,18 @@ def clean_pdf_date(column: str):
 
 
 def delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file with a header as strings: the delimiter is guessed from its first lines, UTF-8 with or without a byte-order mark, else Latin-1.
+    """A delimited file with a header as strings: UTF-8 with or without a byte-order mark if all of it is that, else Latin-1.
 
-    Columns without a name and without values are dropped. The guess reads the head of the file only.
+    The delimiter is guessed from the first lines. Columns without a name and without values are dropped.
     """
     head = [r["value"] for r in spark.read.text(path).limit(20).collect()]
     try:
         sep = csv.Sniffer().sniff("\n".join(head), ",\t;|").delimiter
     except csv.Error:
         sep = "\t" if path.endswith(".tsv") else ","
-    encoding = "ISO-8859-1" if any("�" in line for line in head) else "UTF-8"
+    # Every line is looked at: one that isn't UTF-8 decides for the file.
+    bad = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad")).first()["bad"]
+    encoding = "ISO-8859-1" if bad else "UTF-8"
     df = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", True).csv(path)
     df = df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
     unnamed = [c for c in df.columns if c.startswith(("_c", "Unnamed:"))]

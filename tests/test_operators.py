@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import claims, integrity, profiling, ranking, resolution, reuse, rollups
+from lodestar.operators import claims, containment, integrity, profiling, ranking, resolution, reuse, rollups
 
 
 def sets(df, *columns):
@@ -186,18 +186,58 @@ def test_channels_codes_and_estimates(rows):
     assert sets(rollups.extrapolate(sample, rows("q int, size long", (1, 10), (2, 7)), ["q"], F.col("hit"))) == {(1, 2, 1, 10, 5.0), (2, 1, 0, 7, 0.0)}
 
 
-def test_words_of_many_segments_tell_none_apart(rows):
-    segments = rows("segment_id int, text string", *((i, "common word" + (" rare" if i == 3 else "")) for i in range(30)))
-    found = claims.lexical_matches(rows("claim_id int, terms array<string>", (1, ["common rare"]), (2, ["common"])), segments)
-    assert sets(found, "claim_id", "segment_id", "score") == {(1, 3, 1)}
+@pytest.mark.parametrize("common", [0, 2, 5, 1000])
+@pytest.mark.parametrize("k", [1, 3, 12])
+def test_most_shared_is_exact(rows, common, k):
+    """Words of all rarities and ties, against scores of all pairs; `common` changes nothing."""
+    r = random.Random(common + k)
+    words = [f"w{i}" for i in range(14)]
+    draw = lambda: sorted({w for i, w in enumerate(words) if r.random() < 1 / (i % 7 + 1)})
+    left, right = [(i, draw()) for i in range(25)] + [(99, [])], [(i * 3 % 41, draw()) for i in range(40)]
+    got = containment.most_shared(rows("left_id int, words array<string>", *left), rows("right_id int, words array<string>", *right), k, common)
+    want = set()
+    for i, a in left:
+        scores = sorted((-len(set(a) & set(b)), j) for j, b in right if set(a) & set(b))
+        want |= {(i, j, -s, n) for n, (s, j) in enumerate(scores[:k], 1)}
+    assert sets(got, "left_id", "right_id", "score", "rank") == want
 
 
-def test_journal_and_scaffold(spark, tmp_path):
+@pytest.mark.parametrize("part", [1, 3, 4096])
+def test_contains_join_is_exact(rows, part):
+    r = random.Random(part)
+    text = lambda n: "".join(r.choice("aab é%_") for _ in range(r.randint(0, n)))
+    texts, needles = [(text(12),) for _ in range(60)] + [(None,)], [(text(5),) for _ in range(60)] + [(None,), ("",)]
+    got = containment.contains_join(rows("text string", *texts), rows("needle string", *needles), part)
+    assert sets(got, "text", "needle") == {(t, n) for (t,) in texts for (n,) in needles if t is not None and n and n in t}
+    assert containment.contains_join(rows("text string", *texts).limit(0), rows("needle string", *needles)).count() == 0
+
+
+def test_registry_of_any_size(rows):
+    queries, names_ = [(f"Q{i} Works Ltd",) for i in range(12_000)], [(f"the q{i} company",) for i in range(0, 12_000, 100)] + [(None,)]
+    hits = resolution.registry_hits(rows("query string", *queries), rows("name string", *names_))
+    assert sets(hits, "query", "name") == {(q, n) for i in range(0, 12_000, 100) for q, n in [(f"Q{i} Works Ltd", f"the q{i} company")]} | {
+        (f"Q{str(i)[:m]} Works Ltd", f"the q{i} company") for i in range(0, 12_000, 100) for m in range(1, len(str(i)))}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
+
+
+def test_three_least_urls(rows):
+    line = "A sentence that is long enough to be looked at and that several authors share word for word"
+    urls = [f"u{i}" for i in (31, 7, 12, 5, 5, 9)]
+    got = reuse.shared_sentences(rows("url string, author string, party string, date string, text string", *((u, f"a{i}", "D", "2025-01-01", line) for i, u in enumerate(urls))), 3)
+    assert [r["sample_urls"] for r in got.collect()] == [["u12", "u31", "u5"]]
+
+
+def test_views_of_one_aggregation(rows):
+    df = rows("a int, b string, c int, v int", (1, "x", None, 1), (1, "y", 2, 2), (None, "x", 2, 4))
+    got = rollups.grouped_views(df, {"one": ["a"], "two": ["b", "c"]}, F.sum("v").alias("s"))
+    assert sets(got, "view", "a", "b", "c", "s") == {("one", 1, None, None, 3), ("one", None, None, None, 4), ("two", None, "x", None, 1), ("two", None, "y", 2, 2), ("two", None, "x", 2, 4)}
+
+
+def test_journal(spark, tmp_path):
     with pytest.raises(ValueError, match="empty"):
         integrity.append_journal(spark, str(tmp_path), "s", " \n", "t")
     integrity.append_journal(spark, str(tmp_path), "s", "b", "t2")
     integrity.append_journal(spark, str(tmp_path), "s", "a\nc", "t1")
     lines = [x["line"] for x in integrity.journal_lines(spark, str(tmp_path)).orderBy("n").collect()]
     assert lines == ["---", "### t1 \u00b7 session s", "a", "c", "---", "### t2 \u00b7 session s", "b"]
-    assert sets(integrity.init_case(spark, str(tmp_path / "case")), "state") == {("created",)} and sets(integrity.init_case(spark, str(tmp_path / "case")), "state") == {("kept",)}
-    assert (tmp_path / "case" / "brief.md").read_text().startswith("# Investigation Brief")

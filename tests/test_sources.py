@@ -1,11 +1,13 @@
 """Ingest of invented files, provenance, and streams."""
 
 import json
+import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from lodestar.sources import records, texts
+from lodestar.sources import provenance, records, splits, texts
 from lodestar.streaming import records as streams
 
 
@@ -133,74 +135,133 @@ def test_streams(spark, rows, tmp_path):
     assert spark.table("first").agg(F.count("*")).first()[0] == 2
 
 
-YAML = """# a case
-id: T-1   # its id
-title: "A # in quotes: kept"
-priority: 2
-share: -.5
-url: https://x.org/#top
-on: TRUE
-none: ~
-entities: [A1, 'B, 2',
-  [c, d], Baldwin's]   # over lines
-why: >
-  folded
-  text
-
-  # no comment
-  end
-raw: |
-  line 1
-    line 2
-
-list:
-- a: 1
-  b: >-
-    x
-    y
-  c:
-    - "p: q"
-    - data/x.json#3
--
-  - 1
-  - null
-- plain
-after: [ ]
-deep:
-  er:
-    est: 1
-  next: it's
-"""
-
-
-def test_yaml_subset():
-    from lodestar.sources.cases import parse_yaml
-
-    assert parse_yaml(YAML) == {
-        "id": "T-1", "title": "A # in quotes: kept", "priority": 2, "share": -0.5, "url": "https://x.org/#top", "on": True, "none": None,
-        "entities": ["A1", "B, 2", ["c", "d"], "Baldwin's"], "why": "folded text\n\n# no comment end", "raw": "line 1\n  line 2",
-        "list": [{"a": 1, "b": "x y", "c": ["p: q", "data/x.json#3"]}, [1, None], "plain"], "after": [], "deep": {"er": {"est": 1}, "next": "it's"},
-    }
-    assert parse_yaml("") == parse_yaml(None) == parse_yaml("# only\n") == {}
-    assert parse_yaml("a:\nb: 1") == {"a": None, "b": 1} and parse_yaml("- - x") == ["- x"]
-
-
 def test_case_folder(spark, tmp_path):
     from lodestar.operators import integrity
     from lodestar.sources import cases
 
     (tmp_path / "threads").mkdir()
-    (tmp_path / "threads/T-1.md").write_text("---\nid: T-1\nstatus: open\npriority: 1\nentities: [E1, E9]\nsource_records:\n  - P1\n---\n\nBody --- here\n")
-    (tmp_path / "threads/T-2.md").write_text("---\nstatus: cold\nreason: >\n  no\n  more\nentities: E1\n---\n")
+    (tmp_path / "threads/T-1.md").write_text("---\nid: T-1\nstatus: open\npriority: 1\nentities: [E1, 'E9']\nsource_records: P1\n---\n\nBody --- here\n")
+    (tmp_path / "threads/T-2.md").write_text('---\nstatus: open\nstatus: cold\nreason: "no: more"\nentities: E1\nreason:\n---\n')
     (tmp_path / "threads/T-3.md").write_text("no head\n")
-    (tmp_path / "entities.yaml").write_text("members:\n  - canonical_id: E1\n    display: One\n    status: key\n  - display: nameless\nnote: x\nfirms: []\n")
-    (tmp_path / "findings.yaml").write_text("findings:\n  - id: F-1\n    source_records: [P1, P2]\nlegal_flags:\n  - id: L-1\n    source_records: []\n")
+    (tmp_path / "threads/T-4.md").write_text("---\n---")
+    (tmp_path / "entities.jsonl").write_text('{"entity_id": "E1", "kind": "member", "display": "One", "status": "key"}\n{"display": "nameless"}\n')
+    (tmp_path / "findings.jsonl").write_text('{"id": "F-1", "source_records": ["P1", "P2"]}\n{"id": "L-1", "source_records": []}\n')
     threads, entities, findings = (f(spark, str(tmp_path)) for f in (cases.threads, cases.entities, cases.findings))
     got = {r["id"]: r for r in threads.collect()}
-    assert set(got) == {"T-1", "T-2", "T-3"} and got["T-1"]["body"] == "Body --- here\n" and got["T-3"]["body"] == "no head\n"
+    assert set(got) == {"T-1", "T-2", "T-3", "T-4"} and got["T-1"]["body"] == "Body --- here\n" and got["T-3"]["body"] == "no head\n"
     assert (got["T-1"]["entities"], got["T-1"]["priority"], got["T-1"]["source_records"]) == (["E1", "E9"], "1", ["P1"])
-    assert (got["T-2"]["reason"], got["T-2"]["entities"], got["T-2"]["source_records"]) == ("no more", ["E1"], [])
-    assert [tuple(r) for r in entities.collect()] == [("members", "E1", "One", "key", None)]
-    assert sorted((r["group"], r["id"], r["source_records"]) for r in findings.collect()) == [("findings", "F-1", ["P1", "P2"]), ("legal_flags", "L-1", [])]
+    assert (got["T-2"]["reason"], got["T-2"]["entities"], got["T-2"]["source_records"], got["T-2"]["status"]) == ("no: more", ["E1"], [], "cold")
     problems = {tuple(r) for r in integrity.lint(threads, entities, findings).collect()}
-    assert problems == {("T-1", "empty next action"), ("T-1", "orphan entity"), ("T-3", "unknown status"), ("L-1", "finding without source")}
+    assert problems == {("T-1", "empty next action"), ("T-1", "orphan entity"), ("T-3", "unknown status"), ("T-4", "unknown status"), ("L-1", "finding without source")}
+
+
+# Files that many tasks read
+
+
+@pytest.fixture
+def small_blocks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def awkward(r, i):
+    said = "".join(r.choice(["a", '"', "\\", "{", "}", "[", "]", "\n", "é", " ", "}{", '"}']) for _ in range(r.choice([0, 5, 50, 300])))
+    return {"filing_uuid": f"u{i}", "said": said, "list": [{"x": [1, {"y": said[::-1]}]}], "none": {}}
+
+
+def test_arrays_are_cut_anywhere(spark, tmp_path, small_blocks):
+    r, made = random.Random(1), {}
+    for name, kwargs, mark in (("dense", {"separators": (",", ":")}, ""), ("indented", {"indent": 2, "ensure_ascii": False}, "\ufeff"), ("one", {"ensure_ascii": False}, "")):
+        rows = [awkward(r, i) for i in range(60)]
+        if name == "one":
+            rows[30]["said"] = 'z}"' * 6000  # longer than several blocks
+        made[name] = (mark + json.dumps(rows, **kwargs), rows)
+    made["cut"] = ('[{"filing_uuid":"a"}, 5, null, [{"q":1}], "x{", {"filing_uuid":"b"', [{"filing_uuid": "a"}])
+    made["objects"] = ('{"a":1}\n{"a":{"b":2}}', [{"a": 1}, {"a": {"b": 2}}])
+    made["nothing"], made["empty"] = ("", []), ("[]", [])
+    for name, (text, _) in made.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    found = splits.array_records(spark, str(tmp_path)).collect()
+    for name, (text, rows) in made.items():
+        mine = sorted((f for f in found if f["path"].endswith(f"/{name}.json")), key=lambda f: f["byte"])
+        assert [json.loads(f["record"]) for f in mine] == rows, name
+        assert all(text.encode()[f["byte"] : f["byte"] + f["length"]].decode() == f["record"] for f in mine)
+    assert spark.read.text(str(tmp_path / "one.json")).rdd.getNumPartitions() >= 8
+
+
+def test_large_arrays_as_the_plain_reader_reads_them(spark, tmp_path, small_blocks):
+    from lodestar.sources import schemas
+
+    path, r = tmp_path / "filings_2025.json", random.Random(3)
+    path.write_text(json.dumps([{"filing_uuid": f"u{i}", "income": "5.50", "client": {"name": "".join(r.choice('{}[]",\\:') for _ in range(40))}, "filing_year": 2025} for i in range(200)]))
+    got = records._json_array(spark, [str(path)], schemas.FILINGS_JSON)[0]
+    plain = spark.read.schema(schemas.FILINGS_JSON).option("multiLine", True).json(str(path)).withColumn("prov", F.concat(F.lit(f"{path}#"), "filing_uuid"))
+    assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_lines_are_numbered_in_any_block(spark, tmp_path, small_blocks):
+    r = random.Random(2)
+    for name, mark, end in (("a", "\ufeff", ""), ("b", "", "\n")):
+        lines = ["é" * r.randint(0, 30) + ("\r" if i % 9 == 0 else "") if i % 7 else "" for i in range(1500)] + ["last"]
+        text = mark + "\n".join(lines) + end
+        (tmp_path / f"{name}.jsonl").write_bytes(text.encode())
+        found = sorted(splits.numbered_lines(spark, str(tmp_path / f"{name}.jsonl")).collect(), key=lambda f: f["n"])
+        assert [f["value"] for f in found] == lines and [f["n"] for f in found] == list(range(1, 1502))
+        assert all(text.encode()[f["byte"] : f["byte"] + f["length"]].decode() == f["value"] for f in found)
+
+
+def test_blocks_that_change_are_an_error(spark, tmp_path, small_blocks):
+    (tmp_path / "a.jsonl").write_text("x\n" * 9000)
+    found = splits.numbered_lines(spark, str(tmp_path))
+    rows = found.count()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    again = splits._known(splits._rows(spark, str(tmp_path), "\n", {}).select("path", "block", "value"), spark.createDataFrame([(f"{tmp_path}/a.jsonl", 0, 1)], "path string, block long, n long"), "n")
+    with pytest.raises(Exception, match="blocks of the files changed"):
+        again.collect()
+    assert rows == 9000
+
+
+def test_look_up_reads_ranges_only(spark, tmp_path):
+    path = tmp_path / "filings_2025.json"
+    path.write_text(json.dumps([{"filing_uuid": f"u{i}", "x": "é" * i} for i in range(400)] + [{"filing_uuid": "u7", "x": "again"}], ensure_ascii=False))
+    (tmp_path / "2025-01.jsonl").write_text("\n".join(json.dumps({"url": i}) for i in range(50)))
+    places = records.places(spark, str(path)).unionByName(records.places(spark, str(tmp_path / "2025-01.jsonl")))
+    index = provenance.index_of(places)
+    lines = f"{tmp_path}/2025-01.jsonl"
+    asked = [f"{path}#u{i}" for i in range(0, 400, 10)] + [f"{path}#u7", f"{path}#nobody", f"{lines}#L3", f"{lines}#L03", f"{lines}#L99", f"{lines}#L0", f"{lines}#Lx", "gone.json#u1", f"{path}#u0"]
+    wanted = spark.createDataFrame([(a,) for a in asked], "prov string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(where):
+        file = provenance.open_file(where)
+
+        class File:
+            def read_at(self, n, at):
+                read.add(n)
+                return file.read_at(n, at)
+
+            def close(self):
+                file.close()
+
+        return File()
+
+    got = {r["prov"]: r for r in provenance.look_up(wanted, index, counted).collect()}
+    assert set(got) == set(asked)
+    for i in range(0, 400, 10):
+        assert json.loads(got[f"{path}#u{i}"]["record"]) == {"filing_uuid": f"u{i}", "x": "é" * i} and got[f"{path}#u{i}"]["error"] is None
+    assert json.loads(got[f"{path}#u7"]["record"])["x"] == "é" * 7 and json.loads(got[f"{lines}#L3"]["record"]) == {"url": 2}
+    errors = {k.rsplit("#")[-1]: r["error"] for k, r in got.items() if r["record"] is None}
+    assert errors == {"nobody": "no such record", "L03": "no such record", "L99": "no such record", "L0": "not a line: L0", "Lx": "not a line: Lx", "u1": "source file not found: gone.json"}
+    assert read.value < path.stat().st_size / 8
+    scanned = {r["prov"]: (r["record"], r["error"]) for r in provenance.look_up_by_scan(wanted, places).collect()}
+    assert scanned == {k: (r["record"], r["error"]) for k, r in got.items()}
+
+
+def test_encoding_is_decided_by_the_whole_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"id,v\n" + b"1,x\n" * 60 + "2,é\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes(b"id,v\n" + b"1,x\n" * 60 + "2,é\n".encode())
+    for name in "ab":
+        assert texts.delimited(spark, str(tmp_path / f"{name}.csv")).where("id = 2").first()["v"] == "é"
