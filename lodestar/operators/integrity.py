@@ -17,6 +17,36 @@ SOURCE_REQUIRED = ["confirmed"]
 ACTIVE = ["open", "chasing"]
 
 
+def problem_of(now: str, to: str, reason: str | None, n_sources: int) -> str | None:
+    """What is wrong with one move, or nothing."""
+    if to not in TRANSITIONS.get(now, []):
+        return "forbidden move"
+    if to in REASON_REQUIRED and not (reason or "").strip():
+        return "reason required"
+    return "source required" if to in SOURCE_REQUIRED and not n_sources else None
+
+
+def replay(moves: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """(id, status, n_moves, n_rejected) after all moves (id, seq, to_status, reason, n_sources) of each thread, by seq; threads begin as in initial (id, status), or open.
+
+    Threads without moves stay as they are. The moves of one thread are one list in one task.
+    """
+    listed = moves.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "to_status", "reason", "n_sources"))).alias("moves"))
+    threads = listed.withColumn("begun", F.lit("open")) if initial is None else initial.select("id", F.col("status").alias("begun")).join(listed, "id", "full_outer").withColumn("begun", F.coalesce("begun", F.lit("open")))
+
+    def step(a, m):
+        allowed = F.coalesce(*(F.when(a["status"] == s, m["to_status"].isin(to) if to else F.lit(False)) for s, to in TRANSITIONS.items()), F.lit(False))
+        told = ~m["to_status"].isin(REASON_REQUIRED) | (F.trim(F.coalesce(m["reason"], F.lit(""))) != "")
+        sourced = ~m["to_status"].isin(SOURCE_REQUIRED) | (F.coalesce(m["n_sources"], F.lit(0)) > 0)
+        good = F.coalesce(allowed & told & sourced, F.lit(False))
+        return F.struct(F.when(good, m["to_status"]).otherwise(a["status"]).alias("status"), (a["made"] + F.when(good, 1).otherwise(0)).alias("made"), (a["not_made"] + F.when(good, 0).otherwise(1)).alias("not_made"))
+
+    zero = F.struct(F.col("begun").alias("status"), F.lit(0).alias("made"), F.lit(0).alias("not_made"))
+    none = F.array().cast(listed.schema["moves"].dataType)
+    end = threads.select("id", F.aggregate(F.coalesce("moves", none), zero, step).alias("s"))
+    return end.select("id", "s.status", F.col("s.made").cast("long").alias("n_moves"), F.col("s.not_made").cast("long").alias("n_rejected"))
+
+
 def illegal_moves(moves: DataFrame) -> DataFrame:
     """Requested moves (id, from_status, to_status, reason, n_sources) that the machine forbids, with what is wrong."""
     allowed = moves.sparkSession.createDataFrame([(a, b) for a, to in TRANSITIONS.items() for b in to], "from_status string, to_status string").withColumn("legal", F.lit(True))

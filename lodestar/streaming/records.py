@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from .parts import Parts
+
 
 def stream_of(spark: SparkSession, folder: str, schema: StructType | str, files_per_trigger: int = 100) -> DataFrame:
     """Parquet files of a folder as a stream."""
@@ -28,43 +30,26 @@ def once(events: DataFrame, time: str, key: str, late: str = "2 days") -> DataFr
 def latest_versions(records: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Keep a table of the latest version of each key: each batch is merged with the table and the newest row stays.
 
-    Keys are dealt into buckets by hash; a batch rewrites only the buckets that it touches, into a folder of its own, and then
-    writes a list of the current folder of each bucket. A batch that is run again after a failure starts from the list
-    before it and gives the same result.
+    Keys are dealt into buckets by hash; a batch rewrites only the buckets that it touches (see Parts).
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _current(spark, path, batch_id)
+        table = _versions(batch, path)
         dealt = batch.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         touched = [r["__bucket"] for r in dealt.select("__bucket").distinct().collect()]  # `buckets` rows at most
-        old = [f"{path}/data/{known[b]}/__bucket={b}" for b in touched if b in known]
-        if old:
-            before = spark.read.schema(batch.schema).parquet(*old)
-            dealt = dealt.unionByName(before.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))
-        newest = dealt.withColumn("__r", rank).where("__r = 1").drop("__r")
-        newest.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/data/{batch_id}")
-        listed = [(b, v) for b, v in {**known, **dict.fromkeys(touched, batch_id)}.items()]
-        spark.createDataFrame(listed, "bucket int, batch long").coalesce(1).write.mode("overwrite").json(f"{path}/current/{batch_id}")
+        newest = dealt.unionByName(table.read(touched, batch_id)).withColumn("__r", rank).where("__r = 1").drop("__r")
+        table.replace(newest, touched, batch_id)
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _current(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
-    """The batch that wrote each bucket last, by the latest list (before a batch); nothing if there is none."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(at):
-        return {}
-    lists = [int(f.getPath().getName()) for f in store.listStatus(at)]
-    done = [b for b in lists if (before is None or b < before) and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current/{b}/_SUCCESS"))]
-    if not done:
-        return {}
-    return {r["bucket"]: r["batch"] for r in spark.read.schema("bucket int, batch long").json(f"{path}/current/{max(done)}").collect()}
+def _versions(like: DataFrame, path: str) -> Parts:
+    return Parts(like.sparkSession, path, "__bucket", "int", ", ".join(f"`{c}` {t}" for c, t in like.dtypes if c != "__bucket"))
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The table as of the last whole batch."""
-    folders = [f"{path}/data/{v}/__bucket={b}" for b, v in _current(spark, path).items()]
-    return spark.read.parquet(*folders)
+    written_ = Parts(spark, path, "__bucket", "int", "")
+    last = max(written_.current().values())
+    return _versions(spark.read.parquet(f"{path}/data/{last}"), path).read().drop("__bucket")
