@@ -65,4 +65,4 @@ def re2(pattern: str) -> str:
     return "'" + ends.replace(r"\b", r"(?:^|[^\p{L}\p{N}_])").replace("'", "''") + "'"
 
 
-from . import documents, facts, incremental, investigation, profiles  # noqa: E402, F401  they fill QUERIES
+from . import documents, facts, files, incremental, investigation, profiles  # noqa: E402, F401  they fill QUERIES
