@@ -1,11 +1,14 @@
 """Mixing sources to target weights by systematic sampling.
 
 Targets: sources share all words by weight; a target stops at `max_copies` times its source's words and the excess is
-shared again by weight until none is above (closed form over the sources in order of cap / weight). Within a source every
-document expects rate = target / words copies; documents lie on a line in an order close to ascending size, the prefix
-sums of the expected copies are shifted by one random offset, and a document is taken once for each integer that its
-interval crosses: floor(rank x rate + offset) - floor((rank - 1) x rate + offset), at most ceil(rate) <= max_copies. Each
-document is taken in proportion to its rate, so a source's words can miss the target by about its largest document.
+shared again by weight until none is above (closed form over the sources in order of cap / weight). Within a source documents expect
+rate = target / words copies. Large documents (more than a hundredth of the target; the 512 largest at most) expect a whole number of
+copies next to that rate, so chosen that the words taken stay near those expected; what is left of the target is spread over the
+others, which expect copies at one rate: they lie on a line in an order close to ascending size, the prefix sums of the expected
+copies are shifted by one random offset, and a document is taken once for each integer that its interval crosses:
+floor(rank x rate + offset) - floor((rank - 1) x rate + offset), at most ceil(rate) <= max_copies. (A whole number of expected
+copies crosses as many integers whatever the offset, so large documents need no place on the line.) A source's words miss the target by about
+its largest document that isn't large, or, where all are, by half the least.
 
 The prefix sums are hierarchical: (source, size class) -> hash block -> row, each level's sums partly aggregated before
 the shuffle, so that a source with a third of all rows, or many rows of one size, spreads over blocks. Blocks follow
@@ -27,6 +30,9 @@ from pyspark.sql.window import Window
 from .common import WORD, materialize, quoted, unused
 
 
+#: A document is large if it has more than this share of its source's target in words; a source has LARGEST large ones at most.
+LARGE, LARGEST = 0.01, 512
+
 #: The plan, one row for each source, is broadcast up to this many sources and joined by a shuffle beyond.
 BROADCAST_SOURCES = 10_000
 
@@ -78,10 +84,45 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_copies: in
     return _plan(materialize(narrow, "mix-sizes"), weights, max_copies, seed, rows_per_block).withColumnsRenamed({"id": id_col})
 
 
+def _null_safe(a: str, b: str, keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+
+
+def large_documents(rows: DataFrame, plan: DataFrame, max_copies: int) -> DataFrame:
+    """source, cut (documents above it are large), and large, an array of (id, text_key, size, copies), for each source that has any.
+
+    The largest come first; each gets the whole number of copies next to the source's rate that leaves the words taken so far nearest to those
+    expected. A source's list has LARGEST documents at most.
+    """
+    rate, low = F.col("target") / F.col("source_size"), F.floor(F.col("target") / F.col("source_size"))
+    largest = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"), "id", "text_key"))).where(F.col("rank") <= LARGEST + 1)
+    above = largest.alias("r").join(plan.alias("p"), _null_safe("r", "p", ["source"])).where(F.col("size") > F.col("target") * LARGE).select("r.*", "target", "source_size")
+    held = above.groupBy("source", "target", "source_size").agg(F.array_sort(F.collect_list(F.struct("rank", "size", "id", "text_key"))).alias("docs"))
+    cut = F.when(F.size("docs") > LARGEST, F.element_at("docs", -1)["size"].cast("double")).otherwise(F.col("target") * LARGE)
+    held = held.withColumn("cut", cut).withColumn("docs", F.filter("docs", lambda d: d["size"] > F.col("cut")))
+
+    def step(a, d):
+        less, more = a["ahead"] + (low - rate) * d["size"], a["ahead"] + (low + 1 - rate) * d["size"]
+        up = (F.abs(more) < F.abs(less)) & (low + 1 <= max_copies)
+        return F.struct(F.when(up, more).otherwise(less).alias("ahead"), F.concat(a["copies"], F.array(F.when(up, low + 1).otherwise(low))).alias("copies"))
+
+    zero = F.struct(F.lit(0.0).alias("ahead"), F.array().cast("array<bigint>").alias("copies"))
+    copies = F.aggregate("docs", zero, step, lambda a: a["copies"])
+    named = F.transform(F.arrays_zip(F.col("docs").alias("d"), copies.alias("c")), lambda x: F.struct(x["d"]["id"].alias("id"), x["d"]["text_key"].alias("text_key"), x["d"]["size"].alias("size"), x["c"].alias("copies")))
+    return held.select("source", "cut", named.alias("large"))
+
+
 def _plan(rows: DataFrame, weights: Sequence[int], max_copies: int, seed: int, rows_per_block: int) -> DataFrame:
     name = F.coalesce(F.col("source"), F.lit("\x00null"))
     offset = md5_number(F.concat_ws(":", F.lit(f"offset {seed}"), name)) / F.lit(float(2**32))
-    plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, max_copies).withColumn("offset", offset), "mix-plan")
+    goal = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, max_copies).withColumn("offset", offset), "mix-targets")
+    large = materialize(large_documents(rows, goal, max_copies), "mix-large")
+    words = lambda part: F.aggregate(F.coalesce("large", F.array().cast(large.schema["large"].dataType)), F.lit(0).cast("long"), lambda n, d: n + part(d))
+    plan = goal.alias("g").join(large.alias("l"), _null_safe("g", "l", ["source"]), "left").select("g.*", F.coalesce("cut", F.col("target") * LARGE).alias("cut"), words(lambda d: d["size"]).alias("large_size"), words(lambda d: d["size"] * d["copies"]).alias("large_taken"))
+    # What large documents don't take of the target is spread over the others.
+    spread = F.least(F.greatest((F.col("target") - F.col("large_taken")) / (F.col("source_size") - F.col("large_size")), F.lit(0.0)), F.lit(float(max_copies)))
+    rate = F.when(F.col("source_size") > F.col("large_size"), spread).when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = materialize(plan.withColumn("rate", rate).drop("large_size", "large_taken"), "mix-plan")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     blocks = max(16, rows.count() // rows_per_block)
@@ -89,19 +130,20 @@ def _plan(rows: DataFrame, weights: Sequence[int], max_copies: int, seed: int, r
     size = F.col("size")
     bits = F.length(F.bin(size)).cast("int")
     size_class = F.when(size < 16, size).otherwise(bits * 8 + F.expr("shiftright(size, length(bin(size)) - 4) & 7")).cast("int")
-    cells = rows.select("*", size_class.alias("size_class"), F.pmod(md5_number(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), F.lit(blocks)).alias("block"))
+    small = rows.alias("r").join(plan.alias("p"), _null_safe("r", "p", ["source"])).where(F.col("size") <= F.col("cut")).select("r.*")
+    cells = small.select("*", size_class.alias("size_class"), F.pmod(md5_number(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), F.lit(blocks)).alias("block"))
     counted = cells.groupBy("source", "size_class", "block").agg(F.count("*").alias("rows"))
     before = lambda part, by: F.coalesce(F.sum("rows").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     classes = counted.groupBy("source", "size_class").agg(F.sum("rows").alias("rows")).select("source", "size_class", before(["source"], "size_class").alias("class_start"))
     blocks_ = counted.select("source", "size_class", "block", before(["source", "size_class"], "block").alias("block_start"))
-    null_safe = lambda a, b, keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    starts = blocks_.alias("b").join(classes.alias("c"), null_safe("b", "c", ["source", "size_class"])).select("b.source", "b.size_class", "b.block", (F.col("class_start") + F.col("block_start")).alias("start"))
+    starts = blocks_.alias("b").join(classes.alias("c"), _null_safe("b", "c", ["source", "size_class"])).select("b.source", "b.size_class", "b.block", (F.col("class_start") + F.col("block_start")).alias("start"))
     rank = F.row_number().over(Window.partitionBy("source", "size_class", "block").orderBy("size", "id", "text_key"))
-    ranked = cells.withColumn("rank", rank).alias("r").join(starts.alias("s"), null_safe("r", "s", ["source", "size_class", "block"])).select("r.*", (F.col("start") + F.col("rank")).alias("place"))
-    rate = F.col("target") / F.col("source_size")
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("place") * rate + F.col("offset")) - F.floor((F.col("place") - 1) * rate + F.col("offset"))).otherwise(0)
-    planned = ranked.alias("r").join(plan.alias("p"), null_safe("r", "p", ["source"]))
-    return planned.select("r.id", "r.source", "r.size", "r.text_key", "source_size", "target", copies.cast("long").alias("copies"))
+    ranked = cells.withColumn("rank", rank).alias("r").join(starts.alias("s"), _null_safe("r", "s", ["source", "size_class", "block"])).select("r.*", (F.col("start") + F.col("rank")).alias("place"))
+    copies = F.floor(F.col("place") * F.col("rate") + F.col("offset")) - F.floor((F.col("place") - 1) * F.col("rate") + F.col("offset"))
+    planned = ranked.alias("r").join(plan.alias("p"), _null_safe("r", "p", ["source"]))
+    planned = planned.select("r.id", "r.source", "r.size", "r.text_key", "source_size", "target", copies.cast("long").alias("copies"))
+    each = large.select("source", F.explode("large").alias("d")).alias("r").join(plan.alias("p"), _null_safe("r", "p", ["source"]))
+    return planned.unionByName(each.select("d.id", "r.source", "d.size", "d.text_key", "source_size", "target", "d.copies"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_copies: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

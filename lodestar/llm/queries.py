@@ -142,7 +142,7 @@ SELECT conv_id, n_turns, sha256(listing) AS turns_sha256, length(loss) AS loss_c
 FROM grouped"""
 
 OP9_SQL = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 totals AS (
   SELECT source, sum(size)::BIGINT AS n, count(*) AS docs, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM sized GROUP BY source),
@@ -152,16 +152,32 @@ ranked AS (
   FROM totals WINDOW o AS (ORDER BY n::DOUBLE / w, source NULLS LAST)),
 level AS (SELECT arg_min(share, k) AS share FROM ranked WHERE share * w <= 3 * n),
 plan AS (SELECT source, n, least(level.share * w, 3 * n)::DOUBLE AS target FROM totals, level),
+ordered AS (
+  SELECT s.doc_id, s.source, s.size, p.n, p.target, row_number() OVER (PARTITION BY s.source ORDER BY s.size DESC, s.doc_id) AS k
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+cuts AS (
+  SELECT source, n, target, CASE WHEN count(*) FILTER (size > target * 0.01::DOUBLE) > 512 THEN (max(size) FILTER (k = 513))::DOUBLE ELSE target * 0.01::DOUBLE END AS cut
+  FROM ordered GROUP BY source, n, target),
+large AS (SELECT o.*, o.target / o.n AS r FROM ordered o JOIN cuts c ON o.source IS NOT DISTINCT FROM c.source WHERE o.size > c.cut),
+walk AS (
+  SELECT source, 0::BIGINT AS k, 0.0::DOUBLE AS ahead, 0::BIGINT AS copies, 0::BIGINT AS size, 0::BIGINT AS doc_id FROM plan
+  UNION ALL
+  SELECT source, k, CASE WHEN up THEN more ELSE less END, (CASE WHEN up THEN floor(r) + 1 ELSE floor(r) END)::BIGINT, size, doc_id FROM (
+    SELECT *, abs(more) < abs(less) AND floor(r) + 1 <= 3 AS up FROM (
+      SELECT l.source, l.k, l.size, l.doc_id, l.r, w.ahead + (floor(l.r) - l.r) * l.size AS less, w.ahead + (floor(l.r) + 1 - l.r) * l.size AS more
+      FROM walk w JOIN large l ON w.source IS NOT DISTINCT FROM l.source AND l.k = w.k + 1))),
+taken AS (SELECT source, sum(size)::BIGINT AS size, sum(size * copies)::BIGINT AS words FROM walk GROUP BY source),
+rates AS (
+  SELECT c.source, c.n, c.target, c.cut, CASE WHEN c.n > t.size THEN least(greatest((c.target - t.words) / (c.n - t.size), 0), 3) WHEN c.n > 0 THEN c.target / c.n ELSE 0 END AS rate,
+    ('0x' || substr(md5('offset 7:' || coalesce(c.source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM cuts c JOIN taken t ON c.source IS NOT DISTINCT FROM t.source),
 cells AS (
-  SELECT *, (CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + ((size >> (length(bin(size)) - 4)) & 7) END) AS size_class,
+  SELECT s.*, r.n, r.target, r.rate, r.u, (CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + ((size >> (length(bin(size)) - 4)) & 7) END) AS size_class,
     ('0x' || substr(md5('7:' || doc_id), 1, 8))::BIGINT % greatest(16, (SELECT count(*) FROM sized) // 20000) AS block
-  FROM sized),
-placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size_class, block, size, doc_id) AS place FROM cells),
-started AS (
-  SELECT *, ('0x' || substr(md5('offset 7:' || coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM plan)
-SELECT doc_id, size, n AS source_size, target,
-  size * (CASE WHEN n > 0 THEN floor(place * (target / n) + u) - floor((place - 1) * (target / n) + u) ELSE 0 END)::BIGINT AS taken
-FROM placed p JOIN started t ON p.source IS NOT DISTINCT FROM t.source"""
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source WHERE s.size <= r.cut),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size_class, block, size, doc_id) AS place FROM cells)
+SELECT doc_id, size, n AS source_size, target, size * (floor(place * rate + u) - floor((place - 1) * rate + u))::BIGINT AS taken FROM placed
+UNION ALL SELECT w.doc_id, w.size, p.n, p.target, w.size * w.copies FROM walk w JOIN plan p ON w.source IS NOT DISTINCT FROM p.source WHERE w.k > 0"""
 
 
 #: Codebooks of two rounds as (part, entry, place, value) rows; a part is a list of four integers. SQL divides towards zero, hence the remainder.

@@ -140,6 +140,21 @@ def mix(rows, weights=(5, 2, 1), most=3, seed=7):
         rate = capped.get(s, level * weight[s]) / total[s]
         offset = digits(f"offset {seed}:" + ("\0null" if s is None else s)) / 2**32
         bits = lambda n: n if n < 16 else n.bit_length() * 8 + (n >> n.bit_length() - 4 & 7)
+        large = sorted((m for m in members if m[0] > 0.01 * rate * total[s]), key=lambda x: (-x[0], x[1]["doc_id"]))
+        if len(large) > 512:
+            large = [m for m in large if m[0] > large[512][0]]
+        ahead, words_of, got = 0.0, sum(n for n, _ in large), 0
+        for n, r in large:
+            low = math.floor(rate)
+            less, more = ahead + (low - rate) * n, ahead + (low + 1 - rate) * n
+            up = abs(more) < abs(less) and low + 1 <= most
+            ahead = more if up else less
+            got += (low + up) * n
+            out += [r] * (low + up)
+        least = min((n for n, _ in large), default=math.inf)
+        members = [m for m in members if m[0] < least]
+        if total[s] > words_of:
+            rate = min(max((rate * total[s] - got) / (total[s] - words_of), 0), most)
         line = sorted(members, key=lambda x: (bits(x[0]), digits(f"{seed}:{x[1]['doc_id']}") % 16, x[0], x[1]["doc_id"]))
         for place, (_, r) in enumerate(line, 1):
             out += [r] * (math.floor(place * rate + offset) - math.floor((place - 1) * rate + offset))
