@@ -6,7 +6,7 @@ longest rule wins. The trees learn from labelled URLs (here: those that a rule d
 
 Null URLs and URLs without `://` have empty host and path, no rule, and are judged by the trees from their own text.
 An empty table gives an empty result; without labelled URLs of both verdicts the trees are a constant. Equal URLs get
-equal verdicts. Other columns are not read.
+equal verdicts. Other columns are not read. A worker holds some thirty bytes for each byte of a slice of 1 MB, and a longer URL once.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import bounded_sample, quoted, tidy
+from .common import bounded_sample, quoted, small_batches, tidy
 
 Rule = tuple[str, str, str]
 
@@ -65,9 +65,41 @@ def url_keys(url: pa.Array) -> list[pa.Array]:
     return [last, two, segment]
 
 
+#: Bytes of URLs looked at together; a longer URL is taken on its own, with one count of its bytes.
+SLICE = 1 << 20
+
+
 def features(url: pa.Array, rates: Sequence[np.ndarray]) -> np.ndarray:
     """One row for each URL of a string column without nulls; rates: the block rates of its keys (see url_keys)."""
     data, off = B.column_bytes(url)
+    out = np.zeros((len(off) - 1, len(NAMES)), np.float32)
+    for a, b in B.slices(off, SLICE):
+        if off[b] - off[a] > SLICE:
+            out[a, : -len(rates)] = long_features(data[off[a] : off[b]])
+        else:
+            out[a:b, : -len(rates)] = short_features(np.ascontiguousarray(data[off[a] : off[b]]), off[a : b + 1] - off[a])
+    for k, rate in enumerate(rates):
+        out[:, len(NAMES) - len(rates) + k] = rate
+    return out
+
+
+def long_features(data: np.ndarray) -> list[float]:
+    """The features of one URL but for its rates."""
+    raw, size, n = data.tobytes(), len(data), np.bincount(data, minlength=256)
+    scheme = raw.find(b"://") if b"://" in raw else size
+    host = min(scheme + 3, size)
+    ends = lambda marks, at: min((i for m in marks if (i := raw.find(m, at)) >= 0), default=size)
+    path = ends((b"/", b"?", b"#"), host)
+    query = ends((b"?", b"#"), path)
+    share = n[n > 0] / size
+    return [
+        size, path - host, raw.count(b".", host, path), query - path, raw.count(b"/", path, query), n[48:58].sum() / size, -(share * np.log2(share)).sum(),
+        raw.count(b"=", query) + raw.count(b"&", query), n[ord("-")], n[65:91].sum() / size, n[ord("%")], raw.startswith(b"https://"),
+    ]
+
+
+def short_features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The features of each URL but for its rates."""
     n, rows = len(off) - 1, np.arange(len(off) - 1)
     size = np.diff(off)
     many = np.maximum(size, 1)
@@ -92,15 +124,15 @@ def features(url: pa.Array, rates: Sequence[np.ndarray]) -> np.ndarray:
     inside = lambda lo, hi: (at >= lo[doc]) & (at < hi[doc])
     seen = np.bincount(doc * 256 + data, minlength=n * 256).reshape(n, 256) / many[:, None]
     entropy = -(seen * np.log2(np.where(seen > 0, seen, 1))).sum(1)
-    secure = np.zeros(n)
-    for i in np.flatnonzero(scheme == 5):
-        secure[i] = data[off[i] : off[i] + 5].tobytes() == b"https"
+    secure = scheme == 5
+    for k, letter in enumerate(b"https"):
+        secure[secure] = data[off[:-1][secure] + k] == letter
     columns = [
         size, path - host, count((data == ord(".")) & inside(host, path)), query - path, count((data == ord("/")) & inside(path, query)),
         count((data >= 48) & (data < 58)) / many, entropy, count(((data == ord("=")) | (data == ord("&"))) & (at >= query[doc])), count(data == ord("-")),
-        count((data >= 65) & (data < 91)) / many, count(data == ord("%")), secure, *rates,
+        count((data >= 65) & (data < 91)) / many, count(data == ord("%")), secure,
     ]
-    return np.stack(columns, 1).astype(np.float32) if n else np.zeros((0, len(NAMES)), np.float32)
+    return np.stack(columns, 1).astype(np.float32)
 
 
 class Trees:
@@ -217,7 +249,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], model: UrlModel | None
     """id, host, path, rule, verdict and block_score of every row."""
     url = F.col(quoted(url_col)).cast("string")
     host, path = parts(url)
-    rows = pages.select(F.col(quoted(id_col)).alias("id"), url.alias("url"), host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("rule"), rule_of(host, path, rules, 2).alias("ruled"))
+    rows = small_batches(pages).select(F.col(quoted(id_col)).alias("id"), url.alias("url"), host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("rule"), rule_of(host, path, rules, 2).alias("ruled"))
     if model is None:
         model = fit_urls(rows.where("ruled IS NOT NULL").select("id", "url", (F.col("ruled") == "block").alias("block")), max_rows)
     fitted = model

@@ -235,6 +235,18 @@ def test_keys_and_features_against_plain_code():
     assert url_filter.features(pa.array([], pa.string()), [np.zeros(0)] * 3).shape == (0, 15)
 
 
+def test_long_urls_have_the_same_features(monkeypatch):
+    r = random.Random(3)
+    urls = ["", "x", "://", "https://", "https://a.b.c", "http://h?x=1&y=2#f", "HTTPS://é.org/%20/A-b/?q", "a://b://c/d", *("".join(r.choice("ab./?#=&-%:/19Zé") for _ in range(r.randint(1, 90))) for _ in range(400))]
+    rates = [np.full(len(urls), v) for v in (0.1, 0.2, 0.3)]
+    short = url_filter.features(pa.array(urls), rates)
+    monkeypatch.setattr(url_filter, "SLICE", 0)
+    assert np.allclose(url_filter.features(pa.array(urls), rates), short, atol=1e-6)
+    monkeypatch.undo()
+    long_ = url_filter.features(pa.array(["https://h.org/" + "a1" * 4_000_000, "http://x.y/"]), [np.zeros(2)] * 3)
+    assert long_[0, 0] == 8_000_014 and long_[1, 0] == 11
+
+
 def test_few_urls_of_very_many_rows_give_both_verdicts(spark):
     """Rows are sampled by id and URL, so that a URL with a third of all rows is neither in nor out as a whole."""
     urls = ["https://a.net/x", "https://b.example.net/en/y", "http://c.example.com/de/1", "https://d.org/fr/2"]
