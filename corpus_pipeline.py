@@ -1,6 +1,7 @@
 """A pipeline over documents: each stage applies one corpus operator to all that the stage before has kept.
 
-All stages but the last return the columns of documents. Documents keep their ids; the mix may repeat or leave out rows.
+All stages but the last return the columns of documents, whatever others there are and however they are named. Documents keep their ids; the mix may
+repeat or leave out rows. An empty table passes through all stages and gives no rows.
 """
 
 from __future__ import annotations
@@ -45,31 +46,31 @@ PASSAGE = 200
 
 @stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null and empty texts too, as they have no words. Rows that repeat are judged alike, one by one."""
     return quality_rules.filter_quality(docs)
 
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the least id."""
+    """One document of each class of near duplicates stays, the one with the least id; of rows that agree in id and text one. Rows without an id or words stay."""
     return minhash.drop_near_duplicates(docs)
 
 
 @stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE bytes and more that stand elsewhere too are cut out; every document stays, if need be empty."""
+    """Passages of PASSAGE bytes and more that stand elsewhere too are cut out; every document stays, if need be empty. Null text is empty; copies of a text are all cut."""
     return suffix_dedup.remove_repeats(docs, PASSAGE)
 
 
 @stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the mix of sources takes them."""
+    """Documents stand as often as the mix of sources takes them, rows that repeat each on its own; null is a source of its own."""
     return mixing.mix_documents(docs)
 
 
 @stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, tokens (little-endian unsigned 32-bit ids) and the text decoded from them."""
+    """doc_id, tokens (little-endian unsigned 32-bit ids) and the text decoded from them, a row for each row; null text is empty."""
     return bpe.encode_decode(docs, vocabulary_path())
 
 
