@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import shared_folder
+from ..scratch import shared_folder, write_files
 from ..sources import records as sources
 from ..sources import texts
 from . import commands
@@ -50,16 +50,8 @@ def source_walk(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat(s + 3000, F.when(s % 4 == 0, ".txt").when(s % 4 == 1, ".vtt").otherwise(".xml"))
     folder = F.when(s % 2 == 0, "2025_1stQuarter_XML").otherwise("2025_2ndQuarter_XML")
     rows = table(spark, sf, "supplier").select(folder.alias("folder"), name.alias("name"), F.col("s_name").alias("value"))
-    root = _written(spark, lambda f: rows.repartition("folder", "name").write.partitionBy("folder", "name").text(f))
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for outer in store.listStatus(path(root)):
-        for inner in store.listStatus(outer.getPath()) if outer.isDirectory() else []:
-            (part,) = store.listStatus(inner.getPath())
-            to = f"{root}/named/{outer.getPath().getName().partition('=')[2]}"
-            store.mkdirs(path(to))
-            store.rename(part.getPath(), path(f"{to}/{inner.getPath().getName().partition('=')[2]}"))
-    found = texts.walk(spark, f"{root}/named")
+    root = _written(spark, lambda f: write_files(rows, f))
+    found = texts.walk(spark, root)
     return found.select("source_id", F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path"), "kind")
 
 

@@ -1,12 +1,18 @@
 """Ingest of invented files, provenance, and streams."""
 
 import json
+import os
 import random
 import zipfile
+from types import SimpleNamespace
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
+from lodestar import scratch
+from lodestar.plans import registry  # noqa: F401  its modules need it first
+from lodestar.plans import raw
 from lodestar.sources import provenance, records, splits, texts
 from lodestar.streaming import records as streams
 
@@ -53,6 +59,39 @@ def test_xml(spark, tmp_path):
     assert sets(t["other_activities"], "house_id", "issue_code") == {("300", "TAX")}
 
 
+def test_files_are_written_under_their_names_by_tasks(spark, rows, tmp_path, monkeypatch):
+    df = rows("folder string, name string, value string", *(("ab"[i % 2], f"{i}.xml", f"<x>é{i}</x>" if i else None) for i in range(50)))
+    want = {(("ab"[i % 2]), f"{i}.xml", f"<x>é{i}</x>\n" if i else "\n") for i in range(50)}
+    held = lambda root: {(p.parent.name, p.name, p.read_text("utf-8")) for p in root.rglob("*") if p.is_file() and p.suffix != ".crc"}
+    scratch.write_files(df, str(tmp_path / "tasks"))
+    assert held(tmp_path / "tasks") == want and sorted(p.name for p in (tmp_path / "tasks").iterdir()) == ["a", "b"]
+
+    def closed(uri):
+        raise OSError(uri)
+
+    monkeypatch.setattr(scratch, "fs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=closed)))
+    scratch.write_files(df, str(tmp_path / "spark"))
+    assert held(tmp_path / "spark") == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_raw_files_leave_no_folder_for_each_record(spark, tmp_path):
+    raw.write_raw(spark, DATA, str(tmp_path))
+    assert sorted(p.name for p in (tmp_path / "other").iterdir()) == ["2025_1stQuarter_XML", "2025_2ndQuarter_XML"]
+    assert not (tmp_path / "others").exists()  # a folder a record, to be listed and renamed by the driver
+    assert len(list(tmp_path.glob("other/*/*.xml"))) == spark.read.parquet(f"{DATA}/supplier.parquet").count()
+    assert {p.name for p in tmp_path.glob("filings_*.json")} == {f"filings_{y}.json" for y in (2023, 2024, 2025)}
+
+
+def test_small_files_are_opened_once(spark, tmp_path):
+    folder = tmp_path / "other" / "2025_1stQuarter_XML"
+    folder.mkdir(parents=True)
+    (folder / "300.xml").write_text("<Any><senateID>12-34</senateID><alis><ali_info><issueAreaCode>TAX</issueAreaCode></ali_info></alis></Any>")
+    t = records.other_filings(spark, str(tmp_path / "other"))
+    (folder / "300.xml").unlink()
+    assert [t[name].count() for name in ("other_filings", "other_activities", "places")] == [1, 1, 1]
+
+
 def test_releases(spark, tmp_path):
     folder = tmp_path / "releases" / "2025"
     folder.mkdir(parents=True)
