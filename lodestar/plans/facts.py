@@ -37,7 +37,7 @@ def latest_per_key_outliers(spark: SparkSession, sf: str) -> DataFrame:
     latest = ranking.latest_per_key(orders, ["o_custkey", "y"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
     board = latest.groupBy("o_custkey").agg(F.count("*").alias("periods"), ranking.exact_sum("o_totalprice").alias("income"))
     order = [F.desc("income"), F.asc("o_custkey")]
-    return ranking.ratio_to_next(ranking.top(board, order, 15), "income", order, 1.1)
+    return ranking.ratio_to_next(ranking.top(board, order, 15), "income", order, 1.1, over_zero=True)
 
 
 @query("""

@@ -3,9 +3,12 @@
 import random
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.plans import registry  # its modules need it first
+from lodestar.plans import investigation
 from lodestar.operators import claims, containment, integrity, profiling, ranking, resolution, reuse, rollups
 
 
@@ -24,6 +27,26 @@ def test_ratio_uses_the_rounded_value_and_the_cut_list(rows):
     assert got == {(1, 5.0, True), (2, None, False), (3, None, False)}
 
 
+def test_ratio_over_zero_has_no_limit(rows):
+    df = rows("id int, v double", (1, 49.96), (2, 10.0), (3, 0.0), (4, 0.0), (5, None))
+    got = sets(ranking.ratio_to_next(df, "v", [F.desc("v")], 5.0, over_zero=True), "id", "x_over_next", "flagged")
+    assert got == {(1, 5.0, True), (2, None, True), (3, None, True), (4, None, False), (5, None, False)}
+
+
+@pytest.mark.parametrize("incomes", [(49.96, 10.0, 0.0, 0.0), (5.0, 0.0), (0.0,)])
+def test_anomaly_query_flags_as_its_sql_does(spark, incomes, monkeypatch):
+    """A client without any reported income ends the list: what stands above it is flagged."""
+    fields = [(f"F{i}", 2025, "first_quarter", i, f"CLIENT K{i}", f"K{i}", v, "2025-01-01") for i, v in enumerate(incomes)]
+    filings = spark.createDataFrame(fields, "filing_uuid string, filing_year int, filing_period string, registrant_id int, client_key string, client_name string, income double, dt_posted string")
+    monkeypatch.setattr(investigation, "records", lambda *_: {"filings": filings})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE filings (filing_uuid VARCHAR, filing_year INT, filing_period VARCHAR, registrant_id INT, client_key VARCHAR, client_name VARCHAR, income DOUBLE, dt_posted VARCHAR)")
+    con.executemany("INSERT INTO filings VALUES (?, ?, ?, ?, ?, ?, ?, ?)", fields)
+    sql = registry.QUERIES["command_anomaly"].sql.replace(investigation.FILINGS + ", ", "")
+    got = investigation.command_anomaly(spark, "").select("client_key", "x_over_next", "flagged")
+    assert sets(got) == set(con.execute(f"SELECT client_key, x_over_next, flagged FROM ({sql})").fetchall())
+
+
 def test_gap_drops_nulls_before_ranking(rows):
     left = rows("k int, v double, at int", (1, 100.0, 1), (1, None, 2), (2, 5.0, 1))
     right = rows("k int, v double, at int", (1, 10.0, 1), (2, 4.0, 1))
