@@ -26,10 +26,10 @@ SELECT printf('%02d:%02d:%02d', conv_id // 60, conv_id % 60, turn) AS timecode,
 def source_cues(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as subtitle files, a cue for each turn, with milliseconds, a number and a voice tag that readers drop."""
     c, t = F.col("conv_id"), F.col("turn")
-    said = F.regexp_replace(F.regexp_replace("text", r"\s+", " "), "-->", "->")
+    said = F.regexp_replace("text", texts.SPACE, " ")
     block = F.concat(t, F.lit("\n"), F.format_string("%02d:%02d:%02d", F.floor(c / 60), c % 60, t), F.lit(".250 --> 23:59:59.000 line:1\n<v "), "role", F.lit(">"), "role", F.lit(" "), said, F.lit("\n"))
     rows = table(spark, sf, "conversations").select(c, t, block.alias("value"))
-    folder = _written(spark, lambda f: rows.repartition(8, "conv_id").sortWithinPartitions("conv_id", "turn").select("value").write.text(f))
+    folder = _written(spark, lambda f: rows.repartition(8, "conv_id").sortWithinPartitions("conv_id", "turn").select("value").write.option("maxRecordsPerFile", 10_000).text(f))
     return texts.cues(spark, folder).select("timecode", "text")
 
 

@@ -17,7 +17,10 @@ from .records import file_path
 
 # How sources are read, by extension.
 KINDS = {"txt": "text", "md": "text", "vtt": "transcript", "srt": "transcript", "pdf": "pdf", "docx": "docx", "urls": "url"}
-CUE = r"((?:\d{1,2}:)?\d{2}:\d{2})[.,]\d{3}\s*-->\s*((?:\d{1,2}:)?\d{2}:\d{2})[.,]\d{3}"
+# Hours may have any number of digits; they begin where the digits do.
+CUE = r"((?:(?<!\d)\d++:)?\d{2}:\d{2})[.,]\d{3}\s*-->\s*((?:(?<!\d)\d++:)?\d{2}:\d{2})[.,]\d{3}"
+# White space as in the SQL of these sources: without the vertical tab, which Java counts among it.
+SPACE = r"[ \t\n\f\r]+"
 
 
 def walk(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +51,7 @@ def cues(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(file_path().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
     blocks = F.filter(F.split("value", r"\n\s*\n"), lambda b: b.rlike(CUE))
     each = raw.select("path", F.posexplode(blocks).alias("position", "b"))
-    body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("b", r"(?s)^.*?" + CUE + r"[^\n]*\n?", ""), "<[^>]+>", ""), r"\s+", " "))
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("b", r"(?s)^.*?" + CUE + r"[^\n]*\n?", ""), "<[^>]+>", ""), SPACE, " "))
     return each.select("path", "position", F.regexp_extract("b", CUE, 1).alias("timecode"), body.alias("text")).where("text <> ''")
 
 

@@ -6,13 +6,14 @@ import random
 import zipfile
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from lodestar import scratch
 from lodestar.plans import registry  # noqa: F401  its modules need it first
-from lodestar.plans import raw
+from lodestar.plans import files, raw
 from lodestar.sources import provenance, records, splits, texts
 from lodestar.streaming import records as streams
 
@@ -132,6 +133,22 @@ def test_texts(spark, tmp_path):
     assert spark.createDataFrame([("D:20250102030405",), ("x",)], "d string").select(texts.clean_pdf_date("d")).collect()[0][0] == "2025-01-02"
 
 
+def test_cues_after_the_hundredth_hour(spark, tmp_path):
+    (tmp_path / "a.vtt").write_text("WEBVTT\n\n100:02:03.000 --> 1000:00:00.000\nlate\n\n99:02:03.000 --> 99:03:00.000\nsoon\n\n02:03,000 --> 02:04,000\nnow\n")
+    assert sets(texts.cues(spark, str(tmp_path / "a.vtt")), "timecode", "text") == {("100:02:03", "late"), ("99:02:03", "soon"), ("02:03", "now")}
+
+
+def test_cues_query_as_its_sql(spark, rows, tmp_path):
+    """Conversations of high numbers, and texts with an arrow, tags, a vertical tab or a cue of their own."""
+    said = ["a --> b", "<b>x</b>  y\r\n\r\nz", "p\x0bq", "", None, "00:00:01.000 --> 00:00:02.000 t", "1 < 2"]
+    df = rows("conv_id long, turn long, role string, text string", *((c, t, "user", said[t]) for c in (59, 5999, 6000, 123456789) for t in range(len(said))))
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = [tuple(r) for r in files.source_cues(spark, str(tmp_path)).select("timecode", "text").collect()]
+    assert sorted(got) == sorted(con.execute(f"SELECT timecode, text FROM ({registry.QUERIES['source_cues'].sql})").fetchall())
+
+
 def test_provenance_of_what_is_not_there(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("{}\n")
     for place, error in (("b.jsonl#L1", "source file not found"), ("a.jsonl#Lx", "not a line"), ("a.jsonl#L0", "not a line"), ("a.jsonl#L9", "no such record"), ("a.jsonl#u", "no such record")):
