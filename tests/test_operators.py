@@ -47,6 +47,14 @@ def test_anomaly_query_flags_as_its_sql_does(spark, incomes, monkeypatch):
     assert sets(got) == set(con.execute(f"SELECT client_key, x_over_next, flagged FROM ({sql})").fetchall())
 
 
+def test_equal_receipts_go_to_the_greatest_number(spark, rows, tmp_path, monkeypatch):
+    rows("s_suppkey long, s_nationkey int, s_acctbal double", (9, 1, -5.0), (10, 1, 5.0), (7, 1, 4.0)).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(investigation, "records", lambda *_: None)
+    monkeypatch.setattr(investigation.C, "gatekeeper", lambda *_: rows("entity_id string, items long, total double", ("B1", 2, 10.0), ("B2", 1, 1.0)))
+    got = investigation.command_enrich_finance(spark, str(tmp_path))
+    assert sets(got, "entity_id", "candidate", "receipts", "share_of_receipts") == {("B1", "K10", 5.0, 2.0), ("B2", None, None, None)}
+
+
 def test_gap_drops_nulls_before_ranking(rows):
     left = rows("k int, v double, at int", (1, 100.0, 1), (1, None, 2), (2, 5.0, 1))
     right = rows("k int, v double, at int", (1, 10.0, 1), (2, 4.0, 1))
