@@ -68,6 +68,14 @@ def test_words(records, rows):
     assert sets(k["authors"]) == {("Ann Lee", 1), ("Bo Ray", 1)} and k["hits"].count() == 2
 
 
+def test_topics_are_sought_in_one_members_texts_only(records, rows):
+    # A filter on tags below the join would read all patterns in all texts.
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = [*C.say(records, "A").values(), C.say_vs_do(records, "A", rows("area string, n int", ("Taxation", 3)))["gaps"]]
+    assert not any("RLIKE" in plan(df) for df in found)
+    assert C.say(records, "nobody")["topics"].count() == 0
+
+
 def test_enrichment(records, rows):
     roster = rows("entity_id string, roles array<struct<title:string>>", ("A", [("Chair",), ("Member",)]))
     a = C.annotate(records, roster)
