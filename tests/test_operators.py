@@ -103,6 +103,13 @@ def test_shared_sentences(rows):
     assert reuse.ranked_clusters(reuse.shared_sentences(df, 5)).count() == 1
 
 
+def test_names_of_a_bridge_are_made_keys_once_a_pair(rows):
+    columns = "id string, registrant_id int, client_id int, registrant string, client string"
+    right = rows(columns, ("r2", 1, 1, "Firm, Inc.", "Acme"), ("r1", 2, 2, "FIRM", "Acme Corp"), ("r0", 3, 3, None, "Acme"))
+    left = rows(columns, ("a", None, None, "Firm LLC", "ACME"), ("b", 3, 3, None, None))
+    assert sets(resolution.bridge(left, right)) == {("a", "r1", "name_bridge"), ("b", "r0", "id_bridge")}
+
+
 def test_roll_calls_leave_out_ties(rows):
     members = rows("member string, party string", ("a", "D"), ("b", "D"), ("c", "R"))
     votes = rows("member string, roll int, code string", ("a", 1, "1"), ("b", 1, "6"), ("c", 1, "1"), ("a", 2, "1"), ("b", 2, "2"), ("c", 2, "7"), ("a", 3, "9"))

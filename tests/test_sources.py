@@ -93,6 +93,20 @@ def test_small_files_are_opened_once(spark, tmp_path):
     assert [t[name].count() for name in ("other_filings", "other_activities", "places")] == [1, 1, 1]
 
 
+def test_small_files_make_few_parts(spark, tmp_path):
+    folder = tmp_path / "other" / "2025_1stQuarter_XML"
+    folder.mkdir(parents=True)
+    for i in range(700):  # a task reads some 30 files
+        (folder / f"{i}.xml").write_text(f"<F><senateID>{i}-1</senateID></F>")
+    t = records.other_filings(spark, str(tmp_path / "other"))
+    assert len(t["places"].inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+    assert sets(t["other_filings"], "house_id", "senate_registrant_id") == {(str(i), i) for i in range(700)}
+
+
+def test_records_of_a_small_file_are_made_by_many_tasks(spark):
+    assert raw.filing_records(spark, DATA).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_releases(spark, tmp_path):
     folder = tmp_path / "releases" / "2025"
     folder.mkdir(parents=True)
