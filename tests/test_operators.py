@@ -103,6 +103,13 @@ def test_shared_sentences(rows):
     assert reuse.ranked_clusters(reuse.shared_sentences(df, 5)).count() == 1
 
 
+def test_shared_sentences_are_cut_before_the_result_is_read(rows):
+    df = rows("url string, author string, party string, date string, text string", *((f"u{i}", f"m{i}", "D", "2025-01-01", "x" * 79 + "  y  z." + "short  " * 12) for i in range(5)))
+    got = reuse.shared_sentences(df, 5)
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["low"], r["n_members"]) for r in got.collect()} == {("x" * 79 + " y z", 5)}
+
+
 def test_names_of_a_bridge_are_made_keys_once_a_pair(rows):
     columns = "id string, registrant_id int, client_id int, registrant string, client string"
     right = rows(columns, ("r2", 1, 1, "Firm, Inc.", "Acme"), ("r1", 2, 2, "FIRM", "Acme Corp"), ("r0", 3, 3, None, "Acme"))
