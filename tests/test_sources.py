@@ -84,6 +84,22 @@ def test_raw_files_leave_no_folder_for_each_record(spark, tmp_path):
     assert {p.name for p in tmp_path.glob("filings_*.json")} == {f"filings_{y}.json" for y in (2023, 2024, 2025)}
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_only_the_sources_that_are_read_are_made(spark, tmp_path):
+    made = raw.MadeRecords(spark, DATA, str(tmp_path))
+    held = lambda: {p.name.partition("_")[0] for p in (tmp_path / "raw").iterdir()} - {"lines"} if (tmp_path / "raw").exists() else set()
+    assert not held()
+    parts = spark.read.parquet(f"{DATA}/part.parquet").count()
+    assert made["contribution_items"].count() == parts and held() == {"contributions"}
+    assert made["resolved"].agg(F.sum("n_items")).first()[0] == parts and held() == {"contributions", "releases"}
+    made.make()
+    assert held() == {"contributions", "releases", "filings", "other"} and made.done == held() | {"resolved", "bridge"}
+    assert {r[0] for r in made["provenance_index"].select("dataset").distinct().collect()} == held()
+    written = {p: p.stat().st_mtime_ns for p in (tmp_path / "tables").rglob("*.parquet")}
+    made.make()  # nothing is made twice
+    assert written == {p: p.stat().st_mtime_ns for p in (tmp_path / "tables").rglob("*.parquet")}
+
+
 def test_small_files_are_opened_once(spark, tmp_path):
     folder = tmp_path / "other" / "2025_1stQuarter_XML"
     folder.mkdir(parents=True)
