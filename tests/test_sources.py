@@ -278,6 +278,29 @@ def test_arrays_are_cut_anywhere(spark, tmp_path, small_blocks):
     assert spark.read.text(str(tmp_path / "one.json")).rdd.getNumPartitions() >= 8
 
 
+def test_arrays_of_short_lines_are_cut_at_line_feeds(spark, tmp_path, small_blocks, monkeypatch):
+    r, seps, states = random.Random(5), [], splits._block_states
+    monkeypatch.setattr(splits, "_block_states", lambda rows, sep: seps.append(sep) or states(rows, sep))
+    made = {f"short{i}.json": (mark, [awkward(r, k) for k in range(120)], end) for i, (mark, end) in enumerate((("", ""), ("\ufeff", "\n"), ("\ufeff", ""), ("", "\r\n\n")))}
+
+    def check():
+        for name, (mark, rows, end) in made.items():
+            (tmp_path / name).write_bytes((mark + "[" + ",\n".join(json.dumps(x, ensure_ascii=False) for x in rows) + "]" + end).encode())
+        found = splits.array_records(spark, str(tmp_path)).collect()
+        assert len(found) == sum(len(rows) for _, rows, _ in made.values())
+        for name, (_, rows, _) in made.items():
+            mine, raw = sorted((f for f in found if f["path"].endswith(f"/{name}")), key=lambda f: f["byte"]), (tmp_path / name).read_bytes()
+            assert [json.loads(f["record"]) for f in mine] == rows, name
+            assert all(raw[f["byte"] : f["byte"] + f["length"]].decode() == f["record"] for f in mine)
+
+    check()
+    assert seps == [b"\n"]
+    # The reader leaves out the long line; its file, and no other, is cut at braces.
+    made["long.json"] = ("", [awkward(r, 0), {"said": '}"{' * 40_000}, awkward(r, 1)], "\n")
+    check()
+    assert seps == [b"\n", b"\n", b"}"]
+
+
 def test_large_arrays_as_the_plain_reader_reads_them(spark, tmp_path, small_blocks):
     from lodestar.sources import schemas
 
