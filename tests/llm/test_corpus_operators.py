@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, chat_format, common, components, embedding_dedup, kd_sharding, minhash, mixing, quality_cnn, quality_rules, suffix_dedup, url_filter
 from lodestar.llm import bytetext as B
-from lodestar.llm.queries import URL_RULES, op7_chat_format, vocabulary_path
+from lodestar.llm.queries import URL_RULES, op1_suffix_dedup, op7_chat_format, vocabulary_path
 
 WORD = regex.compile("[^\x20\x09-\x0d]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -152,6 +152,20 @@ def test_classes_hold_every_offset_once_in_any_slice(monkeypatch, length, steps)
             assert len({(x["g"], x["k"]) for x in rows}) * 2 == len(rows)  # both copies of an item meet
 
 
+def test_suffix_dedup_query_counts_nothing_beside_n_chars(spark, tmp_path):
+    r = random.Random(3)
+    shared, texts = prose(r, 200), [prose(r, 100) for _ in range(3)]
+    assert len(shared.encode()) > 400 and all(len(t) < len(t.encode()) for t in texts)  # bytes held against characters would look like a change
+    rows = [(i, t, "fr", "s", len(t)) for i, t in enumerate([texts[0], texts[1] + shared, shared + texts[2]])]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    out = op1_suffix_dedup(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got = {x["doc_id"]: x for x in out.collect()}
+    assert got[0]["text"] == texts[0] and got[0]["n_removed"] == 0
+    for i in (1, 2):
+        assert got[i]["n_removed"] >= len(shared.encode()) and len(got[i]["text"].encode()) == got[i]["n_bytes"] - got[i]["n_removed"]
+
+
 def test_suffix_dedup_rows(docs, empty):
     out = suffix_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
